@@ -124,8 +124,9 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return [top(x) for x in range(n)]
 
 
-def bucket_links(rows: DataFrame, least: int) -> DataFrame:
-    """Candidate links a, b inside each (run, key) bucket, as stars; every bucket fits the limit."""
+def split_buckets(rows: DataFrame, limit: int, least: int) -> DataFrame:
+    """One pass over (run, key) buckets in key order: a, b are candidate links inside small buckets, as stars; rows of
+    buckets over the limit come back with run, key, set, sketch, as they stream by."""
     ordered = rows.select("run", "key", "set", "sketch").repartition("run", "key").sortWithinPartitions("run", "key", "set")
 
     def links(sets: list, sketches: list) -> Iterator[tuple]:
@@ -139,10 +140,19 @@ def bucket_links(rows: DataFrame, least: int) -> DataFrame:
                 if i != r:
                     yield sets[i], sets[r]
 
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("run", pa.int32()), ("key", pa.int64()), ("set", pa.binary()), ("sketch", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         open_key, sets, sketches = None, [], []
-        found: list[tuple] = []
+        over = False  # the open bucket has passed the limit
+        out: list[tuple] = []
+
+        def close() -> None:
+            if over:
+                out.extend((None, None, *open_key, s, k) for s, k in zip(sets, sketches, strict=True))
+            elif len(sets) > 1:
+                out.extend((a, b, None, None, None, None) for a, b in links(sets, sketches))
+
         for batch in batches:
             run_of, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             n = batch.num_rows
@@ -152,37 +162,51 @@ def bucket_links(rows: DataFrame, least: int) -> DataFrame:
             ends = np.concatenate([starts[1:], [n]])
             set_col, sketch_col = batch.column(2), batch.column(3)
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                own = (run_of[s], key[s])
+                own = (int(run_of[s]), int(key[s]))
                 if own != open_key:
-                    if len(sets) > 1:
-                        found.extend(links(sets, sketches))
-                    open_key, sets, sketches = own, [], []
+                    close()
+                    open_key, sets, sketches, over = own, [], [], False
                     if e - s == 1 and e != n:
-                        open_key = None
                         continue
                 sets.extend(set_col.slice(s, e - s).to_pylist())
                 sketches.extend(sketch_col.slice(s, e - s).to_pylist())
-            if len(found) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=schema)
-                found = []
-        if len(sets) > 1:
-            found.extend(links(sets, sketches))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=schema)
+                if len(sets) > limit:
+                    over = True
+                    close()
+                    sets, sketches = [], []
+            if len(out) > 2000:
+                yield _columns(out, schema)
+                out.clear()
+        close()
+        if out:
+            yield _columns(out, schema)
+
+    return ordered.mapInArrow(run, "a binary, b binary, run int, key long, set binary, sketch binary")
 
-    return ordered.mapInArrow(run, "a binary, b binary")
 
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-def candidate_links(sets: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Candidate links between representatives (set, tokens, sketch) from all runs."""
+
+def candidate_links(sets: DataFrame, threshold: float, limit: int, hot: int = 5_000) -> DataFrame:
+    """Candidate links between representatives (set, tokens, sketch) from all runs.
+
+    Buckets of more than ``hot`` rows are found by counting and never dealt by their key: they split (or meet their
+    pivot) where their rows lie.  Other buckets over ``limit`` come out of the pass over the buckets.
+    """
     pending = sets.select(F.posexplode("tokens").alias("run", "key"), "set", "sketch")
     least, loose = _agreement(4.5, threshold), _agreement(4.5, 2 * threshold - 1)
-    small, out = [], []
+    out: list[DataFrame] = []
     depth = 0
     while True:
-        sizes = pending.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-        big = materialise(pending.join(sizes, ["run", "key"], "left_semi"), "buckets")
-        small.append(pending.join(sizes, ["run", "key"], "left_anti"))
+        hottest = materialise(pending.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot")
+        if hottest.isEmpty():
+            passed = materialise(split_buckets(pending, limit, least), "split")
+            big = passed.where("run IS NOT NULL").select("run", "key", "set", "sketch")
+        else:
+            passed = materialise(split_buckets(pending.join(hottest, ["run", "key"], "left_anti"), limit, least), "split")
+            big = passed.where("run IS NOT NULL").select("run", "key", "set", "sketch").unionByName(pending.join(hottest, ["run", "key"], "left_semi"))
+        out.append(passed.where("a IS NOT NULL").select("a", "b"))
         if big.isEmpty():
             break
         if depth < DEPTH:
@@ -200,11 +224,8 @@ def candidate_links(sets: DataFrame, threshold: float, limit: int) -> DataFrame:
             out.append(seen.where((F.col("equal") >= loose) & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
             pending = seen.where(F.col("equal") < loose).select("run", "key", "set", "sketch")
         depth += 1
-    whole = small[0]
-    for more in small[1:]:
-        whole = whole.unionByName(more)
-    links = bucket_links(whole, least)
-    for more in out:
+    links = out[0]
+    for more in out[1:]:
         links = links.unionByName(more)
     return links
 
