@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import bpe, chat, decontaminate, html, jaccard, lm, quality, rules, urls
+from sextant.llm import bpe, chat, coder, decontaminate, html, jaccard, lm, quality, rules, urls
 from sextant.llm.words import crc_of_id
 
 
@@ -60,6 +60,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = coder.round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op4_html": op4_html,
     "op5_chat": op5_chat,
     "op6_urls": op6_urls,
+    "op7_token_files": op7_token_files,
     "op8_jaccard": op8_jaccard,
     "op9_decontaminate": op9_decontaminate,
     "op10_lm": op10_lm,
