@@ -238,7 +238,7 @@ def exact_links(docs: DataFrame, members: DataFrame, threshold: float, block: in
     """
     chunks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
     placed = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed, "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed.hint("merge"), "id")
 
     def tokens_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         import xxhash
