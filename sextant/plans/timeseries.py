@@ -90,13 +90,13 @@ def j17(spark, p):
     return x.select("id", "d", F.lead("d", 10).over(BY).alias("exit_d"), F.lead("close", 10).over(BY).alias("exit_close")).where("exit_d IS NOT NULL")
 
 
-@register("j21_match_ladder", f"{D}, e AS (SELECT participant, security, brand, kind, min(value) AS v FROM deals WHERE side = 'BUY' GROUP BY ALL), c1 AS (SELECT security, brand, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), c2 AS (SELECT security, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), c3 AS (SELECT kind, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL) SELECT participant, security, brand, e.kind, CASE WHEN c1.n >= 8 THEN 'fine' WHEN c2.n >= 120 THEN 'mid' WHEN c3.n >= 20 THEN 'coarse' END AS level, round(CASE WHEN c1.n >= 8 THEN c1.m WHEN c2.n >= 120 THEN c2.m WHEN c3.n >= 20 THEN c3.m END, 1) AS matched FROM e LEFT JOIN c1 USING (security, brand) LEFT JOIN c2 USING (security) LEFT JOIN c3 ON e.kind = c3.kind")
+@register("j21_match_ladder", f"{D}, e AS (SELECT participant, security, brand, kind, min(value) AS v FROM deals WHERE side = 'BUY' GROUP BY ALL), c1 AS (SELECT security, brand, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), c2 AS (SELECT security, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), c3 AS (SELECT kind, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL) SELECT participant, security, brand, e.kind, CASE WHEN c1.n >= 8 THEN 'fine' WHEN c2.n >= 120 THEN 'mid' WHEN c3.n >= 20 THEN 'coarse' END AS level, round(ln(CASE WHEN c1.n >= 8 THEN c1.m WHEN c2.n >= 120 THEN c2.m WHEN c3.n >= 20 THEN c3.m END), 8) AS log_matched FROM e LEFT JOIN c1 USING (security, brand) LEFT JOIN c2 USING (security) LEFT JOIN c3 ON e.kind = c3.kind")
 def j21(spark, p):
     e = deals(spark, p).where("side = 'BUY'").groupBy("participant", "security", "brand", "kind").agg(F.min("value").alias("v"))
     cell = lambda *k: e.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
     # floors differ a rung, so the ladder's cells are filtered before it picks the first
     out = R.match_ladder(e, [("fine", cell("security", "brand").where("n >= 8"), ["security", "brand"]), ("mid", cell("security").where("n >= 120"), ["security"]), ("coarse", cell("kind").where("n >= 20"), ["kind"])], 1)
-    return out.select("participant", "security", "brand", "kind", "level", F.round("matched", 1).alias("matched"))
+    return out.select("participant", "security", "brand", "kind", "level", F.round(F.log("matched"), 8).alias("log_matched"))
 
 
 @register("j25_forward_adjustment", f"{B}, a AS (SELECT id, d AS ex, 0.9 AS f FROM bars WHERE day(d) = 7 AND month(d) = 6), k AS (SELECT b.id, b.d, exp(coalesce(sum(ln(f)), 0)) AS factor FROM bars b LEFT JOIN a ON a.id = b.id AND a.ex > b.d GROUP BY ALL) SELECT id, d, round(factor, 8) AS factor FROM k")
