@@ -13,7 +13,9 @@ from sextant.plans.relational import r6
 
 D, B, C = f"WITH {DEALS_SQL}", f"WITH {DEALS_SQL}, {bars_sql()}", f"WITH {DEALS_SQL}, {CALENDAR_SQL}"
 BC = f"WITH {DEALS_SQL}, {bars_sql()}, {CALENDAR_SQL}"
-BY = Window.partitionBy("id").orderBy("d")
+
+def by():
+    return Window.partitionBy("id").orderBy("d")
 
 
 def b(spark: SparkSession, p: str) -> DataFrame:
@@ -87,7 +89,7 @@ def j14(spark, p):
 @register("j17_row_offset", f"{B}, r AS (SELECT id, d, close, row_number() OVER (PARTITION BY id ORDER BY d) AS rn FROM bars) SELECT a.id, a.d, z.d AS exit_d, z.close AS exit_close FROM r a JOIN r z ON a.id = z.id AND z.rn = a.rn + 10")
 def j17(spark, p):
     x = b(spark, p)
-    return x.select("id", "d", F.lead("d", 10).over(BY).alias("exit_d"), F.lead("close", 10).over(BY).alias("exit_close")).where("exit_d IS NOT NULL")
+    return x.select("id", "d", F.lead("d", 10).over(by()).alias("exit_d"), F.lead("close", 10).over(by()).alias("exit_close")).where("exit_d IS NOT NULL")
 
 
 @register("j21_match_ladder", f"{D}, e AS (SELECT participant, security, brand, kind, min(value) AS v FROM deals WHERE side = 'BUY' GROUP BY ALL), c1 AS (SELECT security, brand, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), c2 AS (SELECT security, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL), c3 AS (SELECT kind, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL) SELECT participant, security, brand, e.kind, CASE WHEN c1.n >= 8 THEN 'fine' WHEN c2.n >= 120 THEN 'mid' WHEN c3.n >= 20 THEN 'coarse' END AS level, round(ln(CASE WHEN c1.n >= 8 THEN c1.m WHEN c2.n >= 120 THEN c2.m WHEN c3.n >= 20 THEN c3.m END), 8) AS log_matched FROM e LEFT JOIN c1 USING (security, brand) LEFT JOIN c2 USING (security) LEFT JOIN c3 ON e.kind = c3.kind")
@@ -103,25 +105,25 @@ def j21(spark, p):
 def j25(spark, p):
     """Product of all later factors as a reverse running sum of logarithms: no inequality join."""
     x = b(spark, p).withColumn("lf", F.when((F.dayofmonth("d") == 7) & (F.month("d") == 6), F.log(F.lit(0.9))).otherwise(F.lit(0.0)))
-    later = F.coalesce(F.sum("lf").over(BY.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    later = F.coalesce(F.sum("lf").over(by().rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
     return x.select("id", "d", F.round(F.exp(later), 8).alias("factor"))
 
 
 @register("w02_one_step_return", f"{B} SELECT id, d, round(close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1, 8) AS ret FROM bars")
 def w02(spark, p):
-    return b(spark, p).select("id", "d", F.round(F.col("close") / F.lag("close").over(BY) - 1, 8).alias("ret"))
+    return b(spark, p).select("id", "d", F.round(F.col("close") / F.lag("close").over(by()) - 1, 8).alias("ret"))
 
 
 @register("w04_rolling_median", f"{B} SELECT id, d, CASE WHEN count(*) OVER w = 20 THEN round(median(turnover) OVER w, 3) END AS adv FROM bars WINDOW w AS (PARTITION BY id ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def w04(spark, p):
-    over = BY.rowsBetween(-19, 0)
+    over = by().rowsBetween(-19, 0)
     return b(spark, p).select("id", "d", F.when(F.count(F.lit(1)).over(over) == 20, F.round(F.percentile("turnover", 0.5).over(over), 3)).alias("adv"))
 
 
 @register("w05_w06_w07_volatility_momentum", f"{B}, r AS (SELECT *, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS ret FROM bars) SELECT id, d, round(stddev_samp(ret) OVER (PARTITION BY id ORDER BY d ROWS 20 PRECEDING), 8) AS vol21, round(lag(close, 21) OVER w / lag(close, 252) OVER w - 1, 8) AS mom12_1, count(*) OVER (PARTITION BY id ORDER BY d ROWS 251 PRECEDING) >= 252 AS seasoned FROM r WINDOW w AS (PARTITION BY id ORDER BY d)")
 def w05(spark, p):
-    x = b(spark, p).withColumn("ret", F.col("close") / F.lag("close").over(BY) - 1)
-    return x.select("id", "d", F.round(F.stddev_samp("ret").over(BY.rowsBetween(-20, 0)), 8).alias("vol21"), F.round(F.lag("close", 21).over(BY) / F.lag("close", 252).over(BY) - 1, 8).alias("mom12_1"), (F.count(F.lit(1)).over(BY.rowsBetween(-251, 0)) >= 252).alias("seasoned"))
+    x = b(spark, p).withColumn("ret", F.col("close") / F.lag("close").over(by()) - 1)
+    return x.select("id", "d", F.round(F.stddev_samp("ret").over(by().rowsBetween(-20, 0)), 8).alias("vol21"), F.round(F.lag("close", 21).over(by()) / F.lag("close", 252).over(by()) - 1, 8).alias("mom12_1"), (F.count(F.lit(1)).over(by().rowsBetween(-251, 0)) >= 252).alias("seasoned"))
 
 
 @register("w08_quintiles", f"{B} SELECT id, d, ntile(5) OVER (PARTITION BY d ORDER BY turnover, id) AS q FROM bars")
@@ -131,7 +133,7 @@ def w08(spark, p):
 
 @register("w09_excursions", f"{B} SELECT id, d, round(max(high) OVER w / close - 1, 8) AS mfe, round(min(low) OVER w / close - 1, 8) AS mae FROM bars WINDOW w AS (PARTITION BY id ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)")
 def w09(spark, p):
-    over = BY.rowsBetween(1, 10)
+    over = by().rowsBetween(1, 10)
     return b(spark, p).select("id", "d", F.round(F.max("high").over(over) / F.col("close") - 1, 8).alias("mfe"), F.round(F.min("low").over(over) / F.col("close") - 1, 8).alias("mae"))
 
 
@@ -183,9 +185,9 @@ def w28(spark, p):
 
 @register("w30_rolling_beta", f"{B}, r AS (SELECT id, d, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS ret FROM bars), m AS (SELECT d, avg(ret) AS mk FROM r GROUP BY 1) SELECT id, d, CASE WHEN count(ret) OVER w >= 50 THEN round(covar_samp(ret, mk) OVER w / var_samp(mk) OVER w, 5) END AS beta FROM (SELECT * FROM r JOIN m USING (d) WHERE ret IS NOT NULL) WINDOW w AS (PARTITION BY id ORDER BY d ROWS 62 PRECEDING)")
 def w30(spark, p):
-    r = b(spark, p).withColumn("ret", F.col("close") / F.lag("close").over(BY) - 1).select("id", "d", "ret")
+    r = b(spark, p).withColumn("ret", F.col("close") / F.lag("close").over(by()) - 1).select("id", "d", "ret")
     x = r.join(r.groupBy("d").agg(F.avg("ret").alias("mk")), "d").where("ret IS NOT NULL")
-    over = BY.rowsBetween(-62, 0)
+    over = by().rowsBetween(-62, 0)
     return x.select("id", "d", F.when(F.count("ret").over(over) >= 50, F.round(F.covar_samp("ret", "mk").over(over) / F.var_samp("mk").over(over), 5)).alias("beta"))
 
 
@@ -217,7 +219,7 @@ def d44(spark, p):
 
 @register("g11_rank_ic", f"{B}, f AS (SELECT id, d, volume AS s, lead(close, 5) OVER w / lead(open, 1) OVER w - 1 AS y FROM bars WINDOW w AS (PARTITION BY id ORDER BY d)), r AS (SELECT d, rank() OVER (PARTITION BY d ORDER BY s) + (count(*) OVER (PARTITION BY d, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY d ORDER BY y) + (count(*) OVER (PARTITION BY d, y) - 1) / 2.0 AS ry FROM f WHERE y IS NOT NULL) SELECT d, count(*) AS n, round(corr(rs, ry), 6) + 0.0 AS ic FROM r GROUP BY d HAVING count(*) >= 15")
 def g11(spark, p):
-    f = b(spark, p).select("id", "d", F.col("volume").alias("s"), (F.lead("close", 5).over(BY) / F.lead("open", 1).over(BY) - 1).alias("y")).where("y IS NOT NULL")
+    f = b(spark, p).select("id", "d", F.col("volume").alias("s"), (F.lead("close", 5).over(by()) / F.lead("open", 1).over(by()) - 1).alias("y")).where("y IS NOT NULL")
     r = f.select("d", R.average_rank("s", ["d"]).alias("rs"), R.average_rank("y", ["d"]).alias("ry"))
     return r.groupBy("d").agg(F.count(F.lit(1)).alias("n"), (F.round(F.corr("rs", "ry"), 6) + 0.0).alias("ic")).where("n >= 15")
 
