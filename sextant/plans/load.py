@@ -1,3 +1,3 @@
 """Importing this module registers every plan."""
 
-from sextant.plans import relational, slice, timeseries  # noqa: F401
+from sextant.plans import panels, relational, slice, timeseries  # noqa: F401
