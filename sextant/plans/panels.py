@@ -140,7 +140,7 @@ def a21(spark, p):
 @register(
     "a23_group_profile",
     f"""{D}, days AS (SELECT participant, brand, d, count(DISTINCT side) = 2 AS rt FROM deals GROUP BY ALL), dd AS (SELECT participant, count(*) AS stock_days, round(avg(rt::INT), 6) AS round_trip FROM days GROUP BY 1),
-    t AS (SELECT participant, string_agg(brand, ',' ORDER BY n DESC, brand) AS top3 FROM (SELECT participant, brand, count(*) AS n FROM deals GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY participant ORDER BY n DESC, brand) <= 3) GROUP BY 1)
+    t AS (SELECT participant, string_agg(brand, ',' ORDER BY n DESC, brand) AS top3 FROM (SELECT participant, brand, count(*) AS n FROM deals GROUP BY participant, brand QUALIFY row_number() OVER (PARTITION BY participant ORDER BY n DESC, brand) <= 3) GROUP BY 1)
     SELECT participant, count(*) AS n, count(*) FILTER (side = 'BUY') AS buys, stock_days, round_trip, top3 FROM deals JOIN dd USING (participant) JOIN t USING (participant) GROUP BY ALL""",
 )
 def a23(spark, p):
