@@ -13,15 +13,13 @@ KEEP_AT = 0.3
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    kept = rules.apply_policy(rules.ledger(docs), rules.POLICIES[rules.CURRENT]).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return rules.keep(docs, rules.POLICIES[rules.CURRENT])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at KEEP_AT or more; the network learns from the raw documents' bounded sample."""
     network = quality_network(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.score(docs, network).where(f"score >= {KEEP_AT}").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return quality.keep(docs, network, KEEP_AT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.words import by_rows
+from sextant.llm.words import beside, by_rows
 
 
 def normal(text: str | None) -> str:
@@ -144,7 +144,16 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The documents that hold no item, all columns; ids must be unique among the documents."""
-    held = find(docs, benchmark, id_col, text_col, **limits).select(id_col).distinct()
-    return docs.join(held, id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = 0.1, min_piece: int = 12, min_item: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows that hold no item, all columns; each block of items is one pass over what the last one left, and ids
+    play no part."""
+    for block in blocks(benchmark, block_chars, min_item):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def held(texts: list[str | None], shared=shared, made: list[Matcher] = []) -> list[tuple]:  # noqa: B006
+            if not made:  # once a task: building it costs more than a slice of texts
+                made.append(Matcher(shared.value, rate, min_piece))
+            return [(bool(made[0].hits(normal(t))),) for t in texts]
+
+        docs = beside(docs, text_col, held, "held boolean").where("NOT held").select("_row.*")
+    return docs

@@ -328,6 +328,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The documents whose id is the least of their class, all columns; of rows with one id and class, each stays."""
-    firsts = join(docs, id_col, text_col, **limits).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col).distinct()
-    return docs.join(firsts, id_col, "left_semi").select(*docs.columns)
+    """The documents whose id is the least of their class, all columns; of rows with one id and class, each stays.
+
+    A null id is the least only of a class without others, and stays there."""
+    firsts = join(docs, id_col, text_col, **limits).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_first")).distinct()
+    return docs.join(firsts, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi").select(*docs.columns)

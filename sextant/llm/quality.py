@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.rules import measure
-from sextant.llm.words import by_rows
+from sextant.llm.words import beside, by_rows
 
 FEATURES = 14
 
@@ -159,6 +159,15 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     return by_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
 
 
+def keep(docs: DataFrame, net: Network | None, at: float, text_col: str = "text") -> DataFrame:
+    """The rows scored ``at`` or more, all columns; ids play no part."""
+
+    def scores(texts: list[str | None]) -> list[tuple]:
+        return [(0.5,)] * len(texts) if net is None else [(float(x),) for x in net.score(np.array([features(t) for t in texts]))]
+
+    return beside(docs, text_col, scores, "score double").where(F.col("score") >= at).select("_row.*")
+
+
 def estimated_prior(labels: DataFrame, label_col: str = "quality") -> float | None:
     """Share of positives among trusted labels; None if only one class was labelled."""
     row = labels.agg(F.avg(label_col).alias("p"), F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).first()

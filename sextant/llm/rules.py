@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.words import SPACES, by_rows
+from sextant.llm.words import SPACES, beside, by_rows
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -85,10 +85,20 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     measured = by_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return measured.withColumn("failures", _bits(rules))
+
+
+def _bits(rules: tuple[Rule, ...]) -> Column:
     bits: Column = F.lit(0).cast("long")
     for i, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("failures", bits)
+    return bits
+
+
+def keep(docs: DataFrame, names: tuple[str, ...], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that a policy keeps, all columns; ids play no part, so null and repeated ones are judged row by row."""
+    rows = beside(docs, text_col, lambda texts: [measure(t) for t in texts], ", ".join(f"{m} long" for m in MEASURES))
+    return apply_policy(rows.withColumn("failures", _bits(rules)), names, rules).where("kept").select("_row.*")
 
 
 def apply_policy(rows: DataFrame, names: tuple[str, ...], rules: tuple[Rule, ...] = RULES, to: str = "kept") -> DataFrame:

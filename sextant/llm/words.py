@@ -44,5 +44,28 @@ def by_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], sch
     return df.mapInArrow(run, schema)
 
 
+def beside(df: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[tuple]], schema: str, chunk: int = 512) -> DataFrame:
+    """``_row``, the whole input row, with the columns that ``fn`` derives from the texts of a slice of rows.
+
+    Filtering on them and selecting ``_row.*`` keeps or drops rows where they are: nothing is shuffled, ids may be null
+    or repeat, and no input column can clash with a derived one.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    rows = df.select(F.struct(*df.columns).alias("_row"))
+    derived = _parse_datatype_string(schema)
+    target, at = to_arrow_schema(derived), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, chunk):
+                held = batch.column(0).slice(start, chunk)
+                got = fn(held.field(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([held, *_batch(got, target).columns], names=["_row", *target.names])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *derived.fields]))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

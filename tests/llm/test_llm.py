@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -109,6 +110,21 @@ def test_decontaminate(spark, docs):
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short")], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.find(held, bench).collect()] == [(4, 1, 1)]
     assert decontaminate.clean(held, bench.limit(0)).count() == held.count()
+    twice = held.unionByName(spark.createDataFrame([(None, f"{text(5)} {item}"), (1, f"{text(6)} {item}")], held.schema))
+    clean = decontaminate.clean(twice, bench, block_chars=1)
+    assert clean.columns == held.columns
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, held.where(~F.col("text").contains(wrong) | F.col("text").isNull()).collect()))
+
+
+def test_stages_keep_whole_rows_without_ids(spark, docs):
+    """Null and repeated ids and clashing columns: each row is judged alone, by the ledger's own verdict."""
+    wide = docs.withColumn("n_words", F.lit("clash")).unionByName(docs.limit(0).withColumn("n_words", F.lit("")))
+    kept = rules.keep(wide, rules.POLICIES[rules.CURRENT])
+    want = [r for r in wide.collect() if rules.measure(r.text)[0] >= 50]
+    assert kept.columns == wide.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, want))
+    assert sorted(map(repr, quality.keep(wide, None, 0.3).collect())) == sorted(map(repr, wide.collect()))
+    assert quality.keep(wide, None, 0.6).count() == 0 == rules.keep(wide.limit(0), rules.BASE).count()
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {None, 1, 4, 5, 6, 7, 8}
 
 
 def test_lm(spark, docs):
