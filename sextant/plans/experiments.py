@@ -471,3 +471,19 @@ def d53(spark, p):
     t = s.withColumn("t", F.try_divide("mean", F.col("sd") / F.sqrt("n") * F.sqrt(1 + F.col("rho"))))
     verdict = R.ladder([("TOO_FEW", F.col("n") < 12), ("KILL", F.col("t") <= -1.645), ("NOT_SHOWN", F.col("t") < 1.645), ("TOO_SMALL", F.col("mean") < 0.005)]).otherwise("PASS")
     return t.select("kind", "brand", "n", F.round("t", 4).alias("t"), verdict.alias("verdict"))
+
+
+@register(
+    "d07_characteristic_panel",
+    f"""{B}, r AS (SELECT id, d, turnover, close, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM bars),
+    v AS (SELECT id, d, date_trunc('month', d)::DATE AS m, median(turnover) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS adv20, round(stddev_samp(r) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 9) AS vol21 FROM r),
+    l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id, m ORDER BY d DESC) = 1)
+    SELECT id, m, d, ntile(5) OVER (PARTITION BY m ORDER BY round(adv20, 6), id) AS size_q, ntile(5) OVER (PARTITION BY m ORDER BY vol21, id) AS vol_q FROM l WHERE vol21 IS NOT NULL""",
+)
+def d07(spark, p):
+    """Size and volatility quintiles at each name's last session of a month, from the rows up to it."""
+    r = bars(deals(spark, p)).select("id", "d", "turnover", (F.col("close") / F.lag("close").over(by()) - 1).alias("r"))
+    v = r.select("id", "d", F.trunc("d", "month").alias("m"), F.percentile("turnover", 0.5).over(by().rowsBetween(-19, 0)).alias("adv20"), F.round(F.stddev_samp("r").over(by().rowsBetween(-20, 0)), 9).alias("vol21"))
+    last = v.groupBy("id", "m").agg(F.max_by(F.struct("d", "adv20", "vol21"), "d").alias("s")).select("id", "m", "s.*").where("vol21 IS NOT NULL")
+    month = Window.partitionBy("m")
+    return last.select("id", "m", "d", F.ntile(5).over(month.orderBy(F.round("adv20", 6), "id")).alias("size_q"), F.ntile(5).over(month.orderBy("vol21", "id")).alias("vol_q"))
