@@ -3,11 +3,12 @@
 Texts become sets of hashed word 5-grams (a shorter text is one n-gram of all its words).  Texts with equal sets fold
 into one representative with a count of copies.  Each run splits the representatives on a sampled token: the least of
 the set's tokens under the run's hash, which two sets share with a probability equal to their similarity.  A bucket
-over the limit splits again on further sampled tokens (read from a 64-byte sketch), so unrelated texts that share a
-passage part quickly.  Small buckets are compared by brute force on the sketches.  Runs repeat until a pair at the
-threshold is missed by all of them with a probability below 1 - recall.  What stays over the limit at the last depth
-are mostly near copies of each other: every member is compared with a pivot, and those unlike it go on with the next
-pivot until a bucket fits the limit, so no bucket is cut and none is expanded into its pairs.
+over the limit splits again, up to DEPTH times, on further sampled tokens (one byte of the sketch for each run and depth,
+used by no other), so unrelated texts that share a passage part quickly.  Small buckets are compared by brute force on
+the sketches.  Runs repeat until a pair at the threshold that has to pass every split is missed by all of them with a
+probability below 1 - recall.  At the last depth buckets up to LAST are still compared by brute force; what stays larger
+are mostly near copies of each other, and every member becomes a candidate of the bucket's least set, so no bucket is cut,
+no pair in it is lost and none is expanded into its pairs.
 
 Sketch links are only candidates, so that chains of them give candidate classes.  Inside each candidate class all pairs
 are compared exactly on whole sets, in block pairs of bounded size, which yields every link's end points' counts and a
@@ -34,6 +35,7 @@ from sextant.llm.words import by_rows
 
 SKETCH = 64
 DEPTH = 4
+LAST = 1024
 
 
 class _Hashes(dict):
@@ -67,36 +69,38 @@ def multipliers(n: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def least_tokens(tokens: np.ndarray, by: np.ndarray) -> np.ndarray:
+def least_tokens(tokens: np.ndarray, by: np.ndarray, columns: int = 512) -> np.ndarray:
     """Per multiplier the least of the tokens' products: the sampled token under that hash."""
-    out = np.empty(len(by), np.uint64)
-    for i, a in enumerate(by):
-        p = tokens * a
+    out = np.full(len(by), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(tokens), columns):
+        p = by[:, None] * tokens[None, at : at + columns]
         p ^= p >> np.uint64(32)
-        out[i] = (p * np.uint64(0xD6E8FEB86659FD93)).min()
+        p *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(out, p.min(1), out=out)
     return out
 
 
-def runs_for(threshold: float, recall: float, depth: int = 2) -> int:
+def runs_for(threshold: float, recall: float, depth: int = DEPTH + 1) -> int:
     """Runs after which a pair at the threshold has met with the wanted probability, if it has to pass ``depth`` splits."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
 def signatures(docs: DataFrame, runs: int, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, set (128-bit digest of the shingle set, null when empty), tokens (one a run), sketch."""
+    """id, set (128-bit digest of the shingle set, null when empty), tokens (one a run), sketch (a byte for each split of
+    each run, SKETCH bytes at least; its hashes are not the tokens')."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         import xxhash
 
-        hashes, by = _Hashes(), multipliers(max(runs, SKETCH))
+        hashes, by = _Hashes(), multipliers(runs + max(SKETCH, runs * DEPTH))
         for key, text in rows:
             tokens = shingles(text, width, hashes)
             if not len(tokens):
                 yield key, None, None, None
                 continue
             least = least_tokens(tokens, by)
-            sketch = (least[:SKETCH] >> np.uint64(40)).astype(np.uint8).tobytes()
+            sketch = (least[runs:] >> np.uint64(40)).astype(np.uint8).tobytes()
             yield key, xxhash.xxh3_128_digest(tokens.tobytes()), least[:runs].view(np.int64).tolist(), sketch
 
     return by_rows(docs.select(F.col(id_col), F.col(text_col)), run, f"id {kind}, set binary, tokens array<long>, sketch binary")
@@ -130,7 +134,7 @@ def split_buckets(rows: DataFrame, limit: int, least: int) -> DataFrame:
     ordered = rows.select("run", "key", "set", "sketch").repartition("run", "key").sortWithinPartitions("run", "key", "set")
 
     def links(sets: list, sketches: list) -> Iterator[tuple]:
-        m = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sets), SKETCH)
+        m = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sets), -1)
         same = np.zeros((len(sets), len(sets)), np.uint8)
         for i in range(SKETCH):
             same += m[:, i, None] == m[None, :, i]
@@ -192,38 +196,28 @@ def candidate_links(sets: DataFrame, threshold: float, limit: int, hot: int = 5_
     """Candidate links between representatives (set, tokens, sketch) from all runs.
 
     Buckets of more than ``hot`` rows are found by counting and never dealt by their key: they split (or meet their
-    pivot) where their rows lie.  Other buckets over ``limit`` come out of the pass over the buckets.
+    least set) where their rows lie.  Other buckets over ``limit`` come out of the pass over the buckets.
     """
     pending = sets.select(F.posexplode("tokens").alias("run", "key"), "set", "sketch")
-    least, loose = _agreement(4.5, threshold), _agreement(4.5, 2 * threshold - 1)
+    least = _agreement(4.5, threshold)
     out: list[DataFrame] = []
-    depth = 0
-    while True:
-        hottest = materialise(pending.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot")
+    for depth in range(DEPTH + 1):
+        most = limit if depth < DEPTH else max(limit, LAST)
+        hottest = materialise(pending.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(hot, most)), "hot")
         if hottest.isEmpty():
-            passed = materialise(split_buckets(pending, limit, least), "split")
+            passed = materialise(split_buckets(pending, most, least), "split")
             big = passed.where("run IS NOT NULL").select("run", "key", "set", "sketch")
         else:
-            passed = materialise(split_buckets(pending.join(hottest, ["run", "key"], "left_anti"), limit, least), "split")
+            passed = materialise(split_buckets(pending.join(hottest, ["run", "key"], "left_anti"), most, least), "split")
             big = passed.where("run IS NOT NULL").select("run", "key", "set", "sketch").unionByName(pending.join(hottest, ["run", "key"], "left_semi"))
         out.append(passed.where("a IS NOT NULL").select("a", "b"))
         if big.isEmpty():
             break
         if depth < DEPTH:
-            pending = big.withColumn("key", F.xxhash64("key", F.expr(f"substring(sketch, cast(pmod(run * {DEPTH} + {depth} + 17, {SKETCH}) + 1 as int), 1)")))
+            pending = big.withColumn("key", F.xxhash64("key", F.expr(f"substring(sketch, run * {DEPTH} + {depth} + 1, 1)")))
         else:
-            pivot = big.groupBy("run", "key").agg(F.min(F.struct(F.xxhash64("set", "run"), "set", "sketch")).alias("p"))
-            against = big.join(pivot, ["run", "key"]).select("run", "key", "set", "sketch", F.col("p.set").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
-
-            def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
-                for r, key, own, sketch, pivot_set, pivot_sketch in rows:
-                    equal = int((np.frombuffer(sketch, np.uint8) == np.frombuffer(pivot_sketch, np.uint8)).sum())
-                    yield r, key, own, sketch, pivot_set, equal
-
-            seen = materialise(by_rows(against, compare, "run int, key long, set binary, sketch binary, pivot binary, equal int"), "pivots")
-            out.append(seen.where((F.col("equal") >= loose) & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
-            pending = seen.where(F.col("equal") < loose).select("run", "key", "set", "sketch")
-        depth += 1
+            first = big.groupBy("run", "key").agg(F.min("set").alias("b"))
+            out.append(materialise(big.join(first, ["run", "key"]).where(F.col("set") != F.col("b")).select(F.col("set").alias("a"), "b"), "largest"))
     links = out[0]
     for more in out[1:]:
         links = links.unionByName(more)

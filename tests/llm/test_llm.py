@@ -133,3 +133,23 @@ def test_lm(spark, docs):
     assert len(got) == 10 and all(r.n_known == r.n_tokens for r in got)
     assert np.allclose((10**model.table).sum(1), 1)
     assert lm.score(docs, lm.train(docs.limit(0), head=5, model_words=3, classes=4)).count() == 10
+
+
+def test_jaccard_pairs_inside_a_hot_passage_equal_brute_force(spark):
+    """Pairs of near copies at just over the threshold, in texts that share a passage: buckets split to the last depth."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage, rows = [word() for _ in range(120)], []
+    for i in range(400):
+        own = [word() for _ in range(124)]
+        other = own.copy()
+        for k in (15, 39, 63, 87, 111):
+            other[k] = word()
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
+    sets = [set(jaccard.shingles(t, 5, jaccard._Hashes()).tolist()) for _, t in rows]
+    want = {2 * i + e: int(len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])) for i in range(400) for e in (0, 1)}
+    assert sum(want.values()) == 800
+    runs = jaccard.runs_for(0.8, 0.9999)
+    assert (1 - 0.8 ** (jaccard.DEPTH + 1)) ** runs <= 1e-4
+    got = {r.doc_id: r.n_links for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), limit=4).collect()}
+    assert got == want
