@@ -15,7 +15,8 @@ are compared exactly on whole sets, in block pairs of bounded size, which yields
 spanning forest of the true links; the classes of the result are the components of these exact links.
 
 Defined results: null and empty texts have no n-gram, no links and a class of their own; equal sets are links even if
-the texts differ in case or white space; repeated rows are copies; a null id takes part, and ids need not be unique;
+the texts differ in case or white space; repeated rows are copies; a null id takes part, and ids need not be unique
+(texts are fetched by id and digest of the text, ``at``);
 ``class_id`` is the least id of the class; extra columns are ignored.
 """
 
@@ -86,7 +87,7 @@ def runs_for(threshold: float, recall: float, depth: int = DEPTH + 1) -> int:
 
 
 def signatures(docs: DataFrame, runs: int, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, set (128-bit digest of the shingle set, null when empty), tokens (one a run), sketch (a byte for each split of
+    """id, key (hash of the text), set (128-bit digest of the shingle set, null when empty), tokens (one a run), sketch (a byte for each split of
     each run, SKETCH bytes at least; its hashes are not the tokens')."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
@@ -94,16 +95,17 @@ def signatures(docs: DataFrame, runs: int, id_col: str, text_col: str, width: in
         import xxhash
 
         hashes, by = _Hashes(), multipliers(runs + max(SKETCH, runs * DEPTH))
-        for key, text in rows:
+        for own, key, text in rows:
             tokens = shingles(text, width, hashes)
             if not len(tokens):
-                yield key, None, None, None
+                yield own, key, None, None, None
                 continue
             least = least_tokens(tokens, by)
             sketch = (least[runs:] >> np.uint64(40)).astype(np.uint8).tobytes()
-            yield key, xxhash.xxh3_128_digest(tokens.tobytes()), least[:runs].view(np.int64).tolist(), sketch
+            yield own, key, xxhash.xxh3_128_digest(tokens.tobytes()), least[:runs].view(np.int64).tolist(), sketch
 
-    return by_rows(docs.select(F.col(id_col), F.col(text_col)), run, f"id {kind}, set binary, tokens array<long>, sketch binary")
+    keyed = docs.select(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col))
+    return by_rows(keyed, run, f"id {kind}, key long, set binary, tokens array<long>, sketch binary")
 
 
 def _agreement(chance: float, threshold: float) -> int:
@@ -227,20 +229,24 @@ def candidate_links(sets: DataFrame, threshold: float, limit: int, hot: int = 5_
 def exact_links(docs: DataFrame, members: DataFrame, threshold: float, block: int, id_col: str, text_col: str, width: int) -> DataFrame:
     """Per block pair of each candidate class: a, b (forest links, null in count rows) and a's weight of links.
 
-    ``members``: id, set, copies, root.  A class of m sets is dealt to ceil(m / block) chunks by hash; each pair of
+    ``members``: at (id and key of one row with the set), set, copies, root.  A class of m sets is dealt to ceil(m / block) chunks by hash; each pair of
     chunks is one group.
     """
     chunks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
     placed = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed.hint("merge"), "id")
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    texts = keyed.join(placed.hint("merge"), (F.col("key") == F.col("at.key")) & F.col("id").eqNullSafe(F.col("at.id")))
 
     def tokens_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         import xxhash
 
-        hashes = _Hashes()
+        hashes, last = _Hashes(), None
         for text, own, copies, root, n, chunk in rows:
+            if own == last:  # repeated rows follow each other
+                continue
             tokens = shingles(text, width, hashes).tobytes()
-            if xxhash.xxh3_128_digest(tokens) == own:  # an id may stand for several texts
+            if xxhash.xxh3_128_digest(tokens) == own:
+                last = own
                 yield own, copies, root, n, chunk, tokens
 
     whole = by_rows(texts.select("text", "set", "copies", "root", "chunks", "chunk"), tokens_of, "set binary, copies long, root binary, chunks int, chunk int, tokens binary", chunk=64)
@@ -299,20 +305,26 @@ def links_of(key: tuple | None, held: list[tuple], threshold: float, columns: in
             yield held[i][1], held[r][1], 0
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128, block: int = 128) -> DataFrame:
-    """id, class_id (least id of the class), n_links (other rows at the threshold, copies included), n_copies."""
+def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128, block: int = 128) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, set) and sets (set, root, class_id, at, copies, weight)."""
     runs = runs_for(threshold, recall)
     rows = materialise(signatures(docs, runs, id_col, text_col, width), "signatures")
-    sets = materialise(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
+    at = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("at")
+    sets = materialise(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("id"), at, F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
     maybe = components(candidate_links(sets, threshold, limit))
-    members = sets.select("set", "id", "copies").join(maybe.select(F.col("node").alias("set"), "root"), "set")
+    members = sets.select("set", "at", "copies").join(maybe.select(F.col("node").alias("set"), "root"), "set")
     links = materialise(exact_links(docs, materialise(members, "members"), threshold, block, id_col, text_col, width), "links")
     classes = components(links.where("b IS NOT NULL").select("a", "b"))
     weights = links.where("b IS NULL").groupBy(F.col("a").alias("set")).agg(F.sum("weight").alias("weight"))
-    known = sets.select("set", "id", "copies").join(classes.select(F.col("node").alias("set"), "root"), "set", "left").join(weights, "set", "left")
+    known = sets.select("set", "id", "at", "copies").join(classes.select(F.col("node").alias("set"), "root"), "set", "left").join(weights, "set", "left")
     least = known.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
-    final = known.join(least, "root", "left").select("set", F.coalesce("least", "id").alias("class_id"), "copies", F.coalesce("weight", F.lit(0)).alias("weight"))
-    one = rows.select("id", "set").join(final, "set", "left")
+    return rows.select("id", "key", "set"), known.join(least, "root", "left").select("set", F.coalesce("root", "set").alias("root"), F.coalesce("least", "id").alias("class_id"), "at", "copies", F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """id, class_id (least id of the class), n_links (other rows at the threshold, copies included), n_copies."""
+    rows, final = classified(docs, id_col, text_col, **limits)
+    one = rows.join(final, "set", "left")
     return one.select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
@@ -322,8 +334,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The documents whose id is the least of their class, all columns; of rows with one id and class, each stays.
-
-    A null id is the least only of a class without others, and stays there."""
-    firsts = join(docs, id_col, text_col, **limits).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_first")).distinct()
-    return docs.join(firsts, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi").select(*docs.columns)
+    """One row of each class, all columns: one with the least id, null ids last.  Rows without an n-gram all stay.
+
+    Rows are found by id and hash of the text; only those that repeat both are grouped, to keep one."""
+    rows, final = classified(docs, id_col, text_col, **limits)
+    first = final.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.id").alias("_id"), F.col("at.key").alias("_key"))
+    equal = rows.where("set IS NOT NULL").groupBy(F.col("id").alias("i"), F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeats = first.join(equal, (F.col("_key") == F.col("k")) & F.col("_id").eqNullSafe(F.col("i")), "left").select("_id", "_key", F.col("n").isNotNull().alias("_repeats"))
+    bare = rows.where("set IS NULL").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.lit(False).alias("_repeats")).distinct()
+    wanted = materialise(repeats.unionByName(bare), "kept")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    same = (F.col("_hash") == F.col("_key")) & F.col(f"_row.{id_col}").eqNullSafe(F.col("_id"))
+    once = keyed.join(wanted.where("NOT _repeats"), same, "left_semi").select("_row")
+    again = keyed.join(wanted.where("_repeats"), same).groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(again).select("_row.*")

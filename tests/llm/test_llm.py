@@ -153,3 +153,16 @@ def test_jaccard_pairs_inside_a_hot_passage_equal_brute_force(spark):
     assert (1 - 0.8 ** (jaccard.DEPTH + 1)) ** runs <= 1e-4
     got = {r.doc_id: r.n_links for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), limit=4).collect()}
     assert got == want
+
+
+def test_jaccard_null_ids_and_repeated_rows_by_row_counts(spark):
+    near = text(31).split()
+    near[40] = "changed"
+    rows = [(None, text(31)), (8, " ".join(near)), (None, text(32)), (9, text(32)), (9, text(32)), (7, "word"), (7, "word"), (None, text(33)), (None, text(33)), (None, text(34)), (5, None), (6, " ")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(jaccard.shingles(rows[i][1], 5, jaccard._Hashes()).tolist()) for i in (0, 1)]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies) for r in jaccard.join(x).collect()))
+    assert got == sorted([(0, 8, 1, 1), (8, 8, 1, 1), (0, 9, 2, 3), (9, 9, 2, 3), (9, 9, 2, 3), (7, 7, 1, 2), (7, 7, 1, 2), (0, 0, 1, 2), (0, 0, 1, 2), (0, 0, 0, 1), (5, 5, 0, 1), (6, 6, 0, 1)])
+    kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.keep_one(x).collect())
+    assert kept == sorted([(8, rows[1][1]), (9, text(32)), (7, "word"), (0, text(33)), (0, text(34)), (5, ""), (6, " ")])
