@@ -5,8 +5,10 @@ conversation are rendered and consecutive outputs compared.  Where an output sta
 is the new turn's span; where it does not, the template rewrites history, and the turn is flagged.  Inside a span the
 text's place is found by rendering the turn once more with a one-character probe instead of its text.
 
-Long conversations are rendered in windows of ``window`` turns, so work and memory per turn are bounded whatever the
-length; a template is told whether its messages open the conversation.
+Every template is rendered on the whole prefix of every turn, so work grows with the square of a conversation's turns.
+Only a template that states ``turn_local`` (each turn's piece depends on that turn alone, and the head on whether the
+messages open the conversation) is rendered in windows of ``window`` turns, which give the same pieces with bounded work
+and memory per turn.
 
 Defined results: null texts and roles count as empty; a null conversation id is a conversation of its own; turns are
 ordered by (turn, role, text), nulls first, so ties and repeated rows have one order; extra columns are ignored.
@@ -15,6 +17,7 @@ ordered by (turn, role, text), nulls first, so ties and repeated rows have one o
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
 from collections.abc import Callable, Iterator
 
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from sextant.llm.words import by_rows
 
 Message = tuple[str, str]
-#: messages, whether they open the conversation -> rendered string
-Template = Callable[[list[Message], bool], str]
+#: messages (and, if it takes a second argument, whether they open the conversation) -> rendered string
+Template = Callable[[list[Message]], str] | Callable[[list[Message], bool], str]
 
 _CONTROL = re.compile(r"<(?=\||/?s>)|\[(?=/?INST\])")
 _TURN = re.compile(r"<\|turn:((?:\\.|[^|\\])*)\|>\n(.*?)<\|end\|>\n", re.S)
@@ -47,24 +50,36 @@ def turn_marks(messages: list[Message], opening: bool = True) -> str:
     return head + "".join(f"<|turn:{escape(r).replace('|', chr(92) + '|')}|>\n{escape(t)}<|end|>\n" for r, t in messages)
 
 
+turn_marks.turn_local = True
+
+
 def parse(formatted: str) -> list[Message]:
     """Messages of a string that ``turn_marks`` made."""
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+def _takes_opening(template: Template) -> bool:
+    try:
+        inspect.signature(template).bind([], True)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
 def spans(messages: list[Message], template: Template, opening: bool = True) -> list[tuple[str, int, int, bool]]:
     """Per turn: what it adds to the output, where its text lies in that, and whether earlier output changed.
 
     After a rewrite the addition is what follows the common beginning of both outputs.
     """
     out, before = [], ""
+    more = (opening,) if _takes_opening(template) else ()
     for i in range(len(messages)):
-        now = template(messages[: i + 1], opening)
+        now = template(messages[: i + 1], *more)
         rewrites = not now.startswith(before)
         start = len(before)
         if rewrites:
             start = next((k for k, (a, b) in enumerate(zip(now, before, strict=False)) if a != b), min(len(now), len(before)))
-        probed = template([*messages[:i], (messages[i][0], PROBE)], opening)
+        probed = template([*messages[:i], (messages[i][0], PROBE)], *more)
         at = probed.rfind(PROBE)
         out.append((now[start:], at - start, len(now) - (len(probed) - at - 1) - start, rewrites))
         before = now
@@ -77,6 +92,7 @@ def format_turns(df: DataFrame, template: Template = turn_marks, learn: tuple[st
     The pieces of a conversation in order are its formatted string; [loss_from, loss_to) of a piece is under the loss.
     """
     kind = df.select("conv_id").schema[0].dataType.simpleString()
+    in_windows = getattr(template, "turn_local", False)
     ordered = df.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -91,7 +107,7 @@ def format_turns(df: DataFrame, template: Template = turn_marks, learn: tuple[st
             if conv != key or type(conv) is not type(key):
                 yield from flush()
                 key, held, done = conv, [], 0
-            elif len(held) == window:
+            elif in_windows and len(held) == window:
                 yield from flush()
                 done += len(held)
                 held = []

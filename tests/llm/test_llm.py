@@ -166,3 +166,16 @@ def test_jaccard_null_ids_and_repeated_rows_by_row_counts(spark):
     assert got == sorted([(0, 8, 1, 1), (8, 8, 1, 1), (0, 9, 2, 3), (9, 9, 2, 3), (9, 9, 2, 3), (7, 7, 1, 2), (7, 7, 1, 2), (0, 0, 1, 2), (0, 0, 1, 2), (0, 0, 0, 1), (5, 5, 0, 1), (6, 6, 0, 1)])
     kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.keep_one(x).collect())
     assert kept == sorted([(8, rows[1][1]), (9, text(32)), (7, "word"), (0, text(33)), (0, text(34)), (5, ""), (6, " ")])
+
+
+def test_chat_black_box_templates_see_whole_prefixes(spark):
+    messages = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(40)]
+    x = spark.createDataFrame([(1, i, *m) for i, m in enumerate(messages)], "conv_id long, turn long, role string, text string")
+    late = lambda m: "".join(f"{r}:{'cut' if i == 3 and len(m) > 16 else t};" for i, (r, t) in enumerate(m))
+    numbered = lambda m: "".join(f"{i} {r}:{t};" for i, (r, t) in enumerate(m))
+    for template, rewrites in ((late, [16]), (numbered, []), (chat.turn_marks, [])):
+        got = chat.format_turns(x, template).orderBy("turn_no").collect()
+        whole = chat.spans(messages, template)
+        assert [(r.piece, r.rewrites) for r in got] == [(s[0], s[3]) for s in whole]
+        assert [r.turn_no for r in got if r.rewrites] == rewrites
+        assert all(r.piece[r.loss_from : r.loss_to] == messages[r.turn_no][1] for r in got if r.loss_from is not None and not r.rewrites)
