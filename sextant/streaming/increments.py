@@ -48,11 +48,24 @@ def stream_sessions(spark: SparkSession, source: str, schema: str, path: str, ch
     query.awaitTermination()
 
 
-def land_once(spark: SparkSession, source: str, schema: str, content: list[str], at: str, path: str, checkpoint: str, late: str = "90 days") -> None:
-    """Rows whose content was not landed within ``late`` before: the hash is the key, the watermark bounds the state."""
+def land_batch(new: DataFrame, content: list[str], at: str, path: str, batch: int) -> None:
+    """Lands the rows whose content no batch before has landed; of equal contents in the batch the earliest by ``at``.
+
+    Rows go to a partition of their batch that is overwritten when the batch is repeated.
+    """
+    spark = new.sparkSession
+    keyed = new.withColumn("sha", F.sha2(F.to_json(F.struct(*content)), 256))
+    first = keyed.groupBy("sha").agg(F.min(F.struct(at, *(c for c in new.columns if c != at))).alias("row")).select(*(F.col(f"row.{c}") for c in new.columns), "sha")
+    if exists(spark, path):
+        held = spark.read.schema("sha string, _batch long").parquet(path).where(F.col("_batch") < batch)
+        first = first.join(held, "sha", "left_anti")
+    first.write.mode("overwrite").parquet(f"{path}/_batch={batch}")
+
+
+def land_once(spark: SparkSession, source: str, schema: str, content: list[str], at: str, path: str, checkpoint: str) -> None:
+    """Rows whose content was not landed before, whatever time lies between: the table's hashes are the state."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    keyed = rows.withColumn("sha", F.sha2(F.to_json(F.struct(*content)), 256)).withWatermark(at, late)
-    query = keyed.dropDuplicatesWithinWatermark(["sha"]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(lambda df, n: land_batch(df, content, at, path, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -36,3 +36,16 @@ def test_append_is_idempotent_and_refuses_holes(spark):
 def test_grouped_map_interval_holds_the_mean(spark):
     rows = catalog.queries()["x03_grouped_map"](spark, SF).collect()
     assert rows and all(r.lo <= r.mean <= r.hi for r in rows)
+
+
+def test_a_content_lands_once_whatever_time_lies_between(spark):
+    source, path, checkpoint = (new_path(spark, w) for w in ("arrivals", "landed", "state"))
+    schema, start = "k long, ts timestamp", datetime.datetime(2024, 1, 1)
+    for rows in ([(1, 200)], [(2, 0), (None, 0)], [(3, 500)], [(4, 501)], [(1, 502), (2, 503), (5, 504), (5, 504)], [(None, 505)]):
+        spark.createDataFrame([(k, start + datetime.timedelta(days=n)) for k, n in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        increments.land_once(spark, source, schema, ["k"], "ts", path, checkpoint)
+    landed = lambda: sorted((r.k or 0, (r.ts - start).days) for r in spark.read.parquet(path).collect())
+    want = [(0, 0), (1, 200), (2, 0), (3, 500), (4, 501), (5, 504)]
+    assert landed() == want
+    increments.land_batch(spark.createDataFrame([(4, start + datetime.timedelta(days=501))], schema), ["k"], "ts", path, 3)
+    assert landed() == want
