@@ -81,3 +81,10 @@ def transitive_roots(edges: DataFrame, child: str, parent: str, rounds: int = 32
         if step.where("moved AND NOT cyclic").isEmpty():
             break
     return now.select(F.col("c").alias(child), F.when(~F.col("cyclic"), F.col("p")).alias("root"))
+
+
+def same_tokens(df: DataFrame, name: str) -> DataFrame:
+    """a, b: pairs a < b of different names that hold the same tokens, each as often."""
+    n = df.select(F.col(name).alias("name")).distinct().withColumn("tokens", F.array_sort(F.split("name", " ")))
+    a, b = n.select("tokens", F.col("name").alias("a")), n.select("tokens", F.col("name").alias("b"))
+    return a.join(b, "tokens").where("a < b").select("a", "b")

@@ -265,6 +265,12 @@ def j26(spark, p):
     return a.join(b, "block").where("a < b").withColumn("distance", F.levenshtein("a", "b", 2).cast("long")).where("distance >= 0").select("a", "b", "distance")
 
 
+@register("j26_token_names", "WITH n AS (SELECT DISTINCT p_name AS name, list_sort(string_split(p_name, ' ')) AS tokens FROM part) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.tokens = b.tokens AND a.name < b.name")
+def j26_tokens(spark, p):
+    """Pairs of names with the same token multiset, the other half of J26."""
+    return R.same_tokens(table(spark, p, "part").select(F.col("p_name").alias("name")), "name")
+
+
 @register("j27_merge_map", "WITH RECURSIVE e AS (SELECT o_custkey AS c, o_custkey // 2 AS p FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey > 1), t AS (SELECT c, p FROM e UNION ALL SELECT t.c, e.p FROM t JOIN e ON t.p = e.c) SELECT c, min(p) AS root FROM t GROUP BY c")
 def j27(spark, p):
     e = table(spark, p, "orders").select("o_custkey").distinct().where("o_custkey > 1").select(F.col("o_custkey").alias("c"), F.expr("o_custkey div 2").alias("p"))

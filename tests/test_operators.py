@@ -43,3 +43,9 @@ def test_roots_follow_chains_and_leave_cycles(spark):
 def test_leave_one_out_is_null_alone(spark):
     x = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 7.0)], "c string, v double")
     assert {(r.c, r.v): r.peer_mean for r in R.leave_one_out(x, ["c"], "v").collect()} == {("a", 1.0): 3.0, ("a", 3.0): 1.0, ("b", 7.0): None}
+
+
+def test_same_tokens_counts_each_token(spark):
+    names = ["small blue box", "blue small box", "blue small box", "blue blue box", "blue box box", "box", None]
+    got = R.same_tokens(spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    assert [tuple(r) for r in got.collect()] == [("blue small box", "small blue box")]
