@@ -1,20 +1,22 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent words of the corpus are encoded once and compiled into a minimal acyclic automaton: words share prefixes and
-suffixes.  Each state knows how many words end behind it, so summing the counts passed over on a walk numbers the words
-densely, and the number addresses the word's ids (the transducer's output) in one flat array.  The tables are one binary
-blob, sent to the executors, mapped into memory there, and walked for all words of a batch at once.  Words that are not
-in it are merged exactly, by merge rank.
+Frequent words of the corpus are ranged into shards; executors merge each shard's words once and compile them into a
+minimal acyclic automaton: words share prefixes and suffixes.  Each state knows how many words end behind it, so summing the
+counts passed over on a walk numbers the words densely, and the number addresses the word's ids (the transducer's output) in
+one flat array.  The tables are 32-bit arrays, sent to the executors, mapped into memory there, and walked for all new words
+of a batch at once.  Words that are in none are merged exactly, by merge rank.
 
 The model file is one of the public JSON vocabularies with word ends; its path is a parameter.
 
 Defined results: null texts count as empty and have no ids; the special tokens' strings in a text are their ids, as the
-file asks; bytes that are no text can't occur; repeated rows repeat; extra columns are ignored; very long words are
-merged with a heap in n log n.
+file asks; bytes that are no text can't occur; repeated rows repeat; extra columns are ignored, whatever their
+names; an empty table gives an empty lexicon and no rows; very long texts are encoded whole and very long words merged
+with a heap in n log n.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import json
@@ -23,6 +25,7 @@ import os
 import struct
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -31,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise
 from sextant.llm.words import by_rows
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -129,24 +133,26 @@ class WordBpe:
 class Lexicon:
     """Minimal acyclic transducer from words to id lists, in flat arrays."""
 
-    MAGIC = b"MAT1"
+    MAGIC = b"MAT2"
+    #: keys (state and byte), targets, skips, finals, offsets, flat
+    KINDS = (np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32)
 
     @staticmethod
     def compile(entries: Iterable[tuple[str, list[int]]]) -> bytes:
         """Built in sorted order: states behind the last word's branch are final in form and shared when equal."""
         known: dict[tuple, int] = {}
-        states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
+        forms: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
 
         def settle(node: list) -> int:
             form = (node[0], tuple((b, settle(c) if isinstance(c, list) else c) for b, c in node[1]))
             if form not in known:
-                known[form] = len(states)
-                states.append(form)
+                known[form] = len(forms)
+                forms.append(form)
             return known[form]
 
         root: list = [False, []]
         path, previous = [root], b""
-        offsets, flat = [0], []
+        offsets, flat = array("I", [0]), array("I")
         for word, ids in sorted((w.encode("utf-8", "surrogatepass"), i) for w, i in entries):
             if word == previous:
                 continue
@@ -164,50 +170,44 @@ class Lexicon:
             flat.extend(ids)
             offsets.append(len(flat))
         start = settle(root)
-        behind = np.zeros(len(states), np.int64)
-        keys, targets, skips = [], [], []
-        for i, (final, edges) in enumerate(states):  # children come before their parents
+        if len(forms) >= 1 << 24:
+            raise ValueError("too many states for one automaton; compile fewer words a shard")
+        behind = array("I", bytes(4 * len(forms)))
+        keys, targets, skips = array("I"), array("I"), array("I")
+        for i, (final, edges) in enumerate(forms):  # children come before their parents
             passed = int(final)
             for b, c in edges:
                 keys.append(i << 8 | b)
                 targets.append(c)
                 skips.append(passed)
-                passed += int(behind[c])
+                passed += behind[c]
             behind[i] = passed
-        finals = np.array([f for f, _ in states], np.int64)
-        arrays = [np.array(a, np.int64) for a in (keys, targets, skips, finals, offsets, flat)]
-        return Lexicon.MAGIC + struct.pack("<7q", start, *map(len, arrays)) + b"\0" * 4 + b"".join(a.tobytes() for a in arrays)
+        finals = array("B", [f for f, _ in forms] + [0] * (-len(forms) % 4))
+        parts = (keys, targets, skips, finals, offsets, flat)
+        return Lexicon.MAGIC + struct.pack("<7q", start, *map(len, parts)) + b"\0" * 4 + b"".join(a.tobytes() for a in parts)
 
-    def __init__(self, blob: bytes | mmap.mmap):
-        if blob[:4] != self.MAGIC:
+    def __init__(self, blob: bytes | mmap.mmap, at: int = 0):
+        if blob[at : at + 4] != self.MAGIC:
             raise ValueError("not a lexicon")
-        start, *sizes = struct.unpack("<7q", blob[4:60])
-        self.start, at, got = start, 64, []
-        for n in sizes:
-            got.append(np.frombuffer(blob, np.int64, n, at))
-            at += 8 * n
+        start, *sizes = struct.unpack("<7q", blob[at + 4 : at + 60])
+        self.start, got = start, []
+        at += 64
+        for kind, n in zip(self.KINDS, sizes, strict=True):
+            got.append(np.frombuffer(blob, kind, n, at))
+            at += got[-1].nbytes
         self.keys, self.targets, self.skips, self.finals, self.offsets, self.flat = got
 
-    @classmethod
-    def mapped(cls, blob: bytes) -> Lexicon:
-        """The blob as a memory map; its file has no name any more, so nothing is left behind."""
-        with tempfile.TemporaryFile() as f:
-            f.write(blob)
-            f.flush()
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-
-    def find(self, words: list[str]) -> np.ndarray:
+    def find(self, words: list[bytes]) -> np.ndarray:
         """Number of each word, -1 where it isn't in the lexicon; all words step together."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        size = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        text = np.frombuffer(b"".join(raw), np.uint8)
-        out = np.full(len(raw), -1, np.int64)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        out = np.full(len(words), -1, np.int64)
         live = np.flatnonzero(size > 0)
-        state, number = np.full(len(live), self.start, np.int64), np.zeros(len(live), np.int64)
+        state, number = np.full(len(live), self.start, np.uint32), np.zeros(len(live), np.int64)
         step = 0
         while len(live) and len(self.keys):
-            key = state << 8 | text[first[live] + step]
+            key = state << np.uint32(8) | text[first[live] + step]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[at] == key
             live, at = live[ok], at[ok]
@@ -223,6 +223,42 @@ class Lexicon:
         return self.flat[self.offsets[number] : self.offsets[number + 1]].tolist()
 
 
+#: Compiled automata in word order: the first word of each and its tables.
+Shards = list[tuple[bytes, bytes]]
+
+
+class Mapped:
+    """Automata of disjoint word ranges in one memory map; its file has no name any more, so nothing is left behind."""
+
+    def __init__(self, shards: Shards):
+        self.lows = [low for low, _ in shards]
+        self.shards: list[Lexicon] = []
+        if shards:
+            with tempfile.TemporaryFile() as f:
+                for _, blob in shards:
+                    f.write(blob)
+                f.flush()
+                whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            at = 0
+            for _, blob in shards:
+                self.shards.append(Lexicon(whole, at))
+                at += len(blob)
+
+    def find(self, words: list[str]) -> Iterator[tuple[str, list[int] | None]]:
+        """Each word with its ids, None where no automaton holds it."""
+        own: list[list[tuple[bytes, str]]] = [[] for _ in self.shards]
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            at = bisect.bisect_right(self.lows, raw) - 1
+            if at < 0:
+                yield word, None
+            else:
+                own[at].append((raw, word))
+        for shard, part in zip(self.shards, own, strict=True):
+            for (_, word), number in zip(part, shard.find([raw for raw, _ in part]).tolist(), strict=True):
+                yield word, shard.ids(number) if number >= 0 else None
+
+
 def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """word, n over all texts; tasks add up their own words before the shuffle, in tables of bounded size."""
 
@@ -248,63 +284,95 @@ def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return by_rows(docs.select(text_col), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = 200_000, max_word: int = 64) -> bytes:
-    """The lexicon of the ``size`` most frequent words of all texts (a documented bound: at most ``size`` short words)."""
-    top = count_words(docs, path, text_col).where(F.length("word") <= max_word).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    bpe = WordBpe(path)
-    return Lexicon.compile((r.word, bpe.merge(r.word)) for r in top)
+def least_count(counts: DataFrame, size: int) -> int:
+    """The least count that at most ``size`` words reach.  What reaches the driver is a histogram: a row for each count up to
+    4,096 and for each power of two above."""
+    n = F.col("n")
+    bin_of = F.when(n <= 4096, n).otherwise(F.lit(2).cast("double") ** F.floor(F.log2(n))).cast("long")
+    total = 0
+    for row in sorted(counts.groupBy(bin_of.alias("at")).count().collect(), key=lambda r: -r.at):
+        total += row["count"]
+        if total > size:
+            return row.at + 1 if row.at <= 4096 else 2 * row.at
+    return 1
+
+
+def lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = 200_000, max_word: int = 64, shard: int = 20_000) -> Shards:
+    """Automata of the most frequent words of all texts: all that reach a count which at most ``size`` words reach (a
+    documented bound, as is ``max_word``).  Words are ranged into shards of about ``shard`` words, which executors merge and
+    compile; only the finished tables, some 40 bytes a word, come back."""
+    counts = materialise(count_words(docs, path, text_col).where(F.length("word") <= max_word), "words")
+    frequent = counts.where(F.col("n") >= least_count(counts, size)).select("word")
+    ranged = frequent.repartitionByRange(max(1, -(-min(size, frequent.count()) // shard)), "word").sortWithinPartitions("word")
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        words = [w for (w,) in rows]
+        if words:
+            bpe = WordBpe(path)
+            yield words[0].encode("utf-8", "surrogatepass"), Lexicon.compile((w, bpe.merge(w)) for w in words)
+
+    return sorted((bytes(r.low), bytes(r.tables)) for r in by_rows(ranged, run, "low binary, tables binary").collect())
 
 
 class Encoder:
     """Encodes texts through the lexicon; what white space separates is looked up whole, since no word spans it."""
 
-    def __init__(self, path: str, blob: bytes, remembered: int = 300_000):
-        self.bpe, self.lexicon, self.remembered = WordBpe(path), Lexicon.mapped(blob), remembered
-        self.known: dict[bytes, tuple[int, str, str]] = {}
+    def __init__(self, path: str, shards: Shards, remembered: int = 300_000):
+        self.bpe, self.lexicon, self.remembered = WordBpe(path), Mapped(shards), remembered
+        self.forget()
+
+    def forget(self) -> None:
+        """Chunk -> count of ids, ids as text, tokens as text; chunks without ids apart."""
+        self.sizes: dict[bytes, int] = {}
+        self.ids: dict[bytes, str] = {}
+        self.tokens: dict[bytes, str] = {}
+        self.blank: set[bytes] = set()
 
     def learn(self, chunks: Iterable[bytes]) -> None:
-        """Adds what white-space-separated chunks encode to: count of ids, ids as text, tokens as text."""
         fresh = list(chunks)
         split = [list(self.bpe.pieces(c.decode("utf-8", "surrogatepass"))) for c in fresh]
-        words = list({w: None for p in split for w in p if not isinstance(w, int)})
-        ids: dict[str, list[int]] = {}
-        for word, number in zip(words, self.lexicon.find(words).tolist(), strict=True):
-            ids[word] = self.lexicon.ids(number) if number >= 0 else self.bpe.merge(word)
+        ids = {w: got if got is not None else self.bpe.merge(w) for w, got in self.lexicon.find(list({w: None for p in split for w in p if not isinstance(w, int)}))}
         names = self.bpe.names
         for chunk, parts in zip(fresh, split, strict=True):
             got = [i for p in parts for i in ([p] if isinstance(p, int) else ids[p])]
-            self.known[chunk] = (len(got), " ".join(map(str, got)), " ".join(names[i] for i in got))
+            self.sizes[chunk] = len(got)
+            self.ids[chunk], self.tokens[chunk] = " ".join(map(str, got)), " ".join([names[i] for i in got])
+            if not got:
+                self.blank.add(chunk)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of ids, ids joined by spaces, decoded text."""
         raw = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        fresh = {c for chunks in raw for c in chunks if c not in self.known}
-        if len(self.known) + len(fresh) > self.remembered:
-            self.known.clear()
-            fresh = {c for chunks in raw for c in chunks}
+        every = set().union(*raw)
+        fresh = every - self.sizes.keys()
+        if len(self.sizes) + len(fresh) > self.remembered:
+            self.forget()
+            fresh = every
         self.learn(fresh)
-        get = self.known.__getitem__
+        blank = self.blank & every
+        sizes, ids, tokens = self.sizes.__getitem__, self.ids.__getitem__, self.tokens.__getitem__
         for chunks in raw:
-            got = [g for g in map(get, chunks) if g[0]]
-            yield sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+            if blank:
+                chunks = [c for c in chunks if c not in blank]
+            yield sum(map(sizes, chunks)), " ".join(map(ids, chunks)), " ".join(map(tokens, chunks))
 
 
 _kept: dict[tuple[str, bytes], Encoder] = {}
 
 
-def _encoder(path: str, blob: bytes) -> Encoder:
+def _encoder(path: str, shards: Shards) -> Encoder:
     """One encoder a worker process; the next task of the same job finds it with its words."""
-    key = (path, hashlib.sha256(blob).digest())
+    key = (path, hashlib.sha256(b"".join(x for s in shards for x in s)).digest())
     if key not in _kept:
         _kept.clear()
-        _kept[key] = Encoder(path, blob)
+        _kept[key] = Encoder(path, shards)
     return _kept[key]
 
 
-def encode(docs: DataFrame, path: str, blob: bytes, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, group: int = 48) -> DataFrame:
+def encode(docs: DataFrame, path: str, shards: Shards, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, group: int = 48) -> DataFrame:
     """id, n_tokens, and ids (decimal, joined by spaces) with the decoded text, or with ``digest`` their SHA-256."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(blob)
+    shared = docs.sparkSession.sparkContext.broadcast(shards)
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
