@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import operator
 import os
 import struct
 import tempfile
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from sextant.core.shared import materialise
 from sextant.llm.words import by_rows
 
+_FIRST, _SECOND = operator.itemgetter(0), operator.itemgetter(1)
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -67,13 +69,13 @@ class WordBpe:
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def words(self, chunk: str) -> Iterator[str]:
+    def words(self, text: str) -> list[str]:
         """Normalised words of a stretch of text without special tokens."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
-            if "Σ" in chunk:  # letters are lowered one by one, so there is no final form
-                chunk = chunk.replace("Σ", "σ")
-        return _PIECES.findall(chunk.lower())
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:  # letters are lowered one by one, so there is no final form
+                text = text.replace("Σ", "σ")
+        return _PIECES.findall(text.lower())
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the leftmost pair of lowest rank is merged until none is left."""
@@ -114,16 +116,17 @@ class WordBpe:
                         heapq.heappush(heap, (r, left, *pair))
         return [p for p in parts if p is not None]
 
-    def pieces(self, text: str) -> Iterator[str | int]:
+    def pieces(self, text: str) -> list[str | int]:
         """Words, and special tokens as their ids."""
         if not self.special or "<" not in text:
-            yield from self.words(text)
-            return
+            return self.words(text)
+        out: list[str | int] = []
         for i, part in enumerate(self.cut.split(text)):
             if i % 2:
-                yield self.special[part]
+                out.append(self.special[part])
             elif part:
-                yield from self.words(part)
+                out.extend(self.words(part))
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens with one space between them: the file names no decoder."""
@@ -264,22 +267,13 @@ def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         bpe = WordBpe(path)
-        raw: Counter = Counter()
-
-        def out() -> Iterator[tuple]:
-            words: Counter = Counter()
-            for chunk, n in raw.items():
-                for w in bpe.pieces(chunk.decode("utf-8", "surrogatepass")):
-                    if not isinstance(w, int):
-                        words[w] += n
-            raw.clear()
-            return iter(list(words.items()))
-
+        held: Counter = Counter()
         for (text,) in rows:
-            raw.update((text or "").encode("utf-8", "surrogatepass").split())
-            if len(raw) > 300_000:
-                yield from out()
-        yield from out()
+            held.update(bpe.pieces(text or ""))
+            if len(held) > 300_000:
+                yield from [(w, n) for w, n in held.items() if not isinstance(w, int)]
+                held.clear()
+        yield from [(w, n) for w, n in held.items() if not isinstance(w, int)]
 
     return by_rows(docs.select(text_col), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -315,46 +309,40 @@ def lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = 200_
 
 
 class Encoder:
-    """Encodes texts through the lexicon; what white space separates is looked up whole, since no word spans it."""
+    """Encodes texts through the lexicon.  What words encode to is remembered in two generations of bounded size: when the
+    young one is full it becomes the old one, and words met again come back from there."""
 
-    def __init__(self, path: str, shards: Shards, remembered: int = 300_000):
+    def __init__(self, path: str, shards: Shards, remembered: int = 250_000):
         self.bpe, self.lexicon, self.remembered = WordBpe(path), Mapped(shards), remembered
-        self.forget()
-
-    def forget(self) -> None:
-        """Chunk -> count of ids, ids as text, tokens as text; chunks without ids apart."""
-        self.sizes: dict[bytes, int] = {}
-        self.ids: dict[bytes, str] = {}
-        self.tokens: dict[bytes, str] = {}
-        self.blank: set[bytes] = set()
-
-    def learn(self, chunks: Iterable[bytes]) -> None:
-        fresh = list(chunks)
-        split = [list(self.bpe.pieces(c.decode("utf-8", "surrogatepass"))) for c in fresh]
-        ids = {w: got if got is not None else self.bpe.merge(w) for w, got in self.lexicon.find(list({w: None for p in split for w in p if not isinstance(w, int)}))}
+        self.young: dict[str | int, tuple[str, str]] = {}  # ids as text, tokens as text
+        self.old: dict[str | int, tuple[str, str]] = {}
+
+    def learn(self, words: set[str | int]) -> None:
+        again = words & self.old.keys()
+        if len(self.young) + len(words) > self.remembered:
+            self.old, self.young = self.young | {w: self.old[w] for w in again}, {}
+            return self.learn(words | self.needed)
+        self.young.update((w, self.old[w]) for w in again)
+        words -= again
         names = self.bpe.names
-        for chunk, parts in zip(fresh, split, strict=True):
-            got = [i for p in parts for i in ([p] if isinstance(p, int) else ids[p])]
-            self.sizes[chunk] = len(got)
-            self.ids[chunk], self.tokens[chunk] = " ".join(map(str, got)), " ".join([names[i] for i in got])
-            if not got:
-                self.blank.add(chunk)
+        self.young.update((w, (str(w), names[w])) for w in words if isinstance(w, int))
+        for word, ids in self.lexicon.find([w for w in words if not isinstance(w, int)]):
+            got = ids if ids is not None else self.bpe.merge(word)
+            self.young[word] = " ".join(map(str, got)), " ".join([names[i] for i in got])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of ids, ids joined by spaces, decoded text."""
-        raw = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        every = set().union(*raw)
-        fresh = every - self.sizes.keys()
-        if len(self.sizes) + len(fresh) > self.remembered:
-            self.forget()
-            fresh = every
-        self.learn(fresh)
-        blank = self.blank & every
-        sizes, ids, tokens = self.sizes.__getitem__, self.ids.__getitem__, self.tokens.__getitem__
-        for chunks in raw:
-            if blank:
-                chunks = [c for c in chunks if c not in blank]
-            yield sum(map(sizes, chunks)), " ".join(map(ids, chunks)), " ".join(map(tokens, chunks))
+        split = [self.bpe.pieces(t or "") for t in texts]
+        self.needed = set().union(*split)
+        if len(self.needed) > self.remembered:  # texts of more different words than are ever remembered
+            self.young, self.old = {}, {}
+            self.remembered = 2 * len(self.needed)
+        self.learn(self.needed - self.young.keys())
+        get = self.young.__getitem__
+        for pieces in split:
+            got = list(map(get, pieces))
+            ids = " ".join(map(_FIRST, got))
+            yield ids.count(" ") + 1 if got else 0, ids, " ".join(map(_SECOND, got))
 
 
 _kept: dict[tuple[str, bytes], Encoder] = {}
