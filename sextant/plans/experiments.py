@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals
-from sextant.functions.numbers import r6
+from sextant.functions.numbers import correlation, correlation_sql, half_up, half_up_sql, r6
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
 from sextant.plans.slice import FWD_SQL
@@ -60,7 +60,7 @@ def cohorts_sql(*keys: str) -> str:
 @register(
     "d14_eligible_buys",
     f"""{D}, day AS (SELECT participant, d, bool_or(side = 'BUY') AND bool_or(side = 'SELL') AS rt FROM deals GROUP BY ALL), prop AS (SELECT participant FROM day GROUP BY 1 HAVING count(*) >= 10 AND count(*) FILTER (rt) >= 0.02 * count(*))
-    SELECT participant, brand, d, count(*) AS n, round(sum(value) / sum(qty), 4) AS vwap FROM deals ANTI JOIN prop USING (participant) WHERE side = 'BUY' AND qty >= 30 GROUP BY ALL""",
+    SELECT participant, brand, d, count(*) AS n, {half_up_sql("sum(CAST(round(value * 100) AS BIGINT)) / (100 * sum(qty))", 4)} AS vwap FROM deals ANTI JOIN prop USING (participant) WHERE side = 'BUY' AND qty >= 30 GROUP BY ALL""",
 )
 def d14(spark, p):
     """Buys of participants that don't trade both ways, one row a participant, name and day with its VWAP."""
@@ -68,7 +68,7 @@ def d14(spark, p):
     day = x.groupBy("participant", "d").agg((F.bool_or(F.col("side") == "BUY") & F.bool_or(F.col("side") == "SELL")).cast("int").alias("rt"))
     prop = day.groupBy("participant").agg(F.count(F.lit(1)).alias("n"), F.sum("rt").alias("rt")).where("n >= 10 AND rt >= 0.02 * n")
     kept = x.where("side = 'BUY' AND qty >= 30").join(prop, "participant", "left_anti")
-    return kept.groupBy("participant", "brand", "d").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") / F.sum("qty"), 4).alias("vwap"))
+    return kept.groupBy("participant", "brand", "d").agg(F.count(F.lit(1)).alias("n"), half_up(F.sum(F.round(F.col("value") * 100).cast("long")).cast("double") / (100 * F.sum("qty")), 4).alias("vwap"))
 
 
 @register(
@@ -194,7 +194,7 @@ def d30(spark, p):
 @register(
     "d32_split_half",
     f"""{B}, {FWD_SQL}, {EVENTS_SQL}, s AS (SELECT id, date_trunc('quarter', d)::DATE AS q, sum(fwd) AS s, count(*) AS n FROM e JOIN f USING (id, d) WHERE fwd IS NOT NULL GROUP BY ALL), k AS (SELECT draw, q, {hashed_sql('id', 'draw')} % 2 AS half, sum(s) / sum(n) AS x FROM s, (SELECT unnest(range(0, 50)) AS draw) GROUP BY ALL),
-    p AS (SELECT draw, q, max(x) FILTER (half = 0) AS a, max(x) FILTER (half = 1) AS b FROM k GROUP BY ALL) SELECT draw, count(*) AS n, round(corr(a, b), 6) AS corr FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""",
+    p AS (SELECT draw, q, max(x) FILTER (half = 0) AS a, max(x) FILTER (half = 1) AS b FROM k GROUP BY ALL) SELECT draw, count(*) AS n, round({correlation_sql("a", "b")}, 6) AS corr FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""",
 )
 def d32(spark, p):
     """Names are split by hash 50 times; what is crossed with the draws are sums per name and quarter."""
@@ -203,7 +203,7 @@ def d32(spark, p):
     k = s.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("half", hashed("id", "draw") % 2)
     mean = lambda h: F.sum(F.when(F.col("half") == h, F.col("s"))) / F.sum(F.when(F.col("half") == h, F.col("n")))
     pairs = k.groupBy("draw", "q").agg(mean(0).alias("a"), mean(1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return pairs.groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("n"), r6(F.corr("a", "b")).alias("corr"))
+    return pairs.groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("n"), r6(correlation("a", "b")).alias("corr"))
 
 
 @register(
@@ -353,18 +353,18 @@ def d43(spark, p):
     return k.agg(F.count(F.lit(1)).alias("draws"), r6(F.stddev_samp("s")).alias("null_se"), r6(2.8 * F.stddev_samp("s")).alias("mde"))
 
 
-_STUDENT_SQL = f"""{B}, {cohorts_sql('brand')}, o AS (SELECT brand, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t, avg(x) AS mean, stddev_samp(x) / sqrt(count(*)) AS se, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 6),
-    bs AS (SELECT draw, brand, sum((({hashed_sql('draw', 'm')}) % 2 * 2 - 1) * (x - mean)) / any_value(n) / any_value(se) AS t FROM c JOIN o USING (brand), (SELECT unnest(range(0, {DRAWS})) AS draw) GROUP BY ALL)"""
+_STUDENT_SQL = f"""{B}, {cohorts_sql('brand')}, o AS (SELECT brand, avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) AS t, avg(x) AS mean, stddev_samp(x) / sqrt(count(*)) AS se, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 6),
+    bs AS (SELECT draw, brand, sum((({hashed_sql('draw', 'm')}) % 2 * 2 - 1) * (x - mean)) / any_value(n) / nullif(any_value(se), 0) AS t FROM c JOIN o USING (brand), (SELECT unnest(range(0, {DRAWS})) AS draw) GROUP BY ALL)"""
 
 
 def studentised(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Observed t per name, and per draw the t of centred months whose signs are flipped for all names at once."""
     c = cohorts(x, "brand")
     se = F.stddev_samp("x") / F.sqrt(F.count(F.lit(1)))
-    o = c.groupBy("brand").agg((F.avg("x") / se).alias("t"), F.avg("x").alias("mean"), se.alias("se"), F.count(F.lit(1)).alias("n")).where("n >= 6")
+    o = c.groupBy("brand").agg(F.try_divide(F.avg("x"), se).alias("t"), F.avg("x").alias("mean"), se.alias("se"), F.count(F.lit(1)).alias("n")).where("n >= 6")
     flips = c.join(o.drop("t"), "brand").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
     sign = hashed("draw", "m") % 2 * 2 - 1
-    return o, flips.groupBy("draw", "brand").agg((F.sum(sign * (F.col("x") - F.col("mean"))) / F.any_value("n") / F.any_value("se")).alias("t"))
+    return o, flips.groupBy("draw", "brand").agg(F.try_divide(F.sum(sign * (F.col("x") - F.col("mean"))) / F.any_value("n"), F.any_value("se")).alias("t"))
 
 
 @register(
@@ -434,7 +434,7 @@ def d50(spark, p):
     "d51_forward_score",
     f"""{B}, {cohorts_sql('brand')}, sel AS (SELECT brand, sign(avg(x)) AS s FROM c WHERE year(m) < 1999 GROUP BY 1 HAVING count(*) >= 6 ORDER BY abs(round(avg(x), 9)) DESC, brand LIMIT 10),
     k AS (SELECT date_trunc('quarter', m)::DATE AS q, count(DISTINCT m) AS months, avg(s * x) AS x FROM c JOIN sel USING (brand) WHERE year(m) >= 1999 GROUP BY 1), w AS (SELECT x, lag(x) OVER (ORDER BY q) AS before FROM k WHERE months = 3)
-    SELECT count(*) AS blocks, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(*)), 6) AS se, round(coalesce(corr(x, before), 0), 5) AS rho FROM w""",
+    SELECT count(*) AS blocks, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(*)), 6) AS se, round(coalesce({correlation_sql("x", "before")}, 0), 5) AS rho FROM w""",
 )
 def d51(spark, p):
     """A selection frozen before 1999, scored in its own sign over complete quarters only."""
@@ -442,7 +442,7 @@ def d51(spark, p):
     sel = c.where(F.year("m") < 1999).groupBy("brand").agg(F.avg("x").alias("a"), F.count(F.lit(1)).alias("n")).where("n >= 6").orderBy(F.abs(F.round("a", 9)).desc(), "brand").limit(10).select("brand", F.signum("a").alias("s"))
     k = c.where(F.year("m") >= 1999).join(sel, "brand").groupBy(F.trunc("m", "quarter").alias("q")).agg(F.count_distinct("m").alias("months"), F.avg(F.col("s") * F.col("x")).alias("x")).where("months = 3")
     w = k.select("x", F.lag("x").over(Window.orderBy("q")).alias("before"))
-    return w.agg(F.count(F.lit(1)).alias("blocks"), r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x") / F.sqrt(F.count(F.lit(1)))).alias("se"), F.round(F.coalesce(F.corr("x", "before"), F.lit(0.0)), 5).alias("rho"))
+    return w.agg(F.count(F.lit(1)).alias("blocks"), r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x") / F.sqrt(F.count(F.lit(1)))).alias("se"), F.round(F.coalesce(correlation("x", "before"), F.lit(0.0)), 5).alias("rho"))
 
 
 @register(
@@ -459,14 +459,14 @@ def d52(spark, p):
 
 @register(
     "d53_decision_ladder",
-    f"""{B}, {cohorts_sql('kind', 'brand')}, l AS (SELECT kind, brand, x, lag(x) OVER (PARTITION BY kind, brand ORDER BY m) AS before FROM c), s AS (SELECT kind, brand, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd, greatest(coalesce(CASE WHEN isfinite(corr(x, before)) THEN corr(x, before) END, 0), 0) AS rho FROM l GROUP BY ALL),
-    t AS (SELECT *, mean / (sd / sqrt(n) * sqrt(1 + rho)) AS t FROM s)
+    f"""{B}, {cohorts_sql('kind', 'brand')}, l AS (SELECT kind, brand, x, lag(x) OVER (PARTITION BY kind, brand ORDER BY m) AS before FROM c), s AS (SELECT kind, brand, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd, greatest(coalesce({correlation_sql("x", "before")}, 0), 0) AS rho FROM l GROUP BY ALL),
+    t AS (SELECT *, mean / nullif(sd / sqrt(n) * sqrt(1 + rho), 0) AS t FROM s)
     SELECT kind, brand, n, round(t, 4) AS t, CASE WHEN n < 12 THEN 'TOO_FEW' WHEN t <= -1.645 THEN 'KILL' WHEN t < 1.645 THEN 'NOT_SHOWN' WHEN mean < 0.005 THEN 'TOO_SMALL' ELSE 'PASS' END AS verdict FROM t""",
 )
 def d53(spark, p):
     c = cohorts(deals(spark, p), "kind", "brand")
     l = c.withColumn("before", F.lag("x").over(Window.partitionBy("kind", "brand").orderBy("m")))  # noqa: E741
-    rho = F.greatest(F.nanvl(F.coalesce(F.corr("x", "before"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    rho = F.greatest(F.coalesce(correlation("x", "before"), F.lit(0.0)), F.lit(0.0))
     s = l.groupBy("kind", "brand").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), rho.alias("rho"))
     t = s.withColumn("t", F.try_divide("mean", F.col("sd") / F.sqrt("n") * F.sqrt(1 + F.col("rho"))))
     verdict = R.ladder([("TOO_FEW", F.col("n") < 12), ("KILL", F.col("t") <= -1.645), ("NOT_SHOWN", F.col("t") < 1.645), ("TOO_SMALL", F.col("mean") < 0.005)]).otherwise("PASS")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals
-from sextant.functions.numbers import r6
+from sextant.functions.numbers import correlation, correlation_sql, r6
 from sextant.operators import rows as R
 from sextant.operators import timejoin as T
 from sextant.plans.catalog import register
@@ -122,12 +122,12 @@ def pre_post(spark: SparkSession, p: str) -> DataFrame:
 
 @register(
     "a11_correlation_and_quintiles",
-    f"""{B}, {_PRE}, c AS (SELECT id, round(corr(pre, fwd), 6) AS corr FROM ok GROUP BY 1), q AS (SELECT id, fwd, ntile(5) OVER (PARTITION BY id ORDER BY pre, d) AS q FROM ok)
+    f"""{B}, {_PRE}, c AS (SELECT id, round({correlation_sql("pre", "fwd")}, 6) AS corr FROM ok GROUP BY 1), q AS (SELECT id, fwd, ntile(5) OVER (PARTITION BY id ORDER BY pre, d) AS q FROM ok)
     SELECT id, corr, q, count(*) AS n, round(avg(fwd), 6) AS mean FROM q JOIN c USING (id) GROUP BY ALL""",
 )
 def a11(spark, p):
     ok = pre_post(spark, p)
-    c = ok.groupBy("id").agg(r6(F.corr("pre", "fwd")).alias("corr"))
+    c = ok.groupBy("id").agg(r6(correlation("pre", "fwd")).alias("corr"))
     q = ok.select("id", "fwd", F.ntile(5).over(by("pre", "d")).alias("q")).groupBy("id", "q").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fwd")).alias("mean"))
     return q.join(c, "id").select("id", "corr", "q", "n", "mean")
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.core.tables import DEALS_SQL, bars, bars_sql, deals
-from sextant.functions.numbers import r6
+from sextant.functions.numbers import half_up, half_up_sql, r6
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
 from sextant.plans.slice import FWD_SQL
@@ -20,155 +21,283 @@ def by():
     return Window.partitionBy("id").orderBy("d")
 
 
-def last(n: int):
-    return by().rowsBetween(-(n - 1), 0)
+class Both:
+    """An expression as a Spark column, made when it is asked for, and as DuckDB text; a division by zero is NULL in both."""
 
+    def __init__(self, col: Callable[[], Column], sql: str):
+        self.col, self.sql = col, sql
 
-def frame(n: int) -> str:
-    return f"(PARTITION BY id ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    def __add__(self, other: Both) -> Both:
+        return Both(lambda: self.col() + other.col(), f"({self.sql} + {other.sql})")
 
+    def __sub__(self, other: Both) -> Both:
+        return Both(lambda: self.col() - other.col(), f"({self.sql} - {other.sql})")
 
-def lag(n: int) -> Column:
-    return F.lag("close", n).over(by())
+    def __truediv__(self, other: Both) -> Both:
+        return Both(lambda: F.try_divide(self.col(), other.col()), f"({self.sql} / nullif({other.sql}, 0))")
 
+    def log(self) -> Both:
+        return Both(lambda: F.log(F.nullif(self.col(), F.lit(0.0))), f"ln(nullif({self.sql}, 0))")
 
-def rolled(fn, column: str | Column, n: int) -> Column:
-    """fn over the last n rows once max(2, 0.8 n) values are there."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.when(F.count(c).over(last(n)) >= max(2, int(0.8 * n)), fn(c).over(last(n)))
 
+class Spans:
+    """Statistics over rows t-far..t-near of a name, in running sums: a span's sum is a difference of two running sums, so its
+    cost doesn't grow with its length.  Only minima and maxima keep a frame of rows.  Columns note what they need as they are
+    made; ``columns`` then adds every running sum, every lag of it and every frame once."""
 
-def rolled_sql(fn: str, column: str, n: int) -> str:
-    return f"CASE WHEN count({column}) OVER {frame(n)} >= {max(2, int(0.8 * n))} THEN {fn}({column}) OVER {frame(n)} END"
+    def __init__(self) -> None:
+        self.sums: set[str] = set()
+        self.lags: set[tuple[str, int]] = set()
+        self.frames: dict[str, Column] = {}
 
+    def running(self, v: str, back: int) -> Column:
+        """Sum of ``v`` up to ``back`` rows ago, 0 before the first row."""
+        self.sums.add(v)
+        if not back:
+            return F.col(f"_s_{v}")
+        self.lags.add((v, back))
+        return F.coalesce(F.col(f"_s_{v}_{back}"), F.lit(0.0))
 
-def panel(spark: SparkSession, p: str) -> DataFrame:
-    """Bars with log return x, the market's mean return m, and the deal flow of the day."""
-    flow = deals(spark, p).groupBy(F.col("brand").alias("id"), "d").agg(
-        F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(0)).alias("buy"), F.sum(F.when(F.col("side") == "SELL", F.col("qty")).otherwise(0)).alias("sell")
-    )
-    x = bars(deals(spark, p)).join(flow, ["id", "d"]).withColumn("x", F.log(F.col("close") / lag(1)))
-    market = x.groupBy("d").agg(F.avg("x").alias("m"))
-    return x.join(market, "d")
+    def total(self, v: str, far: int, near: int = 0) -> Column:
+        return self.running(v, near) - self.running(v, far + 1)
+
+    def known(self, v: str, far: int, near: int) -> Column:
+        return self.total(f"has_{v}", far, near)
+
+    @staticmethod
+    def enough(n: int, least: int | None) -> int:
+        return max(2, int(0.8 * n)) if least is None else least
+
+    def over(self, v: str, n: int, spark: Callable[[Column, Callable[[str], Column]], Column], sql: str, near: int = 0, least: int | None = None) -> Both:
+        """``spark`` gets the count of values and the sum of any column; ``sql`` is an aggregate of ``v``."""
+        far, enough = near + n - 1, self.enough(n, least)
+
+        def column() -> Column:
+            count = self.known(v, far, near)
+            return F.when(count >= enough, spark(count, lambda c: self.total(c, far, near)))
+
+        frame = f"OVER (PARTITION BY id ORDER BY d ROWS BETWEEN {far} PRECEDING AND {near} PRECEDING)"
+        return Both(column, f"CASE WHEN count({v}) {frame} >= {enough} THEN {sql} {frame} END")
+
+    def sum(self, v: str, n: int, near: int = 0, least: int | None = None) -> Both:
+        return self.over(v, n, lambda k, s: s(v), f"sum({v})", near, least)
+
+    def mean(self, v: str, n: int, near: int = 0, least: int | None = None) -> Both:
+        return self.over(v, n, lambda k, s: s(v) / k, f"avg({v})", near, least)
+
+    def std(self, v: str, n: int) -> Both:
+        return self.over(v, n, lambda k, s: F.sqrt(F.greatest((s(f"{v}_2") - s(v) * s(v) / k) / (k - 1), F.lit(0.0))), f"stddev_samp({v})")
+
+    def skew(self, v: str, n: int) -> Both:
+        def spark(k: Column, s: Callable) -> Column:
+            m = s(v) / k
+            second, third = s(f"{v}_2") - k * m * m, s(f"{v}_3") - 3 * m * s(f"{v}_2") + 2 * k * m * m * m
+            return k * F.sqrt(k - 1) / (k - 2) * F.try_divide(third, F.pow(second, F.lit(1.5)))
+
+        return self.over(v, n, spark, f"skewness({v})")
+
+    def kurt(self, v: str, n: int) -> Both:
+        def spark(k: Column, s: Callable) -> Column:
+            m = s(v) / k
+            second = s(f"{v}_2") - k * m * m
+            fourth = s(f"{v}_4") - 4 * m * s(f"{v}_3") + 6 * m * m * s(f"{v}_2") - 3 * k * m * m * m * m
+            return k * (k + 1) * (k - 1) / ((k - 2) * (k - 3)) * F.try_divide(fourth, second * second) - 3 * (k - 1) * (k - 1) / ((k - 2) * (k - 3))
+
+        return self.over(v, n, spark, f"kurtosis({v})")
+
+    def extreme(self, v: str, n: int, how: str) -> Both:
+        def column() -> Column:
+            w = by().rowsBetween(-(n - 1), 0)
+            self.frames[f"_{how}_{v}_{n}"] = F.when(F.count(v).over(w) >= self.enough(n, None), getattr(F, how)(v).over(w))
+            return F.col(f"_{how}_{v}_{n}")
+
+        frame = f"OVER (PARTITION BY id ORDER BY d ROWS {n - 1} PRECEDING)"
+        return Both(column, f"CASE WHEN count({v}) {frame} >= {self.enough(n, None)} THEN {how}({v}) {frame} END")
 
+    def columns(self, rows: DataFrame) -> DataFrame:
+        def value(v: str) -> Column:
+            if v.startswith("has_"):
+                return F.col(v[4:]).isNotNull().cast("double")
+            base, _, power = v.rpartition("_")
+            return F.pow(F.col(base), F.lit(float(power))) if power.isdigit() and base in rows.columns else F.col(v)
 
-PANEL_SQL = f"""{B}, flow AS (SELECT brand AS id, d, coalesce(sum(qty) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(qty) FILTER (side = 'SELL'), 0) AS sell FROM deals GROUP BY ALL),
-xr AS (SELECT bars.*, buy, sell, ln(close / lag(close) OVER (PARTITION BY id ORDER BY d)) AS x FROM bars JOIN flow USING (id, d)), mk AS (SELECT d, avg(x) AS m FROM xr GROUP BY 1),
-panel AS (SELECT xr.*, m FROM xr JOIN mk USING (d))"""
+        upto = by().rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({f"_s_{v}": F.coalesce(F.sum(value(v)).over(upto), F.lit(0.0)) for v in sorted(self.sums)} | self.frames)
+        return rows.withColumns({f"_s_{v}_{k}": F.lag(f"_s_{v}", k).over(by()) for v, k in sorted(self.lags)})
 
 
-def family(name: str, signals: dict[str, tuple[Column, str]]) -> None:
+def panel(spark: SparkSession, p: str) -> DataFrame:
+    """Bars with log return x, the market's mean return m, the day's deal flow, and what the families' spans run over."""
+    flow = deals(spark, p).groupBy(F.col("brand").alias("id"), "d").agg(
+        F.sum(F.when(F.col("side") == "BUY", F.col("value")).otherwise(0.0)).alias("buy"), F.sum(F.when(F.col("side") == "SELL", F.col("value")).otherwise(0.0)).alias("sell")
+    )
+    before = F.lag("close").over(by())
+    x = bars(deals(spark, p)).join(flow, ["id", "d"]).withColumns({"x": F.log(F.col("close") / before), "gap": F.log(F.col("open") / before), "t": F.row_number().over(by()).cast("double")})
+    market = x.groupBy("d").agg(F.avg("x").alias("m"))
+    # turns of the month: one of the three sessions before or after lies in another month; dates only
+    dates, order = x.select("d").distinct(), Window.orderBy("d")
+    near = [F.coalesce(F.trunc(f("d", k).over(order), "month") != F.trunc("d", "month"), F.lit(False)) for f in (F.lag, F.lead) for k in (1, 2, 3)]
+    turn = dates.select("d", (near[0] | near[1] | near[2] | near[3] | near[4] | near[5]).alias("turn"))
+    x = x.join(market, "d").join(turn, "d")
+    one = x.withColumns({
+        "up": (F.col("x") > 0).cast("double"), "neg": F.when(F.col("x").isNotNull(), F.least("x", F.lit(0.0))), "intra": F.log(F.col("close") / F.col("open")), "hl2": F.pow(F.log(F.col("high") / F.col("low")), F.lit(2.0)),
+        "hlr": (F.col("high") - F.col("low")) / F.col("close"), "rel": F.col("x") - F.col("m"), "mx": F.when(F.col("x").isNotNull(), F.col("m")), "xm": F.col("x") * F.col("m"), "lv": F.log("volume"),
+        "illiq": F.abs("x") / F.col("turnover") * 1e6, "zero": (F.abs("x") < 1e-9).cast("double"), "x1": F.lag("x").over(by()), "upv": F.when(F.col("x") > 0, F.col("volume")).otherwise(0.0),
+        "net": F.col("buy") - F.col("sell"), "busy": ((F.col("buy") + F.col("sell")) > 0).cast("double"), "tx": F.when(F.col("turn"), F.col("x")),
+    })
+    one = one.withColumns({"dv": F.col("lv") - F.lag("lv").over(by()), "xx1": F.col("x") * F.col("x1"), **{f"w{h}": F.pow(F.lit(2.0), F.col("t") / h) for h in (10, 42)}})
+    one = one.withColumns({"cx": F.when(F.col("dv").isNotNull(), F.col("x")), "cv": F.when(F.col("x").isNotNull(), F.col("dv")), "cxv": F.col("x") * F.col("dv"), **{f"net{h}": F.col("net") * F.col(f"w{h}") for h in (10, 42)}})
+    s = Spans()
+    vol21, mean63 = s.std("x", 21).col(), s.mean("volume", 63, near=1).col()
+    two = s.columns(one).withColumns({"vol21": vol21, "big": (F.col("volume") > 2 * mean63).cast("double")})
+    return two.select(*one.columns, "vol21", F.coalesce("big", F.lit(0.0)).alias("big"))
+
+
+_ONE = "OVER (PARTITION BY id ORDER BY d)"
+_NEAR = " OR ".join(f"coalesce(date_trunc('month', {f}(d, {k}) OVER (ORDER BY d)) <> date_trunc('month', d), false)" for f in ("lag", "lead") for k in (1, 2, 3))
+PANEL_SQL = f"""{B}, flow AS (SELECT brand AS id, d, coalesce(sum(value) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(value) FILTER (side = 'SELL'), 0) AS sell FROM deals GROUP BY ALL),
+xr AS (SELECT bars.*, buy, sell, ln(close / lag(close) {_ONE}) AS x, ln(open / lag(close) {_ONE}) AS gap, row_number() {_ONE} AS t FROM bars JOIN flow USING (id, d)), mk AS (SELECT d, avg(x) AS m FROM xr GROUP BY 1),
+turns AS (SELECT d, {_NEAR} AS turn FROM (SELECT DISTINCT d FROM xr)),
+p1 AS (SELECT xr.*, m, (x > 0)::INT AS up, CASE WHEN x IS NOT NULL THEN least(x, 0) END AS neg, ln(close / open) AS intra, pow(ln(high / low), 2) AS hl2, (high - low) / close AS hlr, x - m AS rel,
+  CASE WHEN x IS NOT NULL THEN m END AS mx, ln(volume) AS lv, abs(x) / turnover * 1e6 AS illiq, (abs(x) < 1e-9)::INT AS zero, lag(x) {_ONE} AS x1, CASE WHEN x > 0 THEN volume ELSE 0 END AS upv, buy - sell AS net,
+  (buy + sell > 0)::INT AS busy, CASE WHEN turn THEN x END AS tx FROM xr JOIN mk USING (d) JOIN turns USING (d)),
+p2 AS (SELECT *, lv - lag(lv) {_ONE} AS dv, x * x1 AS xx1, CASE WHEN count(x) OVER (PARTITION BY id ORDER BY d ROWS 20 PRECEDING) >= 16 THEN stddev_samp(x) OVER (PARTITION BY id ORDER BY d ROWS 20 PRECEDING) END AS vol21,
+  coalesce(CASE WHEN count(volume) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) >= 50 THEN (volume > 2 * avg(volume) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))::INT END, 0) AS big FROM p1),
+panel AS (SELECT *, CASE WHEN dv IS NOT NULL THEN x END AS cx FROM p2)"""
+
+
+def family(name: str, make: Callable[[Spans], dict[str, Both]]) -> None:
     """Registers one query with a column per signal; all share the sort by (id, d)."""
-    sql = f"{PANEL_SQL} SELECT id, d, {', '.join(f'round({text}, 5) AS {key}' for key, (_, text) in signals.items())} FROM panel"
+    signals = make(Spans())
+    sql = f"{PANEL_SQL} SELECT id, d, {', '.join(f'{half_up_sql(s.sql, 5)} AS {key}' for key, s in signals.items())} FROM panel"
 
     def query(spark: SparkSession, p: str) -> DataFrame:
-        return panel(spark, p).select("id", "d", *(F.round(expr(), 5).alias(key) for key, (expr, _) in signals.items()))
+        spans = Spans()
+        columns = [half_up(s.col(), 5).alias(key) for key, s in make(spans).items()]
+        return spans.columns(panel(spark, p)).select("id", "d", *columns)
 
     register(name, sql)(query)
 
 
-_LAG = "lag(close, {n}) OVER (PARTITION BY id ORDER BY d)"
+def plain(column: str) -> Both:
+    return Both(lambda: F.col(column), column)
 
 
-def _momentum() -> dict:
-    out: dict = {}
-    for n, skip in itertools.product((21, 42, 63, 126, 189, 252), (0, 5, 21)):
-        if (n, skip) != (21, 21):
-            out[f"mom_{n}_skip{skip}"] = (lambda n=n, s=skip: F.lag("close", s).over(by()) / lag(n) - 1, f"{_LAG.format(n=skip)} / {_LAG.format(n=n)} - 1")
+def _momentum(s: Spans) -> dict[str, Both]:
+    close = plain("close")
+    out = {f"mom_{n}_skip{k}": s.sum("x", n - k, near=k) for n, k in itertools.product((21, 42, 63, 126, 189, 252), (0, 5, 21)) if k < n}
     for n in (63, 126, 252):
-        out[f"ram_{n}"] = (lambda n=n: F.try_divide(rolled(F.sum, "x", n), rolled(F.stddev_samp, "x", n)), f"{rolled_sql('sum', 'x', n)} / {rolled_sql('stddev_samp', 'x', n)}")
-        out[f"hi_{n}"] = (lambda n=n: F.col("close") / rolled(F.max, "close", n), f"close / {rolled_sql('max', 'close', n)}")
-    for n in (10, 20, 50, 100, 200):
-        out[f"ma_ratio_{n}"] = (lambda n=n: F.col("close") / rolled(F.avg, "close", n), f"close / {rolled_sql('avg', 'close', n)}")
-    for a, c in ((5, 20), (10, 50), (20, 100), (50, 200)):
-        out[f"ma_cross_{a}_{c}"] = (lambda a=a, c=c: rolled(F.avg, "close", a) / rolled(F.avg, "close", c), f"({rolled_sql('avg', 'close', a)}) / ({rolled_sql('avg', 'close', c)})")
-    for n in (21, 63, 126, 252):
-        out[f"updays_{n}"] = (lambda n=n: rolled(F.avg, F.when(F.col("x").isNotNull(), (F.col("x") > 0).cast("int")), n), rolled_sql("avg", "(x > 0)::INT", n))
-    for n in (63, 126):
-        out[f"mom_accel_{n}"] = (lambda n=n: F.col("close") / lag(n) - lag(n) / lag(2 * n), f"close / {_LAG.format(n=n)} - {_LAG.format(n=n)} / {_LAG.format(n=2 * n)}")
+        out[f"ram_{n}"] = s.sum("x", n) / s.std("x", n)
+        out[f"hi_{n}"] = close / s.extreme("close", n, "max")
+    out |= {f"ma_ratio_{n}": close / s.mean("close", n) for n in (10, 20, 50, 100, 200)}
+    out |= {f"ma_cross_{a}_{n}": s.mean("close", a) / s.mean("close", n) for a, n in ((5, 20), (10, 50), (20, 100), (50, 200))}
+    out |= {f"updays_{n}": s.mean("up", n) for n in (21, 63, 126, 252)}
+    out |= {f"mom_accel_{n}": s.sum("x", n) - s.sum("x", n, near=n) for n in (63, 126)}
     return out
 
 
-def _reversal() -> dict:
-    out: dict = {}
-    for n in (1, 2, 3, 5, 10):
-        out[f"rev_{n}"] = (lambda n=n: 1 - F.col("close") / lag(n), f"1 - close / {_LAG.format(n=n)}")
+def _reversal(s: Spans) -> dict[str, Both]:
+    close = plain("close")
+    out = {"rev_1": plain("x"), "gap_1": plain("gap"), "intraday_1": plain("intra")} | {f"rev_{n}": s.sum("x", n) for n in (2, 3, 5, 10)}
+    for n in (5, 10, 21):
+        out[f"gap_{n}"], out[f"intraday_{n}"] = s.mean("gap", n), s.mean("intra", n)
     for n in (5, 21, 63):
-        out[f"maxret_{n}"] = (lambda n=n: rolled(F.max, "x", n), rolled_sql("max", "x", n))
-        out[f"minret_{n}"] = (lambda n=n: rolled(F.min, "x", n), rolled_sql("min", "x", n))
-        out[f"off_low_{n}"] = (lambda n=n: F.col("close") / rolled(F.min, "low", n) - 1, f"close / {rolled_sql('min', 'low', n)} - 1")
-        out[f"range_pos_{n}"] = (
-            lambda n=n: F.try_divide(F.col("close") - rolled(F.min, "low", n), rolled(F.max, "high", n) - rolled(F.min, "low", n)),
-            f"(close - {rolled_sql('min', 'low', n)}) / nullif(({rolled_sql('max', 'high', n)}) - ({rolled_sql('min', 'low', n)}), 0)",
-        )
-    for n in (1, 5, 10, 21):
-        out[f"intraday_{n}"] = (lambda n=n: F.avg(F.log(F.col("close") / F.col("open"))).over(last(n)), f"avg(ln(close / open)) OVER {frame(n)}")
+        low = s.extreme("low", n, "min")
+        out[f"maxret_{n}"], out[f"minret_{n}"] = s.extreme("x", n, "max"), s.extreme("x", n, "min")
+        out[f"off_low_{n}"] = close / s.extreme("close", n, "min")
+        out[f"range_pos_{n}"] = (close - low) / (s.extreme("high", n, "max") - low)
     return out
 
 
-def _volatility() -> dict:
-    out: dict = {}
-    for n in (10, 21, 63, 126, 252):
-        out[f"vol_{n}"] = (lambda n=n: rolled(F.stddev_samp, "x", n), rolled_sql("stddev_samp", "x", n))
-    for n in (21, 63, 126):
-        down = lambda n: F.sqrt(rolled(F.avg, F.when(F.col("x").isNotNull(), F.pow(F.least("x", F.lit(0.0)), F.lit(2.0))), n))
-        out[f"downvol_{n}"] = (lambda n=n, f=down: f(n), f"sqrt({rolled_sql('avg', 'CASE WHEN x IS NOT NULL THEN pow(least(x, 0), 2) END', n)})")
+def _volatility(s: Spans) -> dict[str, Both]:
+    out = {f"vol_{n}": s.std("x", n) for n in (10, 21, 63, 126, 252)} | {f"downvol_{n}": s.std("neg", n) for n in (21, 63, 126)}
     for n in (10, 21, 63):
-        out[f"parkinson_{n}"] = (lambda n=n: F.sqrt(rolled(F.avg, F.pow(F.log(F.col("high") / F.col("low")), F.lit(2.0)), n) / 2.772588722239781), f"sqrt(({rolled_sql('avg', 'pow(ln(high / low), 2)', n)}) / 2.772588722239781)")
+        mean = s.mean("hl2", n)
+        out[f"parkinson_{n}"] = Both(lambda mean=mean: F.sqrt(mean.col() / 2.772588722239781), f"sqrt(({mean.sql}) / 2.772588722239781)")
+    out |= {f"ivol_{n}": s.std("rel", n) for n in (63, 126)} | {"volvol_63": s.std("vol21", 63)}
     for n in (63, 126, 252):
-        beta = lambda n: F.when(F.count("x").over(last(n)) >= int(0.8 * n), F.try_divide(F.covar_samp("x", "m").over(last(n)), F.var_samp(F.when(F.col("x").isNotNull(), F.col("m"))).over(last(n))))
-        out[f"beta_{n}"] = (lambda n=n, f=beta: f(n), f"CASE WHEN count(x) OVER {frame(n)} >= {int(0.8 * n)} THEN covar_samp(x, m) OVER {frame(n)} / var_samp(CASE WHEN x IS NOT NULL THEN m END) OVER {frame(n)} END")
-    for n in (5, 21):
-        out[f"hl_range_{n}"] = (lambda n=n: rolled(F.avg, F.col("high") / F.col("low") - 1, n), rolled_sql("avg", "(high / low - 1)", n))
-    out["vol_ratio_21_126"] = (lambda: rolled(F.stddev_samp, "x", 21) / rolled(F.stddev_samp, "x", 126), f"({rolled_sql('stddev_samp', 'x', 21)}) / ({rolled_sql('stddev_samp', 'x', 126)})")
-    return out
+        out[f"skew_{n}"] = s.skew("x", n)
+        slope = lambda k, t: F.try_divide(t("xm") - t("x") * t("mx") / k, t("mx_2") - t("mx") * t("mx") / k)
+        out[f"beta_{n}"] = s.over("x", n, slope, "regr_slope(x, mx)")
+    out |= {f"kurt_{n}": s.kurt("x", n) for n in (63, 252)} | {f"hl_range_{n}": s.mean("hlr", n) for n in (5, 21)}
+    return out | {"vol_ratio_21_126": s.std("x", 21) / s.std("x", 126)}
 
 
-def _volume() -> dict:
-    out: dict = {}
-    for n in (5, 21, 63):
-        out[f"lturn_{n}"] = (lambda n=n: F.log(rolled(F.avg, "turnover", n)), f"ln({rolled_sql('avg', 'turnover', n)})")
-    for a, c in ((1, 21), (5, 21), (5, 63), (21, 126), (21, 252)):
-        out[f"vsurge_{a}_{c}"] = (lambda a=a, c=c: F.avg("volume").over(last(a)) / rolled(F.avg, "volume", c), f"avg(volume) OVER {frame(a)} / ({rolled_sql('avg', 'volume', c)})")
+def _volume(s: Spans) -> dict[str, Both]:
+    out = {f"lturn_{n}": s.mean("turnover", n).log() for n in (5, 21, 63)} | {"vsurge_1_21": plain("volume") / s.mean("volume", 21)}
+    out |= {f"vsurge_{a}_{n}": s.mean("volume", a) / s.mean("volume", n) for a, n in ((5, 21), (5, 63), (21, 126), (21, 252))}
     for n in (21, 63):
-        out[f"vstd_{n}"] = (lambda n=n: rolled(F.stddev_samp, "volume", n) / rolled(F.avg, "volume", n), f"({rolled_sql('stddev_samp', 'volume', n)}) / ({rolled_sql('avg', 'volume', n)})")
-        out[f"upvol_{n}"] = (lambda n=n: F.sum(F.when(F.col("x") > 0, F.col("volume")).otherwise(0)).over(last(n)) / F.sum("volume").over(last(n)), f"sum(CASE WHEN x > 0 THEN volume ELSE 0 END) OVER {frame(n)} / sum(volume) OVER {frame(n)}")
-    return out
+        out[f"vstd_{n}"] = s.std("lv", n)
+        both = lambda k, t: F.try_divide(t("cxv") - t("cx") * t("cv") / k, F.sqrt((t("cx_2") - t("cx") * t("cx") / k) * (t("cv_2") - t("cv") * t("cv") / k)))
+        out[f"pvcorr_{n}"] = s.over("cx", n, both, "corr(x, dv)")
+        out[f"upvol_{n}"] = s.sum("upv", n) / s.sum("volume", n)
+        out[f"abvol_{n}"] = s.sum("big", n)
+    return out | {"turn_trend": s.mean("turnover", 21).log() - s.mean("turnover", 126).log(), "lturn_level": plain("turnover").log()}
 
 
-def _liquidity() -> dict:
-    out: dict = {}
-    for n in (5, 21, 63, 126, 252):
-        out[f"amihud_{n}"] = (lambda n=n: rolled(F.avg, F.abs("x") / F.col("turnover") * 1e6, n), rolled_sql("avg", "(abs(x) / turnover * 1e6)", n))
-    for n in (21, 63, 126):
-        out[f"zeroret_{n}"] = (lambda n=n: rolled(F.avg, (F.abs("x") < 1e-3).cast("int"), n), rolled_sql("avg", "(abs(x) < 1e-3)::INT", n))
+def _liquidity(s: Spans) -> dict[str, Both]:
+    out = {f"amihud_{n}": s.mean("illiq", n) for n in (5, 21, 63, 126, 252)} | {f"zeroret_{n}": s.mean("zero", n) for n in (21, 63, 126)}
     for n in (21, 63):
-        out[f"turn_cv_{n}"] = (lambda n=n: rolled(F.stddev_samp, "turnover", n) / rolled(F.avg, "turnover", n), f"({rolled_sql('stddev_samp', 'turnover', n)}) / ({rolled_sql('avg', 'turnover', n)})")
-    out["log_price"] = (lambda: F.log("close"), "ln(close)")
-    return out
+        a, b, c = s.mean("xx1", n), s.mean("x", n), s.mean("x1", n)
+
+        def spread(a: Both = a, b: Both = b, c: Both = c) -> Column:
+            known = a.col().isNotNull() & b.col().isNotNull() & c.col().isNotNull()
+            return F.when(known, 2 * F.sqrt(F.greatest(b.col() * c.col() - a.col(), F.lit(0.0))))
 
+        out[f"roll_{n}"] = Both(spread, f"CASE WHEN ({a.sql}) IS NOT NULL AND ({b.sql}) IS NOT NULL AND ({c.sql}) IS NOT NULL THEN 2 * sqrt(greatest(({b.sql}) * ({c.sql}) - ({a.sql}), 0)) END")
+        out[f"turn_cv_{n}"] = s.std("turnover", n) / s.mean("turnover", n)
+    return out | {"log_price": plain("close").log(), "illiq_trend": s.mean("illiq", 21) / s.mean("illiq", 126)}
 
-def _institutional() -> dict:
-    out: dict = {}
-    for n in (5, 21, 63, 126):
-        out[f"dnet_{n}"] = (lambda n=n: F.sum(F.col("buy") - F.col("sell")).over(last(n)) / F.sum("volume").over(last(n)), f"sum(buy - sell) OVER {frame(n)} / sum(volume) OVER {frame(n)}")
+
+def _seasonal(s: Spans) -> dict[str, Both]:
+    """The coming window's returns in past years: rows t+h-252k back to t+1-252k; and mean returns at turns of the month."""
+
+    def same_window(years: range, h: int = 21) -> Both:
+        parts = [s.sum("x", h, near=252 * k - h) for k in years]
+        if len(parts) == 1:
+            return parts[0]
+
+        def mean() -> Column:
+            known = sum((F.when(q.col().isNotNull(), 1).otherwise(0) for q in parts), F.lit(0))
+            return F.try_divide(sum((F.coalesce(q.col(), F.lit(0.0)) for q in parts), F.lit(0.0)), known)
+
+        return Both(mean, f"list_avg([{', '.join(q.sql for q in parts)}])")
+
+    out = {f"hs_last{k}y": same_window(range(1, k + 1)) for k in (1, 2, 3, 5)} | {"hs_years2to5": same_window(range(2, 6))}
+    out |= {f"hs63_last{k}y": same_window(range(1, k + 1), 63) for k in (1, 2)} | {"annual_rev": s.sum("x", 21, near=252)}
+    return out | {f"tom_{k}m": s.mean("tx", 21 * k, least=4 * k) for k in (12, 24, 36)}
+
+
+def _institutional(s: Spans) -> dict[str, Both]:
+    out = {f"dnet_{n}": s.sum("net", n) / s.sum("turnover", n) for n in (5, 21, 63, 126)}
     for n in (21, 63):
-        out[f"dbuy_{n}"] = (lambda n=n: F.sum("buy").over(last(n)), f"sum(buy) OVER {frame(n)}")
-        out[f"dsell_{n}"] = (lambda n=n: F.sum("sell").over(last(n)), f"sum(sell) OVER {frame(n)}")
-        out[f"ddays_{n}"] = (lambda n=n: F.sum((F.col("buy") > 0).cast("double")).over(last(n)), f"sum((buy > 0)::INT)  OVER {frame(n)}::DOUBLE")
+        out[f"dbuy_{n}"], out[f"dsell_{n}"], out[f"ddays_{n}"] = s.sum("buy", n) / s.sum("turnover", n), s.sum("sell", n) / s.sum("turnover", n), s.sum("busy", n)
+    for h in (10, 42):  # weights 2 ** (t / h) of a name's own row number: doubles hold them for 10,000 sessions and more
+        sql = f"sum(net * pow(2, t / {h}.0)) OVER (PARTITION BY id ORDER BY d ROWS UNBOUNDED PRECEDING) / sum(pow(2, t / {h}.0)) OVER (PARTITION BY id ORDER BY d ROWS UNBOUNDED PRECEDING)"
+        out[f"dnet_ewm{h}"] = Both(lambda h=h: F.try_divide(s.running(f"net{h}", 0), s.running(f"w{h}", 0)), sql) / s.mean("turnover", 63)
     return out
 
 
-for _name, _family in (("g01_momentum", _momentum), ("g02_reversal", _reversal), ("g03_volatility", _volatility), ("g04_volume", _volume), ("g05_liquidity", _liquidity), ("g07_institutional", _institutional)):
-    family(_name, _family())
+FAMILIES = {"g01_momentum": _momentum, "g02_reversal": _reversal, "g03_volatility": _volatility, "g04_volume": _volume, "g05_liquidity": _liquidity, "g06_seasonal": _seasonal, "g07_institutional": _institutional}
+for _name, _family in FAMILIES.items():
+    family(_name, _family)
 
 
 # Candidates: base signals, centred ranks on one cross-section, moments and correlations
 
 MIN_NAMES = 5
-BASE = {"mom5": "close / lag(close, 5) OVER (PARTITION BY id ORDER BY d) - 1", "gap1": "open / lag(close) OVER (PARTITION BY id ORDER BY d) - 1", "vol": "-volume"}
-_Z_SQL = f"""{B}, {FWD_SQL}, s AS (SELECT id, d, {', '.join(f'{e} AS {k}' for k, e in BASE.items())} FROM bars), ok AS (SELECT s.*, fwd FROM s JOIN f USING (id, d) WHERE fwd IS NOT NULL AND mom5 IS NOT NULL AND gap1 IS NOT NULL),
-long AS (SELECT id, d, 'mom5' AS signal, mom5 AS v FROM ok UNION ALL SELECT id, d, 'gap1', gap1 FROM ok UNION ALL SELECT id, d, 'vol', vol FROM ok UNION ALL SELECT id, d, 'y', fwd FROM ok),
+BASE = {
+    "gap1": "open / lag(close) OVER (PARTITION BY id ORDER BY d) - 1",
+    "mom5": "close / lag(close, 5) OVER (PARTITION BY id ORDER BY d) - 1",
+    "mom21": "close / lag(close, 21) OVER (PARTITION BY id ORDER BY d) - 1",
+    "mom63": "close / lag(close, 63) OVER (PARTITION BY id ORDER BY d) - 1",
+    "range": "high / low",
+    "vol": "-volume",
+}
+_KNOWN = " AND ".join(f"{k} IS NOT NULL" for k in BASE)
+_LONG = " ".join(f"UNION ALL SELECT id, d, '{k}', {k} FROM ok" for k in BASE)
+_Z_SQL = f"""{B}, {FWD_SQL}, s AS (SELECT id, d, {', '.join(f'{e} AS {k}' for k, e in BASE.items())} FROM bars), ok AS (SELECT s.*, fwd FROM s JOIN f USING (id, d) WHERE fwd IS NOT NULL AND {_KNOWN}),
+long AS (SELECT id, d, 'y' AS signal, fwd AS v FROM ok {_LONG}),
 z AS (SELECT id, d, signal, rank() OVER (PARTITION BY d, signal ORDER BY v) + (count(*) OVER (PARTITION BY d, signal, v) - 1) / 2 - (count(*) OVER (PARTITION BY d, signal) + 1) / 2 AS z, count(*) OVER (PARTITION BY d, signal) AS n FROM long),
 mom AS (SELECT a.d, a.signal AS i, b.signal AS j, sum(a.z * b.z) AS m FROM z a JOIN z b ON a.d = b.d AND a.id = b.id WHERE a.n >= {MIN_NAMES} GROUP BY ALL)"""
 
@@ -237,16 +366,22 @@ def g09(spark, p):
     return dates.join(F.broadcast(c), F.lit(True))
 
 
-@register("g10_composites", f"{_Z_SQL}, {CAND_SQL} SELECT id, d, candidate, round(avg(sign * z), 6) AS score FROM z JOIN cand USING (signal) WHERE n >= {MIN_NAMES} GROUP BY ALL")
+@register(
+    "g10_composites",
+    f"""{_Z_SQL}, {CAND_SQL}, c AS (SELECT id, d, candidate, avg(sign * z) AS score FROM z JOIN cand USING (signal) WHERE n >= {MIN_NAMES} GROUP BY ALL)
+    SELECT id, candidate, count(*) AS dates, round(avg(score), 6) AS mean, round(arg_max(score, d), 6) AS newest FROM c GROUP BY ALL""",
+)
 def g10(spark, p):
+    """Rank composite of every name, date and candidate; told per name and candidate."""
     parts = candidates(spark).select("candidate", F.explode("parts").alias("a")).select("candidate", F.col("a.signal").alias("signal"), F.col("a.sign").alias("sign"))
-    return centred_ranks(spark, p).join(parts, "signal").groupBy("id", "d", "candidate").agg(r6(F.avg(F.col("sign") * F.col("z"))).alias("score"))
+    c = centred_ranks(spark, p).join(F.broadcast(parts), "signal").groupBy("id", "d", "candidate").agg(F.avg(F.col("sign") * F.col("z")).alias("score"))  # parts: the fixed candidates
+    return c.groupBy("id", "candidate").agg(F.count(F.lit(1)).alias("dates"), r6(F.avg("score")).alias("mean"), r6(F.max_by("score", "d")).alias("newest"))
 
 
-@register("g12_ic_summary", f"{IC_SQL} SELECT candidate, count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic) / sqrt(count(*)), 6) AS se, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 4) AS t FROM ic GROUP BY 1")
+@register("g12_ic_summary", f"{IC_SQL} SELECT candidate, count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic) / sqrt(count(*)), 6) AS se, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0), 4) AS t FROM ic GROUP BY 1")
 def g12(spark, p):
     se = F.stddev_samp("ic") / F.sqrt(F.count(F.lit(1)))
-    return candidate_ic(spark, p).groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ic")).alias("mean"), r6(se).alias("se"), F.round(F.avg("ic") / se, 4).alias("t"))
+    return candidate_ic(spark, p).groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ic")).alias("mean"), r6(se).alias("se"), F.round(F.try_divide(F.avg("ic"), se), 4).alias("t"))
 
 
 @register("g13_moments", f"{_Z_SQL} SELECT d, i, j, m FROM mom")

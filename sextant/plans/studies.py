@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals
-from sextant.functions.numbers import r6
+from sextant.functions.numbers import correlation, correlation_sql, r6
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
 from sextant.plans.panels import _PRE, pre_post
@@ -99,7 +99,7 @@ def d37(spark, p):
 @register(
     "d39_minimum_detectable_effect",
     f"""{B}, {FWD_SQL}, e AS (SELECT DISTINCT brand AS id, d, kind FROM deals WHERE side = 'BUY' AND qty >= 40), c AS (SELECT kind, date_trunc('month', d)::DATE AS m, avg(fwd) AS x FROM e JOIN f USING (id, d) WHERE fwd IS NOT NULL GROUP BY ALL),
-    l AS (SELECT kind, x, lag(x) OVER (PARTITION BY kind ORDER BY m) AS before FROM c), s AS (SELECT kind, count(*) AS n, stddev_samp(x) AS sd, coalesce(corr(x, before), 0) AS rho FROM l GROUP BY 1)
+    l AS (SELECT kind, x, lag(x) OVER (PARTITION BY kind ORDER BY m) AS before FROM c), s AS (SELECT kind, count(*) AS n, stddev_samp(x) AS sd, coalesce({correlation_sql("x", "before")}, 0) AS rho FROM l GROUP BY 1)
     SELECT kind, n, round(2.8 * sd / sqrt(n), 6) AS mde, round(2.8 * sd / sqrt(n) * sqrt(1 + 2 * 0.5 * greatest(rho, 0)), 6) AS mde_serial FROM s""",
 )
 def d39(spark, p):
@@ -109,7 +109,7 @@ def d39(spark, p):
     e = x.where("side = 'BUY' AND qty >= 40").select(F.col("brand").alias("id"), "d", "kind").distinct().join(f, ["id", "d"])
     c = e.groupBy("kind", F.trunc("d", "month").alias("m")).agg(F.avg("fwd").alias("x"))
     lagged = c.withColumn("before", F.lag("x").over(Window.partitionBy("kind").orderBy("m")))
-    s = lagged.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.coalesce(F.corr("x", "before"), F.lit(0.0)).alias("rho"))
+    s = lagged.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.coalesce(correlation("x", "before"), F.lit(0.0)).alias("rho"))
     mde = 2.8 * F.col("sd") / F.sqrt("n")
     return s.select("kind", "n", r6(mde).alias("mde"), r6(mde * F.sqrt(1 + F.greatest("rho", F.lit(0.0)))).alias("mde_serial"))
 

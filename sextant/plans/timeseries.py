@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
+from sextant.functions.numbers import correlation, correlation_sql
 from sextant.operators import rows as R
 from sextant.operators import timejoin as T
 from sextant.plans.catalog import register
@@ -183,12 +184,12 @@ def w28(spark, p):
     return deals(spark, p).groupBy(F.trunc("d", "month")).agg(F.max("d").alias("d")).select("d")
 
 
-@register("w30_rolling_beta", f"{B}, r AS (SELECT id, d, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS ret FROM bars), m AS (SELECT d, avg(ret) AS mk FROM r GROUP BY 1) SELECT id, d, CASE WHEN count(ret) OVER w >= 50 THEN round(covar_samp(ret, mk) OVER w / var_samp(mk) OVER w, 5) END AS beta FROM (SELECT * FROM r JOIN m USING (d) WHERE ret IS NOT NULL) WINDOW w AS (PARTITION BY id ORDER BY d ROWS 62 PRECEDING)")
+@register("w30_rolling_beta", f"{B}, r AS (SELECT id, d, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS ret FROM bars), m AS (SELECT d, avg(ret) AS mk FROM r GROUP BY 1) SELECT id, d, CASE WHEN count(ret) OVER w >= 50 THEN round(covar_samp(ret, mk) OVER w / nullif(var_samp(mk) OVER w, 0), 5) END AS beta FROM (SELECT * FROM r JOIN m USING (d) WHERE ret IS NOT NULL) WINDOW w AS (PARTITION BY id ORDER BY d ROWS 62 PRECEDING)")
 def w30(spark, p):
     r = b(spark, p).withColumn("ret", F.col("close") / F.lag("close").over(by()) - 1).select("id", "d", "ret")
     x = r.join(r.groupBy("d").agg(F.avg("ret").alias("mk")), "d").where("ret IS NOT NULL")
     over = by().rowsBetween(-62, 0)
-    return x.select("id", "d", F.when(F.count("ret").over(over) >= 50, F.round(F.covar_samp("ret", "mk").over(over) / F.var_samp("mk").over(over), 5)).alias("beta"))
+    return x.select("id", "d", F.when(F.count("ret").over(over) >= 50, F.round(F.try_divide(F.covar_samp("ret", "mk").over(over), F.var_samp("mk").over(over)), 5)).alias("beta"))
 
 
 @register("w33_tumbling_blocks", f"{BC} SELECT id, i // 21 AS block, round(sum(turnover), 2) AS total, count(*) AS n FROM bars JOIN cal USING (d) GROUP BY ALL")
@@ -207,21 +208,21 @@ def a16(spark, p):
     return R.leave_one_out(b(spark, p), ["d"], "volume").select("id", "d", "peer_n", F.round("peer_mean", 5).alias("peer_mean"))
 
 
-@register("d44_bh_q_values", f"{D}, s AS (SELECT security, abs(avg(qty) - 25.5) / (stddev_samp(qty) / sqrt(count(*))) AS t FROM deals GROUP BY 1), q AS (SELECT security, exp(-0.717 * t - 0.416 * t * t) AS p FROM s), r AS (SELECT *, row_number() OVER (ORDER BY p, security) AS k, count(*) OVER () AS m FROM q) SELECT security, round(least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
+@register("d44_bh_q_values", f"{D}, s AS (SELECT security, abs(avg(qty) - 25.5) / nullif(stddev_samp(qty) / sqrt(count(*)), 0) AS t FROM deals GROUP BY 1), q AS (SELECT security, exp(-0.717 * t - 0.416 * t * t) AS p FROM s), r AS (SELECT *, row_number() OVER (ORDER BY p, security) AS k, count(*) OVER () AS m FROM q) SELECT security, round(least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
 def d44(spark, p):
     """One row a tested family member: the ordered pass is over the statistics, not over their data."""
-    t = F.abs(F.avg("qty") - 25.5) / (F.stddev_samp("qty") / F.sqrt(F.count(F.lit(1))))
+    t = F.try_divide(F.abs(F.avg("qty") - 25.5), F.stddev_samp("qty") / F.sqrt(F.count(F.lit(1))))
     q = deals(spark, p).groupBy("security").agg(t.alias("t")).select("security", F.exp(-0.717 * F.col("t") - 0.416 * F.col("t") * F.col("t")).alias("p"))
     r = q.withColumn("k", F.row_number().over(Window.orderBy("p", "security"))).join(F.broadcast(q.agg(F.count(F.lit(1)).alias("m"))))
     low = F.min(F.col("p") * F.col("m") / F.col("k")).over(Window.orderBy("k").rowsBetween(0, Window.unboundedFollowing))
     return r.select("security", r6(F.least(F.lit(1.0), low), "q"))
 
 
-@register("g11_rank_ic", f"{B}, f AS (SELECT id, d, volume AS s, lead(close, 5) OVER w / lead(open, 1) OVER w - 1 AS y FROM bars WINDOW w AS (PARTITION BY id ORDER BY d)), r AS (SELECT d, rank() OVER (PARTITION BY d ORDER BY s) + (count(*) OVER (PARTITION BY d, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY d ORDER BY y) + (count(*) OVER (PARTITION BY d, y) - 1) / 2.0 AS ry FROM f WHERE y IS NOT NULL) SELECT d, count(*) AS n, round(corr(rs, ry), 6) + 0.0 AS ic FROM r GROUP BY d HAVING count(*) >= 15")
+@register("g11_rank_ic", f"{B}, f AS (SELECT id, d, volume AS s, lead(close, 5) OVER w / lead(open, 1) OVER w - 1 AS y FROM bars WINDOW w AS (PARTITION BY id ORDER BY d)), r AS (SELECT d, rank() OVER (PARTITION BY d ORDER BY s) + (count(*) OVER (PARTITION BY d, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY d ORDER BY y) + (count(*) OVER (PARTITION BY d, y) - 1) / 2.0 AS ry FROM f WHERE y IS NOT NULL) SELECT d, count(*) AS n, round({correlation_sql("rs", "ry")}, 6) + 0.0 AS ic FROM r GROUP BY d HAVING count(*) >= 15")
 def g11(spark, p):
     f = b(spark, p).select("id", "d", F.col("volume").alias("s"), (F.lead("close", 5).over(by()) / F.lead("open", 1).over(by()) - 1).alias("y")).where("y IS NOT NULL")
     r = f.select("d", R.average_rank("s", ["d"]).alias("rs"), R.average_rank("y", ["d"]).alias("ry"))
-    return r.groupBy("d").agg(F.count(F.lit(1)).alias("n"), (F.round(F.corr("rs", "ry"), 6) + 0.0).alias("ic")).where("n >= 15")
+    return r.groupBy("d").agg(F.count(F.lit(1)).alias("n"), (F.round(correlation("rs", "ry"), 6) + 0.0).alias("ic")).where("n >= 15")
 
 
 @register("t04_revisions", f"{D} SELECT security, d, count(*) - 1 AS revision FROM deals GROUP BY ALL")
