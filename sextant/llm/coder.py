@@ -1,14 +1,20 @@
 """Token ids in files, compressed by an adaptive context-mixing range coder in independent blocks.
 
 Ids (below 65,536) of the documents in id order are cut into blocks.  Every block starts from the same empty model and
-carries a checksum, so blocks are coded and decoded in any order.  Three predictions drive the coder: order 2 and order
-1 name the id last seen after the two ids (the id) before; the chances that they hit are adaptive per confidence and
-mixed by weights that learn; what both miss is coded by the order-0 model, adaptive frequencies of the id's high byte
-and of its low byte given the high one.  Many blocks advance together, one id each a step, as numpy lanes; all model
-arithmetic is on integers, so decoding repeats it exactly.
-
-Defined results: null and empty texts are the end id alone; an empty table has no file rows; repeated and null ids keep
-their place in the order (id, nulls first); a block whose checksum differs raises an error.
+carries a checksum, so blocks are coded and decoded in any order.  Three orders predict an id: order 2 and order 1 name the
+id last seen after the two ids (the id) before, with a confidence; order 0 is the adaptive distribution of all ids.  The
+chances that the named ids hit are mixed by weights that learn, from the confidence of order 2, that of order 1 and the
+order-0 frequency of the named id, and are refined by the counts of that combination; what both miss is coded by the order-0
+distribution, and an id new to the block as a plain number.
+
+A block adapts in epochs that double in length: within one the model stands still, after it the model learns from all its
+ids at once.  The ids of an epoch are dealt to the block's lanes, one stretch each.  Every lane is a range coder of its own,
+and the lanes of several blocks advance together as numpy vectors.  All model arithmetic is on integers, so decoding repeats
+it exactly.
+
+Defined results: null and empty texts are the end id alone; an empty table has no file rows; very long texts run over as many
+blocks as they need; repeated and null ids keep their place in the order (id, nulls first, then hash of the text); input
+columns beside id and text are ignored, whatever their names; a block whose checksum differs raises an error.
 """
 
 from __future__ import annotations
@@ -24,11 +30,15 @@ from pyspark.sql import functions as F
 from sextant.core.shared import new_path
 from sextant.llm.words import by_rows
 
-BLOCK = 4096
-LANES = 256
-SLOTS = 2048
-LIMIT, STEP = 1 << 13, 24
-TOP, LOW, FLOOR = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(1 << 20)
+BLOCK = 1 << 18
+LANES = 512
+#: Blocks that are coded together.
+TOGETHER = 8
+IDS = 1 << 16
+SURE, LEVELS = 8, 4
+CELLS = SURE * SURE * 2 * LEVELS
+WINDOW, LOWEST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
+WORD, UPPER = np.uint64(16), np.uint64(32)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -39,205 +49,354 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 SQUASH, STRETCH = _tables()
-_WIDE = np.arange(257)
-
-
-class _Lanes:
-    """Model and range coder of a group of blocks; ``codes`` None encodes, else decodes."""
-
-    def __init__(self, n: int, codes: list[bytes] | None = None):
-        self.n, self.decoding = n, codes is not None
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, TOP - np.uint64(1), np.uint64)
-        self.at = np.zeros(n, np.int64)
-        if codes is None:
-            self.out = np.zeros((n, 2 * BLOCK + 64), np.uint16)
-        else:
-            width = max(map(len, codes)) // 2 + 8
-            self.out = np.zeros((n, width), np.uint16)
-            for i, c in enumerate(codes):
-                self.out[i, : len(c) // 2] = np.frombuffer(c, np.uint16)
-            first = self.out[:, :3].astype(np.uint64)
-            self.code = first[:, 0] << np.uint64(32) | first[:, 1] << np.uint64(16) | first[:, 2]
-            self.at[:] = 3
-        self.named2, self.sure2 = np.zeros((n, SLOTS), np.int64), np.zeros((n, SLOTS), np.int64)
-        self.named1, self.sure1 = np.zeros((n, SLOTS), np.int64), np.zeros((n, SLOTS), np.int64)
-        self.hits2, self.hits1 = np.full((n, 4), 1024, np.int64), np.full((n, 16), 1024, np.int64)
-        self.weights = np.full((n, 2), 30000, np.int64)
-        self.high = np.tile(_WIDE, (n, 1)).astype(np.int64)
-        self.lower = np.tile(_WIDE.astype(np.uint16), (n, 256, 1))
-
-    def shift(self, k: np.ndarray) -> None:
-        """Moves settled 16-bit words out of the lanes k (or new words in)."""
-        while len(k):
-            low, size = self.low[k], self.range[k]
-            settled = ((low ^ (low + size)) >> np.uint64(32)) == 0
-            under = ~settled & (size < FLOOR)
-            move = settled | under
-            k = k[move]
-            if not len(k):
-                return
-            low, size = low[move], np.where(under[move], (~low[move] + np.uint64(1)) & (FLOOR - np.uint64(1)), size[move])
-            at = self.at[k]
-            if self.decoding:
-                word = self.out[k, np.minimum(at, self.out.shape[1] - 1)].astype(np.uint64)
-                self.code[k] = (self.code[k] << np.uint64(16) | word) & (TOP - np.uint64(1))
-            else:
-                self.out[k, at] = (low >> np.uint64(32)).astype(np.uint16)
-            self.at[k] = at + 1
-            self.low[k] = (low << np.uint64(16)) & (TOP - np.uint64(1))
-            self.range[k] = size << np.uint64(16)
-
-    def narrow(self, k: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        unit = self.range[k] // total.astype(np.uint64)
-        self.low[k] += start.astype(np.uint64) * unit
-        self.range[k] = size.astype(np.uint64) * unit
-        self.shift(k)
-
-    def place(self, k: np.ndarray, total: np.ndarray) -> np.ndarray:
-        unit = self.range[k] // total.astype(np.uint64)
-        return np.minimum((self.code[k] - self.low[k]) // unit, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def bit(self, k: np.ndarray, p: np.ndarray, y: np.ndarray | None) -> np.ndarray:
-        """Codes one decision a lane; p of 4096 is the chance of 1."""
-        total = np.full(len(k), 4096)
-        if self.decoding:
-            y = self.place(k, total) < p
-        self.narrow(k, np.where(y, 0, p), np.where(y, p, 4096 - p), total)
-        return y
-
-    def symbol(self, k: np.ndarray, table: np.ndarray, s: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Codes one byte a lane by its cumulative table; returns the byte and the updated table."""
-        total = table[:, 256]
-        if self.decoding:
-            s = (table[:, 1:] <= self.place(k, total)[:, None]).sum(1)
-        rows = np.arange(len(k))
-        start = table[rows, s]
-        self.narrow(k, start, table[rows, s + 1] - start, total)
-        table = table + STEP * (_WIDE > s[:, None])
-        full = table[:, 256] > LIMIT
-        if full.any():
-            table[full, 1:] = np.cumsum((np.diff(table[full], axis=1) + 1) // 2, axis=1)
-        return s, table
-
-    def step(self, k: np.ndarray, before: np.ndarray, before2: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id in each of the lanes k."""
-        slot1 = (before * 40503) % SLOTS
-        slot2 = (before * 40503 + before2 * 30011 + 7) % SLOTS
-        name1, name2, sure1, sure2 = self.named1[k, slot1], self.named2[k, slot2], self.sure1[k, slot1], self.sure2[k, slot2]
-        context = sure1 * 4 + (name1 == name2) * 2 + (sure2 > 0)
-        p2, p1 = self.hits2[k, sure2], self.hits1[k, context]
-        s2, s1 = STRETCH[p2], STRETCH[p1]
-        w = self.weights[k]
-        mixed = SQUASH[np.clip((w[:, 0] * s2 + w[:, 1] * s1) >> 16, -2047, 2047) + 2047]
-        hit = self.bit(k, mixed, None if ids is None else ids == name2)
-        error = (hit * 4096 - mixed) * 6
-        self.weights[k, 0] = np.clip(w[:, 0] + ((error * s2) >> 10), 0, 1 << 18)
-        self.weights[k, 1] = np.clip(w[:, 1] + ((error * s1) >> 10), 0, 1 << 18)
-        self.hits2[k, sure2] = np.clip(p2 + ((hit * 4096 - p2) >> 4), 32, 4063)
-        got = np.where(hit, name2, 0)
-        rest = np.flatnonzero(~hit & (name1 != name2))
-        found = hit.copy()
-        if len(rest):
-            own, p = k[rest], p1[rest]
-            y = self.bit(own, p, None if ids is None else ids[rest] == name1[rest])
-            self.hits1[own, context[rest]] = np.clip(p + ((y * 4096 - p) >> 4), 32, 4063)
-            got[rest] = np.where(y, name1[rest], 0)
-            found[rest] = y
-        rest = np.flatnonzero(~found)
-        if len(rest):
-            own = k[rest]
-            top, self.high[own] = self.symbol(own, self.high[own], None if ids is None else ids[rest] >> 8)
-            last, table = self.symbol(own, self.lower[own, top].astype(np.int64), None if ids is None else ids[rest] & 255)
-            self.lower[own, top] = table
-            got[rest] = top << 8 | last
-        for named, sure, slot, name, old in ((self.named1, self.sure1, slot1, name1, sure1), (self.named2, self.sure2, slot2, name2, sure2)):
-            right = name == got
-            sure[k, slot] = np.where(right, np.minimum(old + 1, 3), np.where(old > 1, old - 1, old * 0))
-            named[k, slot] = np.where(right | (old > 1), name, got)
-        return got
+#: Confidence of order 2, of order 1, whether both name the same id, and the level of the named id, for each cell.
+_SURE2, _SURE1, _SAME, _LEVEL = (a.ravel() for a in np.indices((SURE, SURE, 2, LEVELS)))
+
+
+def lanes_of(n: int) -> int:
+    return max(1, min(LANES, 1 << (n >> 8).bit_length() - 1)) if n >> 8 else 1
+
+
+def epochs(n: int, lanes: int) -> list[tuple[int, int]]:
+    """Where the epochs of a block of n ids begin and end; the last is filled up to a multiple of the lanes."""
+    out, at, size = [], 0, lanes
+    while at < n:
+        size = min(size, -(-(n - at) // lanes) * lanes)
+        out.append((at, at + size))
+        at, size = at + size, at + size
+    return out
+
+
+class Model:
+    """The model of a group of blocks of one length, a row each."""
+
+    def __init__(self, blocks: int):
+        self.n = blocks
+        self.counts = np.zeros((blocks, IDS), np.int64)
+        self.sizes = np.zeros(blocks * IDS, np.uint32)  # order 0: share of 65,536, and where it starts
+        self.starts = np.zeros(blocks * IDS, np.uint32)
+        self.slots = np.full(blocks * IDS, IDS, np.uint32)  # the id of each of the 65,536 places, IDS for a new one
+        self.fresh = np.zeros(blocks, np.int64)  # where the shares end and new ids begin
+        self.level = np.zeros(blocks * IDS, np.uint8)
+        self.after1 = np.zeros(blocks * IDS, np.uint32)  # named id | confidence << 16
+        self.after2 = np.zeros(blocks * IDS, np.uint32)
+        self.seen = np.zeros((blocks, CELLS, 3), np.int64)
+        self.weights = np.tile(np.array([26000, 14000, 8000], np.int64), (blocks, 1))
+        self.bounds = np.zeros(0, np.uint32)
+        self.mix()
+
+    def mix(self) -> None:
+        """Bounds of the three events of every cell, of 65,536: order 2 is right, order 1 is right, both are wrong."""
+        hit2, total = self.seen[:, :, 0], self.seen.sum(2)
+        hit1 = self.seen[:, :, 1] + hit2 * _SAME
+
+        def rate(key: np.ndarray, size: int, hits: np.ndarray) -> np.ndarray:
+            one = np.eye(size, dtype=np.int64)[key]
+            return (((hits @ one) * 4096 + 1024) // (total @ one + 2))[:, key].clip(1, 4095)
+
+        parts = np.stack([STRETCH[rate(_SURE2, SURE, hit2)], STRETCH[rate(_SURE1 * 2 + _SAME, 2 * SURE, hit1)], STRETCH[rate(_LEVEL, LEVELS, hit2)]])
+        mixed = SQUASH[((self.weights.T[:, :, None] * parts).sum(0) >> 16).clip(-2047, 2047) + 2047]
+        error = hit2 * 4096 - mixed * total
+        pull = (error[None] * parts).sum(2) // (np.maximum(total.sum(1), 1) * 8)
+        self.weights = np.clip(self.weights + pull.T, 0, 1 << 17)
+        mixed = SQUASH[((self.weights.T[:, :, None] * parts).sum(0) >> 16).clip(-2047, 2047) + 2047]
+        first = ((hit2 * 65536 + mixed * 16 * 24) // (total + 24)).clip(64, 65536 - 128)
+        rest = total - hit2
+        own = rate(_SURE1 * 2 + _SAME, 2 * SURE, hit1)
+        second = ((self.seen[:, :, 1] * 65536 + own * 16 * 24) // (rest + 24)).clip(64, 65536 - 128)
+        second = np.where(_SAME == 1, 0, (65536 - first) * second >> 16)
+        self.bounds = np.stack([np.zeros_like(first), first, first + second, np.full_like(first, 65536)], 2).astype(np.uint32).ravel()
+
+    def learn(self, ids: np.ndarray, known: tuple[np.ndarray, ...]) -> None:
+        """Takes in an epoch's ids (blocks, lanes, steps) with what ``look`` told of them."""
+        cell, named2, named1, at2, at1, old2, old1 = known
+        event = np.where(ids == named2, 0, np.where(ids == named1, 1, 2))
+        row = np.arange(self.n)[:, None, None]
+        self.seen += np.bincount(((cell + row * CELLS) * 3 + event).ravel(), minlength=self.seen.size).reshape(self.seen.shape)
+        for table, at, named, old in ((self.after2, at2, named2, old2), (self.after1, at1, named1, old1)):
+            sure = np.where(named == ids, np.minimum((old >> np.uint32(16)) + np.uint32(1), np.uint32(SURE - 1)), np.uint32(0))
+            table[at.ravel()] = (ids | sure << np.uint32(16)).ravel()  # the last of equal places stays
+        new = np.bincount((ids + (row * IDS).astype(np.uint32)).ravel(), minlength=self.n * IDS).reshape(self.n, IDS)
+        novel = ((self.counts == 0) * new).sum(1)
+        share = (novel * IDS // max(1, ids[0].size)).clip(64, IDS // 2)
+        self.counts += new
+        kinds, total = (self.counts > 0).sum(1), self.counts.sum(1)
+        share = np.minimum(share, IDS - kinds - 1).clip(0)
+        scale = np.maximum(IDS - share - kinds, 0)
+        sizes = np.where(self.counts > 0, 1 + self.counts * scale[:, None] // np.maximum(total, 1)[:, None], 0)
+        ends = np.cumsum(sizes, 1)
+        self.fresh = ends[:, -1]
+        self.sizes, self.starts = sizes.astype(np.uint32).ravel(), (ends - sizes).astype(np.uint32).ravel()
+        for b in range(self.n):
+            self.slots[b * IDS : b * IDS + self.fresh[b]] = np.repeat(np.arange(IDS, dtype=np.uint32), sizes[b])
+            self.slots[b * IDS + self.fresh[b] : (b + 1) * IDS] = IDS
+        self.level = np.where(sizes > 512, 3, np.where(sizes > 64, 2, (sizes > 4) * 1)).astype(np.uint8).ravel()
+        self.mix()
+
+    def look(self, base: np.ndarray, before: np.ndarray, before2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cell, ids named by order 2 and 1, places in their tables and their entries.  ``base`` is the block's first place."""
+        at1 = base + before
+        at2 = base + ((before * np.uint32(40503) + before2 * np.uint32(30011)) & np.uint32(IDS - 1))
+        old1, old2 = self.after1[at1], self.after2[at2]
+        named1, named2 = old1 & np.uint32(IDS - 1), old2 & np.uint32(IDS - 1)
+        cell = (((old2 >> np.uint32(16)) * np.uint32(SURE) + (old1 >> np.uint32(16))) * np.uint32(2) + (named1 == named2)) * np.uint32(LEVELS) + self.level[base + named2]
+        return cell, named2, named1, at2, at1, old2, old1
+
+
+def _before(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id before each id of a lane's stretch and the one before that, 0 where the stretch begins."""
+    one, two = np.zeros_like(ids), np.zeros_like(ids)
+    one[..., 1:], two[..., 2:] = ids[..., :-1], ids[..., :-2]
+    return one, two
+
+
+class _Writer:
+    """Range coders, one a lane: a 48-bit window, 16-bit words; a carry goes into the words already written."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, WINDOW, np.uint64)
+        self.room = 3 * steps + 3  # an id takes three words at most
+        self.words = np.zeros(lanes * self.room, np.uint16)
+        self.base = np.arange(lanes) * self.room
+        self.at = self.base.copy()
+
+    def put(self, start: np.ndarray, size: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Narrows every lane (or those in ``only``) to [start, start + size) of 65,536."""
+        unit = self.range >> WORD
+        low = self.low + start * unit
+        size = size * unit
+        if only is not None:
+            low, size = np.where(only, low, self.low), np.where(only, size, self.range)
+        at = self.at[low > WINDOW] - 1
+        while len(at):  # a word that runs over carries into the one before
+            self.words[at] += np.uint16(1)
+            at = at[self.words[at] == 0] - 1
+        low &= WINDOW
+        move = size < LOWEST
+        self.words[self.at] = (low >> UPPER).astype(np.uint16)  # stays only where the lane moves on
+        self.at += move
+        by = move * WORD
+        self.low, self.range = (low << by) & WINDOW, size << by
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, lane after lane, and how many each lane has."""
+        for _ in range(3):  # the whole window settles the rest
+            self.words[self.at] = (self.low >> UPPER).astype(np.uint16)
+            self.at += 1
+            self.low = (self.low << WORD) & WINDOW
+        counts = self.at - self.base
+        return self.words.reshape(-1, self.room)[np.arange(self.room) < counts[:, None]].astype("<u2"), counts
+
+
+class _Reader:
+    """The same lanes read back: ``off`` is how far the code lies above the window's low end."""
+
+    def __init__(self, words: np.ndarray, firsts: np.ndarray):
+        self.words = np.concatenate([words.astype(np.uint64), np.zeros(4, np.uint64)])
+        self.at = firsts + 3
+        self.off = self.words[firsts] << UPPER | self.words[firsts + 1] << WORD | self.words[firsts + 2]
+        self.range = np.full(len(firsts), WINDOW, np.uint64)
+
+    def place(self, unit: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return np.minimum(off // unit, np.uint64(IDS - 1)).astype(np.uint32)
+
+    def take(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        off, size = self.off - start * unit, size * unit
+        move = size < LOWEST
+        by = move * WORD
+        self.off, self.range = off << by | np.where(move, self.words[self.at], np.uint64(0)), size << by
+        self.at += move
+
+    def take_some(self, k: np.ndarray, unit: np.ndarray, off: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        off, size, at = off - start * unit, size * unit, self.at[k]
+        move = size < LOWEST
+        by = move * WORD
+        self.off[k], self.range[k] = off << by | np.where(move, self.words[at], np.uint64(0)), size << by
+        self.at[k] = at + move
+
+
+def encode_group(ids: np.ndarray) -> list[bytes]:
+    """Codes of blocks of one length, the rows of ``ids``: lanes' word counts, then their words."""
+    blocks, n = ids.shape
+    lanes = lanes_of(n)
+    model, writer = Model(blocks), _Writer(blocks * lanes, -(-n // lanes))
+    base = (np.arange(blocks, dtype=np.uint32) * np.uint32(IDS))[:, None, None]
+    for lo, hi in epochs(n, lanes):
+        part = np.zeros((blocks, hi - lo), np.uint32)
+        part[:, : min(hi, n) - lo] = ids[:, lo:hi]
+        part = part.reshape(blocks, lanes, -1)
+        known = model.look(base, *_before(part))
+        cell, named2, named1 = known[:3]
+        event = np.where(part == named2, np.uint32(0), np.where(part == named1, np.uint32(1), np.uint32(2)))
+        at = (cell + base // np.uint32(IDS) * np.uint32(CELLS)) * np.uint32(4) + event
+        start, size = model.bounds[at], model.bounds[at + np.uint32(1)] - model.bounds[at]
+        missed = event == 2
+        own0, size0 = model.starts[base + part], model.sizes[base + part]
+        new = size0 == 0
+        fresh = model.fresh.astype(np.uint32)[:, None, None]
+        own0, size0 = np.where(new, fresh, own0), np.where(new, np.uint32(IDS) - fresh, size0)
+        by_step = [np.ascontiguousarray(a.reshape(blocks * lanes, -1).T) for a in (start, size, own0, size0, missed, missed & new, part)]
+        some_new = by_step[5].any(1)
+        for t in range(part.shape[2]):
+            writer.put(by_step[0][t], by_step[1][t])
+            writer.put(by_step[2][t], by_step[3][t], by_step[4][t])
+            if some_new[t]:
+                writer.put(by_step[6][t], np.uint64(1), by_step[5][t])
+        if hi < n:
+            model.learn(part, known)
+    words, counts = writer.close()
+    ends = np.cumsum(counts.reshape(blocks, lanes).sum(1))
+    pieces = np.split(words, ends[:-1])
+    return [c.astype("<u4").tobytes() + w.tobytes() for c, w in zip(counts.reshape(blocks, lanes), pieces, strict=True)]
+
+
+def decode_group(codes: list[bytes], n: int) -> np.ndarray:
+    """The ids of blocks of n ids each, a row a block."""
+    blocks, lanes = len(codes), lanes_of(n)
+    counts = np.concatenate([np.frombuffer(c, "<u4", lanes) for c in codes]).astype(np.int64)
+    reader = _Reader(np.concatenate([np.frombuffer(c, "<u2", offset=4 * lanes) for c in codes]), np.cumsum(counts) - counts)
+    model, out = Model(blocks), np.zeros((blocks, n), np.uint32)
+    row = np.repeat(np.arange(blocks, dtype=np.uint32), lanes)
+    base, cells = row * np.uint32(IDS), row * np.uint32(CELLS)
+    for lo, hi in epochs(n, lanes):
+        steps = (hi - lo) // lanes
+        part = np.zeros((steps, blocks * lanes), np.uint32)
+        before, before2 = np.zeros(blocks * lanes, np.uint32), np.zeros(blocks * lanes, np.uint32)
+        fresh = model.fresh.astype(np.uint64)[row]
+        for t in range(steps):
+            cell, named2, named1 = model.look(base, before, before2)[:3]
+            at = (cell + cells) * np.uint32(4)
+            unit = reader.range >> WORD
+            place = reader.place(unit, reader.off)
+            first, second = model.bounds[at + np.uint32(1)], model.bounds[at + np.uint32(2)]
+            wrong2, missed = place >= first, place >= second
+            start = np.where(missed, second, np.where(wrong2, first, np.uint32(0)))
+            end = np.where(missed, np.uint32(IDS), np.where(wrong2, second, first))
+            reader.take(unit, start, end - start)
+            got = np.where(wrong2, named1, named2)
+            k = np.flatnonzero(missed)
+            if len(k):
+                unit, off = reader.range[k] >> WORD, reader.off[k]
+                found = model.slots[base[k] + reader.place(unit, off)]
+                new = found == IDS
+                where = base[k] + np.where(new, np.uint32(0), found)
+                start, size = model.starts[where].astype(np.uint64), model.sizes[where].astype(np.uint64)
+                if new.any():
+                    start, size = np.where(new, fresh[k], start), np.where(new, np.uint64(IDS) - fresh[k], size)
+                    reader.take_some(k, unit, off, start, size)
+                    own = k[new]
+                    unit, off = reader.range[own] >> WORD, reader.off[own]
+                    found[new] = reader.place(unit, off)
+                    reader.take_some(own, unit, off, found[new].astype(np.uint64), np.ones(len(own), np.uint64))
+                else:
+                    reader.take_some(k, unit, off, start, size)
+                got[k] = found
+            part[t] = got
+            before2, before = before, got
+        ids = np.ascontiguousarray(part.T).reshape(blocks, lanes, steps)
+        out[:, lo:hi] = ids.reshape(blocks, -1)[:, : min(hi, n) - lo]
+        if hi < n:
+            model.learn(ids, model.look(base.reshape(blocks, lanes, 1), *_before(ids)))
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The code of each block of at most BLOCK ids."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), int(sizes.max(initial=0))), np.int64)
-    for row, i in enumerate(order):
-        ids[row, : len(blocks[i])] = blocks[i]
-    lanes = _Lanes(len(blocks))
-    before, before2 = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
-    for t in range(ids.shape[1]):
-        k = np.arange(int(np.searchsorted(-sizes, -t, "left")))
-        lanes.step(k, before[k], before2[k], ids[k, t])
-        before2[k], before[k] = before[k], ids[k, t]
-    for word in (32, 16, 0):  # the whole state settles the rest
-        every = np.arange(len(blocks))
-        lanes.out[every, lanes.at] = (lanes.low >> np.uint64(word)).astype(np.uint16)
-        lanes.at += 1
+    """The code of each block of at most BLOCK ids; blocks of one length go together."""
     out: list[bytes] = [b""] * len(blocks)
-    for row, i in enumerate(order):
-        out[i] = lanes.out[row, : lanes.at[row]].tobytes()
+    for own in _alike([len(b) for b in blocks]):
+        for i, code in zip(own, encode_group(np.stack([blocks[i] for i in own])), strict=True):
+            out[i] = code
     return out
 
 
 def decode_blocks(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(codes)), key=lambda i: -sizes[i])
-    length = np.array([sizes[i] for i in order])
-    lanes = _Lanes(len(codes), [codes[i] for i in order])
-    ids = np.zeros((len(codes), int(length.max(initial=0))), np.int64)
-    before, before2 = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-    for t in range(ids.shape[1]):
-        k = np.arange(int(np.searchsorted(-length, -t, "left")))
-        ids[k, t] = lanes.step(k, before[k], before2[k], None)
-        before2[k], before[k] = before[k], ids[k, t]
-    out: list[np.ndarray] = [ids[0, :0]] * len(codes)
-    for row, i in enumerate(order):
-        out[i] = ids[row, : length[row]].astype("<u4")
+    out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(codes)
+    for own in _alike(sizes):
+        for i, ids in zip(own, decode_group([codes[i] for i in own], sizes[own[0]]), strict=True):
+            out[i] = ids.astype("<u4")
     return out
 
 
+def _alike(sizes: list[int]) -> list[list[int]]:
+    """Positions of equal sizes, at most TOGETHER in a list."""
+    by_size: dict[int, list[int]] = {}
+    for i, n in enumerate(sizes):
+        by_size.setdefault(n, []).append(i)
+    return [own[at : at + TOGETHER] for own in by_size.values() for at in range(0, len(own), TOGETHER)]
+
+
 class Tokens:
     """Ids of texts by the tokenizers library.
 
-    No pre-token of the byte-level files spans a single space between two other characters, so what such spaces
-    separate is encoded once and remembered; texts with other runs of spaces go to the library whole.
+    No pre-token of the byte-level files spans a single space, or holds a single newline and more, between two other
+    characters, so what such spaces and newlines separate is encoded once and remembered; texts with other runs of white
+    space go to the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
         self.remembered = remembered
+        names = self.library.get_vocab()
+        self.opens = {}  # before a part: which ids open with it, by the letters that stand for a space and a newline
+        for before, letter in ((" ", "\u0120"), ("\n", "\u010a")):
+            self.opens[before] = np.zeros(max(names.values(), default=0) + 1, bool)
+            self.opens[before][[i for t, i in names.items() if t.startswith(letter)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, bytes] = {}  # texts' first parts
+        self.later: dict[str, bytes] = {}  # others: behind a space, or with the newline they begin with
+        self.bound: set[str] = set()  # parts whose white space may belong to a pre-token
+
+    def learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
+        """``before`` stands before every part: a space, a newline (the parts' own), or nothing."""
+        own = before == "\n"
+        bound = {p for p in parts if not (q := p[own:]) or q[0].isspace() or q[-1].isspace()}
+        self.bound |= bound
+        known.update(dict.fromkeys(bound, b""))
+        fresh = list(parts - bound)
+        if not fresh:
+            return
+        if before:  # all at once: the first token of every part opens with what stands before it
+            (got,) = self.library.encode_batch_fast(["".join(fresh) if own else before + before.join(fresh)], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            starts = np.flatnonzero(self.opens[before][ids])
+            if len(starts) == len(fresh) and starts[0] == 0:
+                raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                known.update((p, raw[i:j]) for p, i, j in zip(fresh, at, at[1:], strict=False))
+                return
+        for part, got in zip(fresh, self.library.encode_batch_fast([part if own else before + part for part in fresh], add_special_tokens=False), strict=True):
+            known[part] = np.array(got.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) for t in texts]
-        fresh = list({c for chunks in cut for c in chunks if c not in self.known})
-        if len(self.known) + len(fresh) > self.remembered:
-            self.known.clear()
-            fresh = list({c for chunks in cut for c in chunks})
-        for chunk, got in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4") for chunks in cut]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        parts = text.split(" ")
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        every = set().union(*(parts[1:] for parts in cut))
+        if len(self.later) + len(every) > self.remembered:
+            self.forget()
+        fresh = every - self.later.keys()
+        lines = {p for p in fresh if p.startswith("\n")}
+        self.learn(self.later, fresh - lines, " ")
+        self.learn(self.later, lines, "\n")
+        self.learn(self.first, {parts[0] for parts in cut} - self.first.keys(), "")
+        return [self.joined(text, parts) for text, parts in zip(texts, cut, strict=True)]
+
+    def joined(self, text: str, parts: list[str]) -> np.ndarray:
         if not text:
-            return []
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return [text]
-        return parts[:1] + [" " + p for p in parts[1:]]
+            return np.zeros(0, "<u4")
+        if not self.bound.isdisjoint(parts):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:])), "<u4")
 
 
 def write(docs: DataFrame, tokenizer_path: str, to: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
     """Writes the blocks as Parquet: part and block number the blocks in id order; ``docs`` lists a block's documents."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         from pyspark import TaskContext
@@ -263,7 +422,7 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, id_col: str = "doc_id",
 
         def texts() -> Iterator[tuple]:
             held = []
-            for key, text in rows:
+            for key, text, _ in rows:
                 held.append((key, text or ""))
                 if len(held) == 32:
                     yield from zip([k for k, _ in held], tokens([t for _, t in held]), strict=True)
@@ -280,13 +439,13 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, id_col: str = "doc_id",
                 size, at = size + take, at + take
                 if size == BLOCK:
                     close()
-                    if len(blocks) == LANES:
+                    if len(blocks) == TOGETHER:
                         yield from flush()
             row += 1
         close()
         yield from flush()
 
-    by_rows(ordered, run, f"part int, block int, n_ids int, crc long, code binary, docs array<struct<row:long,id:{kind},n:int>>").write.parquet(to)
+    by_rows(ordered, run, f"part int, block int, n_ids int, crc long, code binary, docs array<struct<row:long,id:{kind},n:int>>", out=TOGETHER).write.parquet(to)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -308,13 +467,13 @@ def read(spark, path: str) -> DataFrame:
 
         for row in rows:
             held.append(row)
-            if len(held) == LANES:
+            if len(held) == TOGETHER:
                 yield from out()
                 held = []
         if held:
             yield from out()
 
-    pieces = by_rows(files.select("part", "block", "n_ids", "crc", "code", "docs"), run, f"part int, row long, id {kind}, block int, n int, crc long", chunk=64)
+    pieces = by_rows(files.select("part", "block", "n_ids", "crc", "code", "docs"), run, f"part int, row long, id {kind}, block int, n int, crc long", chunk=TOGETHER)
     whole = pieces.groupBy("part", "row").agg(F.first("id").alias("id"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("pieces"))
 
     def joined(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -17,8 +17,8 @@ def crc_of_id(column: Column | str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column.cast("string").cast("binary"))
 
 
-def by_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, chunk: int = 512) -> DataFrame:
-    """Run ``fn`` over the tuples of each partition; rows reach it, and leave it, in bounded Arrow slices."""
+def by_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, chunk: int = 512, out: int = 4096) -> DataFrame:
+    """Run ``fn`` over the tuples of each partition; rows reach it in Arrow slices of ``chunk``, and leave it in batches of ``out``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -35,7 +35,7 @@ def by_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], sch
         for row in fn(rows()):
             held.append(row)
             size += 1
-            if size >= 4096:
+            if size >= out:
                 yield _batch(held, target)
                 held, size = [], 0
         if held:
