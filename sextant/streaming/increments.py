@@ -23,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def late_sessions(new: DataFrame, held: DataFrame, day: str = "d") -> DataFrame:
+    """Rows of ``new`` whose day is not in ``held`` although a later (or the same) day is: they came too late to append."""
+    last = held.agg(F.max(day).alias("_last"))  # one row
+    return new.join(F.broadcast(last), F.col(day) <= F.col("_last")).drop("_last").join(held.select(day).distinct(), day, "left_anti")
+
+
 def append_sessions(new: DataFrame, path: str, batch: int, day: str = "d") -> None:
     """Appends the rows of days later than the table's last one; days that are there already are left alone.
 
@@ -34,7 +40,7 @@ def append_sessions(new: DataFrame, path: str, batch: int, day: str = "d") -> No
         held = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in new.dtypes)}, _batch long").parquet(path).where(F.col("_batch") < batch)
         last = held.agg(F.max(day)).first()[0]
         if last is not None:
-            late = new.where(F.col(day) <= F.lit(last)).select(day).distinct().join(held.select(day).distinct(), day, "left_anti").limit(1).collect()
+            late = late_sessions(new.select(day), held.select(day), day).limit(1).collect()
             if late:
                 raise LateSession(f"session {late[0][0]} is not after {last} and not in the table")
             new = new.where(F.col(day) > F.lit(last))
