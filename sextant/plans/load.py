@@ -1,3 +1,3 @@
 """Importing this module registers every plan."""
 
-from sextant.plans import basics, experiments, formats, increments, panels, relational, reports, signals, slice, studies, timeseries  # noqa: F401
+from sextant.plans import basics, experiments, formats, increments, panels, relational, reports, signals, slice, studies, timeseries, warehouse  # noqa: F401
