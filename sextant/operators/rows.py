@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +59,26 @@ def match_ladder(events: DataFrame, cells: list[tuple[str, DataFrame, list[str]]
 
 
 def decluster(df: DataFrame, keys: list[str], index: str, gap: int, columns: list[str]) -> DataFrame:
-    """Greedy: keep a row only if it is at least ``gap`` after the last row kept.  Order-dependent, so the sorted
-    indices of a key are folded in one JVM expression; a key's index list must fit in a row."""
-    folded = df.groupBy(*keys).agg(F.sort_array(F.collect_set(index)).alias("_all"))
-    kept = folded.select(
-        *keys,
-        F.explode(F.aggregate("_all", F.array().cast("array<long>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= gap), F.concat(acc, F.array(x.cast("long")))).otherwise(acc))).alias(index),
-    )
-    return df.select(*columns).distinct().join(kept, [*keys, index], "left_semi")
+    """Greedy: keep a row only if it is at least ``gap`` after the last row kept; rows of one index stay together.
+
+    Whether a row stays depends on the one kept before, so a key's rows pass one task in order; they stream by, and what
+    is held is the last kept index.  Null keys form a key of their own, rows with a null index are dropped.
+    """
+    ordered = df.select(*columns).where(F.col(index).isNotNull()).distinct().repartition(*keys).sortWithinPartitions(*keys, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, last = None, None
+        for batch in batches:
+            stay = []
+            for *key, i in zip(*(batch.column(c).to_pylist() for c in (*keys, index)), strict=True):
+                if key != open_key:
+                    open_key, last = key, i
+                elif i != last and i - last >= gap:
+                    last = i
+                stay.append(i == last)
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def transitive_roots(edges: DataFrame, child: str, parent: str, rounds: int = 32) -> DataFrame:
@@ -80,6 +95,8 @@ def transitive_roots(edges: DataFrame, child: str, parent: str, rounds: int = 32
         now = step.select("c", F.when(F.col("cyclic"), F.col("c")).otherwise(F.col("p")).alias("p"), "cyclic")
         if step.where("moved AND NOT cyclic").isEmpty():
             break
+    else:
+        raise RuntimeError(f"chains longer than 2 ** {rounds}")
     return now.select(F.col("c").alias(child), F.when(~F.col("cyclic"), F.col("p")).alias("root"))
 
 

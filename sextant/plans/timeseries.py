@@ -166,7 +166,12 @@ def w24(spark, p):
     return T.merge_overlaps(x, ["k"], "s", "e")
 
 
-@register("w25_decluster", None)
+_W25 = f"""WITH RECURSIVE {DEALS_SQL}, {CALENDAR_SQL}, x AS (SELECT DISTINCT security, i, d FROM deals JOIN cal USING (d) WHERE side = 'BUY'),
+kept(security, i) AS (SELECT security, min(i) FROM x GROUP BY 1 UNION ALL SELECT k.security, n.i FROM kept k JOIN LATERAL (SELECT min(x.i) AS i FROM x WHERE x.security = k.security AND x.i >= k.i + 21) n ON n.i IS NOT NULL)
+SELECT security, i, d FROM kept JOIN x USING (security, i)"""
+
+
+@register("w25_decluster", _W25)
 def w25(spark, p):
     """Buys of a security at least 21 sessions after the last one kept."""
     x0 = deals(spark, p)
