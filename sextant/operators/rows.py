@@ -81,6 +81,19 @@ def decluster(df: DataFrame, keys: list[str], index: str, gap: int, columns: lis
     return ordered.mapInArrow(run, ordered.schema)
 
 
+def trailing_distinct(df: DataFrame, keys: list[str], index: str, who: str, span: int) -> DataFrame:
+    """keys, index, n: how many different ``who`` the last ``span`` indices hold, for every index with a row.
+
+    A row counts from its index up to ``span`` on or to the next row of the same ``who``, so the distinct count is a running
+    sum of steps folded to one row an index, and no set is ever held.
+    """
+    b = df.select(*keys, who, index).distinct()
+    following = F.lead(index).over(Window.partitionBy(*keys, who).orderBy(index))
+    steps = F.array(F.struct(F.col(index).alias("at"), F.lit(1).alias("step"), F.lit(1).alias("rows")), F.struct(F.least(F.col(index) + span, following).alias("at"), F.lit(-1).alias("step"), F.lit(0).alias("rows")))
+    day = b.select(*keys, steps.alias("steps")).select(*keys, F.inline("steps")).groupBy(*keys, "at").agg(F.sum("step").alias("step"), F.sum("rows").alias("rows"))
+    return day.withColumn("n", F.sum("step").over(Window.partitionBy(*keys).orderBy("at"))).where("rows > 0").select(*keys, F.col("at").alias(index), "n")
+
+
 def transitive_roots(edges: DataFrame, child: str, parent: str, rounds: int = 32) -> DataFrame:
     """child -> root by path doubling, up to chains of 2**rounds; members of cycles get a null root."""
     from sextant.core.shared import materialise

@@ -129,20 +129,13 @@ def d17(spark, p):
     SELECT strict, security, d, n FROM x JOIN cal USING (i) WHERE n >= 3 AND (before IS NULL OR before < 3 OR i - before_i > 20)""",
 )
 def d20(spark, p):
-    """Distinct buyers of the last 21 sessions; an event is where they reach three.
-
-    A buy counts from its session to the 21st or the same buyer's next one, so the distinct count is a running sum of
-    steps folded to one row a security and session, and no set of buyers is ever held.
-    """
+    """Distinct buyers of the last 21 sessions; an event is where they reach three."""
     x = deals(spark, p)
     cal = calendar(x).select("d", "i")
     bought = x.where("side = 'BUY' AND qty >= 35").join(cal, "d")
-    b = bought.select("security", "participant", "i", F.explode(F.when(F.col("qty") >= 45, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("strict")).distinct()
-    following = F.lead("i").over(Window.partitionBy("security", "strict", "participant").orderBy("i"))
-    steps = F.array(F.struct(F.col("i"), F.lit(1).alias("step"), F.lit(1).alias("buys")), F.struct(F.least(F.col("i") + 21, following).alias("i"), F.lit(-1).alias("step"), F.lit(0).alias("buys")))
-    day = b.select("security", "strict", steps.alias("steps")).select("security", "strict", F.inline("steps")).groupBy("security", "strict", "i").agg(F.sum("step").alias("step"), F.sum("buys").alias("buys"))
+    b = bought.select("security", "participant", "i", F.explode(F.when(F.col("qty") >= 45, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("strict"))
+    n = R.trailing_distinct(b, ["security", "strict"], "i", "participant", 21)
     own = Window.partitionBy("security", "strict").orderBy("i")
-    n = day.withColumn("n", F.sum("step").over(own)).where("buys > 0").select("security", "strict", "i", "n")
     x = n.withColumn("before", F.lag("n").over(own)).withColumn("gap", F.col("i") - F.lag("i").over(own)).where("n >= 3 AND (before IS NULL OR before < 3 OR gap > 20)")
     return x.join(cal, "i").select("strict", "security", "d", "n")
 

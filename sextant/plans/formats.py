@@ -21,31 +21,31 @@ def s02(spark, p):
 
 @register("s04_json_arrays", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def s04(spark, p):
-    """One gzip file per user, every second one in an envelope."""
+    """One gzip file per user and ten thousand event ids at most, every second user's in an envelope."""
     path = new_path(spark, "json")
     rows = F.to_json(F.collect_list(F.struct("event_id", "user_id", "event_type", "value")))
-    by_user = table(spark, p, "events").groupBy("user_id").agg(rows.alias("rows"))
+    by_user = table(spark, p, "events").groupBy("user_id", F.floor(F.col("event_id") / 10000).alias("part")).agg(rows.alias("rows"))
     wrapped = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('{"data": '), F.col("rows"), F.lit("}"))).otherwise(F.col("rows"))
-    by_user.select("user_id", wrapped.alias("value")).write.partitionBy("user_id").option("compression", "gzip").text(path)
+    by_user.select("user_id", "part", wrapped.alias("value")).write.partitionBy("user_id", "part").option("compression", "gzip").text(path)
     record = StructType().add("event_id", LongType()).add("user_id", LongType()).add("event_type", StringType()).add("value", DoubleType())
-    got = S.json_arrays(spark, f"{path}/*", record)
+    got = S.json_arrays(spark, f"{path}/*/*", record)
     return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("user_id").alias("users"))
 
 
 @register(
     "s06_report_files",
-    "WITH k AS (SELECT n_regionkey % 3 AS kind, n_nationkey, n_name FROM nation) SELECT CASE kind WHEN 2 THEN 'PARSE_FAILED' ELSE 'OK' END AS status, count(DISTINCT kind)::BIGINT AS kinds, count(CASE WHEN kind < 2 THEN 1 END) AS n, sum(CASE WHEN kind < 2 THEN n_nationkey END)::BIGINT AS keys FROM k GROUP BY 1",
+    "WITH k AS (SELECT o_orderkey, o_orderkey % 3 AS kind, o_orderkey // 2000 AS part FROM orders) SELECT CASE kind WHEN 2 THEN 'PARSE_FAILED' ELSE 'OK' END AS status, count(DISTINCT (kind, part))::BIGINT AS files, count(CASE WHEN kind < 2 THEN 1 END) AS n, sum(CASE WHEN kind < 2 THEN o_orderkey END)::BIGINT AS keys FROM k GROUP BY 1",
 )
 def s06(spark, p):
-    """Three spellings of a header, one of them without the key column."""
+    """Three spellings of a header, one of them without the key column; a file has 2,000 keys' rows at most."""
     path = new_path(spark, "reports")
-    header = F.when(F.col("kind") == 0, "Nation Key,Name").when(F.col("kind") == 1, "name, KEY ").otherwise("label,title")
-    line = F.when(F.col("kind") == 1, F.concat_ws(",", "n_name", "n_nationkey")).otherwise(F.concat_ws(",", "n_nationkey", "n_name"))
-    k = table(spark, p, "nation").withColumn("kind", F.col("n_regionkey") % 3)
-    k.groupBy("kind").agg(F.concat(header, F.lit("\n"), F.concat_ws("\n", F.collect_list(line))).alias("value")).write.partitionBy("kind").text(path)
-    status, rows = S.report_files(spark, f"{path}/*", {"key": ["nation key", "key"], "name": ["name"]}, ["key", "name"])
+    header = F.when(F.col("kind") == 0, "Order Key,Name").when(F.col("kind") == 1, "name, KEY ").otherwise("label,title")
+    line = F.when(F.col("kind") == 1, F.concat_ws(",", "o_orderstatus", "o_orderkey")).otherwise(F.concat_ws(",", "o_orderkey", "o_orderstatus"))
+    k = table(spark, p, "orders").withColumns({"kind": F.col("o_orderkey") % 3, "part": F.floor(F.col("o_orderkey") / 2000)})
+    k.groupBy("kind", "part").agg(F.concat(header, F.lit("\n"), F.concat_ws("\n", F.collect_list(line))).alias("value")).write.partitionBy("kind", "part").text(path)
+    status, rows = S.report_files(spark, f"{path}/*/*", {"key": ["order key", "key"], "name": ["name"]}, ["key", "name"])
     counted = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("key").try_cast("long")).alias("keys"))
-    return status.join(counted, "file", "left").groupBy("status").agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("keys").alias("keys"))
+    return status.join(counted, "file", "left").groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("keys").alias("keys"))
 
 
 CODES = {"A": "FUTURE", "N": "OPTION_CALL", "R": "OPTION_PUT"}

@@ -17,7 +17,7 @@ SESSION_SCHEMA = "brand string, d date, qty double, value double"
 
 
 def three_files(df, path: str, day: str = "d"):
-    """The rows of three successive spans of days, one file each, written in their order."""
+    """The rows of three successive spans of days, written in their order; a delivery is one file, as the source sends it."""
     for lo, hi in (("1900-01-01", "1997-01-01"), ("1997-01-01", "1999-06-01"), ("1999-06-01", "2100-01-01")):
         df.where((F.col(day) >= lo) & (F.col(day) < hi)).coalesce(1).write.mode("append").parquet(path)
 
@@ -83,7 +83,11 @@ def t08(spark, p):
     return w.groupBy("event_type", F.to_date("start").alias("start")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("t10_stateful_decluster")
+_T10 = f"""WITH RECURSIVE {DEALS_SQL}, x AS (SELECT DISTINCT brand, d FROM deals WHERE side = 'BUY' AND qty >= 40),
+kept(brand, d) AS (SELECT brand, min(d) FROM x GROUP BY 1 UNION ALL SELECT k.brand, n.d FROM kept k JOIN LATERAL (SELECT min(x.d) AS d FROM x WHERE x.brand = k.brand AND x.d >= k.d + 10) n ON n.d IS NOT NULL) SELECT brand, d FROM kept"""
+
+
+@register("t10_stateful_decluster", _T10)
 def t10(spark, p):
     """Sessions of a name kept at least 10 days apart, over three deliveries; the state is the last kept day."""
     source, path, checkpoint = (new_path(spark, w) for w in ("deliveries", "kept", "state"))

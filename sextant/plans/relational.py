@@ -43,7 +43,11 @@ def s08(spark, p):
     return table(spark, p, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count_if(F.col("l_returnflag") == "N").alias("kept"), F.count_if(F.col("l_returnflag") != "N").alias("skipped"))
 
 
-@register("s10_html_rows", None)
+_S10 = """WITH i AS (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS l FROM pages), r AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS k, l FROM i)
+SELECT page_id, CAST(k - 1 AS INT) AS pos, l[k] AS label, last_value(CASE WHEN length(l[k]) > 6 THEN l[k] END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS carried FROM r"""
+
+
+@register("s10_html_rows", _S10)
 def s10(spark, p):
     """List items of every page in order, with the page's number of items so far (carry-down by position)."""
     items = table(spark, p, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<li><a[^>]*>([^<]*)</a></li>"), 1)).alias("pos", "label"))
@@ -195,7 +199,11 @@ def p17(spark, p):
     return w.select("doc_id", F.size("w").cast("long").alias("n_mentions"), role.alias("role"))
 
 
-@register("p18_action_subjects", None)
+_P18 = """WITH s AS (SELECT p_partkey, p_size % 9 + 2 AS face, p_partkey % 2 = 0 AS bonus FROM part)
+SELECT p_partkey, 'SPLIT' AS kind, 1.0::DOUBLE / face AS factor FROM s UNION ALL SELECT p_partkey, CASE WHEN bonus THEN 'BONUS' ELSE 'UNPARSED' END, CASE WHEN bonus THEN 2.0::DOUBLE / 3 END FROM s"""
+
+
+@register("p18_action_subjects", _P18)
 def p18(spark, p):
     """Split, bonus and unparsed actions out of one subject line, with their price factor."""
     subject = F.concat(F.lit("Split Rs."), (F.col("p_size") % 9 + 2).cast("string"), F.lit("/- To Rs.1/- "), F.when(F.col("p_partkey") % 2 == 0, "And Bonus 1:2").otherwise("And Scheme"))
@@ -355,12 +363,15 @@ def a12(spark, p):
     return table(spark, p, "part").groupBy("p_brand").agg(r6(F.product(1 + F.col("p_size") / 10000.0), "factor"))
 
 
-@register("a13_checksum", None)
+_A13 = "WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 8) AS BIGINT) AS h FROM orders) SELECT bit_xor(h) AS xor, sum(h)::BIGINT AS total, count(*) AS n FROM h"
+
+
+@register("a13_checksum", _A13)
 def a13(spark, p):
-    """Order-free content checksum of a table: three aggregates over row hashes."""
-    x = table(spark, p, "orders")
-    h = F.xxhash64(*x.columns)
-    return x.agg(F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(10**9 + 7))).alias("total"), F.count(F.lit(1)).alias("n"))
+    """Order-free content checksum of a table: three aggregates over 32 bits of each row's md5."""
+    row = F.concat_ws("|", *(F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
+    h = F.conv(F.substring(F.md5(row.cast("binary")), 1, 8), 16, 10).cast("long")
+    return table(spark, p, "orders").agg(F.bit_xor(h).alias("xor"), F.sum(h).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 @register("a15_majority_vote", f"{D}, c AS (SELECT security, kind, count(*) AS n FROM deals GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY security ORDER BY n DESC, kind) AS rn, sum(n) OVER (PARTITION BY security) AS total, lead(n) OVER (PARTITION BY security ORDER BY n DESC, kind) AS second FROM c) SELECT security, CASE WHEN n = second THEN NULL ELSE kind END AS label, round(n / total, 6) AS share FROM r WHERE rn = 1")
@@ -424,7 +435,9 @@ def a30(spark, p):
 
 @register("a31_first_six", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT upper(trim(p_name))))[1:6], ' ') AS names FROM part GROUP BY 1")
 def a31(spark, p):
-    return table(spark, p, "part").groupBy("p_brand").agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.upper(F.trim("p_name")))), 1, 6), " ").alias("names"))
+    """Only a brand's first six names are ever brought together."""
+    names = table(spark, p, "part").select("p_brand", F.upper(F.trim("p_name")).alias("name")).distinct()
+    return R.top(names, ["p_brand"], ["name"], 6).groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names"))
 
 
 # ---- sorts, sets, functions ----------------------------------------------------------------------------------------

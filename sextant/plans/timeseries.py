@@ -142,9 +142,9 @@ def w09(spark, p):
 def w14(spark, p):
     """Distinct buyers in 21 sessions, reported at the crossing of three, not while above it."""
     x0 = deals(spark, p)
-    x = x0.where("side = 'BUY' AND qty > 30").join(F.broadcast(calendar(x0).select("d", "i")), "d").groupBy("security", F.col("i").cast("long").alias("i")).agg(F.collect_set("participant").alias("who"))
+    x = x0.where("side = 'BUY' AND qty > 30").join(F.broadcast(calendar(x0).select("d", F.col("i").cast("long").alias("i"))), "d")
+    n = R.trailing_distinct(x, ["security"], "i", "participant", 21)
     over = Window.partitionBy("security").orderBy("i")
-    n = x.withColumn("n", F.size(F.array_distinct(F.flatten(F.collect_list("who").over(over.rangeBetween(-20, 0))))).cast("long"))
     return n.withColumn("prev", F.lag("n").over(over)).where("n >= 3 AND (prev IS NULL OR prev < 3)").select("security", "i", "n")
 
 
