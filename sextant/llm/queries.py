@@ -29,7 +29,7 @@ def quality_network(docs: DataFrame, labels: DataFrame) -> quality.Network | Non
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = quality.score(docs, quality_network(docs, _read(spark, sf_dir, "labels")))
-    held_out = F.pmod(crc_of_id("doc_id"), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(crc_of_id("doc_id"), F.lit(5)) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -75,8 +75,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    held_out = F.pmod(crc_of_id("doc_id"), F.lit(7)) == 2
-    model = lm.train(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(F.pmod(crc_of_id("doc_id"), F.lit(7)) == 2, F.lit(False))
+    model = lm.train(docs.where(~held_out))
     return lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

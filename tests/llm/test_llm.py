@@ -127,14 +127,6 @@ def test_stages_keep_whole_rows_without_ids(spark, docs):
     assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {None, 1, 4, 5, 6, 7, 8}
 
 
-def test_lm(spark, docs):
-    model = lm.train(docs, head=5, model_words=3, classes=4)
-    got = lm.score(docs, model).collect()
-    assert len(got) == 10 and all(r.n_known == r.n_tokens for r in got)
-    assert np.allclose((10**model.table).sum(1), 1)
-    assert lm.score(docs, lm.train(docs.limit(0), head=5, model_words=3, classes=4)).count() == 10
-
-
 def test_jaccard_pairs_inside_a_hot_passage_equal_brute_force(spark):
     """Pairs of near copies at just over the threshold, in texts that share a passage: buckets split to the last depth."""
     rng = random.Random(4)
