@@ -31,5 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(),
             "edges",
         )
+    else:
+        raise RuntimeError(f"components not found after {rounds} steps")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
