@@ -161,6 +161,8 @@ def x05(spark, p):
         if step.isEmpty():
             break
         found = found.unionByName(step)
+    else:
+        raise RuntimeError("a lineage of more than 63 steps")
     return found.groupBy("child").agg(F.count(F.lit(1)).alias("ancestors"), F.min("parent").alias("oldest"), F.max("steps").alias("depth"))
 
 
