@@ -9,7 +9,7 @@ boilerplate, so blocks whose own evidence is weak go with their neighbours.
 
 The text weights are fitted (``fit``): blocks that lie in an ``article`` or in a ``nav``, ``footer``, ``aside``, ``header`` or
 ``form`` label themselves, and a logistic regression, held near PRIOR by a ridge, learns from their text features alone.  It
-sees at most ``sample`` pages, those of least hash of the id, and 64 blocks a page (documented bounds of the fit); extraction
+sees at most ``sample`` pages, those of least hash of the id (one for each id), and 64 blocks a page (documented bounds of the fit); extraction
 covers every block of every page.
 
 Pages are handled one by one in tasks; memory is that of one page, and reading it is linear in its length.  Defined results:
@@ -28,9 +28,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sextant.llm.words import by_rows
+from sextant.llm.words import by_rows, least_hashed
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
@@ -337,7 +336,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int =
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 1000, per_page: int = 64) -> np.ndarray:
     """Text weights from the blocks of a bounded sample of pages whose place labels them."""
-    chosen = pages.select(id_col, html_col).orderBy(F.xxhash64(id_col, html_col)).limit(sample).repartition(8)
+    chosen = least_hashed(pages.select(id_col, html_col), [id_col], sample).repartition(8)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, page in rows:

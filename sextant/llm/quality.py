@@ -2,33 +2,72 @@
 
 Trusted positives P and unlabelled rows U give the unbiased risk  pi*R_P(+) + R_U(-) - pi*R_P(-).  Its last two terms
 estimate the risk on negatives, which can't be below zero; when a step finds them below zero, the step ascends on them
-instead (Kiryo et al. 2017).  The class prior pi is estimated: from trusted labels of both classes where there are
-some, else as the smallest ratio of unlabelled to positive mass over a histogram of the scores' first principal axis.
-
-Bounds: the network is fitted on the driver on at most ``max_positive`` + ``max_unlabelled`` rows of FEATURES floats,
-chosen by the smallest hash of the id; every row of the table is scored on the executors from its whole text.
-
-Defined results: null or empty texts get the score of an empty text; repeated rows get equal scores; without any
-positive all scores are 0.5; labels with a null id or null label are ignored; extra columns are ignored.
+instead (Kiryo et al. 2017).  The class prior pi is estimated from P and U alone, as the smallest ratio of unlabelled to
+positive mass over bins of the direction between their means.
+
+What the network sees of a text is its shape (lengths, repeats, symbols, capitals) and its content: the mean, over its words, of
+the log ratio of the word's share in P to that in U, words being hashed to BUCKETS.  Ratios are counted in two halves of the
+sample, and a row of either half is scored by the other half's while the network is trained, so that no row's own words speak
+for it; later texts get the mean of both.
+
+Bounds: ratios and network are fitted on at most ``max_positive`` + ``max_unlabelled`` rows, chosen by the smallest hash of the
+id; their texts stay on the executors, and what reaches the driver is a row of FEATURES floats each and four tables of BUCKETS
+counts.  Every row of the table is scored on the executors from its whole text.
+
+Defined results: null or empty texts get the score of an empty text; very long texts are read whole; repeated rows get equal
+scores, and an id that repeats with different texts counts in the sample with each of them once; without any positive or any
+unlabelled row all scores are 0.5; an empty table gives no rows; labels with a null id or null label are ignored; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise
 from sextant.llm.rules import measure
 from sextant.llm.words import beside, by_rows
 
-FEATURES = 14
+FEATURES = 15
+BUCKETS = 4096
+
+
+class _Buckets(dict):
+    """Word -> bucket of its lower-case form, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = got = zlib.crc32(word.lower()) % BUCKETS
+        return got
+
+
+_buckets = _Buckets()
 
 
-def features(text: str | None) -> list[float]:
-    """Language-free shape of a text; nothing but the text goes in."""
+def buckets(text: str | None) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
+
+
+def log_ratios(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Per bucket the log of the ratio of its shares, drawn to 0 where it was rarely seen."""
+    if not positive.sum() or not unlabelled.sum():
+        return np.zeros(BUCKETS)
+    p, u = positive / positive.sum(), unlabelled / unlabelled.sum()
+    prior = 20 * (positive + unlabelled + 1) / (positive + unlabelled + 1).sum()
+    flat = 2.0 / max(1.0, min(positive.sum(), unlabelled.sum()))
+    return np.log((p + flat) / (u + flat)) * (positive + unlabelled) / (positive + unlabelled + prior + 20)
+
+
+def features(text: str | None, ratios: np.ndarray) -> list[float]:
+    """Shape and content of a text; nothing but the text goes in."""
     n, chars, symbols, dup_lines, repeated, lines, capitals, bangs = measure(text)
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -51,6 +90,7 @@ def features(text: str | None) -> list[float]:
         2 * lone / w,
         math.log1p(n) * distinct / w / 4,
         1.0 if n < 5 else 0.0,
+        3 * float(ratios[buckets(text)].mean()) if n else 0.0,
     ]
 
 
@@ -61,6 +101,7 @@ class Network:
         rng = np.random.default_rng(seed)
         self.w = [rng.normal(0, 1 / math.sqrt(size), (size, hidden)), np.zeros(hidden), rng.normal(0, 1 / math.sqrt(hidden), (hidden, 1)), np.zeros(1)]
         self.mean, self.scale = np.zeros(size), np.ones(size)
+        self.ratios = np.zeros(BUCKETS)
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
@@ -104,14 +145,19 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: i
 
 
 def prior_without_negatives(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 10) -> float:
-    """Smallest unlabelled-to-positive mass ratio over quantile bins of the direction between the two means."""
+    """Smallest unlabelled-to-positive mass ratio over quantile bins of the direction between the two means, each ratio raised by
+    its standard error, since the smallest of noisy ratios lies too low; fewer bins for few positives."""
     both = np.concatenate([positive, unlabelled])
     axis = (positive.mean(0) - unlabelled.mean(0)) / (both.std(0) + 1e-6)
     a, b = positive @ axis, unlabelled @ axis
+    bins = max(2, min(bins, len(a) // 40))
     cuts = np.quantile(a, np.linspace(0, 1, bins + 1)[1:-1])
-    pa = np.bincount(np.searchsorted(cuts, a), minlength=bins) / len(a)
-    pb = np.bincount(np.searchsorted(cuts, b), minlength=bins) / len(b)
-    return float(np.clip((pb[pa > 0.02] / pa[pa > 0.02]).min(), 0.05, 0.95))
+    na, nb = (np.bincount(np.searchsorted(cuts, x), minlength=bins) for x in (a, b))
+    seen = (na > 0.02 * len(a)) & (nb > 0)
+    if not seen.any():
+        return 0.5
+    ratio = (nb[seen] / len(b)) / (na[seen] / len(a))
+    return float(np.clip((ratio * (1 + np.sqrt(1 / na[seen] + 1 / nb[seen]))).min(), 0.05, 0.95))
 
 
 def _sample(ids: DataFrame, bound: int, id_col: str) -> DataFrame:
@@ -122,19 +168,34 @@ def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: f
     """``positives`` and ``unlabelled`` hold ids; the bounded samples' texts are turned to features on the executors."""
     chosen = _sample(positives.select(id_col), max_positive, id_col).withColumn("_side", F.lit(1))
     chosen = chosen.unionByName(_sample(unlabelled.select(id_col), max_unlabelled, id_col).withColumn("_side", F.lit(0)))
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)
+    half = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(2)).cast("int")
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)  # chosen: the bounded ids
+    texts = materialise(texts.select("_side", half.alias("_half"), "_text").distinct().repartition(8), "sample")
+
+    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
+        total = np.zeros((2, 2, BUCKETS), np.int64)
+        for side, part, text in rows:
+            total[side, part] += np.bincount(buckets(text), minlength=BUCKETS)
+        return ((i, n) for i, n in enumerate(total.ravel().tolist()) if n)
+
+    counts = np.zeros(4 * BUCKETS)
+    for r in by_rows(texts, count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # at most 4 * BUCKETS rows
+        counts[r.i] = r.n
+    unlabelled_counts, positive_counts = counts.reshape(2, 2, BUCKETS)
+    ratios = np.stack([log_ratios(positive_counts[k], unlabelled_counts[k]) for k in (0, 1)])
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, text, side in rows:
-            yield str(key), side, features(text)
+        for side, part, text in rows:
+            yield side, features(text, ratios[1 - part])
 
-    got = by_rows(texts.select(id_col, "_text", "_side"), run, "id string, side int, x array<double>").dropDuplicates(["id", "side"]).collect()
-    got.sort(key=lambda r: (r.side, r.id))
+    got = sorted(by_rows(texts, run, "side int, x array<double>").collect())
     p = np.array([r.x for r in got if r.side == 1]).reshape(-1, FEATURES)
     u = np.array([r.x for r in got if r.side == 0]).reshape(-1, FEATURES)
     if not len(p) or not len(u):
         return None
-    return fit_pu(p, u, prior if prior is not None else prior_without_negatives(p, u))
+    net = fit_pu(p, u, prior if prior is not None else prior_without_negatives(p, u))
+    net.ratios = ratios.mean(0)
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +206,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
         keys, xs = [], []
         for key, text in rows:
             keys.append(key)
-            xs.append(features(text))
+            xs.append(features(text, np.zeros(BUCKETS) if net is None else net.ratios))
             if len(keys) == 256:
                 yield from emit(keys, xs)
                 keys, xs = [], []
@@ -163,12 +224,6 @@ def keep(docs: DataFrame, net: Network | None, at: float, text_col: str = "text"
     """The rows scored ``at`` or more, all columns; ids play no part."""
 
     def scores(texts: list[str | None]) -> list[tuple]:
-        return [(0.5,)] * len(texts) if net is None else [(float(x),) for x in net.score(np.array([features(t) for t in texts]))]
+        return [(0.5,)] * len(texts) if net is None else [(float(x),) for x in net.score(np.array([features(t, net.ratios) for t in texts]))]
 
     return beside(docs, text_col, scores, "score double").where(F.col("score") >= at).select("_row.*")
-
-
-def estimated_prior(labels: DataFrame, label_col: str = "quality") -> float | None:
-    """Share of positives among trusted labels; None if only one class was labelled."""
-    row = labels.agg(F.avg(label_col).alias("p"), F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).first()
-    return None if row.p is None or row.lo == row.hi else float(min(max(row.p, 0.05), 0.95))

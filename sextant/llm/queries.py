@@ -23,7 +23,7 @@ def quality_network(docs: DataFrame, labels: DataFrame) -> quality.Network | Non
     trusted = labels.where((F.pmod(crc_of_id("doc_id"), F.lit(5)) != 0) & F.col("quality").isNotNull())
     positives = trusted.where("quality = 1").select("doc_id")
     pool = docs.where(F.pmod(crc_of_id("doc_id"), F.lit(5)) != 0).select("doc_id")
-    return quality.train(docs, positives, pool, quality.estimated_prior(trusted))
+    return quality.train(docs, positives, pool)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,5 +67,16 @@ def beside(df: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[t
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *derived.fields]))
 
 
+def least_hashed(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """A bounded sample: at most ``n`` rows, those of least hash of ``by``, one for each hash.  Only hashes are ordered; other
+    columns are read of the chosen rows alone."""
+    h = F.xxhash64(*by)
+    last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if last is None:
+        return df.limit(0)
+    chosen = df.where(h <= last).groupBy(h.alias("_h")).agg(F.first(F.struct(*df.columns)).alias("_row"))
+    return chosen.orderBy("_h").limit(n).select("_row.*")
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
