@@ -194,7 +194,7 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def candidate_links(sets: DataFrame, threshold: float, limit: int, hot: int = 5_000) -> DataFrame:
+def candidate_links(sets: DataFrame, threshold: float, limit: int, hot: int = 1_000) -> DataFrame:
     """Candidate links between representatives (set, tokens, sketch) from all runs.
 
     Buckets of more than ``hot`` rows are found by counting and never dealt by their key: they split (or meet their
