@@ -30,9 +30,40 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sextant-{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def expire(spark: SparkSession, hours: float = 24.0) -> list[str]:
+    """Deletes the intermediates of runs that ended: those in the shared folder that are older than ``hours``.
+
+    A result is lazy and reads its intermediates until it is written, so they can't go by themselves; call this between runs.
+    """
+    import time
+
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    before, gone = (time.time() - 3600 * hours) * 1000, []
+    for status in files.listStatus(top) if files.exists(top) else []:
+        if status.getPath().getName().startswith("sextant-") and status.getModificationTime() < before:
+            files.delete(status.getPath(), True)
+            gone.append(status.getPath().getName())
+    return gone
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later stages restart from the files."""
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sextant_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes what ``materialise`` wrote for ``df``; for steps whose result has been written itself."""
+    if path := getattr(df, "_sextant_path", None):
+        remove(df.sparkSession, path)
