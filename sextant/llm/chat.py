@@ -11,7 +11,10 @@ messages open the conversation) is rendered in windows of ``window`` turns, whic
 and memory per turn.
 
 Defined results: null texts and roles count as empty; a null conversation id is a conversation of its own; turns are
-ordered by (turn, role, text), nulls first, so ties and repeated rows have one order; extra columns are ignored.
+ordered by (turn, role, text), nulls first, so ties and repeated rows have one order; very long texts stay whole; an empty
+table has no conversations; columns beside conv_id, turn, role and text are ignored, whatever their names.
+
+A conversation's turns are rendered in their order, so one conversation is one task's work, however long; its rows stream by.
 """
 
 from __future__ import annotations
@@ -40,6 +43,11 @@ def escape(text: str) -> str:
     return _CONTROL.sub(r"\g<0>\\", text.replace("\\", "\\\\"))
 
 
+def escape_role(role: str) -> str:
+    """Besides, every bar that isn't behind a backslash of an escape gets one, since a bar ends the role."""
+    return re.sub(r"(\\.)|\|", lambda m: m[1] or r"\|", escape(role), flags=re.S)
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
@@ -47,7 +55,7 @@ def unescape(text: str) -> str:
 def turn_marks(messages: list[Message], opening: bool = True) -> str:
     """The default template: one marked block a turn, texts and roles escaped."""
     head = "<|begin|>\n" if opening else ""
-    return head + "".join(f"<|turn:{escape(r).replace('|', chr(92) + '|')}|>\n{escape(t)}<|end|>\n" for r, t in messages)
+    return head + "".join(f"<|turn:{escape_role(r)}|>\n{escape(t)}<|end|>\n" for r, t in messages)
 
 
 turn_marks.turn_local = True

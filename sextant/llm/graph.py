@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.core.shared import materialise
+from sextant.core.shared import materialise, release
 
 
 @contextmanager
@@ -44,10 +44,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         with split_skew(edges.sparkSession):
-            now = materialise(
+            step = materialise(
                 small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(),
                 "edges",
             )
+        release(now)  # only the newest edges are read from here on
+        now = step
     else:
         raise RuntimeError(f"components not found after {rounds} steps")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

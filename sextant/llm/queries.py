@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise
 from sextant.llm import bpe, chat, coder, decontaminate, html, jaccard, lm, quality, rules, urls
 from sextant.llm.words import crc_of_id
 
@@ -39,7 +40,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.ledger(_read(spark, sf_dir, "documents"))
+    rows = materialise(rules.ledger(_read(spark, sf_dir, "documents")), "ledger")  # from here on no text is read
     rows = rules.apply_policy(rules.apply_policy(rows, rules.BASE, to="base_ok"), rules.POLICIES[rules.CURRENT])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), (F.col("base_ok") & F.col("kept")).alias("kept"), "failures")
 

@@ -5,8 +5,8 @@ policy is a version and a mask over those bits, so changing a policy, or asking
 ledger and never the texts again.
 
 Defined results: a null or empty text has no words, all measurements are 0 and the ``min_words`` bit is set; repeated
-rows give repeated ledger rows; other input columns are ignored, whatever their names; an empty table gives an empty
-ledger.  The id column may be null and is passed through.
+rows give repeated ledger rows; very long texts are measured whole; other input columns are ignored, whatever their names;
+an empty table gives an empty ledger.  The id column may be null and is passed through.
 """
 
 from __future__ import annotations
@@ -112,13 +112,14 @@ def ablations(rows: DataFrame, policies: dict[int, tuple[str, ...]] = POLICIES,
     by the number of patterns and not by the number of documents.
     """
     spark = rows.sparkSession
-    patterns = rows.groupBy("failures").agg(F.count(F.lit(1)).alias("n"))
+    none = spark.createDataFrame([(0, 0)], "failures long, n long")  # so that an empty ledger has its zeros
+    patterns = rows.groupBy("failures").agg(F.count(F.lit(1)).alias("n")).select("failures", "n").unionByName(none)
     table = [(v, r.name, mask_of(names, rules), 1 << i) for v, names in policies.items() for i, r in enumerate(rules) if r.name in names]
-    masks = F.broadcast(spark.createDataFrame(table, "version int, rule string, mask long, bit long"))
+    masks = F.broadcast(spark.createDataFrame(table, "version int, rule string, mask long, bit long"))  # a row a policy and rule
     hit = F.col("failures").bitwiseAND(F.col("mask"))
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     return (
-        masks.join(patterns, F.col("failures") >= 0, "left")
+        patterns.crossJoin(masks)  # bit patterns times policies' rules, both bounded by the rules
         .groupBy("version", "rule")
         .agg(
             count(F.col("failures").bitwiseAND(F.col("bit")) != 0).alias("n_failing"),
