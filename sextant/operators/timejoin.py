@@ -31,8 +31,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     return out.select("_l.*", *(F.col("_got")[c].alias(c) for c in carried))
 
 
-def interval_join(left: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str = "valid_from", end: str = "valid_to", closed: bool = False, how: str = "left") -> DataFrame:
-    """Rows with the spans of their key that hold at their time; a null end is open.  Half-open unless ``closed``."""
+def interval_join(left: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str = "valid_from", end: str = "valid_to", closed: bool = False, how: str = "left", disjoint: bool = False) -> DataFrame:
+    """Rows with the spans of their key that hold at their time; a null end is open.  Half-open unless ``closed``.
+
+    Where a key's spans are ``disjoint`` (validity histories), the last one started is the only one that can hold, so it is
+    carried along one sort and rows are never paired with the other spans of their key.
+    """
+    if disjoint:
+        got = asof_join(left.withColumn("_at", F.col(at)), spans.withColumn("_from", F.col(start)), keys, "_at", "_from")
+        inside = F.col("_from").isNotNull() & (F.col(end).isNull() | ((F.col("_at") <= F.col(end)) if closed else (F.col("_at") < F.col(end))))
+        carried = [c for c in spans.columns if c not in keys]
+        out = got.select(*left.columns, *(F.when(inside, F.col(c)).alias(c) for c in carried), inside.alias("_inside"))
+        return (out.where("_inside") if how == "inner" else out).drop("_inside")
     right = spans.select(*(F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in spans.columns))
     on = [F.col(c) == F.col(f"_k_{c}") for c in keys]
     upper = F.col(at) <= F.col(end) if closed else F.col(at) < F.col(end)
@@ -61,15 +71,37 @@ def merge_overlaps(spans: DataFrame, keys: list[str], start: str, end: str) -> D
 
 
 def nearest_span(rows: DataFrame, spans: DataFrame, keys: list[str], row_id: list[str], at: str, span_id: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Point-in-time resolution: the covering span, else the nearest by days, ties by id.
+    """Point-in-time resolution: the covering span, else the nearest by days, ties by id.  Ends belong to their span.
+
+    ``confidence`` is HIGH for one covering span, LOW for several, MEDIUM for the nearest of a known key, UNRESOLVED for an
+    unknown key (or a row without a time).
 
-    ``confidence`` is HIGH for one covering span, LOW for several, MEDIUM for the nearest of a known key, UNRESOLVED
-    for an unknown key.
+    Starts, rows and ends are sorted together once per key.  Running counts of starts and ends tell how many spans cover a row;
+    the one of latest end among those started is the covering one if there is one, and the last end before and the first start
+    after are the nearest if there is none.  Only rows that several spans cover are paired with spans.
     """
-    right = spans.select(*(F.col(c).alias(f"_k_{c}") for c in keys), span_id, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    joined = rows.join(right, [F.col(c) == F.col(f"_k_{c}") for c in keys], "left")
-    gap = F.when(F.col("_s").isNull(), None).when(F.col(at) < F.col("_s"), F.datediff("_s", at)).when(F.col("_e").isNotNull() & (F.col(at) > F.col("_e")), F.datediff(at, "_e")).otherwise(0)
-    over = Window.partitionBy(*row_id)
-    ranked = joined.withColumn("gap_days", gap).withColumn("n_valid", F.sum(F.when(F.col("gap_days") == 0, 1).otherwise(0)).over(over)).withColumn("_rn", F.row_number().over(over.orderBy("gap_days", span_id)))
-    confidence = F.when(F.col(span_id).isNull(), "UNRESOLVED").when(F.col("n_valid") == 1, "HIGH").when(F.col("n_valid") > 1, "LOW").otherwise("MEDIUM")
-    return ranked.where("_rn = 1").select(*rows.columns, span_id, "gap_days", confidence.alias("confidence"))
+    known = spans.where(F.col(start).isNotNull()).select(*keys, F.col(span_id).alias("_i"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    starts = known.groupBy(*keys, F.col("_s").alias("_t")).agg(F.count(F.lit(1)).alias("_opened"), F.min("_i").alias("_start_id"), F.max(F.struct(F.col("_e").isNull().alias("open"), F.col("_e").alias("e"), F.col("_i").alias("i"))).alias("_top")).withColumn("_side", F.lit(0))
+    ends = known.where("_e IS NOT NULL").groupBy(*keys, F.col("_e").alias("_t")).agg(F.count(F.lit(1)).alias("_closed"), F.min("_i").alias("_end_id")).withColumn("_side", F.lit(2))
+    asked = rows.select(*keys, F.col(at).alias("_t"), F.struct(*rows.columns).alias("_row"), F.lit(1).alias("_side"))
+    every = asked.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("_t", "_side")
+    upto, on, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*keys)
+    last_end = F.last(F.when(F.col("_side") == 2, F.struct(F.col("_t").alias("t"), F.col("_end_id").alias("i"))), ignorenulls=True)
+    next_start = F.first(F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_start_id").alias("i"))), ignorenulls=True)
+    seen = every.withColumns({
+        "n_valid": F.coalesce(F.sum("_opened").over(upto), F.lit(0)) - F.coalesce(F.sum("_closed").over(upto), F.lit(0)),
+        "_covering": F.max("_top").over(upto)["i"], "_before": last_end.over(upto), "_after": next_start.over(on), "_known": F.count("_opened").over(whole) > 0,
+    }).where("_side = 1")
+    back, ahead = F.datediff("_t", F.col("_before.t")), F.datediff(F.col("_after.t"), "_t")
+    nearest = F.least(F.struct(F.coalesce(back, F.lit(2**31 - 1)).alias("gap"), F.col("_before.i").alias("i")), F.struct(F.coalesce(ahead, F.lit(2**31 - 1)).alias("gap"), F.col("_after.i").alias("i")))
+    timed = F.col("_t").isNotNull() & F.col("_known")
+    one = seen.where(~timed | (F.col("n_valid") <= 1)).select(
+        "_row", F.when(timed, F.when(F.col("n_valid") == 1, F.col("_covering")).otherwise(nearest["i"])).alias(span_id), F.when(timed, F.when(F.col("n_valid") == 1, 0).otherwise(nearest["gap"])).alias("gap_days"),
+        F.when(~timed, "UNRESOLVED").when(F.col("n_valid") == 1, "HIGH").otherwise("MEDIUM").alias("confidence"),
+    )
+    several = seen.where(timed & (F.col("n_valid") > 1)).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_t", "_row").withColumn("_n", F.monotonically_increasing_id())
+    on_key = [F.col(f"_k_{k}").eqNullSafe(F.col(k)) for k in keys]
+    held = several.join(known, [*on_key, F.col("_t") >= F.col("_s"), F.col("_e").isNull() | (F.col("_t") <= F.col("_e"))])
+    many = held.groupBy("_n").agg(F.first("_row").alias("_row"), F.min("_i").alias(span_id)).select("_row", span_id, F.lit(0).alias("gap_days"), F.lit("LOW").alias("confidence"))
+    return one.unionByName(many).select("_row.*", span_id, "gap_days", "confidence")

@@ -67,7 +67,7 @@ def validity(spark, p):
 @register("j11_validity_join", f"{D}, {_VALID}, q AS (SELECT DISTINCT participant AS k, d FROM deals) SELECT q.k, d, vid FROM q LEFT JOIN v ON q.k = v.k AND d >= valid_from AND (valid_to IS NULL OR d < valid_to)")
 def j11(spark, p):
     q = deals(spark, p).select(F.col("participant").alias("k"), "d").distinct()
-    return T.interval_join(q, validity(spark, p), ["k"], "d").select("k", "d", "vid")
+    return T.interval_join(q, validity(spark, p).where("valid_to IS NULL OR valid_from < valid_to"), ["k"], "d", disjoint=True).select("k", "d", "vid")
 
 
 @register("j12_nearest_interval", f"{D}, {_VALID}, q AS (SELECT DISTINCT participant AS k, d FROM deals), g AS (SELECT q.k, d, vid, CASE WHEN valid_from IS NULL THEN NULL WHEN d < valid_from THEN date_diff('day', d, valid_from) WHEN valid_to IS NOT NULL AND d > valid_to THEN date_diff('day', valid_to, d) ELSE 0 END AS gap FROM q LEFT JOIN v ON q.k = v.k), r AS (SELECT *, sum(CASE WHEN gap = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k, d) AS nv, row_number() OVER (PARTITION BY k, d ORDER BY gap NULLS FIRST, vid) AS rn FROM g) SELECT k, d, vid, CAST(gap AS INTEGER) AS gap_days, CASE WHEN vid IS NULL THEN 'UNRESOLVED' WHEN nv = 1 THEN 'HIGH' WHEN nv > 1 THEN 'LOW' ELSE 'MEDIUM' END AS confidence FROM r WHERE rn = 1")
@@ -76,11 +76,11 @@ def j12(spark, p):
     return T.nearest_span(q, validity(spark, p), ["k"], ["k", "d"], "d", "vid")
 
 
-@register("j14_five_session_round_trip", f"{C}, x AS (SELECT DISTINCT participant % 50 AS a, security % 20 AS s, side, i FROM deals JOIN cal USING (d)) SELECT DISTINCT a, s, side, i FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.a = x.a AND y.s = x.s AND y.side <> x.side AND y.i <> x.i AND abs(y.i - x.i) <= 5)")
+@register("j14_five_session_round_trip", f"{C}, x AS (SELECT DISTINCT participant AS a, brand AS s, side, i FROM deals JOIN cal USING (d)) SELECT DISTINCT a, s, side, i FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.a = x.a AND y.s = x.s AND y.side <> x.side AND y.i <> x.i AND abs(y.i - x.i) <= 5)")
 def j14(spark, p):
     """Band self-join as a window over the session index: the nearest opposite deals on both sides."""
     x0 = deals(spark, p)
-    x = x0.join(F.broadcast(calendar(x0).select("d", "i")), "d").select((F.col("participant") % 50).alias("a"), (F.col("security") % 20).alias("s"), "side", F.col("i").cast("long").alias("i")).distinct()
+    x = x0.join(F.broadcast(calendar(x0).select("d", "i")), "d").select(F.col("participant").alias("a"), F.col("brand").alias("s"), "side", F.col("i").cast("long").alias("i")).distinct()
     over = Window.partitionBy("a", "s").orderBy("i")
     near = lambda lo, hi: F.collect_set("side").over(over.rangeBetween(lo, hi))
     other = F.when(F.col("side") == "BUY", "SELL").otherwise("BUY")
