@@ -87,18 +87,18 @@ def d15(spark, p):
 @register(
     "d16_outcome_variants",
     f"""{B}, {EVENTS_SQL}, hs AS (SELECT unnest([{', '.join(map(str, HORIZONS))}]) AS h), rs AS (SELECT unnest([0.0, 0.5, 1.0]) AS recovery),
-    x AS (SELECT id, d, h, lead(open, 1) OVER w AS entry, lead(close, h) OVER w AS leave, last_value(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_close FROM bars, hs WINDOW w AS (PARTITION BY id, h ORDER BY d))
-    SELECT h, recovery, count(*) AS n, count(*) FILTER (leave IS NULL) AS stopped, round(avg(coalesce(leave, recovery * last_close) / entry - 1), 6) AS gross, round(avg(coalesce(leave, recovery * last_close) / entry - 1 - {COST}), 6) AS net FROM e JOIN x USING (id, d), rs WHERE entry IS NOT NULL GROUP BY ALL""",
+    x AS (SELECT id, d, h, lead(open, 1) OVER w AS entry, lead(close, h) OVER w AS leave, max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) AS top, min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) AS bottom, last_value(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_close FROM bars, hs WINDOW w AS (PARTITION BY id, h ORDER BY d))
+    SELECT h, recovery, count(*) AS n, count(*) FILTER (leave IS NULL) AS stopped, round(avg(coalesce(leave, recovery * last_close) / entry - 1), 6) AS gross, round(avg(coalesce(leave, recovery * last_close) / entry - 1 - {COST}), 6) AS net, round(avg(top / entry - 1), 6) AS mfe, round(avg(bottom / entry - 1), 6) AS mae FROM e JOIN x USING (id, d), rs WHERE entry IS NOT NULL GROUP BY ALL""",
 )
 def d16(spark, p):
-    """Nine horizons from one window; what stops early leaves at a share of its last close."""
+    """Nine horizons from one window; what stops early leaves at a share of its last close.  Excursions are over 21 sessions."""
     x = deals(spark, p)
     last = F.last("close").over(by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     leaves = F.array(*(F.struct(F.lit(h).alias("h"), F.lead("close", h).over(by()).alias("leave")) for h in HORIZONS))
-    b = bars(x).select("id", "d", F.lead("open", 1).over(by()).alias("entry"), last.alias("last_close"), leaves.alias("leaves")).where("entry IS NOT NULL")
-    y = events(x).join(b, ["id", "d"]).select("entry", "last_close", F.inline("leaves")).withColumn("recovery", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
+    b = bars(x).select("id", "d", F.lead("open", 1).over(by()).alias("entry"), last.alias("last_close"), leaves.alias("leaves"), F.max("high").over(by().rowsBetween(1, 21)).alias("top"), F.min("low").over(by().rowsBetween(1, 21)).alias("bottom")).where("entry IS NOT NULL")
+    y = events(x).join(b, ["id", "d"]).select("entry", "last_close", "top", "bottom", F.inline("leaves")).withColumn("recovery", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
     ret = F.coalesce("leave", F.col("recovery") * F.col("last_close")) / F.col("entry") - 1
-    return y.groupBy("h", "recovery").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("leave").isNull()).alias("stopped"), r6(F.avg(ret)).alias("gross"), r6(F.avg(ret - COST)).alias("net"))
+    return y.groupBy("h", "recovery").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("leave").isNull()).alias("stopped"), r6(F.avg(ret)).alias("gross"), r6(F.avg(ret - COST)).alias("net"), r6(F.avg(F.col("top") / F.col("entry") - 1)).alias("mfe"), r6(F.avg(F.col("bottom") / F.col("entry") - 1)).alias("mae"))
 
 
 @register(
@@ -157,18 +157,22 @@ def d27(spark, p):
 
 @register(
     "d28_volatility_peers",
-    f"""{B}, {FWD_SQL}, {EVENTS_SQL}, r AS (SELECT id, d, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM bars), v AS (SELECT id, d, round(stddev_samp(r) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 9) AS v FROM r),
-    q AS (SELECT id, d, ntile(5) OVER (PARTITION BY d ORDER BY v, id) AS q FROM v WHERE v IS NOT NULL)
-    SELECT q, count(*) FILTER (e.id IS NOT NULL) AS n_events, count(*) FILTER (e.id IS NULL) AS n_peers, round(avg(fwd) FILTER (e.id IS NOT NULL) - avg(fwd) FILTER (e.id IS NULL), 6) AS gap FROM q JOIN f USING (id, d) LEFT JOIN e USING (id, d) WHERE fwd IS NOT NULL GROUP BY 1""",
+    f"""{B}, {FWD_SQL}, {EVENTS_SQL}, r AS (SELECT id, d, turnover, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM bars), v AS (SELECT id, d, round(stddev_samp(r) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 9) AS v, round(avg(turnover) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 4) AS t FROM r),
+    q AS (SELECT id, d, unnest(['volatility', 'size']) AS match, unnest([ntile(5) OVER (PARTITION BY d ORDER BY v, id), ntile(5) OVER (PARTITION BY d ORDER BY t, id)]) AS q FROM v WHERE v IS NOT NULL)
+    SELECT match, q, count(*) FILTER (e.id IS NOT NULL) AS n_events, count(*) FILTER (e.id IS NULL) AS n_peers, round(avg(fwd) FILTER (e.id IS NOT NULL) - avg(fwd) FILTER (e.id IS NULL), 6) AS gap FROM q JOIN f USING (id, d) LEFT JOIN e USING (id, d) WHERE fwd IS NOT NULL GROUP BY ALL""",
 )
 def d28(spark, p):
+    """Events against the day's other names of the same volatility quintile, and of the same size quintile."""
     x = deals(spark, p)
-    r = bars(x).select("id", "d", (F.col("close") / F.lag("close").over(by()) - 1).alias("r"))
-    v = r.select("id", "d", F.round(F.stddev_samp("r").over(by().rowsBetween(-20, 0)), 9).alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    q = v.select("id", "d", F.ntile(5).over(Window.partitionBy("d").orderBy("v", "id")).alias("q"))
+    span = by().rowsBetween(-20, 0)
+    r = bars(x).select("id", "d", "turnover", (F.col("close") / F.lag("close").over(by()) - 1).alias("r"))
+    v = r.select("id", "d", F.round(F.stddev_samp("r").over(span), 9).alias("v"), F.round(F.avg("turnover").over(span), 4).alias("t")).where("v IS NOT NULL AND NOT isnan(v)")
+    day = Window.partitionBy("d")
+    both = F.array(F.struct(F.lit("volatility").alias("match"), F.ntile(5).over(day.orderBy("v", "id")).alias("q")), F.struct(F.lit("size").alias("match"), F.ntile(5).over(day.orderBy("t", "id")).alias("q")))
+    q = v.select("id", "d", both.alias("both")).select("id", "d", F.inline("both"))
     j = q.join(outcomes(x), ["id", "d"]).join(events(x).withColumn("hit", F.lit(1)), ["id", "d"], "left")
     event, peer = F.when(F.col("hit").isNotNull(), F.col("fwd")), F.when(F.col("hit").isNull(), F.col("fwd"))
-    return j.groupBy("q").agg(F.count(event).alias("n_events"), F.count(peer).alias("n_peers"), r6(F.avg(event) - F.avg(peer)).alias("gap"))
+    return j.groupBy("match", "q").agg(F.count(event).alias("n_events"), F.count(peer).alias("n_peers"), r6(F.avg(event) - F.avg(peer)).alias("gap"))
 
 
 @register(
@@ -405,19 +409,19 @@ def d49(spark, p):
 
 @register(
     "d50_overfitting_probability",
-    f"""{B}, {cohorts_sql('brand')}, b AS (SELECT brand, year(m) % 4 AS block, sum(x) AS s, count(*) AS n FROM c GROUP BY ALL), sp AS (SELECT a, b2 FROM (SELECT unnest(range(0, 4)) AS a), (SELECT unnest(range(0, 4)) AS b2) WHERE a < b2),
-    x AS (SELECT a, b2, brand, sum(s) FILTER (block IN (a, b2)) / sum(n) FILTER (block IN (a, b2)) AS train, sum(s) FILTER (block NOT IN (a, b2)) / sum(n) FILTER (block NOT IN (a, b2)) AS test FROM b, sp GROUP BY ALL),
-    r AS (SELECT a, b2, row_number() OVER (PARTITION BY a, b2 ORDER BY train DESC, brand) AS best, rank() OVER (PARTITION BY a, b2 ORDER BY test) AS k, count(*) OVER (PARTITION BY a, b2) AS n FROM x WHERE train IS NOT NULL AND test IS NOT NULL)
+    f"""{B}, {cohorts_sql('brand')}, b AS (SELECT brand, ((year(m) * 12 + month(m)) // 3) % 6 AS block, sum(x) AS s, count(*) AS n FROM c GROUP BY ALL), sp AS (SELECT a, b2, c2 FROM (SELECT unnest(range(0, 6)) AS a), (SELECT unnest(range(0, 6)) AS b2), (SELECT unnest(range(0, 6)) AS c2) WHERE a < b2 AND b2 < c2),
+    x AS (SELECT a, b2, c2, brand, sum(s) FILTER (block IN (a, b2, c2)) / sum(n) FILTER (block IN (a, b2, c2)) AS train, sum(s) FILTER (block NOT IN (a, b2, c2)) / sum(n) FILTER (block NOT IN (a, b2, c2)) AS test FROM b, sp GROUP BY ALL),
+    r AS (SELECT a, b2, c2, row_number() OVER (PARTITION BY a, b2, c2 ORDER BY train DESC, brand) AS best, rank() OVER (PARTITION BY a, b2, c2 ORDER BY test) AS k, count(*) OVER (PARTITION BY a, b2, c2) AS n FROM x WHERE train IS NOT NULL AND test IS NOT NULL)
     SELECT count(*) AS splits, round(avg((ln((k / (n + 1)) / (1 - k / (n + 1))) <= 0)::INT), 6) AS pbo FROM r WHERE best = 1""",
 )
 def d50(spark, p):
-    """Every half-and-half split of four blocks of years: where the best of the train half ranks in the test half."""
-    b = cohorts(deals(spark, p), "brand").groupBy("brand", (F.year("m") % 4).alias("block")).agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    splits = F.array(*(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in range(4) for j in range(i + 1, 4)))
-    k = b.select("*", F.inline(splits)).withColumn("in", (F.col("block") == F.col("a")) | (F.col("block") == F.col("b")))
+    """Every half-and-half split of six interleaved blocks of quarters: where the best of the train half ranks in the test half."""
+    b = cohorts(deals(spark, p), "brand").groupBy("brand", (F.floor((F.year("m") * 12 + F.month("m")) / 3) % 6).alias("block")).agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    splits = F.array(*(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(k).alias("c")) for i in range(6) for j in range(i + 1, 6) for k in range(j + 1, 6)))
+    k = b.select("*", F.inline(splits)).withColumn("in", (F.col("block") == F.col("a")) | (F.col("block") == F.col("b")) | (F.col("block") == F.col("c")))
     side = lambda c: F.sum(F.when(c, F.col("s"))) / F.sum(F.when(c, F.col("n")))
-    x = k.groupBy("a", "b", "brand").agg(side(F.col("in")).alias("train"), side(~F.col("in")).alias("test")).dropna()
-    own = Window.partitionBy("a", "b")
+    x = k.groupBy("a", "b", "c", "brand").agg(side(F.col("in")).alias("train"), side(~F.col("in")).alias("test")).dropna()
+    own = Window.partitionBy("a", "b", "c")
     r = x.select(F.row_number().over(own.orderBy(F.desc("train"), "brand")).alias("best"), F.rank().over(own.orderBy("test")).alias("k"), F.count(F.lit(1)).over(own).alias("n")).where("best = 1")
     w = F.col("k") / (F.col("n") + 1)
     return r.agg(F.count(F.lit(1)).alias("splits"), r6(F.avg((F.log(w / (1 - w)) <= 0).cast("int"))).alias("pbo"))
@@ -469,14 +473,15 @@ def d53(spark, p):
 @register(
     "d07_characteristic_panel",
     f"""{B}, r AS (SELECT id, d, turnover, close, close / lag(close) OVER (PARTITION BY id ORDER BY d) - 1 AS r FROM bars),
-    v AS (SELECT id, d, date_trunc('month', d)::DATE AS m, median(turnover) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS adv20, round(stddev_samp(r) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 9) AS vol21 FROM r),
+    v AS (SELECT id, d, date_trunc('month', d)::DATE AS m, median(turnover) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS adv20, round(lag(close, 21) OVER (PARTITION BY id ORDER BY d) / lag(close, 252) OVER (PARTITION BY id ORDER BY d) - 1, 9) AS mom, round(stddev_samp(r) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 9) AS vol21 FROM r),
     l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id, m ORDER BY d DESC) = 1)
-    SELECT id, m, d, ntile(5) OVER (PARTITION BY m ORDER BY round(adv20, 6), id) AS size_q, ntile(5) OVER (PARTITION BY m ORDER BY vol21, id) AS vol_q FROM l WHERE vol21 IS NOT NULL""",
+    SELECT id, m, d, ntile(5) OVER (PARTITION BY m ORDER BY round(adv20, 6), id) AS size_q, ntile(5) OVER (PARTITION BY m ORDER BY vol21, id) AS vol_q, CASE WHEN mom IS NOT NULL THEN ntile(5) OVER (PARTITION BY m, mom IS NULL ORDER BY mom, id) END AS mom_q FROM l WHERE vol21 IS NOT NULL""",
 )
 def d07(spark, p):
-    """Size and volatility quintiles at each name's last session of a month, from the rows up to it."""
-    r = bars(deals(spark, p)).select("id", "d", "turnover", (F.col("close") / F.lag("close").over(by()) - 1).alias("r"))
-    v = r.select("id", "d", F.trunc("d", "month").alias("m"), F.percentile("turnover", 0.5).over(by().rowsBetween(-19, 0)).alias("adv20"), F.round(F.stddev_samp("r").over(by().rowsBetween(-20, 0)), 9).alias("vol21"))
-    last = v.groupBy("id", "m").agg(F.max_by(F.struct("d", "adv20", "vol21"), "d").alias("s")).select("id", "m", "s.*").where("vol21 IS NOT NULL")
+    """Size, volatility and momentum (12-1) quintiles at each name's last session of a month, from the rows up to it."""
+    r = bars(deals(spark, p)).select("id", "d", "turnover", F.round(F.lag("close", 21).over(by()) / F.lag("close", 252).over(by()) - 1, 9).alias("mom"), (F.col("close") / F.lag("close").over(by()) - 1).alias("r"))
+    v = r.select("id", "d", F.trunc("d", "month").alias("m"), F.percentile("turnover", 0.5).over(by().rowsBetween(-19, 0)).alias("adv20"), F.round(F.stddev_samp("r").over(by().rowsBetween(-20, 0)), 9).alias("vol21"), "mom")
+    last = v.groupBy("id", "m").agg(F.max_by(F.struct("d", "adv20", "vol21", "mom"), "d").alias("s")).select("id", "m", "s.*").where("vol21 IS NOT NULL")
     month = Window.partitionBy("m")
-    return last.select("id", "m", "d", F.ntile(5).over(month.orderBy(F.round("adv20", 6), "id")).alias("size_q"), F.ntile(5).over(month.orderBy("vol21", "id")).alias("vol_q"))
+    return last.select("id", "m", "d", F.ntile(5).over(month.orderBy(F.round("adv20", 6), "id")).alias("size_q"), F.ntile(5).over(month.orderBy("vol21", "id")).alias("vol_q"),
+        F.when(F.col("mom").isNotNull(), F.ntile(5).over(Window.partitionBy("m", F.col("mom").isNull()).orderBy("mom", "id"))).alias("mom_q"))

@@ -285,14 +285,38 @@ def j27(spark, p):
     return R.transitive_roots(e, "c", "p")
 
 
-@register("j28_mistyped_keys", "WITH n AS (SELECT DISTINCT c_name AS k FROM customer WHERE c_custkey % 7 = 0), m AS (SELECT c_custkey, substr(c_name, 1, length(c_name) - 1) || CAST(c_custkey % 10 AS VARCHAR) AS typed FROM customer WHERE c_custkey % 5 = 0) SELECT typed, k FROM m JOIN n ON length(typed) = length(k) AND substr(typed, 1, length(typed) - 2) = substr(k, 1, length(k) - 2) AND hamming(typed, k) <= 2")
+def _typed_sql() -> str:
+    put = "substr(t, 1, {0} - 1) || CAST((CAST(substr(t, {0}, 1) AS INT) + 1 + o_orderkey % 8) % 10 AS VARCHAR) || substr(t, {0} + 1)"
+    steps = ["t0 AS (SELECT o_orderkey, nation, k AS t FROM orders JOIN c ON o_custkey = c_custkey)"]
+    for i, f in enumerate((3, 5, 7), 1):
+        steps.append(f"t{i} AS (SELECT o_orderkey, nation, CASE WHEN o_orderkey % 4 >= {i} THEN {put.format(f'(o_orderkey * {f} % 10 + 1)')} ELSE t END AS t FROM t{i - 1})")
+    return ", ".join(steps)
+
+
+_J28 = f"""WITH c AS (SELECT c_custkey, c_nationkey AS nation, lpad(CAST(c_custkey * 716151937 % 9999999967 AS VARCHAR), 10, '0') AS k FROM customer), {_typed_sql()},
+p AS (SELECT o_orderkey, t, k, hamming(t, k) AS far FROM t3 JOIN c USING (nation) WHERE hamming(t, k) <= 2), b AS (SELECT o_orderkey, min(far) AS far FROM p GROUP BY 1), g AS (SELECT o_orderkey, far, min(k) AS k, count(*) AS n FROM p JOIN b USING (o_orderkey, far) GROUP BY ALL)
+SELECT o_orderkey, t AS typed, CASE WHEN n = 1 THEN k END AS repaired, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN far = 0 THEN 'EXACT' ELSE 'REPAIRED' END AS state FROM t3 LEFT JOIN g USING (o_orderkey)"""
+
+
+@register("j28_mistyped_keys", _J28)
 def j28(spark, p):
-    c = table(spark, p, "customer")
-    block = lambda x: F.substring(x, F.lit(1), F.length(x) - 2)
-    n = c.where("c_custkey % 7 = 0").select(F.col("c_name").alias("k")).distinct().withColumn("b", block("k"))
-    m = c.where("c_custkey % 5 = 0").select(F.expr("concat(substring(c_name, 1, length(c_name) - 1), cast(c_custkey % 10 as string))").alias("typed")).withColumn("b", block("typed"))
-    differ = F.aggregate(F.sequence(F.lit(1), F.length("k")), F.lit(0), lambda a, i: a + F.when(F.substring("k", i, F.lit(1)) != F.substring("typed", i, F.lit(1)), 1).otherwise(0))
-    return m.join(n, "b").where(F.length("k") == F.length("typed")).where(differ <= 2).select("typed", "k")
+    """Every order carries its customer's key with up to three wrong characters, and the nation as a second key.  A key of at most
+    two wrong characters has one of its three pieces intact, so candidates share nation, piece and its place; the Hamming
+    distance decides, and the nearest key repairs if it is the only one."""
+    scrambled = F.lpad((F.col("c_custkey") * 716151937 % 9999999967).cast("string"), 10, "0")
+    c = table(spark, p, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), scrambled.alias("k"))
+    t = table(spark, p, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(c, "c_custkey").select("o_orderkey", "nation", F.col("k").alias("typed"))
+    for i, f in enumerate((3, 5, 7), 1):
+        at = (F.col("o_orderkey") * f % 10 + 1).cast("int")
+        digit = ((F.substring("typed", at, F.lit(1)).cast("int") + 1 + F.col("o_orderkey") % 8) % 10).cast("string")
+        t = t.withColumn("typed", F.when(F.col("o_orderkey") % 4 >= i, F.overlay("typed", digit, at, F.lit(1))).otherwise(F.col("typed")))
+    pieces = lambda x: F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.substring(x, a, size).alias("piece")) for n, a, size in ((0, 1, 4), (1, 5, 3), (2, 8, 3))))).alias("at")
+    met = t.select("o_orderkey", "nation", "typed", pieces("typed")).join(c.select("nation", "k", pieces("k")), ["nation", "at"]).select("o_orderkey", "typed", "k").distinct()
+    far = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(0), lambda a, i: a + F.when(F.substring("k", i, F.lit(1)) != F.substring("typed", i, F.lit(1)), 1).otherwise(0))
+    near = met.withColumn("far", far).where("far <= 2").groupBy("o_orderkey", "far").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"))
+    best = near.groupBy("o_orderkey").agg(F.min_by(F.struct("far", "k", "n"), "far").alias("b"))
+    state = R.ladder([("UNRESOLVED", F.col("b").isNull()), ("AMBIGUOUS", F.col("b.n") > 1), ("EXACT", F.col("b.far") == 0)]).otherwise("REPAIRED")
+    return t.join(best, "o_orderkey", "left").select("o_orderkey", "typed", F.when(F.col("b.n") == 1, F.col("b.k")).alias("repaired"), state.alias("state"))
 
 
 @register("j31_fallback_keys", "WITH a AS (SELECT o_custkey AS id, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL), b AS (SELECT year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY ALL) SELECT o_orderkey, coalesce(a.d, b.d) AS known, CASE WHEN a.d IS NOT NULL THEN 'id' ELSE 'period' END AS route FROM orders LEFT JOIN a ON o_custkey = a.id AND year(o_orderdate) = a.y LEFT JOIN b ON year(o_orderdate) = b.y")

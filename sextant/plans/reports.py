@@ -149,20 +149,36 @@ def r11(spark, p):
     return R.top(table(spark, p, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "ts", "value")
 
 
+_R12_EVENTS = {
+    "NEW_HIGH": "close >= max(close) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)",
+    "NEW_LOW": "close <= min(close) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)",
+    "VOLUME_SURGE": "volume > 2 * avg(volume) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)",
+    "GAP_UP": "open > 1.5 * lag(close) OVER (PARTITION BY id ORDER BY d)",
+    "GAP_DOWN": "open < 0.5 * lag(close) OVER (PARTITION BY id ORDER BY d)",
+}
+
+
 @register(
     "r12_event_file",
     f"""{B}, f AS (SELECT id, d, {', '.join(f'round(lead(close, {h}) OVER w / lead(open, 1) OVER w - 1, 6) AS h{h}' for h in (1, 5, 10, 21))} FROM bars WINDOW w AS (PARTITION BY id ORDER BY d)),
-    e AS (SELECT DISTINCT brand AS id, d, CASE WHEN side = 'BUY' THEN 'LARGE_BUY' ELSE 'LARGE_SELL' END AS kind FROM deals WHERE qty >= 45 UNION SELECT DISTINCT brand, d, 'R_DEAL' FROM deals WHERE kind = 'R' AND qty >= 45)
-    SELECT id, d, e.kind, h1, h5, h10, h21 FROM e JOIN f USING (id, d) WHERE ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 600""",
+    k AS (SELECT id, d, {', '.join(f'{e} AS {n}' for n, e in _R12_EVENTS.items())} FROM bars),
+    e AS (SELECT DISTINCT brand AS id, d, CASE WHEN side = 'BUY' THEN 'LARGE_BUY' ELSE 'LARGE_SELL' END AS kind FROM deals WHERE qty >= 45 UNION SELECT DISTINCT brand, d, 'R_DEAL' FROM deals WHERE kind = 'R' AND qty >= 45 {' '.join(f"UNION SELECT id, d, '{n}' FROM k WHERE {n}" for n in _R12_EVENTS)}),
+    g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY id, kind ORDER BY d), d) AS gap FROM e)
+    SELECT id, d, g.kind, h1, h5, h10, h21 FROM g JOIN f USING (id, d) WHERE (gap IS NULL OR gap >= 7) AND ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 600""",
 )
 def r12(spark, p):
-    """Only the exploration stratum (hash bucket below 600) leaves the job."""
+    """Eight kinds of events, each at least a week after the one of its name and kind before it, with forward returns.  Only the
+    exploration stratum (hash bucket below 600) leaves the job."""
     x = deals(spark, p)
     w = Window.partitionBy("id").orderBy("d")
-    f = bars(x).select("id", "d", *(r6(F.lead("close", h).over(w) / F.lead("open", 1).over(w) - 1).alias(f"h{h}") for h in (1, 5, 10, 21)))
+    b = bars(x)
+    f = b.select("id", "d", *(r6(F.lead("close", h).over(w) / F.lead("open", 1).over(w) - 1).alias(f"h{h}") for h in (1, 5, 10, 21)))
     large = x.where("qty >= 45").select(F.col("brand").alias("id"), "d", F.explode(F.array(F.when(F.col("side") == "BUY", "LARGE_BUY").otherwise("LARGE_SELL"), F.when(F.col("kind") == "R", "R_DEAL"))).alias("kind"))
-    events = large.where("kind IS NOT NULL").distinct()
-    return events.where(F.conv(F.substring(F.sha2("id", 256), 1, 8), 16, 10).cast("long") % 1000 < 600).join(f, ["id", "d"])
+    flags = b.select("id", "d", F.array(*(F.struct(F.lit(n).alias("kind"), F.expr(e).alias("hit")) for n, e in _R12_EVENTS.items())).alias("k"))
+    events = large.where("kind IS NOT NULL").distinct().unionByName(flags.select("id", "d", F.inline("k")).where("hit").select("id", "d", "kind"))
+    gap = F.datediff("d", F.lag("d").over(Window.partitionBy("id", "kind").orderBy("d")))
+    apart = events.withColumn("gap", gap).where("gap IS NULL OR gap >= 7").drop("gap")
+    return apart.where(F.conv(F.substring(F.sha2("id", 256), 1, 8), 16, 10).cast("long") % 1000 < 600).join(f, ["id", "d"]).select("id", "d", "kind", "h1", "h5", "h10", "h21")
 
 
 @register("r13_search_index", "SELECT 'CUSTOMER' AS kind, c_name AS name, c_custkey AS key FROM customer UNION ALL SELECT 'SUPPLIER', s_name, s_suppkey FROM supplier UNION ALL SELECT 'PART', p_name, p_partkey FROM part")
