@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise
 from sextant.core.tables import DEALS_SQL, bars, bars_sql, deals
 from sextant.functions.numbers import half_up, half_up_sql, r6
 from sextant.operators import rows as R
@@ -349,7 +350,7 @@ ic AS (SELECT d, candidate, c / sqrt(v * y) AS ic FROM num JOIN den USING (d, ca
 
 def candidate_ic(spark: SparkSession, p: str) -> DataFrame:
     """d, candidate, ic of every candidate, from the moments alone: no candidate ranks anything again."""
-    mom = moments(centred_ranks(spark, p))
+    mom = materialise(moments(centred_ranks(spark, p)), "moments")  # read by several joins; dates times pairs of base signals
     cand = candidates(spark).select("candidate", "parts", F.explode("parts").alias("a"))
     num = cand.select("candidate", F.col("a.signal").alias("i"), F.col("a.sign").alias("s")).join(mom.where("j = 'y'"), "i").groupBy("d", "candidate").agg(F.sum(F.col("s") * F.col("m")).alias("c"))
     square = cand.select("candidate", "a", F.explode("parts").alias("b")).select("candidate", F.col("a.signal").alias("i"), F.col("b.signal").alias("j"), (F.col("a.sign") * F.col("b.sign")).alias("s"))
@@ -394,22 +395,42 @@ def g14(spark, p):
     return candidate_ic(spark, p).select("d", "candidate", r6(F.col("ic")).alias("ic"))
 
 
+FACTORS = ("vol", "range")
+
+
+def _net_sql() -> str:
+    out, source = [], "mom"
+    for n, f in enumerate(FACTORS, 1):
+        out.append(
+            f"n{n} AS (SELECT a.d, a.i, a.j, a.m - fi.m * fj.m / ff.m AS m FROM {source} a JOIN {source} fi ON fi.d = a.d AND fi.i = a.i AND fi.j = '{f}' JOIN {source} fj ON fj.d = a.d AND fj.i = a.j AND fj.j = '{f}' "
+            f"JOIN {source} ff ON ff.d = a.d AND ff.i = '{f}' AND ff.j = '{f}' WHERE a.i <> '{f}' AND a.j <> '{f}' AND ff.m > 1e-6)"
+        )
+        source = f"n{n}"
+    return ", ".join(out)
+
+
+def net_of(mom: DataFrame, factor: str) -> DataFrame:
+    """Cross moments after every signal loses its projection on ``factor``; repeated, on each factor given the ones before."""
+    on = mom.where(F.col("j") == factor)
+    fi, fj = on.select("d", "i", F.col("m").alias("mi")), on.select("d", F.col("i").alias("j"), F.col("m").alias("mj"))
+    ff = on.where(F.col("i") == factor).select("d", F.col("m").alias("ff")).where("ff > 1e-6")
+    kept = mom.where((F.col("i") != factor) & (F.col("j") != factor))
+    return kept.join(fi, ["d", "i"]).join(fj, ["d", "j"]).join(ff, "d").select("d", "i", "j", (F.col("m") - F.col("mi") * F.col("mj") / F.col("ff")).alias("m"))
+
+
 @register(
     "g15_partial_ic",
-    f"""{_Z_SQL}, c AS (SELECT a.d, a.i, a.m AS ay, f.m AS af, s.m AS aa, y.m AS yy, fy.m AS fy, ff.m AS ff FROM mom a JOIN mom f ON f.d = a.d AND f.i = a.i AND f.j = 'vol' JOIN mom s ON s.d = a.d AND s.i = a.i AND s.j = a.i
-    JOIN mom y ON y.d = a.d AND y.i = 'y' AND y.j = 'y' JOIN mom fy ON fy.d = a.d AND fy.i = 'vol' AND fy.j = 'y' JOIN mom ff ON ff.d = a.d AND ff.i = 'vol' AND ff.j = 'vol' WHERE a.j = 'y' AND a.i NOT IN ('y', 'vol'))
-    SELECT d, i AS signal, round((ay - af * fy / ff) / sqrt((aa - af * af / ff) * (yy - fy * fy / ff)), 6) AS ic FROM c WHERE ff > 0 AND aa - af * af / ff > 1e-9 AND yy - fy * fy / ff > 1e-9""",
+    f"""{_Z_SQL}, {_net_sql()}, c AS (SELECT a.d, a.i, a.m AS ay, s.m AS aa, y.m AS yy FROM n{len(FACTORS)} a JOIN n{len(FACTORS)} s ON s.d = a.d AND s.i = a.i AND s.j = a.i JOIN n{len(FACTORS)} y ON y.d = a.d AND y.i = 'y' AND y.j = 'y' WHERE a.j = 'y' AND a.i <> 'y')
+    SELECT d, i AS signal, round(ay / sqrt(aa * yy), 6) AS ic FROM c WHERE aa > 1e-6 AND yy > 1e-6""",
 )
 def g15(spark, p):
-    """Correlation with the forward rank after both lose their projection on one factor, the volume signal."""
-    mom = moments(centred_ranks(spark, p))
-    at = lambda i, j, name: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("m"))).alias(name)
-    shared = mom.groupBy("d").agg(at("y", "y", "yy"), at("vol", "y", "fy"), at("vol", "vol", "ff"))
-    own = mom.where("i NOT IN ('y', 'vol')").groupBy("d", F.col("i").alias("signal")).agg(
-        F.max(F.when(F.col("j") == "y", F.col("m"))).alias("ay"), F.max(F.when(F.col("j") == "vol", F.col("m"))).alias("af"), F.max(F.when(F.col("j") == F.col("i"), F.col("m"))).alias("aa")
-    )
-    left, right = F.expr("aa - af * af / ff"), F.expr("yy - fy * fy / ff")
-    return own.join(shared, "d").where("ff > 0").where((left > 1e-9) & (right > 1e-9)).select("d", "signal", r6(F.expr("ay - af * fy / ff") / F.sqrt(left * right)).alias("ic"))
+    """Correlation with the forward rank after both lose their projection on two factors, the volume and the range signal."""
+    mom = materialise(moments(centred_ranks(spark, p)), "moments")  # read by several joins; dates times pairs of base signals
+    for factor in FACTORS:
+        mom = materialise(net_of(mom, factor), "moments")
+    own = mom.groupBy("d", F.col("i").alias("signal")).agg(F.max(F.when(F.col("j") == "y", F.col("m"))).alias("ay"), F.max(F.when(F.col("j") == F.col("i"), F.col("m"))).alias("aa"))
+    yy = own.where("signal = 'y'").select("d", F.col("aa").alias("yy"))
+    return own.where("signal <> 'y'").join(yy, "d").where("aa > 1e-6 AND yy > 1e-6").select("d", "signal", r6(F.col("ay") / F.sqrt(F.col("aa") * F.col("yy"))).alias("ic"))
 
 
 @register(
@@ -421,13 +442,19 @@ def g16(spark, p):
     return blocks.groupBy("candidate", (F.year("q") % 2 == 0).alias("even_years")).agg(r6(F.sum("s") / F.sum("n")).alias("mean"))
 
 
+CUTS = (1996, 1997, 1998, 1999, 2000)
+
+
 @register(
     "d48_search_procedure",
-    f"""{IC_SQL}, halves AS (SELECT candidate, avg(ic) FILTER (year(d) < 1999) AS train, avg(ic) FILTER (year(d) >= 1999) AS test FROM ic GROUP BY 1), top AS (SELECT * FROM halves WHERE train IS NOT NULL AND test IS NOT NULL QUALIFY row_number() OVER (ORDER BY abs(round(train, 9)) DESC, candidate) <= 5)
-    SELECT count(*) AS n, round(avg(abs(train)), 6) AS train, round(avg(sign(train) * test), 6) AS test, round(avg((sign(train) * test > 0)::INT), 6) AS hit_rate FROM top""",
+    f"""{IC_SQL}, halves AS (SELECT cut, candidate, avg(ic) FILTER (year(d) < cut) AS train, avg(ic) FILTER (year(d) >= cut) AS test FROM ic, (SELECT unnest([{', '.join(map(str, CUTS))}]) AS cut) GROUP BY ALL), top AS (SELECT * FROM halves WHERE train IS NOT NULL AND test IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cut ORDER BY abs(round(train, 9)) DESC, candidate) <= 5)
+    SELECT cut, count(*) AS n, round(avg(abs(train)), 6) AS train, round(avg(sign(train) * test), 6) AS test, round(avg((sign(train) * test > 0)::INT), 6) AS hit_rate FROM top GROUP BY 1""",
 )
 def d48(spark, p):
-    s = candidate_ic(spark, p).groupBy("candidate").agg(F.avg(F.when(F.year("d") < 1999, F.col("ic"))).alias("train"), F.avg(F.when(F.year("d") >= 1999, F.col("ic"))).alias("test")).dropna()
-    top = s.orderBy(F.desc(F.abs(F.round("train", 9))), "candidate").limit(5)
+    """The five best candidates up to each cut year, scored in their own sign from there on."""
+    side = lambda c, name: F.avg(F.when(c, F.col("ic"))).alias(name)
+    dated = candidate_ic(spark, p).withColumn("cut", F.explode(F.array(*(F.lit(y) for y in CUTS))))
+    s = dated.groupBy("cut", "candidate").agg(side(F.year("d") < F.col("cut"), "train"), side(F.year("d") >= F.col("cut"), "test")).dropna()
+    top = R.top(s, ["cut"], [F.desc(F.abs(F.round("train", 9))), F.col("candidate")], 5)
     signed = F.signum("train") * F.col("test")
-    return top.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("train"))).alias("train"), r6(F.avg(signed)).alias("test"), r6(F.avg((signed > 0).cast("int"))).alias("hit_rate"))
+    return top.groupBy("cut").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("train"))).alias("train"), r6(F.avg(signed)).alias("test"), r6(F.avg((signed > 0).cast("int"))).alias("hit_rate"))

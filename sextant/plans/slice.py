@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.core.tables import DEALS_SQL, bars, bars_sql, deals
@@ -24,8 +24,7 @@ def monthly_abnormal_return(spark: SparkSession, p: str) -> DataFrame:
     """Large buys, entered at the next session's open and left five rows on, less the market's mean of the day, averaged
     within each month (W03, A27, J30, A14)."""
     x = deals(spark, p)
-    f = forward_return(bars(x), 5, 20).where("fwd IS NOT NULL").select("id", "d", "fwd")
-    market = f.groupBy("d").agg(F.avg("fwd").alias("market"))
+    f = forward_return(bars(x), 5, 20).where("fwd IS NOT NULL").select("id", "d", "fwd").withColumn("market", F.avg("fwd").over(Window.partitionBy("d")))
     events = x.where("side = 'BUY' AND qty >= 40").select(F.col("brand").alias("id"), "d").distinct()
-    joined = events.join(f, ["id", "d"]).join(market, "d")
+    joined = events.join(f, ["id", "d"])
     return joined.groupBy(F.trunc("d", "month").alias("month")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.avg(F.col("fwd") - F.col("market")), 6).alias("abnormal"))
