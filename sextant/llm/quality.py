@@ -15,7 +15,7 @@ id; their texts stay on the executors, and what reaches the driver is a row of F
 counts.  Every row of the table is scored on the executors from its whole text.
 
 Defined results: null or empty texts get the score of an empty text; very long texts are read whole; repeated rows get equal
-scores, and an id that repeats with different texts counts in the sample with each of them once; without any positive or any
+scores, and an id that repeats with different texts is in the sample with the one of least hash; without any positive or any
 unlabelled row all scores are 0.5; an empty table gives no rows; labels with a null id or null label are ignored; extra columns
 are ignored, whatever their names.
 """
@@ -170,7 +170,8 @@ def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: f
     chosen = chosen.unionByName(_sample(unlabelled.select(id_col), max_unlabelled, id_col).withColumn("_side", F.lit(0)))
     half = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(2)).cast("int")
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)  # chosen: the bounded ids
-    texts = materialise(texts.select("_side", half.alias("_half"), "_text").distinct().repartition(8), "sample")
+    one = F.min_by("_text", F.xxhash64("_text")).alias("_text")  # of an id that repeats; so the sample stays bounded
+    texts = materialise(texts.groupBy(id_col, "_side").agg(one).select("_side", half.alias("_half"), "_text").repartition(8), "sample")
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         total = np.zeros((2, 2, BUCKETS), np.int64)
