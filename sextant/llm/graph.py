@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.core.shared import materialise, release
 
 
-@contextmanager
-def split_skew(spark: SparkSession) -> Iterator[None]:
-    """Lets adaptive execution split a join's oversized partitions even where a grouping behind it costs one more shuffle: a hub
-    with very many links would else meet its least neighbour in one task."""
-    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of ``edges`` (a, b); the root is the least node of the component.
 
@@ -43,11 +27,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        with split_skew(edges.sparkSession):
-            step = materialise(
-                small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(),
-                "edges",
-            )
+        step = materialise(
+            small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(),
+            "edges",
+        )
         release(now)  # only the newest edges are read from here on
         now = step
     else:
