@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.core.shared import materialise
-from sextant.llm import bpe, chat, coder, decontaminate, html, jaccard, lm, quality, rules, urls
+from sextant.llm import bpe, chat, coder, decontaminate, html, jaccard, lm, quality, rules, runs, urls
 from sextant.llm.words import crc_of_id
 
 
@@ -81,6 +81,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_read(spark, sf_dir, "documents"), rewrite=runs.plant)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -92,4 +96,5 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_decontaminate": op9_decontaminate,
     "op10_lm": op10_lm,
+    "op11_runs": op11_runs,
 }
