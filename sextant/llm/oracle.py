@@ -70,4 +70,15 @@ n AS (SELECT a, count(*) AS n_links, count(*) FILTER (WHERE same) AS copies FROM
 SELECT c.node AS doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(copies, 0) + 1 AS n_copies FROM c LEFT JOIN n ON n.a = c.node
 """
 
-ORACLES = {"op3_rules": OP3, "op5_chat": OP5, "op6_urls": OP6, "op8_jaccard": OP8}
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)),
+reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.node AND reach.root < l.b),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON node = doc_id
+"""
+
+ORACLES = {"op3_rules": OP3, "op5_chat": OP5, "op6_urls": OP6, "op8_jaccard": OP8, "op12_bottomk": OP12}

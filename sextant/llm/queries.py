@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.core.shared import materialise
-from sextant.llm import align, bpe, chat, coder, decontaminate, html, jaccard, lm, quality, rules, runs, urls
+from sextant.llm import align, bottomk, bpe, chat, coder, decontaminate, html, jaccard, lm, quality, rules, runs, urls
 from sextant.llm.words import crc_of_id
 
 
@@ -85,6 +85,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(_read(spark, sf_dir, "documents"), rewrite=runs.plant)
 
 
+def op12_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.grouped(_read(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -101,5 +105,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_lm": op10_lm,
     "op11_runs": op11_runs,
+    "op12_bottomk": op12_bottomk,
     "op13_alignment": op13_alignment,
 }
