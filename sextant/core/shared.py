@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,29 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def once(spark: SparkSession, what: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """``materialise`` of what several queries of a session read: written again when an input file has changed, or the copy is gone.
+
+    ``inputs`` are the paths that ``make`` reads; their files' names, sizes and times are the copy's key.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files, conf = [], spark._jsc.hadoopConfiguration()
+    for path in inputs:
+        top = hadoop(path)
+        listed = top.getFileSystem(conf).listFiles(top, True)
+        while listed.hasNext():
+            f = listed.next()
+            files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    known = getattr(spark, "_sextant_once", None)
+    if known is None:
+        known = spark._sextant_once = {}
+    key, held = (what, *sorted(files)), known.get((what, *sorted(files)))
+    if held is not None and (at := hadoop(held._sextant_path)).getFileSystem(conf).exists(at):
+        return held
+    known[key] = materialise(make(), what)
+    return known[key]
+
+
 def release(df: DataFrame) -> None:
     """Removes what ``materialise`` wrote for ``df``; for steps whose result has been written itself."""
     if path := getattr(df, "_sextant_path", None):

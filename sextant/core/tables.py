@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def deal_tables(sf_dir: str) -> list[str]:
+    """The files that ``deals`` reads."""
+    return [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part")]
+
+
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disclosed deals: participant, security (supplier), brand, side, kind, date, quantity, price, value."""
     line = table(spark, sf_dir, "lineitem")

@@ -13,6 +13,11 @@ def half_up(x: Column, digits: int) -> Column:
     return F.floor(x * float(10**digits) + F.lit(0.5)) / F.lit(float(10**digits))
 
 
+def half_up_text(x: str, digits: int) -> str:
+    """``half_up`` as Spark SQL."""
+    return f"floor(({x}) * {float(10**digits)}D + 0.5D) / {float(10**digits)}D"
+
+
 def half_up_sql(x: str, digits: int) -> str:
     return f"floor(({x}) * {float(10**digits)}::DOUBLE + 0.5::DOUBLE) / {float(10**digits)}::DOUBLE"
 

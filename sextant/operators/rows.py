@@ -118,3 +118,21 @@ def same_tokens(df: DataFrame, name: str) -> DataFrame:
     n = df.select(F.col(name).alias("name")).distinct().withColumn("tokens", F.array_sort(F.split("name", " ")))
     a, b = n.select("tokens", F.col("name").alias("a")), n.select("tokens", F.col("name").alias("b"))
     return a.join(b, "tokens").where("a < b").select("a", "b")
+
+
+def ewm(value: str, number: str, half_life: float, keys: list[str], span: int = 4096) -> Column:
+    """Exponentially weighted mean of ``value`` over the rows up to this one, by half-life in rows; ``number`` counts a key's rows.
+
+    Weights are 2 ** (place / half_life) of the place in a stretch of ``span`` rows, so they never overflow: a row's sums are its own stretch's
+    and those of the stretch before, decayed to it.  What is older has a share of 2 ** (-span / half_life) at most.  A null value has no weight.
+    """
+    place, stretch = F.col(number) % span, F.floor(F.col(number) / span)
+    weight = F.when(F.col(value).isNotNull(), F.pow(F.lit(2.0), place / half_life))
+    own = Window.partitionBy(*keys, stretch).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys).orderBy(stretch).rangeBetween(-1, -1)  # every row of the stretch before
+    fade = 2.0 ** (-span / half_life)
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(x).over(own), F.lit(0.0)) + F.coalesce(F.sum(x).over(whole), F.lit(0.0)) * fade
+
+    return F.try_divide(total(F.col(value) * weight), total(weight))

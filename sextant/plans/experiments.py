@@ -390,43 +390,6 @@ def d46(spark, p):
     return o.crossJoin(bar).agg(F.count(F.lit(1)).alias("names"), F.round(F.any_value("bar"), 5).alias("bar"), F.count_if(F.abs("t") >= F.col("bar")).alias("found")).crossJoin(F.broadcast(null))
 
 
-@register(
-    "d49_sign_flip_null",
-    f"""{B}, {cohorts_sql('brand')}, b AS (SELECT brand, year(m) AS block, sum(x) AS s, count(*) AS n FROM c GROUP BY ALL), x AS (SELECT rep, brand, sum(CASE WHEN block < 1999 THEN g * s END) / sum(CASE WHEN block < 1999 THEN n END) AS train, sum(CASE WHEN block >= 1999 THEN g * s END) / sum(CASE WHEN block >= 1999 THEN n END) AS test
-    FROM (SELECT b.*, rep, CASE WHEN rep = 0 THEN 1 ELSE {hashed_sql('rep', 'block')} % 2 * 2 - 1 END AS g FROM b, (SELECT unnest(range(0, 101)) AS rep)) GROUP BY ALL),
-    h AS (SELECT rep, avg((sign(train) = sign(test))::INT) AS hit FROM x WHERE train IS NOT NULL AND test IS NOT NULL GROUP BY 1) SELECT round(max(hit) FILTER (rep = 0), 6) AS hit_rate, round(avg(hit) FILTER (rep > 0), 6) AS null_mean, count(*) FILTER (rep > 0 AND hit >= (SELECT hit FROM h WHERE rep = 0)) AS at_least FROM h""",
-)
-def d49(spark, p):
-    """Signs of whole years flip together for all names, which keeps the cross-section's dependence; rep 0 is the data."""
-    b = cohorts(deals(spark, p), "brand").groupBy("brand", F.year("m").alias("block")).agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    g = b.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(100)))).withColumn("g", F.when(F.col("rep") == 0, F.lit(1).cast("long")).otherwise(hashed("rep", "block") % 2 * 2 - 1))
-    side = lambda c: F.sum(F.when(c, F.col("g") * F.col("s"))) / F.sum(F.when(c, F.col("n")))
-    x = g.groupBy("rep", "brand").agg(side(F.col("block") < 1999).alias("train"), side(F.col("block") >= 1999).alias("test")).dropna()
-    h = x.groupBy("rep").agg(F.avg((F.signum("train") == F.signum("test")).cast("int")).alias("hit"))
-    own = F.broadcast(h.where("rep = 0").select(F.col("hit").alias("own")))
-    return h.crossJoin(own).agg(r6(F.max("own")).alias("hit_rate"), r6(F.avg(F.when(F.col("rep") > 0, F.col("hit")))).alias("null_mean"), F.count_if((F.col("rep") > 0) & (F.col("hit") >= F.col("own"))).alias("at_least"))
-
-
-@register(
-    "d50_overfitting_probability",
-    f"""{B}, {cohorts_sql('brand')}, b AS (SELECT brand, ((year(m) * 12 + month(m)) // 3) % 6 AS block, sum(x) AS s, count(*) AS n FROM c GROUP BY ALL), sp AS (SELECT a, b2, c2 FROM (SELECT unnest(range(0, 6)) AS a), (SELECT unnest(range(0, 6)) AS b2), (SELECT unnest(range(0, 6)) AS c2) WHERE a < b2 AND b2 < c2),
-    x AS (SELECT a, b2, c2, brand, sum(s) FILTER (block IN (a, b2, c2)) / sum(n) FILTER (block IN (a, b2, c2)) AS train, sum(s) FILTER (block NOT IN (a, b2, c2)) / sum(n) FILTER (block NOT IN (a, b2, c2)) AS test FROM b, sp GROUP BY ALL),
-    r AS (SELECT a, b2, c2, row_number() OVER (PARTITION BY a, b2, c2 ORDER BY train DESC, brand) AS best, rank() OVER (PARTITION BY a, b2, c2 ORDER BY test) AS k, count(*) OVER (PARTITION BY a, b2, c2) AS n FROM x WHERE train IS NOT NULL AND test IS NOT NULL)
-    SELECT count(*) AS splits, round(avg((ln((k / (n + 1)) / (1 - k / (n + 1))) <= 0)::INT), 6) AS pbo FROM r WHERE best = 1""",
-)
-def d50(spark, p):
-    """Every half-and-half split of six interleaved blocks of quarters: where the best of the train half ranks in the test half."""
-    b = cohorts(deals(spark, p), "brand").groupBy("brand", (F.floor((F.year("m") * 12 + F.month("m")) / 3) % 6).alias("block")).agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    splits = F.array(*(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(k).alias("c")) for i in range(6) for j in range(i + 1, 6) for k in range(j + 1, 6)))
-    k = b.select("*", F.inline(splits)).withColumn("in", (F.col("block") == F.col("a")) | (F.col("block") == F.col("b")) | (F.col("block") == F.col("c")))
-    side = lambda c: F.sum(F.when(c, F.col("s"))) / F.sum(F.when(c, F.col("n")))
-    x = k.groupBy("a", "b", "c", "brand").agg(side(F.col("in")).alias("train"), side(~F.col("in")).alias("test")).dropna()
-    own = Window.partitionBy("a", "b", "c")
-    r = x.select(F.row_number().over(own.orderBy(F.desc("train"), "brand")).alias("best"), F.rank().over(own.orderBy("test")).alias("k"), F.count(F.lit(1)).over(own).alias("n")).where("best = 1")
-    w = F.col("k") / (F.col("n") + 1)
-    return r.agg(F.count(F.lit(1)).alias("splits"), r6(F.avg((F.log(w / (1 - w)) <= 0).cast("int"))).alias("pbo"))
-
-
 @register(
     "d51_forward_score",
     f"""{B}, {cohorts_sql('brand')}, sel AS (SELECT brand, sign(avg(x)) AS s FROM c WHERE year(m) < 1999 GROUP BY 1 HAVING count(*) >= 6 ORDER BY abs(round(avg(x), 9)) DESC, brand LIMIT 10),

@@ -1,4 +1,4 @@
-"""Signal families, candidates and their rank correlations, in long format (id, d, signal, value)."""
+"""Signal families: a column per signal, in running sums."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.core.shared import materialise
-from sextant.core.tables import DEALS_SQL, bars, bars_sql, deals
-from sextant.functions.numbers import half_up, half_up_sql, r6
+from sextant.core.shared import once
+from sextant.core.tables import DEALS_SQL, bars, bars_sql, deal_tables, deals
+from sextant.functions.numbers import half_up_sql, half_up_text
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
-from sextant.plans.slice import FWD_SQL
 
 B = f"WITH {DEALS_SQL}, {bars_sql()}"
 
@@ -23,22 +22,22 @@ def by():
 
 
 class Both:
-    """An expression as a Spark column, made when it is asked for, and as DuckDB text; a division by zero is NULL in both."""
+    """An expression as Spark SQL, made when it is asked for, and as DuckDB text; a division by zero is NULL in both."""
 
-    def __init__(self, col: Callable[[], Column], sql: str):
+    def __init__(self, col: Callable[[], str], sql: str):
         self.col, self.sql = col, sql
 
     def __add__(self, other: Both) -> Both:
-        return Both(lambda: self.col() + other.col(), f"({self.sql} + {other.sql})")
+        return Both(lambda: f"({self.col()} + {other.col()})", f"({self.sql} + {other.sql})")
 
     def __sub__(self, other: Both) -> Both:
-        return Both(lambda: self.col() - other.col(), f"({self.sql} - {other.sql})")
+        return Both(lambda: f"({self.col()} - {other.col()})", f"({self.sql} - {other.sql})")
 
     def __truediv__(self, other: Both) -> Both:
-        return Both(lambda: F.try_divide(self.col(), other.col()), f"({self.sql} / nullif({other.sql}, 0))")
+        return Both(lambda: f"try_divide({self.col()}, {other.col()})", f"({self.sql} / nullif({other.sql}, 0))")
 
     def log(self) -> Both:
-        return Both(lambda: F.log(F.nullif(self.col(), F.lit(0.0))), f"ln(nullif({self.sql}, 0))")
+        return Both(lambda: f"ln(nullif({self.col()}, 0D))", f"ln(nullif({self.sql}, 0))")
 
 
 class Spans:
@@ -51,31 +50,31 @@ class Spans:
         self.lags: set[tuple[str, int]] = set()
         self.frames: dict[str, Column] = {}
 
-    def running(self, v: str, back: int) -> Column:
+    def running(self, v: str, back: int) -> str:
         """Sum of ``v`` up to ``back`` rows ago, 0 before the first row."""
         self.sums.add(v)
         if not back:
-            return F.col(f"_s_{v}")
+            return f"_s_{v}"
         self.lags.add((v, back))
-        return F.coalesce(F.col(f"_s_{v}_{back}"), F.lit(0.0))
+        return f"_l{back}_{v}"
 
-    def total(self, v: str, far: int, near: int = 0) -> Column:
-        return self.running(v, near) - self.running(v, far + 1)
+    def total(self, v: str, far: int, near: int = 0) -> str:
+        return f"({self.running(v, near)} - {self.running(v, far + 1)})"
 
-    def known(self, v: str, far: int, near: int) -> Column:
+    def known(self, v: str, far: int, near: int) -> str:
         return self.total(f"has_{v}", far, near)
 
     @staticmethod
     def enough(n: int, least: int | None) -> int:
         return max(2, int(0.8 * n)) if least is None else least
 
-    def over(self, v: str, n: int, spark: Callable[[Column, Callable[[str], Column]], Column], sql: str, near: int = 0, least: int | None = None) -> Both:
+    def over(self, v: str, n: int, spark: Callable[[str, Callable[[str], str]], str], sql: str, near: int = 0, least: int | None = None) -> Both:
         """``spark`` gets the count of values and the sum of any column; ``sql`` is an aggregate of ``v``."""
         far, enough = near + n - 1, self.enough(n, least)
 
-        def column() -> Column:
+        def column() -> str:
             count = self.known(v, far, near)
-            return F.when(count >= enough, spark(count, lambda c: self.total(c, far, near)))
+            return f"CASE WHEN {count} >= {enough} THEN {spark(count, lambda c: self.total(c, far, near))} END"
 
         frame = f"OVER (PARTITION BY id ORDER BY d ROWS BETWEEN {far} PRECEDING AND {near} PRECEDING)"
         return Both(column, f"CASE WHEN count({v}) {frame} >= {enough} THEN {sql} {frame} END")
@@ -84,33 +83,34 @@ class Spans:
         return self.over(v, n, lambda k, s: s(v), f"sum({v})", near, least)
 
     def mean(self, v: str, n: int, near: int = 0, least: int | None = None) -> Both:
-        return self.over(v, n, lambda k, s: s(v) / k, f"avg({v})", near, least)
+        return self.over(v, n, lambda k, s: f"{s(v)} / {k}", f"avg({v})", near, least)
 
     def std(self, v: str, n: int) -> Both:
-        return self.over(v, n, lambda k, s: F.sqrt(F.greatest((s(f"{v}_2") - s(v) * s(v) / k) / (k - 1), F.lit(0.0))), f"stddev_samp({v})")
+        return self.over(v, n, lambda k, s: f"sqrt(greatest(({s(f'{v}_2')} - {s(v)} * {s(v)} / {k}) / ({k} - 1), 0D))", f"stddev_samp({v})")
 
     def skew(self, v: str, n: int) -> Both:
-        def spark(k: Column, s: Callable) -> Column:
-            m = s(v) / k
-            second, third = s(f"{v}_2") - k * m * m, s(f"{v}_3") - 3 * m * s(f"{v}_2") + 2 * k * m * m * m
-            return k * F.sqrt(k - 1) / (k - 2) * F.try_divide(third, F.pow(second, F.lit(1.5)))
+        def spark(k: str, s: Callable) -> str:
+            m, two = f"({s(v)} / {k})", s(f"{v}_2")
+            second, third = f"({two} - {k} * {m} * {m})", f"({s(f'{v}_3')} - 3 * {m} * {two} + 2 * {k} * {m} * {m} * {m})"
+            return f"{k} * sqrt({k} - 1) / ({k} - 2) * try_divide({third}, pow({second}, 1.5D))"
 
         return self.over(v, n, spark, f"skewness({v})")
 
     def kurt(self, v: str, n: int) -> Both:
-        def spark(k: Column, s: Callable) -> Column:
-            m = s(v) / k
-            second = s(f"{v}_2") - k * m * m
-            fourth = s(f"{v}_4") - 4 * m * s(f"{v}_3") + 6 * m * m * s(f"{v}_2") - 3 * k * m * m * m * m
-            return k * (k + 1) * (k - 1) / ((k - 2) * (k - 3)) * F.try_divide(fourth, second * second) - 3 * (k - 1) * (k - 1) / ((k - 2) * (k - 3))
+        def spark(k: str, s: Callable) -> str:
+            m, two = f"({s(v)} / {k})", s(f"{v}_2")
+            second = f"({two} - {k} * {m} * {m})"
+            fourth = f"({s(f'{v}_4')} - 4 * {m} * {s(f'{v}_3')} + 6 * {m} * {m} * {two} - 3 * {k} * {m} * {m} * {m} * {m})"
+            rest = f"(({k} - 2) * ({k} - 3))"
+            return f"{k} * ({k} + 1) * ({k} - 1) / {rest} * try_divide({fourth}, {second} * {second}) - 3 * ({k} - 1) * ({k} - 1) / {rest}"
 
         return self.over(v, n, spark, f"kurtosis({v})")
 
     def extreme(self, v: str, n: int, how: str) -> Both:
-        def column() -> Column:
+        def column() -> str:
             w = by().rowsBetween(-(n - 1), 0)
             self.frames[f"_{how}_{v}_{n}"] = F.when(F.count(v).over(w) >= self.enough(n, None), getattr(F, how)(v).over(w))
-            return F.col(f"_{how}_{v}_{n}")
+            return f"_{how}_{v}_{n}"
 
         frame = f"OVER (PARTITION BY id ORDER BY d ROWS {n - 1} PRECEDING)"
         return Both(column, f"CASE WHEN count({v}) {frame} >= {self.enough(n, None)} THEN {how}({v}) {frame} END")
@@ -124,10 +124,15 @@ class Spans:
 
         upto = by().rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumns({f"_s_{v}": F.coalesce(F.sum(value(v)).over(upto), F.lit(0.0)) for v in sorted(self.sums)} | self.frames)
-        return rows.withColumns({f"_s_{v}_{k}": F.lag(f"_s_{v}", k).over(by()) for v, k in sorted(self.lags)})
+        return rows.withColumns({f"_l{k}_{v}": F.lag(f"_s_{v}", k, 0.0).over(by()) for v, k in sorted(self.lags)})
 
 
 def panel(spark: SparkSession, p: str) -> DataFrame:
+    """``_panel``, written once for all families of a session."""
+    return once(spark, "panel", deal_tables(p), lambda: _panel(spark, p))
+
+
+def _panel(spark: SparkSession, p: str) -> DataFrame:
     """Bars with log return x, the market's mean return m, the day's deal flow, and what the families' spans run over."""
     flow = deals(spark, p).groupBy(F.col("brand").alias("id"), "d").agg(
         F.sum(F.when(F.col("side") == "BUY", F.col("value")).otherwise(0.0)).alias("buy"), F.sum(F.when(F.col("side") == "SELL", F.col("value")).otherwise(0.0)).alias("sell")
@@ -146,11 +151,11 @@ def panel(spark: SparkSession, p: str) -> DataFrame:
         "illiq": F.abs("x") / F.col("turnover") * 1e6, "zero": (F.abs("x") < 1e-9).cast("double"), "x1": F.lag("x").over(by()), "upv": F.when(F.col("x") > 0, F.col("volume")).otherwise(0.0),
         "net": F.col("buy") - F.col("sell"), "busy": ((F.col("buy") + F.col("sell")) > 0).cast("double"), "tx": F.when(F.col("turn"), F.col("x")),
     })
-    one = one.withColumns({"dv": F.col("lv") - F.lag("lv").over(by()), "xx1": F.col("x") * F.col("x1"), **{f"w{h}": F.pow(F.lit(2.0), F.col("t") / h) for h in (10, 42)}})
-    one = one.withColumns({"cx": F.when(F.col("dv").isNotNull(), F.col("x")), "cv": F.when(F.col("x").isNotNull(), F.col("dv")), "cxv": F.col("x") * F.col("dv"), **{f"net{h}": F.col("net") * F.col(f"w{h}") for h in (10, 42)}})
+    one = one.withColumns({"dv": F.col("lv") - F.lag("lv").over(by()), "xx1": F.col("x") * F.col("x1"), **{f"ewm{h}": R.ewm("net", "t", h, ["id"]) for h in (10, 42)}})
+    one = one.withColumns({"cx": F.when(F.col("dv").isNotNull(), F.col("x")), "cv": F.when(F.col("x").isNotNull(), F.col("dv")), "cxv": F.col("x") * F.col("dv")})
     s = Spans()
     vol21, mean63 = s.std("x", 21).col(), s.mean("volume", 63, near=1).col()
-    two = s.columns(one).withColumns({"vol21": vol21, "big": (F.col("volume") > 2 * mean63).cast("double")})
+    two = s.columns(one).withColumns({"vol21": F.expr(vol21), "big": F.expr(f"CAST(volume > 2 * {mean63} AS DOUBLE)")})
     return two.select(*one.columns, "vol21", F.coalesce("big", F.lit(0.0)).alias("big"))
 
 
@@ -174,14 +179,14 @@ def family(name: str, make: Callable[[Spans], dict[str, Both]]) -> None:
 
     def query(spark: SparkSession, p: str) -> DataFrame:
         spans = Spans()
-        columns = [half_up(s.col(), 5).alias(key) for key, s in make(spans).items()]
-        return spans.columns(panel(spark, p)).select("id", "d", *columns)
+        columns = [f"{half_up_text(s.col(), 5)} AS {key}" for key, s in make(spans).items()]
+        return spans.columns(panel(spark, p)).selectExpr("id", "d", *columns)
 
     register(name, sql)(query)
 
 
 def plain(column: str) -> Both:
-    return Both(lambda: F.col(column), column)
+    return Both(lambda: column, column)
 
 
 def _momentum(s: Spans) -> dict[str, Both]:
@@ -214,11 +219,11 @@ def _volatility(s: Spans) -> dict[str, Both]:
     out = {f"vol_{n}": s.std("x", n) for n in (10, 21, 63, 126, 252)} | {f"downvol_{n}": s.std("neg", n) for n in (21, 63, 126)}
     for n in (10, 21, 63):
         mean = s.mean("hl2", n)
-        out[f"parkinson_{n}"] = Both(lambda mean=mean: F.sqrt(mean.col() / 2.772588722239781), f"sqrt(({mean.sql}) / 2.772588722239781)")
+        out[f"parkinson_{n}"] = Both(lambda mean=mean: f"sqrt(({mean.col()}) / 2.772588722239781D)", f"sqrt(({mean.sql}) / 2.772588722239781)")
     out |= {f"ivol_{n}": s.std("rel", n) for n in (63, 126)} | {"volvol_63": s.std("vol21", 63)}
     for n in (63, 126, 252):
         out[f"skew_{n}"] = s.skew("x", n)
-        slope = lambda k, t: F.try_divide(t("xm") - t("x") * t("mx") / k, t("mx_2") - t("mx") * t("mx") / k)
+        slope = lambda k, t: f"try_divide({t('xm')} - {t('x')} * {t('mx')} / {k}, {t('mx_2')} - {t('mx')} * {t('mx')} / {k})"
         out[f"beta_{n}"] = s.over("x", n, slope, "regr_slope(x, mx)")
     out |= {f"kurt_{n}": s.kurt("x", n) for n in (63, 252)} | {f"hl_range_{n}": s.mean("hlr", n) for n in (5, 21)}
     return out | {"vol_ratio_21_126": s.std("x", 21) / s.std("x", 126)}
@@ -229,7 +234,7 @@ def _volume(s: Spans) -> dict[str, Both]:
     out |= {f"vsurge_{a}_{n}": s.mean("volume", a) / s.mean("volume", n) for a, n in ((5, 21), (5, 63), (21, 126), (21, 252))}
     for n in (21, 63):
         out[f"vstd_{n}"] = s.std("lv", n)
-        both = lambda k, t: F.try_divide(t("cxv") - t("cx") * t("cv") / k, F.sqrt((t("cx_2") - t("cx") * t("cx") / k) * (t("cv_2") - t("cv") * t("cv") / k)))
+        both = lambda k, t: f"try_divide({t('cxv')} - {t('cx')} * {t('cv')} / {k}, sqrt(({t('cx_2')} - {t('cx')} * {t('cx')} / {k}) * ({t('cv_2')} - {t('cv')} * {t('cv')} / {k})))"
         out[f"pvcorr_{n}"] = s.over("cx", n, both, "corr(x, dv)")
         out[f"upvol_{n}"] = s.sum("upv", n) / s.sum("volume", n)
         out[f"abvol_{n}"] = s.sum("big", n)
@@ -241,9 +246,9 @@ def _liquidity(s: Spans) -> dict[str, Both]:
     for n in (21, 63):
         a, b, c = s.mean("xx1", n), s.mean("x", n), s.mean("x1", n)
 
-        def spread(a: Both = a, b: Both = b, c: Both = c) -> Column:
-            known = a.col().isNotNull() & b.col().isNotNull() & c.col().isNotNull()
-            return F.when(known, 2 * F.sqrt(F.greatest(b.col() * c.col() - a.col(), F.lit(0.0))))
+        def spread(a: Both = a, b: Both = b, c: Both = c) -> str:
+            x, y, z = a.col(), b.col(), c.col()
+            return f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL AND {z} IS NOT NULL THEN 2 * sqrt(greatest({y} * {z} - {x}, 0D)) END"
 
         out[f"roll_{n}"] = Both(spread, f"CASE WHEN ({a.sql}) IS NOT NULL AND ({b.sql}) IS NOT NULL AND ({c.sql}) IS NOT NULL THEN 2 * sqrt(greatest(({b.sql}) * ({c.sql}) - ({a.sql}), 0)) END")
         out[f"turn_cv_{n}"] = s.std("turnover", n) / s.mean("turnover", n)
@@ -258,9 +263,9 @@ def _seasonal(s: Spans) -> dict[str, Both]:
         if len(parts) == 1:
             return parts[0]
 
-        def mean() -> Column:
-            known = sum((F.when(q.col().isNotNull(), 1).otherwise(0) for q in parts), F.lit(0))
-            return F.try_divide(sum((F.coalesce(q.col(), F.lit(0.0)) for q in parts), F.lit(0.0)), known)
+        def mean() -> str:
+            each = [q.col() for q in parts]
+            return f"try_divide({' + '.join(f'coalesce({q}, 0D)' for q in each)}, {' + '.join(f'CASE WHEN {q} IS NULL THEN 0 ELSE 1 END' for q in each)})"
 
         return Both(mean, f"list_avg([{', '.join(q.sql for q in parts)}])")
 
@@ -273,188 +278,12 @@ def _institutional(s: Spans) -> dict[str, Both]:
     out = {f"dnet_{n}": s.sum("net", n) / s.sum("turnover", n) for n in (5, 21, 63, 126)}
     for n in (21, 63):
         out[f"dbuy_{n}"], out[f"dsell_{n}"], out[f"ddays_{n}"] = s.sum("buy", n) / s.sum("turnover", n), s.sum("sell", n) / s.sum("turnover", n), s.sum("busy", n)
-    for h in (10, 42):  # weights 2 ** (t / h) of a name's own row number: doubles hold them for 10,000 sessions and more
+    for h in (10, 42):
         sql = f"sum(net * pow(2, t / {h}.0)) OVER (PARTITION BY id ORDER BY d ROWS UNBOUNDED PRECEDING) / sum(pow(2, t / {h}.0)) OVER (PARTITION BY id ORDER BY d ROWS UNBOUNDED PRECEDING)"
-        out[f"dnet_ewm{h}"] = Both(lambda h=h: F.try_divide(s.running(f"net{h}", 0), s.running(f"w{h}", 0)), sql) / s.mean("turnover", 63)
+        out[f"dnet_ewm{h}"] = Both(lambda h=h: f"ewm{h}", sql) / s.mean("turnover", 63)
     return out
 
 
 FAMILIES = {"g01_momentum": _momentum, "g02_reversal": _reversal, "g03_volatility": _volatility, "g04_volume": _volume, "g05_liquidity": _liquidity, "g06_seasonal": _seasonal, "g07_institutional": _institutional}
 for _name, _family in FAMILIES.items():
     family(_name, _family)
-
-
-# Candidates: base signals, centred ranks on one cross-section, moments and correlations
-
-MIN_NAMES = 5
-BASE = {
-    "gap1": "open / lag(close) OVER (PARTITION BY id ORDER BY d) - 1",
-    "mom5": "close / lag(close, 5) OVER (PARTITION BY id ORDER BY d) - 1",
-    "mom21": "close / lag(close, 21) OVER (PARTITION BY id ORDER BY d) - 1",
-    "mom63": "close / lag(close, 63) OVER (PARTITION BY id ORDER BY d) - 1",
-    "range": "high / low",
-    "vol": "-volume",
-}
-_KNOWN = " AND ".join(f"{k} IS NOT NULL" for k in BASE)
-_LONG = " ".join(f"UNION ALL SELECT id, d, '{k}', {k} FROM ok" for k in BASE)
-_Z_SQL = f"""{B}, {FWD_SQL}, s AS (SELECT id, d, {', '.join(f'{e} AS {k}' for k, e in BASE.items())} FROM bars), ok AS (SELECT s.*, fwd FROM s JOIN f USING (id, d) WHERE fwd IS NOT NULL AND {_KNOWN}),
-long AS (SELECT id, d, 'y' AS signal, fwd AS v FROM ok {_LONG}),
-z AS (SELECT id, d, signal, rank() OVER (PARTITION BY d, signal ORDER BY v) + (count(*) OVER (PARTITION BY d, signal, v) - 1) / 2 - (count(*) OVER (PARTITION BY d, signal) + 1) / 2 AS z, count(*) OVER (PARTITION BY d, signal) AS n FROM long),
-mom AS (SELECT a.d, a.signal AS i, b.signal AS j, sum(a.z * b.z) AS m FROM z a JOIN z b ON a.d = b.d AND a.id = b.id WHERE a.n >= {MIN_NAMES} GROUP BY ALL)"""
-
-
-def centred_ranks(spark: SparkSession, p: str) -> DataFrame:
-    """id, d, signal, z: average ranks less their mean, over names that have every signal and a forward return ('y')."""
-    f = R.forward_return(bars(deals(spark, p)), 5, 20)
-    ok = f.select("id", "d", *(F.expr(e).alias(k) for k, e in BASE.items()), F.col("fwd").alias("y")).dropna()
-    long = ok.unpivot(["id", "d"], [*BASE, "y"], "signal", "v")
-    n = F.count(F.lit(1)).over(Window.partitionBy("d", "signal"))
-    return long.select("id", "d", "signal", (R.average_rank("v", ["d", "signal"]) - (n + 1) / 2).alias("z"), n.alias("n")).where(F.col("n") >= MIN_NAMES).drop("n")
-
-
-def moments(z: DataFrame) -> DataFrame:
-    """Per date the cross moments of all signals: names' ranks lie together by (d, id), so pairs form inside a name."""
-    pairs = z.groupBy("d", "id").agg(F.collect_list(F.struct("signal", "z")).alias("s"))
-    pairs = pairs.select("d", F.col("s"), F.explode("s").alias("a")).select("d", "a", F.explode("s").alias("b"))
-    return pairs.groupBy("d", F.col("a.signal").alias("i"), F.col("b.signal").alias("j")).agg(F.sum(F.col("a.z") * F.col("b.z")).alias("m"))
-
-
-def candidates(spark: SparkSession, depth: int = 3) -> DataFrame:
-    """candidate, parts (signal, sign): combinations to the depth with every sign pattern, the first sign positive."""
-    ids = spark.createDataFrame([(k,) for k in sorted(BASE)], "signal string").coalesce(1)
-    now = ids.select(F.array(F.struct("signal", F.lit(1).alias("sign"))).alias("parts"))
-    out = now
-    more = F.broadcast(ids.select("signal", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")))  # two rows a base signal
-    for _ in range(depth - 1):
-        now = now.join(more, F.col("signal") > F.element_at("parts", -1)["signal"]).select(F.concat("parts", F.array(F.struct("signal", "sign"))).alias("parts"))
-        out = out.unionByName(now)
-    return out.select(F.array_join(F.transform("parts", lambda x: F.concat(F.when(x["sign"] > 0, "+").otherwise("-"), x["signal"])), "").alias("candidate"), "parts")
-
-
-def _candidates_sql() -> str:
-    rows = []
-    for k in (1, 2, 3):
-        for names in itertools.combinations(sorted(BASE), k):
-            for signs in itertools.product((1, -1), repeat=k - 1):
-                parts = list(zip(names, (1, *signs), strict=True))
-                label = "".join(("+" if s > 0 else "-") + n for n, s in parts)
-                rows += [f"('{label}', '{n}', {s})" for n, s in parts]
-    return f"cand(candidate, signal, sign) AS (VALUES {', '.join(rows)})"
-
-
-CAND_SQL = _candidates_sql()
-IC_SQL = f"""{_Z_SQL}, {CAND_SQL}, num AS (SELECT d, candidate, sum(sign * m) AS c FROM cand JOIN mom ON i = signal AND j = 'y' GROUP BY ALL),
-den AS (SELECT d, a.candidate, sum(a.sign * b.sign * m) AS v FROM cand a JOIN cand b ON a.candidate = b.candidate JOIN mom ON i = a.signal AND j = b.signal GROUP BY ALL), yy AS (SELECT d, m AS y FROM mom WHERE i = 'y' AND j = 'y'),
-ic AS (SELECT d, candidate, c / sqrt(v * y) AS ic FROM num JOIN den USING (d, candidate) JOIN yy USING (d) WHERE v > 0 AND y > 0)"""
-
-
-def candidate_ic(spark: SparkSession, p: str) -> DataFrame:
-    """d, candidate, ic of every candidate, from the moments alone: no candidate ranks anything again."""
-    mom = materialise(moments(centred_ranks(spark, p)), "moments")  # read by several joins; dates times pairs of base signals
-    cand = candidates(spark).select("candidate", "parts", F.explode("parts").alias("a"))
-    num = cand.select("candidate", F.col("a.signal").alias("i"), F.col("a.sign").alias("s")).join(mom.where("j = 'y'"), "i").groupBy("d", "candidate").agg(F.sum(F.col("s") * F.col("m")).alias("c"))
-    square = cand.select("candidate", "a", F.explode("parts").alias("b")).select("candidate", F.col("a.signal").alias("i"), F.col("b.signal").alias("j"), (F.col("a.sign") * F.col("b.sign")).alias("s"))
-    den = square.join(mom, ["i", "j"]).groupBy("d", "candidate").agg(F.sum(F.col("s") * F.col("m")).alias("v"))
-    yy = mom.where("i = 'y' AND j = 'y'").select("d", F.col("m").alias("y"))
-    return num.join(den, ["d", "candidate"]).join(yy, "d").where("v > 0 AND y > 0").select("d", "candidate", (F.col("c") / F.sqrt(F.col("v") * F.col("y"))).alias("ic"))
-
-
-@register("g09_candidates", f"{_Z_SQL}, {CAND_SQL}, c AS (SELECT candidate, count(*) AS depth FROM cand GROUP BY 1) SELECT d, count(*) AS n, max(depth) AS deepest FROM c, (SELECT DISTINCT d FROM z WHERE n >= {MIN_NAMES}) GROUP BY 1")
-def g09(spark, p):
-    """Candidates on offer per scored date."""
-    dates = centred_ranks(spark, p).select("d").distinct()
-    c = candidates(spark).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("parts")).cast("long").alias("deepest"))
-    return dates.join(F.broadcast(c), F.lit(True))
-
-
-@register(
-    "g10_composites",
-    f"""{_Z_SQL}, {CAND_SQL}, c AS (SELECT id, d, candidate, avg(sign * z) AS score FROM z JOIN cand USING (signal) WHERE n >= {MIN_NAMES} GROUP BY ALL)
-    SELECT id, candidate, count(*) AS dates, round(avg(score), 6) AS mean, round(arg_max(score, d), 6) AS newest FROM c GROUP BY ALL""",
-)
-def g10(spark, p):
-    """Rank composite of every name, date and candidate; told per name and candidate."""
-    parts = candidates(spark).select("candidate", F.explode("parts").alias("a")).select("candidate", F.col("a.signal").alias("signal"), F.col("a.sign").alias("sign"))
-    c = centred_ranks(spark, p).join(F.broadcast(parts), "signal").groupBy("id", "d", "candidate").agg(F.avg(F.col("sign") * F.col("z")).alias("score"))  # parts: the fixed candidates
-    return c.groupBy("id", "candidate").agg(F.count(F.lit(1)).alias("dates"), r6(F.avg("score")).alias("mean"), r6(F.max_by("score", "d")).alias("newest"))
-
-
-@register("g12_ic_summary", f"{IC_SQL} SELECT candidate, count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic) / sqrt(count(*)), 6) AS se, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0), 4) AS t FROM ic GROUP BY 1")
-def g12(spark, p):
-    se = F.stddev_samp("ic") / F.sqrt(F.count(F.lit(1)))
-    return candidate_ic(spark, p).groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ic")).alias("mean"), r6(se).alias("se"), F.round(F.try_divide(F.avg("ic"), se), 4).alias("t"))
-
-
-@register("g13_moments", f"{_Z_SQL} SELECT d, i, j, m FROM mom")
-def g13(spark, p):
-    return moments(centred_ranks(spark, p))
-
-
-@register("g14_batch_ic", f"{IC_SQL} SELECT d, candidate, round(ic, 6) AS ic FROM ic")
-def g14(spark, p):
-    return candidate_ic(spark, p).select("d", "candidate", r6(F.col("ic")).alias("ic"))
-
-
-FACTORS = ("vol", "range")
-
-
-def _net_sql() -> str:
-    out, source = [], "mom"
-    for n, f in enumerate(FACTORS, 1):
-        out.append(
-            f"n{n} AS (SELECT a.d, a.i, a.j, a.m - fi.m * fj.m / ff.m AS m FROM {source} a JOIN {source} fi ON fi.d = a.d AND fi.i = a.i AND fi.j = '{f}' JOIN {source} fj ON fj.d = a.d AND fj.i = a.j AND fj.j = '{f}' "
-            f"JOIN {source} ff ON ff.d = a.d AND ff.i = '{f}' AND ff.j = '{f}' WHERE a.i <> '{f}' AND a.j <> '{f}' AND ff.m > 1e-6)"
-        )
-        source = f"n{n}"
-    return ", ".join(out)
-
-
-def net_of(mom: DataFrame, factor: str) -> DataFrame:
-    """Cross moments after every signal loses its projection on ``factor``; repeated, on each factor given the ones before."""
-    on = mom.where(F.col("j") == factor)
-    fi, fj = on.select("d", "i", F.col("m").alias("mi")), on.select("d", F.col("i").alias("j"), F.col("m").alias("mj"))
-    ff = on.where(F.col("i") == factor).select("d", F.col("m").alias("ff")).where("ff > 1e-6")
-    kept = mom.where((F.col("i") != factor) & (F.col("j") != factor))
-    return kept.join(fi, ["d", "i"]).join(fj, ["d", "j"]).join(ff, "d").select("d", "i", "j", (F.col("m") - F.col("mi") * F.col("mj") / F.col("ff")).alias("m"))
-
-
-@register(
-    "g15_partial_ic",
-    f"""{_Z_SQL}, {_net_sql()}, c AS (SELECT a.d, a.i, a.m AS ay, s.m AS aa, y.m AS yy FROM n{len(FACTORS)} a JOIN n{len(FACTORS)} s ON s.d = a.d AND s.i = a.i AND s.j = a.i JOIN n{len(FACTORS)} y ON y.d = a.d AND y.i = 'y' AND y.j = 'y' WHERE a.j = 'y' AND a.i <> 'y')
-    SELECT d, i AS signal, round(ay / sqrt(aa * yy), 6) AS ic FROM c WHERE aa > 1e-6 AND yy > 1e-6""",
-)
-def g15(spark, p):
-    """Correlation with the forward rank after both lose their projection on two factors, the volume and the range signal."""
-    mom = materialise(moments(centred_ranks(spark, p)), "moments")  # read by several joins; dates times pairs of base signals
-    for factor in FACTORS:
-        mom = materialise(net_of(mom, factor), "moments")
-    own = mom.groupBy("d", F.col("i").alias("signal")).agg(F.max(F.when(F.col("j") == "y", F.col("m"))).alias("ay"), F.max(F.when(F.col("j") == F.col("i"), F.col("m"))).alias("aa"))
-    yy = own.where("signal = 'y'").select("d", F.col("aa").alias("yy"))
-    return own.where("signal <> 'y'").join(yy, "d").where("aa > 1e-6 AND yy > 1e-6").select("d", "signal", r6(F.col("ay") / F.sqrt(F.col("aa") * F.col("yy"))).alias("ic"))
-
-
-@register(
-    "g16_block_means",
-    f"{IC_SQL}, bl AS (SELECT candidate, date_trunc('quarter', d)::DATE AS q, sum(ic) AS s, count(*) AS n FROM ic GROUP BY ALL) SELECT candidate, year(q) % 2 = 0 AS even_years, round(sum(s) / sum(n), 6) AS mean FROM bl GROUP BY ALL",
-)
-def g16(spark, p):
-    blocks = candidate_ic(spark, p).groupBy("candidate", F.trunc("d", "quarter").alias("q")).agg(F.sum("ic").alias("s"), F.count("ic").alias("n"))
-    return blocks.groupBy("candidate", (F.year("q") % 2 == 0).alias("even_years")).agg(r6(F.sum("s") / F.sum("n")).alias("mean"))
-
-
-CUTS = (1996, 1997, 1998, 1999, 2000)
-
-
-@register(
-    "d48_search_procedure",
-    f"""{IC_SQL}, halves AS (SELECT cut, candidate, avg(ic) FILTER (year(d) < cut) AS train, avg(ic) FILTER (year(d) >= cut) AS test FROM ic, (SELECT unnest([{', '.join(map(str, CUTS))}]) AS cut) GROUP BY ALL), top AS (SELECT * FROM halves WHERE train IS NOT NULL AND test IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cut ORDER BY abs(round(train, 9)) DESC, candidate) <= 5)
-    SELECT cut, count(*) AS n, round(avg(abs(train)), 6) AS train, round(avg(sign(train) * test), 6) AS test, round(avg((sign(train) * test > 0)::INT), 6) AS hit_rate FROM top GROUP BY 1""",
-)
-def d48(spark, p):
-    """The five best candidates up to each cut year, scored in their own sign from there on."""
-    side = lambda c, name: F.avg(F.when(c, F.col("ic"))).alias(name)
-    dated = candidate_ic(spark, p).withColumn("cut", F.explode(F.array(*(F.lit(y) for y in CUTS))))
-    s = dated.groupBy("cut", "candidate").agg(side(F.year("d") < F.col("cut"), "train"), side(F.year("d") >= F.col("cut"), "test")).dropna()
-    top = R.top(s, ["cut"], [F.desc(F.abs(F.round("train", 9))), F.col("candidate")], 5)
-    signed = F.signum("train") * F.col("test")
-    return top.groupBy("cut").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("train"))).alias("train"), r6(F.avg(signed)).alias("test"), r6(F.avg((signed > 0).cast("int"))).alias("hit_rate"))
