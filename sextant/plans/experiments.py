@@ -378,18 +378,6 @@ def d45(spark, p):
     return raw.select("brand", F.round("obs", 5).alias("t"), r6(F.max("p").over(Window.orderBy("k"))).alias("p"))
 
 
-@register(
-    "d46_null_calibration",
-    f"""{_STUDENT_SQL}, q AS (SELECT quantile_cont(m, 0.95) AS bar FROM (SELECT draw, max(abs(t)) AS m FROM bs GROUP BY 1)) SELECT (SELECT count(*) FROM o) AS names, round(any_value(bar), 5) AS bar, count(*) FILTER (abs(t) >= bar) AS found, (SELECT count(*) FROM bs, q WHERE abs(t) >= bar) AS null_found FROM o, q""",
-)
-def d46(spark, p):
-    o, bs = studentised(deals(spark, p))
-    most = bs.groupBy("draw").agg(F.max(F.abs("t")).alias("m"))
-    bar = F.broadcast(most.agg(F.percentile("m", 0.95).alias("bar")))  # one row
-    null = bs.crossJoin(bar).agg(F.count_if(F.abs("t") >= F.col("bar")).alias("null_found"))
-    return o.crossJoin(bar).agg(F.count(F.lit(1)).alias("names"), F.round(F.any_value("bar"), 5).alias("bar"), F.count_if(F.abs("t") >= F.col("bar")).alias("found")).crossJoin(F.broadcast(null))
-
-
 @register(
     "d51_forward_score",
     f"""{B}, {cohorts_sql('brand')}, sel AS (SELECT brand, sign(avg(x)) AS s FROM c WHERE year(m) < 1999 GROUP BY 1 HAVING count(*) >= 6 ORDER BY abs(round(avg(x), 9)) DESC, brand LIMIT 10),
