@@ -9,8 +9,8 @@ of 1e-6).  Lists of at most ``limit`` sets generate all overlaps in numpy, and a
 union of the two sketches could be that of a pair at the threshold.
 
 A longer list is walked once beside its first set: sets about as similar to it as near copies leave the list as its
-candidates, sets that could be linked to such a set become its candidates and stay, and what stays is split by one more
-retained value, at most DEPTH times.  Lists of over ``hot`` rows are dealt in chunks, each with a first set of its own,
+candidates, sets that could be linked to such a set become its candidates and stay, and what stays is split by its NEXT
+retained values, at most DEPTH times (a pair shares most of its lists, so it has many ways to meet).  Lists of over ``hot`` rows are dealt in chunks, each with a first set of its own,
 which stays in the list.  What is still long at the last depth becomes a candidate of the list's least set.  So no list is cut,
 no pair of a long list is emitted, and a common word pair is the last by which a set is listed.
 
@@ -38,9 +38,9 @@ from sextant.llm.graph import components
 from sextant.llm.jaccard import _columns, _Hashes, _local_roots, links_of, shingles
 from sextant.llm.words import by_rows
 
-K, LISTED, NEXT, DEPTH = 40, 16, 6, 3
+K, LISTED, NEXT, DEPTH = 40, 16, 2, 3
 #: Estimates: a set of NEAR leaves a long list with its first set, one of OPEN becomes a candidate of it.
-NEAR, OPEN = 0.8, 0.3
+NEAR, OPEN = 0.7, 0.25
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -103,6 +103,26 @@ def estimates(sketches: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray
     return shared, upto + upto.T - shared
 
 
+def pair_estimate(a: bytes, n: int, b: bytes, m: int) -> tuple[int, int]:
+    """``estimates`` of two sketches, for short lists."""
+    x, y = set(np.frombuffer(a, "<u4").tolist()), set(np.frombuffer(b, "<u4").tolist())
+    end = min(max(x) if n > len(x) else 2**32, max(y) if m > len(y) else 2**32)
+    shared = len(x & y)
+    return shared, sum(v <= end for v in x) + sum(v <= end for v in y) - shared
+
+
+def beside_first(first: tuple[bytes, int], raws: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each sketch with the first one."""
+    own = _sketch(first[0])
+    lengths = np.array([len(r) // 4 for r in raws])
+    row, values = np.repeat(np.arange(len(raws)), lengths), np.frombuffer(b"".join(raws), "<u4")
+    ends = np.maximum.reduceat(values, np.cumsum(lengths) - lengths).astype(np.int64)
+    end = np.minimum(np.where(sizes > lengths, ends, np.int64(2) ** 32), int(own[-1]) if first[1] > len(own) else 2**32)
+    shared = np.bincount(row[own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values], minlength=len(raws))
+    union = np.bincount(row[values <= end[row]], minlength=len(raws)) + np.searchsorted(own, end, side="right") - shared
+    return shared / np.maximum(union, 1)
+
+
 def could_be(shared: np.ndarray, union: np.ndarray, similarity: float, deviations: float = 4.5) -> np.ndarray:
     """Whether the sample allows the similarity, but for a chance in the tail of ``deviations``."""
     return shared >= similarity * union - deviations * np.sqrt(similarity * (1 - similarity) * union)
@@ -128,35 +148,44 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
         after = np.frombuffer(raw, "<u4")[at + 1 : min(known, at + 1 + NEXT)].tolist()
         return None, None, key, own, n, raw, known, [{"key": hash((key, v)), "at": at + 1 + i} for i, v in enumerate(after)]
 
-    def long(first: tuple, row: tuple) -> Iterator[tuple]:
-        if row[2] == first[2]:
-            yield stays(row)
-            return
-        shared, union = estimates([_sketch(first[4]), _sketch(row[4])], np.array([first[3], row[3]]))
-        near = shared[0, 1] / union[0, 1]
-        if near >= OPEN:
-            yield row[2], first[2], *[None] * 6
-        if near < NEAR:
-            yield stays(row)
+    def two(a: tuple, b: tuple) -> Iterator[tuple]:
+        if min(a[3], b[3]) >= threshold * max(a[3], b[3]) - 1e-6:
+            shared, union = pair_estimate(a[4], a[3], b[4], b[3])
+            if shared >= threshold * union - 4.5 * (threshold * (1 - threshold) * union) ** 0.5:
+                yield b[2], a[2], *[None] * 6
+
+    def long(first: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        near = beside_first((first[4], first[3]), [r[4] for r in rows], np.array([r[3] for r in rows])).tolist()
+        for row, similar in zip(rows, near, strict=True):
+            if row[2] == first[2]:
+                yield stays(row)
+                continue
+            if similar >= OPEN:
+                yield row[2], first[2], *[None] * 6
+            if similar < NEAR:
+                yield stays(row)
 
     def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own, held, over = None, [], False
+        own, held, over, first = None, [], False, None
+
+        def close() -> Iterator[tuple]:
+            if over and held:
+                yield from long(first, held)
+            elif len(held) == 2:
+                yield from two(*held)
+            elif len(held) > 2:
+                yield from short(held)
+
         for row in rows:
             if row[:2] != own:
-                if len(held) > 1:
-                    yield from short(held)
+                yield from close()
                 own, held, over, first = row[:2], [], row[1] is not None, row
-            if over:
-                yield from long(first, row)
-                continue
             held.append(row)
-            if len(held) > limit:
+            if len(held) > (1024 if over else limit):
                 over = True
-                for r in held:
-                    yield from long(first, r)
+                yield from long(first, held)
                 held = []
-        if len(held) > 1:
-            yield from short(held)
+        yield from close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

@@ -106,3 +106,15 @@ def test_estimates_are_exact_on_small_sets():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert shared[i, j] == len(np.intersect1d(a, b)) and union[i, j] == len(np.union1d(a, b))
+
+
+def test_the_ways_of_estimating_agree():
+    rng = np.random.default_rng(3)
+    whole = [np.unique(rng.integers(0, 400, rng.integers(1, 250))).astype(np.uint32) for _ in range(50)]
+    sizes, sketches = np.array([len(w) for w in whole]), [w[: bottomk.K] for w in whole]
+    shared, union = bottomk.estimates(sketches, sizes)
+    near = bottomk.beside_first((sketches[0].tobytes(), int(sizes[0])), [s.tobytes() for s in sketches], sizes)
+    for i, a in enumerate(sketches):
+        assert i == 0 or near[i] == shared[0, i] / union[0, i]
+        for j, b in enumerate(sketches):
+            assert i == j or bottomk.pair_estimate(a.tobytes(), int(sizes[i]), b.tobytes(), int(sizes[j])) == (shared[i, j], union[i, j])
