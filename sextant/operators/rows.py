@@ -58,27 +58,62 @@ def match_ladder(events: DataFrame, cells: list[tuple[str, DataFrame, list[str]]
     return out.withColumn("level", level).withColumn("matched", mean).drop(*(f"_{x}_{n}" for n, _, _ in cells for x in "nm"))
 
 
-def decluster(df: DataFrame, keys: list[str], index: str, gap: int, columns: list[str]) -> DataFrame:
+def decluster(df: DataFrame, keys: list[str], index: str, gap: int, columns: list[str], spread: bool = False) -> DataFrame:
     """Greedy: keep a row only if it is at least ``gap`` after the last row kept; rows of one index stay together.
 
-    Whether a row stays depends on the one kept before, so a key's rows pass one task in order; they stream by, and what
-    is held is the last kept index.  Null keys form a key of their own, rows with a null index are dropped.
+    Whether an index stays depends on the one kept before.  The decision runs over the different indices of a key alone, which stream
+    through one task in order; where the index counts sessions they are a calendar at most, however many rows a key has.  ``spread``: for
+    indices without such a bound the decision is made by pointers (``orbit``), so that a hot key's indices lie in many tasks.  Null
+    keys form a key of their own, rows with a null index are dropped.
     """
-    ordered = df.select(*columns).where(F.col(index).isNotNull()).distinct().repartition(*keys).sortWithinPartitions(*keys, index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, last = None, None
-        for batch in batches:
-            stay = []
-            for *key, i in zip(*(batch.column(c).to_pylist() for c in (*keys, index)), strict=True):
-                if key != open_key:
-                    open_key, last = key, i
-                elif i != last and i - last >= gap:
-                    last = i
-                stay.append(i == last)
-            yield batch.filter(pa.array(stay, pa.bool_()))
-
-    return ordered.mapInArrow(run, ordered.schema)
+    rows = df.select(*columns).where(F.col(index).isNotNull()).distinct()
+    at = rows.select(*keys, index).distinct()
+    if spread:
+        kept = orbit(at, keys, index, gap)
+    else:
+        ordered = at.repartition(*keys).sortWithinPartitions(*keys, index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            open_key, last = None, None
+            for batch in batches:
+                stay = []
+                for *key, i in zip(*(batch.column(c).to_pylist() for c in (*keys, index)), strict=True):
+                    first = key != open_key
+                    if first or i - last >= gap:
+                        open_key, last = key, i
+                    stay.append(first or i == last)
+                yield batch.filter(pa.array(stay, pa.bool_()))
+
+        kept = ordered.mapInArrow(run, ordered.schema)
+    if {*columns} == {*keys, index}:
+        return kept.select(*columns)
+    named = kept.select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, index)))
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, index)], "left_semi")
+
+
+def orbit(at: DataFrame, keys: list[str], index: str, gap: int) -> DataFrame:
+    """keys, index of what greedy de-clustering keeps, by pointer doubling.
+
+    Every index points to the first one at least ``gap`` later (an as-of join that splits hot keys); pointers are joined to themselves level by
+    level, and from the first index of each key the levels are walked back, doubling what is reached.  A step is a join of rows, so
+    a key's indices lie in as many tasks as there are.
+    """
+    from sextant.core.shared import materialise
+    from sextant.operators.timejoin import asof_join
+
+    id_of = F.struct(*keys)
+    points = at.select(id_of.alias("_k"), F.col(index).alias("_i"))
+    ahead = asof_join(points.select("_k", "_i", (F.col("_i") + gap).alias("_want")), points.withColumnRenamed("_i", "_to"), ["_k"], "_want", "_to", direction="forward", spread=True)
+    jumps = [materialise(ahead.where("_to IS NOT NULL").select("_k", "_i", "_to"), "jumps")]
+    while not jumps[-1].isEmpty():
+        a, b = jumps[-1], jumps[-1].select(F.col("_k").alias("_k2"), F.col("_i").alias("_at"), F.col("_to").alias("_end"))
+        jumps.append(materialise(a.join(b, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_to") == F.col("_at"))).select("_k", "_i", F.col("_end").alias("_to")), "jumps"))
+    reached = points.groupBy("_k").agg(F.min("_i").alias("_i"))
+    for level in reversed(jumps[:-1]):
+        step = reached.select(F.col("_k").alias("_k2"), F.col("_i").alias("_at"))
+        further = level.join(step, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_i") == F.col("_at"))).select("_k", F.col("_to").alias("_i"))
+        reached = materialise(reached.unionByName(further), "reached")
+    return reached.select(*(F.col("_k")[c].alias(c) for c in keys), F.col("_i").alias(index))
 
 
 def trailing_distinct(df: DataFrame, keys: list[str], index: str, who: str, span: int) -> DataFrame:
@@ -136,3 +171,39 @@ def ewm(value: str, number: str, half_life: float, keys: list[str], span: int =
         return F.coalesce(F.sum(x).over(own), F.lit(0.0)) + F.coalesce(F.sum(x).over(whole), F.lit(0.0)) * fade
 
     return F.try_divide(total(F.col(value) * weight), total(weight))
+
+
+def within_two_edits(df: DataFrame, name: str) -> DataFrame:
+    """a, b, distance: pairs a < b of different names at most two edits apart.
+
+    Two such names give the same string when at most two letters are taken from each, so all strings that a name gives are its join keys (as
+    hashes; 1 + n + n (n - 1) / 2 for n letters) and the distance decides.  No block of alike beginnings is paired.
+    """
+    n = df.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = F.when(F.length("name") > 0, less(F.col("name"))).otherwise(F.array())
+    keyed = n.withColumn("one", F.array_distinct(one)).withColumn("two", F.flatten(F.transform("one", lambda x: F.when(F.length(x) > 0, less(x)).otherwise(F.array()))))
+    keys = keyed.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), "one", "two"))).alias("key")).select("name", F.xxhash64("key").alias("key"))
+    a, b = keys.select("key", F.col("name").alias("a")), keys.select("key", F.col("name").alias("b"))
+    met = a.join(b, "key").where("a < b").select("a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", 2)).where("distance >= 0")
+
+
+def closure(edges: DataFrame, child: str, parent: str, rounds: int = 1_000) -> DataFrame:
+    """child, ancestor, steps: every ancestor once, with the fewest steps to it; diamonds and cycles end.
+
+    Semi-naive: only the pairs that a round found first are joined to the edges again, less what is known.  A member of a cycle is
+    its own ancestor.  Swap the columns for descendants.
+    """
+    from sextant.core.shared import materialise
+
+    e = materialise(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).dropna().distinct(), "edges")
+    up = e.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
+    new, found = e, e.withColumn("steps", F.lit(1))
+    for n in range(2, rounds + 2):
+        step = new.join(up, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
+        new = materialise(step.join(found.select("child", "ancestor"), ["child", "ancestor"], "left_anti"), "closure")
+        if new.isEmpty():
+            return found.select(F.col("child").alias(child), F.col("ancestor").alias("ancestor"), "steps")
+        found = found.unionByName(new.withColumn("steps", F.lit(n)))
+    raise RuntimeError(f"a lineage of more than {rounds} steps")

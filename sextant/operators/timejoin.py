@@ -6,26 +6,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, how: str = "left", direction: str = "backward", strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, how: str = "left", direction: str = "backward", strict: bool = False, spread: bool = False) -> DataFrame:
     """Each left row with the nearest right row of its key at or before its time (``forward``: at or after).
 
     Both sides are united and sorted once per key; the right row is carried along.  No range condition is joined, so
     rows are never multiplied, and a wide gap costs nothing.  ``strict`` excludes equal times.  Right rows should be
     unique per (keys, time).  Left columns keep their names; right columns other than keys come as they are.
+
+    A key's rows are one task's, unless ``spread``: then rows are dealt by ranges of (keys, time), a range carries its own rows along, and the
+    last right row of the ranges before comes from a table of two rows a range at most (a border splits one key).
     """
     carried = [c for c in right.columns if c not in keys]
     lead = direction == "forward"
     a = left.select(*keys, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*carried).alias("r")).schema["r"].dataType).alias("_r"), F.lit(1).alias("_side"))
     b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_l"), F.struct(*carried).alias("_r"), F.lit(0).alias("_side"))
+    b = b.withColumn("_side", F.lit((0 if strict else 2) if lead else (2 if strict else 0)))
+    both, part = a.unionByName(b), []
+    if spread:
+        from sextant.core.shared import materialise
+
+        order = [*keys, "_t", "_side"]
+        ranged = both.repartitionByRange(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+        both, part = materialise(ranged, "ranged"), ["_part"]
     if lead:
-        b = b.withColumn("_side", F.lit(0 if strict else 2))
-        over = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
+        over = Window.partitionBy(*part, *keys).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
         pick = F.first("_r", ignorenulls=True).over(over)
     else:
-        b = b.withColumn("_side", F.lit(2 if strict else 0))
-        over = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        over = Window.partitionBy(*part, *keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
         pick = F.last("_r", ignorenulls=True).over(over)
-    out = a.unionByName(b).withColumn("_got", pick).where("_side = 1")
+    out = both.withColumn("_got", pick).where("_side = 1")
+    if spread:
+        ends = both.groupBy(F.struct(*keys).alias("_end_key"), F.col("_part").alias("_end_part")).agg((F.min_by if lead else F.max_by)("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_side"))).alias("_end"), F.count(F.lit(1)).alias("_n"))
+        several = ends.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy("_end_key"))).where("_parts > 1")  # keys that a border splits
+        along = Window.partitionBy("_end_key").orderBy(F.desc("_end_part") if lead else "_end_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried_over = several.select("_end_key", "_end_part", F.last("_end", ignorenulls=True).over(along).alias("_carried"))
+        out = out.join(F.broadcast(carried_over), (F.col("_part") == F.col("_end_part")) & F.struct(*keys).eqNullSafe(F.col("_end_key")), "left").withColumn("_got", F.coalesce("_got", "_carried"))
     if how == "inner":
         out = out.where("_got IS NOT NULL")
     return out.select("_l.*", *(F.col("_got")[c].alias(c) for c in carried))

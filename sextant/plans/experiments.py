@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals
 from sextant.functions.numbers import correlation, correlation_sql, half_up, half_up_sql, r6
+from sextant.operators import ranks
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
 from sextant.plans.slice import FWD_SQL
@@ -370,12 +372,12 @@ def studentised(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     p AS (SELECT r.brand, r.k, r.t, (1 + count(*) FILTER (mx >= abs(r.t))) / (1 + count(*)) AS p FROM mx JOIN r USING (k) GROUP BY ALL) SELECT brand, round(t, 5) AS t, round(max(p) OVER (ORDER BY k), 6) AS p FROM p""",
 )
 def d45(spark, p):
-    """The maximum over this and all weaker hypotheses, per draw; one row a hypothesis reaches the global order."""
+    """The maximum over this and all weaker hypotheses, per draw; hypotheses are numbered over ranges."""
     o, bs = studentised(deals(spark, p))
-    r = o.select("brand", F.col("t").alias("obs"), F.row_number().over(Window.orderBy(F.abs("t").desc(), "brand")).alias("k"))
+    r = ranks.numbered(o.select("brand", F.col("t").alias("obs")), [F.abs("obs").desc(), F.col("brand")], to="k")
     mx = bs.join(r, "brand").select("brand", "k", "obs", F.max(F.abs("t")).over(Window.partitionBy("draw").orderBy(F.desc("k"))).alias("mx"))
     raw = mx.groupBy("brand", "k", "obs").agg(((1 + F.count_if(F.col("mx") >= F.abs("obs"))) / (1 + F.count(F.lit(1)))).alias("p"))
-    return raw.select("brand", F.round("obs", 5).alias("t"), r6(F.max("p").over(Window.orderBy("k"))).alias("p"))
+    return ranks.running(materialise(raw, "raw"), "k", "p", "max", "top").select("brand", F.round("obs", 5).alias("t"), r6(F.col("top")).alias("p"))
 
 
 @register(

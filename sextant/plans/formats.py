@@ -90,9 +90,8 @@ def s16(spark, p):
     """Writes the set, replaces it by a smaller one, and reads what stands there."""
     path, orders = new_path(spark, "set"), table(spark, p, "orders")
     S.replace_partitioned(orders, path, ["o_orderstatus"])
-    S.replace_partitioned(spark.read.schema(orders.schema).parquet(path).where("o_orderpriority <> '1-URGENT'"), path + "-b", ["o_orderstatus"])
-    S.replace_partitioned(spark.read.schema(orders.schema).parquet(path + "-b"), path, ["o_orderstatus"])
-    return spark.read.schema(orders.schema).parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    S.replace_partitioned(S.read_replaced(spark, path, orders.schema).where("o_orderpriority <> '1-URGENT'"), path, ["o_orderstatus"])
+    return S.read_replaced(spark, path, orders.schema).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @register("s17_newest_sorted_table", "SELECT user_id, event_type, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

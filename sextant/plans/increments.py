@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sextant.core.shared import materialise, new_path
 from sextant.core.tables import DEALS_SQL, deals, table
 from sextant.functions.numbers import r6
+from sextant.operators import rows as R
 from sextant.plans.catalog import register
 from sextant.streaming import increments as I
 
@@ -149,21 +150,12 @@ def x04(spark, p):
     return spark.sql("SELECT event_id, j.key, j.value FROM {events}, LATERAL json_pairs(props) AS j", events=table(spark, p, "events"))
 
 
-@register("x05_lineage", "WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey >= 3), r AS (SELECT child, parent, 1 AS steps FROM e UNION SELECT r.child, e.parent, r.steps + 1 FROM r JOIN e ON e.child = r.parent) SELECT child, count(*) AS ancestors, min(parent) AS oldest, max(steps) AS depth FROM r GROUP BY 1")
+@register("x05_lineage", "WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey >= 3 UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey >= 2), r AS (SELECT child, parent, 1 AS steps FROM e UNION SELECT r.child, e.parent, r.steps + 1 FROM r JOIN e ON e.child = r.parent), s AS (SELECT child, parent, min(steps) AS steps FROM r GROUP BY ALL) SELECT child, count(*) AS ancestors, min(parent) AS oldest, max(steps) AS depth FROM s GROUP BY 1")
 def x05(spark, p):
-    """All ancestors by joining the newest paths to the edges until none is new; a path that closes a loop stops."""
-    e = table(spark, p, "part").where("p_partkey >= 3").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent"))
-    step = e.select("child", "parent", F.lit(1).alias("steps"))
-    found = step
-    edges = e.select(F.col("child").alias("parent"), F.col("parent").alias("next"))
-    for n in range(2, 64):
-        step = materialise(step.join(edges, "parent").where("next <> child").select("child", F.col("next").alias("parent"), F.lit(n).alias("steps")), "lineage")
-        if step.isEmpty():
-            break
-        found = found.unionByName(step)
-    else:
-        raise RuntimeError("a lineage of more than 63 steps")
-    return found.groupBy("child").agg(F.count(F.lit(1)).alias("ancestors"), F.min("parent").alias("oldest"), F.max("steps").alias("depth"))
+    """Ancestors of every part in a graph of two parents each, full of diamonds: how many different ones, and the farthest by the shortest way."""
+    part = table(spark, p, "part").select("p_partkey")
+    e = part.where("p_partkey >= 3").selectExpr("p_partkey AS child", "p_partkey div 3 AS parent").unionByName(part.where("p_partkey >= 2").selectExpr("p_partkey AS child", "p_partkey div 2 AS parent"))
+    return R.closure(e, "child", "parent").groupBy("child").agg(F.count(F.lit(1)).alias("ancestors"), F.min("ancestor").alias("oldest"), F.max("steps").alias("depth"))
 
 
 _PANEL = f"""{D}, px AS (SELECT brand AS id, d, arg_max(price, (deal_key, deal_line, price, qty)) AS close, sum(value) AS turnover, sum(CASE WHEN side = 'BUY' THEN value ELSE 0 END) AS bought, sum(CASE WHEN side = 'SELL' THEN value ELSE 0 END) AS sold FROM deals GROUP BY ALL),

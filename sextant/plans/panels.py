@@ -251,13 +251,8 @@ def w18(spark, p):
     SELECT id, d, round(sum(close * pow(2, i / 10.0)) OVER w / sum(pow(2, i / 10.0)) OVER w, 6) AS ewm FROM i WINDOW w AS (PARTITION BY id ORDER BY d)""",
 )
 def w20(spark, p):
-    """A key's sessions are one group: one row a date, thousands at most."""
-
-    def smooth(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("d")
-        return g.assign(ewm=g["close"].ewm(halflife=10).mean())[["id", "d", "ewm"]]
-
-    return b(spark, p).select("id", "d", "close").groupBy("id").applyInPandas(smooth, "id string, d date, ewm double").withColumn("ewm", r6(F.col("ewm")))
+    i = b(spark, p).select("id", "d", "close", F.row_number().over(Window.partitionBy("id").orderBy("d")).alias("i"))
+    return i.select("id", "d", r6(R.ewm("close", "i", 10, ["id"])).alias("ewm"))
 
 
 @register(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
 from sextant.functions.numbers import half_up, half_up_sql, r6
+from sextant.operators import ranks
 from sextant.operators import rows as R
 from sextant.operators import timejoin as T
 from sextant.plans.catalog import register
@@ -66,10 +67,10 @@ FACTORS = (0.0, 0.25, 0.5, 1.0)
     SELECT tier, f AS factor, count(*) AS n, count(*) FILTER (reason = 'STOPPED') AS stopped, round(avg(CASE WHEN reason = 'STOPPED' THEN last_ratio * f - 1 ELSE ret END), 6) AS mean FROM priced JOIN tier USING (listing), (VALUES {', '.join(f'({f}::DOUBLE)' for f in FACTORS)}) s(f) WHERE reason <> 'CENSORED' GROUP BY ALL""",
 )
 def d19(spark, p):
-    """Mean outcome by liquidity tier if a stopped name is worth a share of its last close; tiers rank listings, one row each."""
+    """Mean outcome by liquidity tier if a stopped name is worth a share of its last close; tiers are cut from numbers over ranges of listings."""
     x = deals(spark, p)
     q = x.groupBy(F.concat_ws("/", F.col("security").cast("string"), "brand").alias("listing")).agg(F.sum("qty").alias("q"))
-    tier = q.select("listing", F.ntile(3).over(Window.orderBy(F.desc("q"), "listing")).cast("long").alias("tier"))
+    tier = ranks.numbered(q, [F.desc("q"), F.col("listing")], to="k", total="n").select("listing", ranks.tile("k", "n", 3).cast("long").alias("tier"))
     e = exits(x).where("reason <> 'CENSORED'").join(tier, "listing").withColumn("factor", F.explode(F.array(*(F.lit(f) for f in FACTORS))))
     value = F.when(F.col("reason") == "STOPPED", F.col("last_ratio") * F.col("factor") - 1).otherwise(F.col("ret"))
     return e.groupBy("tier", "factor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason") == "STOPPED").alias("stopped"), r6(F.avg(value)).alias("mean"))

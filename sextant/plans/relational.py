@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
+from sextant.operators import ranks
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
 
@@ -81,21 +82,41 @@ def s15(spark, p):
 
 @register("s19_surrogate_ids", "SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS id FROM (SELECT DISTINCT p_brand FROM part)")
 def s19(spark, p):
-    return table(spark, p, "part").select("p_brand").distinct().select("p_brand", F.row_number().over(Window.orderBy("p_brand")).cast("long").alias("id"))
+    return ranks.numbered(table(spark, p, "part").select("p_brand").distinct(), [F.col("p_brand")], to="id")
 
 
-@register("s20_inventory", "SELECT 'orders' AS name, count(*) AS n, CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders UNION ALL SELECT 'lineitem', count(*), CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE) FROM lineitem UNION ALL SELECT 'events', count(*), CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) FROM events")
+#: Keys and, where there is one, the date of every table.
+TABLES = {
+    "region": ("r_regionkey", None), "nation": ("n_nationkey", None), "customer": ("c_custkey", None), "supplier": ("s_suppkey", None), "part": ("p_partkey", None),
+    "orders": ("o_orderkey", "o_orderdate"), "lineitem": ("l_orderkey, l_linenumber", "l_shipdate"), "events": ("event_id", "ts"), "documents": ("doc_id", None), "embeddings": ("vec_id", None),
+    "pages": ("page_id", None), "benchmark": ("item_id", None), "labels": ("doc_id", None), "conversations": ("conv_id, turn", None),
+}
+
+
+def _each_table(spark: SparkSession, p: str, one) -> DataFrame:
+    frames = [one(name, table(spark, p, name), [k.strip() for k in keys.split(",")], day) for name, (keys, day) in TABLES.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@register("s20_inventory", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, {f'CAST(min({d}) AS DATE)' if d else 'CAST(NULL AS DATE)'} AS lo, {f'CAST(max({d}) AS DATE)' if d else 'CAST(NULL AS DATE)'} AS hi FROM {t}" for t, (_, d) in TABLES.items()))
 def s20(spark, p):
-    span = lambda name, c: table(spark, p, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.to_date(F.min(c)).alias("lo"), F.to_date(F.max(c)).alias("hi"))
-    return span("orders", "o_orderdate").unionByName(span("lineitem", "l_shipdate")).unionByName(span("events", "ts"))
+    date = lambda f, day: F.to_date(f(day)) if day else F.lit(None).cast("date")
+    return _each_table(spark, p, lambda name, df, keys, day: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), date(F.min, day).alias("lo"), date(F.max, day).alias("hi")))
 
 
-@register("s21_vintages", "WITH a AS (SELECT p_partkey AS k, p_name AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS k, p_brand AS name FROM part WHERE p_partkey % 3 = 0) SELECT k, min(name) AS name FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k")
+@register("s21_vintages", "WITH a AS (SELECT p_partkey AS k, p_name AS name, p_size AS size FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS k, p_brand AS name, NULL AS size FROM part WHERE p_partkey % 3 = 0), c AS (SELECT p_partkey AS k, p_type AS name, p_size AS size FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 <> 0) SELECT k, min(name) AS name, CAST(max(size) AS BIGINT) AS size FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY k")
 def s21(spark, p):
+    """Three vintages of the part file with a name column each, some parts in two of them: the first column that a row has names it."""
     part = table(spark, p, "part")
-    a = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("long_name"))
-    b = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("short_name"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("k").agg(F.min(F.coalesce("long_name", "short_name")).alias("name"))
+    even, third = F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0
+    a = part.where(even).select(F.col("p_partkey").alias("k"), F.col("p_name").alias("long_name"), F.col("p_size").alias("size"))
+    b = part.where(third).select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("short_name"))
+    c = part.where(~even & ~third).select(F.col("p_partkey").alias("k"), F.col("p_type").alias("kind_name"), F.col("p_size").alias("size"))
+    every = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    return every.groupBy("k").agg(F.min(F.coalesce("long_name", "short_name", "kind_name")).alias("name"), F.max("size").cast("long").alias("size"))
 
 
 # ---- projections and predicates ------------------------------------------------------------------------------------
@@ -265,12 +286,27 @@ def j20(spark, p):
     return a.join(b, near, "left_anti").select("o_orderkey")
 
 
-@register("j26_fuzzy_names", "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON substr(a.name, 1, 3) = substr(b.name, 1, 3) AND a.name < b.name AND levenshtein(a.name, b.name) <= 2")
+LEAST_DEALS, LEAST_LENGTH = 5, 6
+_NAMES_SQL = f"WITH n AS (SELECT p_name AS name, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(*) >= {LEAST_DEALS} AND length(p_name) >= {LEAST_LENGTH})"
+
+
+def names(spark: SparkSession, p: str) -> DataFrame:
+    """name, n: names of parts by deals; rare and short ones name nothing reliably."""
+    part = table(spark, p, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    n = table(spark, p, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).join(part, "l_partkey").groupBy("name").agg(F.sum("n").alias("n"))
+    return n.where((F.col("n") >= LEAST_DEALS) & (F.length("name") >= LEAST_LENGTH))
+
+
+@register("j26_fuzzy_names", f"{_NAMES_SQL} SELECT a.name AS merge, b.name AS into, a.n AS n_merge, b.n AS n_into, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.name <> b.name AND (a.n, a.name) < (b.n, b.name) AND levenshtein(a.name, b.name) <= 2")
 def j26(spark, p):
-    """Pairs only inside a three-letter block, with a bounded edit distance."""
-    n = table(spark, p, "part").select(F.col("p_name").alias("name")).distinct().withColumn("block", F.substring("name", 1, 3))
-    a, b = n.select("block", F.col("name").alias("a")), n.select("block", F.col("name").alias("b"))
-    return a.join(b, "block").where("a < b").withColumn("distance", F.levenshtein("a", "b", 2).cast("long")).where("distance >= 0").select("a", "b", "distance")
+    """Merge suggestions from the name of fewer deals into that of more (ties: the later name), at most two letters apart."""
+    n = names(spark, p)
+    near = R.within_two_edits(n.select("name"), "name")
+    a, b = n.select(F.col("name").alias("a"), F.col("n").alias("na")), n.select(F.col("name").alias("b"), F.col("n").alias("nb"))
+    both = near.join(a, "a").join(b, "b")
+    up = F.struct("na", "a") < F.struct("nb", "b")
+    one = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    return both.select(one("a", "b").alias("merge"), one("b", "a").alias("into"), one("na", "nb").alias("n_merge"), one("nb", "na").alias("n_into"), F.col("distance").cast("long").alias("distance"))
 
 
 @register("j26_token_names", "WITH n AS (SELECT DISTINCT p_name AS name, list_sort(string_split(p_name, ' ')) AS tokens FROM part) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.tokens = b.tokens AND a.name < b.name")
@@ -449,12 +485,11 @@ def a29(spark, p):
     return table(spark, p, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") <= 0).alias("bad_qty"), F.count_if(F.col("l_discount") > 0.09).alias("high_discount"), F.count_if(F.col("l_shipdate").isNull()).alias("no_date"))
 
 
-@register("a30_reconciliation", "WITH a AS (SELECT 'nations' AS name, count(*) AS actual FROM nation UNION ALL SELECT 'regions', count(*) FROM region UNION ALL SELECT 'orders', count(*) FROM orders) SELECT name, actual, expected, actual = expected AS passed FROM a JOIN (VALUES ('nations', 25), ('regions', 5), ('orders', 7)) e(name, expected) USING (name)")
+@register("a30_reconciliation", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS actual, count(DISTINCT ({k}{', 0' if ',' not in k else ''})) AS expected, count(*) = count(DISTINCT ({k}{', 0' if ',' not in k else ''})) AS passed FROM {t}" for t, (k, _) in TABLES.items()))
 def a30(spark, p):
-    count = lambda name, t: table(spark, p, t).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("actual"))
-    actual = count("nations", "nation").unionByName(count("regions", "region")).unionByName(count("orders", "orders"))
-    expected = spark.createDataFrame([("nations", 25), ("regions", 5), ("orders", 7)], "name string, expected int")
-    return actual.join(expected, "name").withColumn("passed", F.col("actual") == F.col("expected"))
+    """Every table's rows against the number of its different keys, tolerance 0."""
+    n = F.count(F.lit(1))
+    return _each_table(spark, p, lambda name, df, keys, day: df.agg(F.lit(name).alias("name"), n.alias("actual"), F.count_distinct(F.struct(*keys)).alias("expected"))).withColumn("passed", F.col("actual") == F.col("expected"))
 
 
 @register("a31_first_six", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT upper(trim(p_name))))[1:6], ' ') AS names FROM part GROUP BY 1")

@@ -160,14 +160,14 @@ _R12_EVENTS = {
 
 @register(
     "r12_event_file",
-    f"""{B}, f AS (SELECT id, d, {', '.join(f'round(lead(close, {h}) OVER w / lead(open, 1) OVER w - 1, 6) AS h{h}' for h in (1, 5, 10, 21))} FROM bars WINDOW w AS (PARTITION BY id ORDER BY d)),
+    f"""{B.replace("WITH", "WITH RECURSIVE", 1)}, f AS (SELECT id, d, {', '.join(f'round(lead(close, {h}) OVER w / lead(open, 1) OVER w - 1, 6) AS h{h}' for h in (1, 5, 10, 21))} FROM bars WINDOW w AS (PARTITION BY id ORDER BY d)),
     k AS (SELECT id, d, {', '.join(f'{e} AS {n}' for n, e in _R12_EVENTS.items())} FROM bars),
     e AS (SELECT DISTINCT brand AS id, d, CASE WHEN side = 'BUY' THEN 'LARGE_BUY' ELSE 'LARGE_SELL' END AS kind FROM deals WHERE qty >= 45 UNION SELECT DISTINCT brand, d, 'R_DEAL' FROM deals WHERE kind = 'R' AND qty >= 45 {' '.join(f"UNION SELECT id, d, '{n}' FROM k WHERE {n}" for n in _R12_EVENTS)}),
-    g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY id, kind ORDER BY d), d) AS gap FROM e)
-    SELECT id, d, g.kind, h1, h5, h10, h21 FROM g JOIN f USING (id, d) WHERE (gap IS NULL OR gap >= 7) AND ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 600""",
+    g(id, kind, d) AS (SELECT id, kind, min(d) FROM e GROUP BY ALL UNION ALL SELECT g.id, g.kind, n.d FROM g JOIN LATERAL (SELECT min(e.d) AS d FROM e WHERE e.id = g.id AND e.kind = g.kind AND e.d >= g.d + 7) n ON n.d IS NOT NULL)
+    SELECT id, d, g.kind, h1, h5, h10, h21 FROM g JOIN f USING (id, d) WHERE ('0x' || substr(sha256(id), 1, 8))::BIGINT % 1000 < 600""",
 )
 def r12(spark, p):
-    """Eight kinds of events, each at least a week after the one of its name and kind before it, with forward returns.  Only the
+    """Eight kinds of events, each at least a week after the last kept one of its name and kind, with forward returns.  Only the
     exploration stratum (hash bucket below 600) leaves the job."""
     x = deals(spark, p)
     w = Window.partitionBy("id").orderBy("d")
@@ -176,8 +176,7 @@ def r12(spark, p):
     large = x.where("qty >= 45").select(F.col("brand").alias("id"), "d", F.explode(F.array(F.when(F.col("side") == "BUY", "LARGE_BUY").otherwise("LARGE_SELL"), F.when(F.col("kind") == "R", "R_DEAL"))).alias("kind"))
     flags = b.select("id", "d", F.array(*(F.struct(F.lit(n).alias("kind"), F.expr(e).alias("hit")) for n, e in _R12_EVENTS.items())).alias("k"))
     events = large.where("kind IS NOT NULL").distinct().unionByName(flags.select("id", "d", F.inline("k")).where("hit").select("id", "d", "kind"))
-    gap = F.datediff("d", F.lag("d").over(Window.partitionBy("id", "kind").orderBy("d")))
-    apart = events.withColumn("gap", gap).where("gap IS NULL OR gap >= 7").drop("gap")
+    apart = R.decluster(events.withColumn("day", F.unix_date("d")), ["id", "kind"], "day", 7, ["id", "kind", "d", "day"]).drop("day")
     return apart.where(F.conv(F.substring(F.sha2("id", 256), 1, 8), 16, 10).cast("long") % 1000 < 600).join(f, ["id", "d"]).select("id", "d", "kind", "h1", "h5", "h10", "h21")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals
 from sextant.functions.numbers import correlation, correlation_sql, r6
+from sextant.operators import ranks
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
 from sextant.plans.panels import _PRE, pre_post
@@ -67,16 +69,21 @@ def d31(spark, p):
     "d34_entity_persistence",
     f"""{B}, {FWD_SQL}, e AS (SELECT DISTINCT participant, brand AS id, d FROM deals WHERE side = 'BUY'), s AS (SELECT participant, avg(fwd) FILTER (year(d) < 1999) AS formed, avg(fwd) FILTER (year(d) >= 1999) AS later FROM e JOIN f USING (id, d) WHERE fwd IS NOT NULL GROUP BY 1),
     t AS (SELECT *, ntile(3) OVER (ORDER BY round(formed, 9), participant) AS tier FROM s WHERE formed IS NOT NULL AND later IS NOT NULL)
-    SELECT tier, count(*) AS n, round(avg(later), 6) AS later, round(avg((later > 0)::INT), 6) AS hit_rate FROM t GROUP BY 1""",
+    , rk AS (SELECT rank() OVER (ORDER BY round(formed, 9)) + (count(*) OVER (PARTITION BY round(formed, 9)) - 1) / 2 AS x, rank() OVER (ORDER BY round(later, 9)) + (count(*) OVER (PARTITION BY round(later, 9)) - 1) / 2 AS y FROM t), ri AS (SELECT round({correlation_sql("x", "y")}, 6) AS rank_ic FROM rk)
+    SELECT tier, count(*) AS n, round(avg(later), 6) AS later, round(avg((later > 0)::INT), 6) AS hit_rate, any_value(rank_ic) AS rank_ic FROM t, ri GROUP BY 1""",
 )
 def d34(spark, p):
-    """One row an entity remains when the tiers are cut, so the global order is over entities, not deals."""
+    """Tiers are cut from row numbers over ranges; ``rank_ic`` is the rank correlation of formed and later means over all entities."""
     x = deals(spark, p)
     f = R.forward_return(bars(x), 5, 20).where("fwd IS NOT NULL").select("id", "d", "fwd")
     e = x.where("side = 'BUY'").select("participant", F.col("brand").alias("id"), "d").distinct().join(f, ["id", "d"])
     s = e.groupBy("participant").agg(F.avg(F.when(F.year("d") < 1999, F.col("fwd"))).alias("formed"), F.avg(F.when(F.year("d") >= 1999, F.col("fwd"))).alias("later")).dropna()
-    t = s.withColumn("tier", F.ntile(3).over(Window.orderBy(F.round("formed", 9), "participant")).cast("long"))
-    return t.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("later")).alias("later"), r6(F.avg((F.col("later") > 0).cast("int"))).alias("hit_rate"))
+    s = materialise(s.withColumns({"formed": F.round("formed", 9), "later9": F.round("later", 9)}), "entities")
+    t = ranks.numbered(s, [F.col("formed"), F.col("participant")], to="k", total="n").withColumn("tier", ranks.tile("k", "n", 3).cast("long"))
+    both = ranks.average_ranks(ranks.average_ranks(s.select("formed", "later9"), "formed", to="x"), "later9", to="y")
+    ic = F.broadcast(both.agg(r6(correlation("x", "y")).alias("rank_ic")))  # one row
+    told = t.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("later")).alias("later"), r6(F.avg((F.col("later") > 0).cast("int"))).alias("hit_rate"))
+    return told.join(ic, F.lit(True))
 
 
 @register(

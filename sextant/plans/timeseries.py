@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
 from sextant.functions.numbers import correlation, correlation_sql
+from sextant.operators import ranks
 from sextant.operators import rows as R
 from sextant.operators import timejoin as T
 from sextant.plans.catalog import register
@@ -30,7 +32,7 @@ _SNAP = "snap AS (SELECT id, d AS rd, turnover AS rt FROM bars WHERE day(d) = 1)
 def j06(spark: SparkSession, p: str) -> DataFrame:
     x = b(spark, p)
     snap = x.where("day(d) = 1").select("id", F.col("d").alias("rd"), F.col("turnover").alias("rt"))
-    return T.asof_join(x.select("id", "d"), snap, ["id"], "d", "rd", how="inner")
+    return T.asof_join(x.select("id", "d"), snap, ["id"], "d", "rd", how="inner", spread=True)
 
 
 @register("j07_asof_left", f"{B}, {_SNAP} SELECT bars.id, bars.d, rd, rt FROM bars ASOF LEFT JOIN snap ON bars.id = snap.id AND bars.d >= snap.rd")
@@ -215,12 +217,12 @@ def a16(spark, p):
 
 @register("d44_bh_q_values", f"{D}, s AS (SELECT security, abs(avg(qty) - 25.5) / nullif(stddev_samp(qty) / sqrt(count(*)), 0) AS t FROM deals GROUP BY 1), q AS (SELECT security, exp(-0.717 * t - 0.416 * t * t) AS p FROM s), r AS (SELECT *, row_number() OVER (ORDER BY p, security) AS k, count(*) OVER () AS m FROM q) SELECT security, round(least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
 def d44(spark, p):
-    """One row a tested family member: the ordered pass is over the statistics, not over their data."""
+    """Hypotheses are numbered over ranges; the running minimum from the end runs over blocks of numbers."""
     t = F.try_divide(F.abs(F.avg("qty") - 25.5), F.stddev_samp("qty") / F.sqrt(F.count(F.lit(1))))
     q = deals(spark, p).groupBy("security").agg(t.alias("t")).select("security", F.exp(-0.717 * F.col("t") - 0.416 * F.col("t") * F.col("t")).alias("p"))
-    r = q.withColumn("k", F.row_number().over(Window.orderBy("p", "security"))).join(F.broadcast(q.agg(F.count(F.lit(1)).alias("m"))))
-    low = F.min(F.col("p") * F.col("m") / F.col("k")).over(Window.orderBy("k").rowsBetween(0, Window.unboundedFollowing))
-    return r.select("security", r6(F.least(F.lit(1.0), low), "q"))
+    r = ranks.numbered(q, [F.col("p").asc_nulls_last(), F.col("security")], to="k", total="m")
+    r = materialise(r.select("security", (F.col("p") * F.col("m") / F.col("k")).alias("x"), (F.col("m") + 1 - F.col("k")).alias("back")), "hypotheses")
+    return ranks.running(r, "back", "x", "min", "low").select("security", r6(F.least(F.lit(1.0), "low"), "q"))
 
 
 @register("g11_rank_ic", f"{B}, f AS (SELECT id, d, volume AS s, lead(close, 5) OVER w / lead(open, 1) OVER w - 1 AS y FROM bars WINDOW w AS (PARTITION BY id ORDER BY d)), r AS (SELECT d, rank() OVER (PARTITION BY d ORDER BY s) + (count(*) OVER (PARTITION BY d, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY d ORDER BY y) + (count(*) OVER (PARTITION BY d, y) - 1) / 2.0 AS ry FROM f WHERE y IS NOT NULL) SELECT d, count(*) AS n, round({correlation_sql("rs", "ry")}, 6) + 0.0 AS ic FROM r GROUP BY d HAVING count(*) >= 15")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
 from sextant.functions.numbers import half_up, half_up_sql, r6
+from sextant.operators import ranks
 from sextant.operators import rows as R
 from sextant.operators import timejoin as T
 from sextant.plans.catalog import register
@@ -241,11 +242,11 @@ def held(x: DataFrame) -> DataFrame:
     SELECT row_number() OVER (ORDER BY security) AS security_id, security, symbol AS canonical, s_name AS name, first, last, symbols FROM one JOIN supplier ON s_suppkey = security WHERE rn = 1""",
 )
 def d09(spark, p):
-    """The symbol held longest is canonical; ids are dense in key order (one row a security reaches that order)."""
+    """The symbol held longest is canonical; ids are dense in key order, numbered over ranges."""
     h = held(deals(spark, p))
     best = h.groupBy("security").agg(F.min_by(F.struct("symbol", "first", "last"), F.struct(-F.datediff("last", "first"), "symbol")).alias("s"), F.count(F.lit(1)).alias("symbols"))
     named = best.join(table(spark, p, "supplier").select(F.col("s_suppkey").alias("security"), F.col("s_name").alias("name")), "security")
-    return named.select(F.row_number().over(Window.orderBy("security")).cast("long").alias("security_id"), "security", F.col("s.symbol").alias("canonical"), "name", "s.first", "s.last", "symbols")
+    return ranks.numbered(named, [F.col("security")], to="security_id").select("security_id", "security", F.col("s.symbol").alias("canonical"), "name", "s.first", "s.last", "symbols")
 
 
 @register("d09_symbol_history", f"{_HELD_SQL} SELECT security, symbol, first AS valid_from, CASE WHEN date_diff('day', last, max(last) OVER ()) > 60 THEN last + 1 END AS valid_to, days FROM held")

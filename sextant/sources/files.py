@@ -6,6 +6,9 @@ by lines.  Nothing is inferred: every column arrives as text and is cast by name
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -70,19 +73,60 @@ def tagged_facts(docs: DataFrame, key: str, text: str, facts: list[str], header:
     return rows.select(key, "context", *facts, *(F.max(f"_{n}").over(own).alias(n) for n in header)).where(" OR ".join(f"{n} IS NOT NULL" for n in facts))
 
 
+POINTER = "_current"
+
+
+def _fs(spark, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def version(spark, path: str) -> str | None:
+    """The folder of the version that stands at ``path``; None before the first."""
+    fs, pointer = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def point_to(spark, path: str, name: str) -> None:
+    """Makes ``name`` the version that stands: a pointer file is written aside and renamed over the old one, in one step of the file system."""
+    jvm = spark._jvm
+    fs, aside = _fs(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(aside, jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"), options)  # raises where it fails
+
+
 def replace_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Replaces a whole partitioned set: written beside it first, then renamed, so readers never see half of it."""
+    """Replaces a whole partitioned set: a new version is written in a folder of its own, then the pointer to it is replaced.
+
+    Readers see the old set or the new one, never part of either; a failure before the last step leaves the old one, and ``df`` may read
+    the set that it replaces.  The version before stays for readers that have begun, older ones go.
+    """
     spark = df.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    staging, old = jvm.org.apache.hadoop.fs.Path(path + ".staging"), jvm.org.apache.hadoop.fs.Path(path + ".old")
-    df.repartition(*partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(staging.toString())
-    if fs.exists(target):
-        fs.delete(old, True)
-        fs.rename(target, old)
-    fs.rename(staging, target)
-    fs.delete(old, True)
+    before, name = version(spark, path), f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.repartition(*partition_by).write.partitionBy(*partition_by).parquet(f"{path}/{name}")
+    point_to(spark, path, name)
+    fs, top = _fs(spark, path)
+    for status in fs.listStatus(top):
+        own = status.getPath().getName()
+        if own.startswith("version-") and own < name and own != (before or "").rsplit("/", 1)[-1]:
+            fs.delete(status.getPath(), True)
+
+
+def read_replaced(spark, path: str, schema) -> DataFrame:
+    """The set that stands at ``path``; empty before the first version."""
+    at = version(spark, path)
+    return spark.createDataFrame([], schema) if at is None else spark.read.schema(schema).parquet(at)
 
 
 def newest_first_once(df: DataFrame, keys: list[str], newest: Column, order: list[str]) -> DataFrame:

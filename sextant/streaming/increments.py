@@ -33,11 +33,12 @@ def append_sessions(new: DataFrame, path: str, batch: int, day: str = "d") -> No
     """Appends the rows of days later than the table's last one; days that are there already are left alone.
 
     A day at or before the last one that is not there stops the append.  Rows go to a partition of their batch that is
-    overwritten when the batch is repeated, so a repeat writes the same rows again and not twice.
+    overwritten when the batch is repeated, so a repeat writes the same rows again and not twice.  Beside the table lies a list of its days by batch
+    (a row a session), which is all that an append reads of what is there; it is written after the rows, and a batch that failed between is repeated.
     """
-    spark = new.sparkSession
-    if exists(spark, path):
-        held = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in new.dtypes)}, _batch long").parquet(path).where(F.col("_batch") < batch)
+    spark, marks = new.sparkSession, f"{path}-days"
+    if exists(spark, marks):
+        held = spark.read.schema(f"`{day}` {dict(new.dtypes)[day]}, _batch long").parquet(marks).where(F.col("_batch") < batch)
         last = held.agg(F.max(day)).first()[0]
         if last is not None:
             late = late_sessions(new.select(day), held.select(day), day).limit(1).collect()
@@ -45,6 +46,8 @@ def append_sessions(new: DataFrame, path: str, batch: int, day: str = "d") -> No
                 raise LateSession(f"session {late[0][0]} is not after {last} and not in the table")
             new = new.where(F.col(day) > F.lit(last))
     new.write.mode("overwrite").parquet(f"{path}/_batch={batch}")
+    own = spark.read.schema(new.schema).parquet(f"{path}/_batch={batch}")
+    own.select(day).distinct().coalesce(1).write.mode("overwrite").parquet(f"{marks}/_batch={batch}")
 
 
 def stream_sessions(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, day: str = "d") -> None:
