@@ -15,6 +15,7 @@ from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calenda
 from sextant.functions.numbers import correlation, correlation_sql, half_up, half_up_sql, r6
 from sextant.operators import ranks
 from sextant.operators import rows as R
+from sextant.operators.timejoin import asof_join
 from sextant.plans.catalog import register
 from sextant.plans.slice import FWD_SQL
 
@@ -180,14 +181,19 @@ def d28(spark, p):
 @register(
     "d30_era_and_survivors",
     f"""{B}, {FWD_SQL}, {EVENTS_SQL}, l AS (SELECT id, max(d) >= (SELECT max(d) FROM bars) - 30 AS survivor FROM bars GROUP BY 1)
-    SELECT CASE WHEN year(d) < 1997 THEN 'EARLY' WHEN year(d) < 2000 THEN 'MIDDLE' ELSE 'LATE' END AS era, survivor, count(*) AS n, round(avg(fwd), 6) AS mean FROM e JOIN f USING (id, d) JOIN l USING (id) WHERE fwd IS NOT NULL GROUP BY ALL""",
+    , se AS (SELECT DISTINCT brand AS id, d AS sold FROM deals WHERE side = 'SELL' AND qty >= 40), rt AS (SELECT e.id, e.d, min(sold) AS sold FROM e LEFT JOIN se ON se.id = e.id AND sold > e.d GROUP BY ALL)
+    SELECT CASE WHEN year(d) < 1995 THEN 'EARLY' WHEN year(d) < 2000 THEN 'MIDDLE' ELSE 'LATE' END AS era, survivor, count(*) AS n, round(avg(fwd), 6) AS mean, count(*) FILTER (date_diff('day', d, sold) <= 90) AS round_trips, round(avg(fwd) FILTER (sold IS NULL OR date_diff('day', d, sold) > 90), 6) AS mean_without FROM e JOIN f USING (id, d) JOIN l USING (id) JOIN rt USING (id, d) WHERE fwd IS NOT NULL GROUP BY ALL""",
 )
 def d30(spark, p):
+    """By era and survival: events, their mean, how many a large sale of the name follows within 90 days, and the mean without those."""
     x = deals(spark, p)
     lasts = bars(x).groupBy("id").agg(F.max("d").alias("last"))
     survivors = lasts.crossJoin(F.broadcast(lasts.agg(F.max("last").alias("end")))).select("id", (F.datediff("end", "last") <= 30).alias("survivor"))
-    era = R.ladder([("EARLY", F.year("d") < 1997), ("MIDDLE", F.year("d") < 2000)]).otherwise("LATE")
-    return events(x).join(outcomes(x), ["id", "d"]).join(survivors, "id").groupBy(era.alias("era"), "survivor").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fwd")).alias("mean"))
+    era = R.ladder([("EARLY", F.year("d") < 1995), ("MIDDLE", F.year("d") < 2000)]).otherwise("LATE")
+    sold = x.where("side = 'SELL' AND qty >= 40").select(F.col("brand").alias("id"), F.col("d").alias("sold")).distinct()
+    e = asof_join(events(x), sold, ["id"], "d", "sold", direction="forward", strict=True).withColumn("trip", F.coalesce(F.datediff("sold", "d") <= 90, F.lit(False)))
+    told = e.join(outcomes(x), ["id", "d"]).join(survivors, "id").groupBy(era.alias("era"), "survivor")
+    return told.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fwd")).alias("mean"), F.count_if("trip").alias("round_trips"), r6(F.avg(F.when(~F.col("trip"), F.col("fwd")))).alias("mean_without"))
 
 
 @register(

@@ -40,14 +40,21 @@ def r02(spark, p):
     "r03_insights",
     f"""{D}, t AS (SELECT max(d) AS last FROM deals), r AS (SELECT brand, participant, qty FROM deals, t WHERE d > last - 365)
     SELECT 'BRAND' AS kind, brand AS name, sum(qty) AS q FROM r GROUP BY ALL UNION ALL
-    (SELECT 'PARTICIPANT', participant::VARCHAR, sum(qty) AS q FROM r GROUP BY ALL ORDER BY q DESC, 2 LIMIT 15)""",
+    (SELECT 'PARTICIPANT', participant::VARCHAR, sum(qty) AS q FROM r GROUP BY ALL ORDER BY q DESC, 2 LIMIT 15) UNION ALL
+    SELECT 'YEAR_TYPE', year(d)::VARCHAR || '/' || kind, round(sum(value), 2) FROM deals GROUP BY ALL UNION ALL
+    SELECT 'ROUND_TRIP', y::VARCHAR, round(coalesce(sum(v) FILTER (sides = 2), 0) / sum(v), 6) FROM (SELECT year(d) AS y, participant, brand, count(DISTINCT side) AS sides, sum(value) AS v FROM deals GROUP BY ALL) GROUP BY y""",
 )
 def r03(spark, p):
+    """Most-dealt names and largest participants of the last year, value by year and type, and by year the share of value of those who
+    dealt on both sides of a name."""
     x = deals(spark, p)
     recent = x.join(F.broadcast(x.agg(F.max("d").alias("last"))), F.col("d") > F.date_sub("last", 365)).select("brand", F.col("participant").cast("string").alias("participant"), "qty")
     brands = recent.groupBy(F.lit("BRAND").alias("kind"), F.col("brand").alias("name")).agg(F.sum("qty").alias("q"))
     people = recent.groupBy(F.lit("PARTICIPANT").alias("kind"), F.col("participant").alias("name")).agg(F.sum("qty").alias("q")).orderBy(F.desc("q"), "name").limit(15)
-    return brands.unionByName(people)
+    types = x.groupBy(F.concat_ws("/", F.year("d").cast("string"), "kind").alias("name")).agg(F.round(F.sum("value"), 2).alias("q")).select(F.lit("YEAR_TYPE").alias("kind"), "name", "q")
+    sides = x.groupBy(F.year("d").cast("string").alias("name"), "participant", "brand").agg((F.min("side") != F.max("side")).alias("both"), F.sum("value").alias("v"))
+    trips = sides.groupBy("name").agg(r6(F.sum(F.when(F.col("both"), F.col("v")).otherwise(0.0)) / F.sum("v")).alias("q")).select(F.lit("ROUND_TRIP").alias("kind"), "name", "q")
+    return brands.unionByName(people).unionByName(types).unionByName(trips)
 
 
 @register(
@@ -78,17 +85,22 @@ def r05(spark, p):
 @register(
     "r06_valuation",
     f"""{B}, q AS (SELECT brand AS id, year(d) * 4 + quarter(d) AS qi, sum(qty) AS e, max(kind) AS basis FROM deals WHERE qty > 20 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY qi DESC) AS rn FROM q),
-    t AS (SELECT id, CASE WHEN count(*) = 4 AND count(DISTINCT basis) = 1 AND max(qi) - min(qi) = 3 THEN sum(e) END AS ttm FROM r WHERE rn <= 4 GROUP BY 1), px AS (SELECT id, arg_max(close, d) AS close FROM bars GROUP BY 1)
-    SELECT id, ttm, round(close * 1000 / ttm, 6) AS pe FROM t JOIN px USING (id)""",
+    t AS (SELECT id, CASE WHEN count(*) = 4 AND count(DISTINCT basis) = 1 AND max(qi) - min(qi) = 3 THEN sum(e) END AS ttm FROM r WHERE rn <= 4 GROUP BY 1), px AS (SELECT id, arg_max(close, d) AS close FROM bars GROUP BY 1),
+    sh AS (SELECT p_brand AS id, sum(p_size) * 1000.0 AS filed, count(*) * 25500.0 AS listed FROM part GROUP BY 1)
+    SELECT id, ttm, CASE WHEN abs(filed / listed - 1) <= 0.05 THEN filed END AS shares, round(filed / listed - 1, 6) AS differs, round(close * CASE WHEN abs(filed / listed - 1) <= 0.05 THEN filed END, 2) AS cap, round(close * CASE WHEN abs(filed / listed - 1) <= 0.05 THEN filed END / nullif(ttm, 0), 6) AS pe FROM t JOIN px USING (id) JOIN sh USING (id)""",
 )
 def r06(spark, p):
-    """Four quarters are summed only if they follow each other on one basis."""
+    """Four quarters are summed only if they follow each other on one basis; filed share counts (part sizes) are used only if a second count (a
+    standard size a part) agrees within 5 %, and without shares there is no market value and no price-earnings ratio."""
     x = deals(spark, p)
     q = x.where("qty > 20").groupBy(F.col("brand").alias("id"), (F.year("d") * 4 + F.quarter("d")).alias("qi")).agg(F.sum("qty").alias("e"), F.max("kind").alias("basis"))
     last4 = R.top(q, ["id"], [F.desc("qi")], 4).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("basis").alias("lo"), F.max("basis").alias("hi"), (F.max("qi") - F.min("qi")).alias("span"), F.sum("e").alias("e"))
     ttm = last4.select("id", F.when((F.col("n") == 4) & (F.col("lo") == F.col("hi")) & (F.col("span") == 3), F.col("e")).alias("ttm"))
     price = bars(x).groupBy("id").agg(F.max_by("close", "d").alias("close"))
-    return ttm.join(price, "id").select("id", "ttm", r6(F.col("close") * 1000 / F.col("ttm")).alias("pe"))
+    counts = table(spark, p, "part").groupBy(F.col("p_brand").alias("id")).agg((F.sum("p_size") * 1000.0).alias("filed"), (F.count(F.lit(1)) * 25500.0).alias("listed"))
+    counts = counts.withColumn("differs", F.col("filed") / F.col("listed") - 1).select("id", "differs", F.when(F.abs("differs") <= 0.05, F.col("filed")).alias("shares"))
+    cap = F.col("close") * F.col("shares")
+    return ttm.join(price, "id").join(counts, "id").select("id", "ttm", "shares", r6(F.col("differs")).alias("differs"), F.round(cap, 2).alias("cap"), r6(F.try_divide(cap, "ttm")).alias("pe"))
 
 
 @register(
@@ -106,14 +118,18 @@ def r07(spark, p):
 
 @register(
     "r08_portfolio_changes",
-    f"""{D}, h AS (SELECT participant, brand, date_trunc('quarter', d)::DATE AS q, sum(qty) AS held FROM deals GROUP BY ALL), s AS (SELECT participant, q, row_number() OVER (PARTITION BY participant ORDER BY q DESC) AS rn FROM (SELECT DISTINCT participant, q FROM h)),
+    f"""{D}, fi AS (SELECT participant, date_trunc('quarter', d)::DATE AS q, deal_key, count(*) AS n FROM deals GROUP BY ALL), best AS (SELECT participant, q, deal_key FROM fi QUALIFY row_number() OVER (PARTITION BY participant, q ORDER BY n DESC, deal_key DESC) = 1),
+    h AS (SELECT participant, brand, q, sum(qty) AS held FROM deals JOIN best USING (participant, deal_key) WHERE date_trunc('quarter', d)::DATE = q GROUP BY ALL), s AS (SELECT participant, q, row_number() OVER (PARTITION BY participant ORDER BY q DESC) AS rn FROM (SELECT DISTINCT participant, q FROM h)),
     a AS (SELECT h.* FROM h JOIN s USING (participant, q) WHERE rn = 1), o AS (SELECT h.* FROM h JOIN s USING (participant, q) WHERE rn = 2)
     SELECT coalesce(a.participant, o.participant) AS participant, coalesce(a.brand, o.brand) AS brand, CASE WHEN o.brand IS NULL THEN 'NEW' WHEN a.brand IS NULL THEN 'EXITED' ELSE 'HELD' END AS state, coalesce(a.held, 0) - coalesce(o.held, 0) AS change
     FROM a FULL JOIN o ON a.participant = o.participant AND a.brand = o.brand""",
 )
 def r08(spark, p):
-    """The two newest quarters of a holder are ranked, so one aggregate by (holder, item) compares them."""
-    h = deals(spark, p).groupBy("participant", "brand", F.trunc("d", "quarter").alias("q")).agg(F.sum("qty").alias("held"))
+    """A holder's best file of a quarter (an order, the one of most lines) is its portfolio; the two newest are ranked, so one aggregate by
+    (holder, item) compares them."""
+    x = deals(spark, p).withColumn("q", F.trunc("d", "quarter"))
+    best = R.top(x.groupBy("participant", "q", "deal_key").agg(F.count(F.lit(1)).alias("n")), ["participant", "q"], [F.desc("n"), F.desc("deal_key")]).drop("n")
+    h = x.join(best, ["participant", "q", "deal_key"]).groupBy("participant", "brand", "q").agg(F.sum("qty").alias("held"))
     ranked = h.withColumn("rn", F.dense_rank().over(Window.partitionBy("participant").orderBy(F.desc("q")))).where("rn <= 2")
     now, before = F.sum(F.when(F.col("rn") == 1, F.col("held"))), F.sum(F.when(F.col("rn") == 2, F.col("held")))
     g = ranked.groupBy("participant", "brand").agg(now.alias("now"), before.alias("before"))
@@ -123,11 +139,17 @@ def r08(spark, p):
 
 @register(
     "r09_widest_holders",
-    f"{D} SELECT participant, count(DISTINCT brand) AS brands, count(DISTINCT security) AS securities FROM deals GROUP BY 1 ORDER BY brands DESC, securities DESC, participant LIMIT 25",
+    f"""{D}, qs AS (SELECT DISTINCT date_trunc('quarter', d)::DATE AS q FROM deals ORDER BY q DESC LIMIT 2), h AS (SELECT DISTINCT participant, brand, date_trunc('quarter', d)::DATE AS q FROM deals WHERE date_trunc('quarter', d)::DATE IN (SELECT q FROM qs)),
+    g AS (SELECT participant, brand, bool_or(q = (SELECT max(q) FROM qs)) AS now, bool_or(q = (SELECT min(q) FROM qs)) AS before FROM h GROUP BY ALL)
+    SELECT participant, count(*) FILTER (now) AS held, count(*) FILTER (now AND NOT before) AS new, count(*) FILTER (before AND NOT now) AS exited FROM g GROUP BY 1 ORDER BY held DESC, new DESC, participant LIMIT 25""",
 )
 def r09(spark, p):
-    x = deals(spark, p).groupBy("participant").agg(F.countDistinct("brand").alias("brands"), F.countDistinct("security").alias("securities"))
-    return x.orderBy(F.desc("brands"), F.desc("securities"), "participant").limit(25)
+    """Who holds most names in the newest quarter, and how many are new or have gone since the one before."""
+    x = deals(spark, p).select("participant", "brand", F.trunc("d", "quarter").alias("q")).distinct()
+    newest = x.select("q").distinct().orderBy(F.desc("q")).limit(2).agg(F.max("q").alias("last"), F.min("q").alias("prior"))  # one row
+    g = x.join(F.broadcast(newest), (F.col("q") == F.col("last")) | (F.col("q") == F.col("prior"))).groupBy("participant", "brand").agg(F.bool_or(F.col("q") == F.col("last")).alias("now"), F.bool_or(F.col("q") == F.col("prior")).alias("before"))
+    n = g.groupBy("participant").agg(F.count_if("now").alias("held"), F.count_if(F.col("now") & ~F.col("before")).alias("new"), F.count_if(F.col("before") & ~F.col("now")).alias("exited"))
+    return n.orderBy(F.desc("held"), F.desc("new"), "participant").limit(25)
 
 
 @register(
@@ -143,10 +165,24 @@ def r10(spark, p):
 
 @register(
     "r11_filings_feed",
-    "SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+    """WITH f AS (SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1), l AS (SELECT max(ts) - INTERVAL 7 DAY AS since FROM events),
+    s AS (SELECT *, value / nullif(sum(value) OVER (PARTITION BY user_id), 0) AS share FROM f)
+    SELECT user_id, event_type, event_id, ts, value, round(share, 6) AS share, CASE WHEN event_type = 'view' AND ts > since THEN 'MEETING' WHEN event_type = 'purchase' AND share >= 0.3 THEN 'PLEDGE' ELSE 'FILING' END AS section,
+      coalesce(c_name, s_name, p_name) AS name, CASE WHEN c_name IS NOT NULL THEN 'holder' WHEN s_name IS NOT NULL THEN 'company' WHEN p_name IS NOT NULL THEN 'item' ELSE 'unknown' END AS route
+    FROM s LEFT JOIN customer ON c_custkey = user_id * 5 LEFT JOIN supplier ON s_suppkey = user_id LEFT JOIN part ON p_partkey = user_id, l""",
 )
 def r11(spark, p):
-    return R.top(table(spark, p, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "ts", "value")
+    """The newest filing of each kind; what lies in the last week as upcoming meetings, pledges by their share of the filer's value, and
+    the filer's name from three registers in turn."""
+    e = table(spark, p, "events")
+    f = R.top(e, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "ts", "value")
+    s = f.withColumn("share", F.try_divide("value", F.sum("value").over(Window.partitionBy("user_id")))).join(F.broadcast(e.agg((F.max("ts") - F.expr("INTERVAL 7 DAY")).alias("since"))), F.lit(True))
+    names = [("holder", "customer", F.col("c_custkey") / 5, "c_name", F.col("c_custkey") % 5 == 0), ("company", "supplier", F.col("s_suppkey"), "s_name", F.lit(True)), ("item", "part", F.col("p_partkey"), "p_name", F.lit(True))]
+    for _, t, key, name, fits in names:
+        s = s.join(table(spark, p, t).where(fits).select(key.cast("long").alias("user_id"), name), "user_id", "left")
+    section = R.ladder([("MEETING", (F.col("event_type") == "view") & (F.col("ts") > F.col("since"))), ("PLEDGE", (F.col("event_type") == "purchase") & (F.col("share") >= 0.3))]).otherwise("FILING")
+    route = R.ladder([(kind, F.col(name).isNotNull()) for kind, _, _, name, _ in names]).otherwise("unknown")
+    return s.select("user_id", "event_type", "event_id", "ts", "value", r6(F.col("share")).alias("share"), section.alias("section"), F.coalesce("c_name", "s_name", "p_name").alias("name"), route.alias("route"))
 
 
 _R12_EVENTS = {

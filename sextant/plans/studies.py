@@ -11,6 +11,7 @@ from sextant.functions.numbers import correlation, correlation_sql, r6
 from sextant.operators import ranks
 from sextant.operators import rows as R
 from sextant.plans.catalog import register
+from sextant.plans.experiments import COST
 from sextant.plans.panels import _PRE, pre_post
 from sextant.plans.slice import FWD_SQL
 
@@ -41,28 +42,36 @@ def d24(spark, p):
 
 @register(
     "d29_momentum_confound",
-    f"{B}, {_PRE}, q AS (SELECT fwd, ntile(5) OVER (PARTITION BY year(d) ORDER BY pre, id, d) AS q, year(d) AS y FROM ok) SELECT y, q, count(*) AS n, round(avg(fwd), 6) AS mean FROM q GROUP BY ALL",
+    f"{B}, {_PRE}, q AS (SELECT fwd, pre, ntile(5) OVER (PARTITION BY year(d) ORDER BY pre, id, d) AS q, year(d) AS y FROM ok), r AS (SELECT y, round({correlation_sql('pre', 'fwd')}, 6) AS rho FROM q GROUP BY 1) SELECT y, q, count(*) AS n, round(avg(pre), 6) AS pre, round(avg(fwd), 6) AS mean, any_value(rho) AS rho FROM q JOIN r USING (y) GROUP BY ALL",
 )
 def d29(spark, p):
-    q = pre_post(spark, p).select("fwd", F.year("d").cast("long").alias("y"), F.ntile(5).over(Window.partitionBy(F.year("d")).orderBy("pre", "id", "d")).cast("long").alias("q"))
-    return q.groupBy("y", "q").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fwd")).alias("mean"))
+    """By year, outcomes by fifths of the return before the event, and the correlation of both; numbers run over ranges of (year, return)."""
+    ok = materialise(pre_post(spark, p).select("id", "d", "pre", "fwd", F.year("d").cast("long").alias("y")), "events")
+    q = ranks.numbered(ok, [F.col("pre"), F.col("id"), F.col("d")], ["y"], to="k", total="n").withColumn("q", ranks.tile("k", "n", 5).cast("long"))
+    rho = F.broadcast(ok.groupBy("y").agg(r6(correlation("pre", "fwd")).alias("rho")))  # a row a year
+    return q.groupBy("y", "q").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("pre")).alias("pre"), r6(F.avg("fwd")).alias("mean")).join(rho, "y")
 
 
 @register(
     "d31_avoidance_book",
     f"""{B}, {CALENDAR_SQL}, ev AS (SELECT DISTINCT brand AS id, i FROM deals JOIN cal USING (d) WHERE side = 'SELL' AND qty >= 48), r AS (SELECT id, d, i, lead(open) OVER (PARTITION BY id ORDER BY d) / open - 1 AS ret FROM bars JOIN cal USING (d)),
     k AS (SELECT r.*, EXISTS (SELECT 1 FROM ev WHERE ev.id = r.id AND ev.i < r.i AND ev.i >= r.i - 10) AS hit FROM r WHERE ret IS NOT NULL)
-    SELECT d, count(*) AS names, count(*) FILTER (hit) AS avoided, round(avg(ret) FILTER (NOT hit) - avg(ret), 6) AS gain FROM k GROUP BY 1""",
+    , t AS (SELECT *, hit IS DISTINCT FROM lag(hit, 1, false) OVER (PARTITION BY id ORDER BY i) AS changed FROM k)
+    SELECT d, count(*) AS names, count(*) FILTER (hit) AS avoided, round(avg(ret) FILTER (NOT hit) - avg(ret), 6) AS gain, round(avg(changed::INT), 6) AS turnover, round(avg(ret) FILTER (NOT hit) - avg(ret) - 0.002 * avg(changed::INT), 6) AS net FROM t GROUP BY 1""",
 )
 def d31(spark, p):
-    """Each event marks its ten following sessions; a marked (id, session) leaves the filtered book."""
+    """Each event marks its ten following sessions; a marked (id, session) leaves the filtered book.  Names that enter or leave it are the
+    turnover that the filter adds, at COST each."""
     x = deals(spark, p)
     cal = calendar(x).select("d", "i")
     marked = x.where("side = 'SELL' AND qty >= 48").select(F.col("brand").alias("id"), "d").distinct().join(cal, "d")
     marked = marked.select("id", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 10)).alias("i")).distinct().withColumn("hit", F.lit(True))
     r = bars(x).select("id", "d", (F.lead("open").over(Window.partitionBy("id").orderBy("d")) / F.col("open") - 1).alias("ret")).where("ret IS NOT NULL").join(cal, "d")
-    k = r.join(marked, ["id", "i"], "left")
-    return k.groupBy("d").agg(F.count(F.lit(1)).alias("names"), F.count("hit").alias("avoided"), r6(F.avg(F.when(F.col("hit").isNull(), F.col("ret"))) - F.avg("ret")).alias("gain"))
+    k = r.join(marked, ["id", "i"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    changed = k.withColumn("changed", (F.col("hit") != F.lag("hit", 1, False).over(Window.partitionBy("id").orderBy("i"))).cast("int"))
+    gain = F.avg(F.when(~F.col("hit"), F.col("ret"))) - F.avg("ret")
+    told = changed.groupBy("d").agg(F.count(F.lit(1)).alias("names"), F.count_if("hit").alias("avoided"), r6(gain).alias("gain"), r6(F.avg("changed")).alias("turnover"), r6(gain - COST * F.avg("changed")).alias("net"))
+    return told
 
 
 @register(
