@@ -4,8 +4,8 @@ A text's set are its distinct word pairs, hashed once; a text with fewer words i
 representative.  A sketch holds the K least hashes of a set (their upper 32 bits), rarest first: values are ordered by the
 number of sketches that hold them, counted over all.  Every representative is entered in the inverted lists of its LISTED
 rarest values that another sketch holds too.  Of the sketch of a set in a pair at the threshold some K / 9 values are not the
-other's, so both would have to hold LISTED such values, all rarer than every shared one, to meet in no list (a chance
-of 1e-6).  Lists of at most ``limit`` sets generate all overlaps in numpy, and a pair becomes a candidate if the estimate from the
+other's, so one of them would have to hold LISTED such values, all rarer than every shared one, for the pair to meet in no list (a
+chance of 1e-4 if all that differs were rare and known elsewhere; what differs is mostly rare and known nowhere).  Lists of at most ``limit`` sets generate all overlaps in numpy, and a pair becomes a candidate if the estimate from the
 union of the two sketches could be that of a pair at the threshold.
 
 A longer list is walked once beside its first set: sets about as similar to it as near copies leave the list as its
@@ -15,8 +15,8 @@ which stays in the list.  What is still long at the last depth becomes a candida
 no pair of a long list is emitted, and a common word pair is the last by which a set is listed.
 
 Candidates form classes, and inside a class links are confirmed on whole sets, recomputed from the texts.  Classes of at most
-``block`` sets are compared pair by pair.  A larger class is compared with a few of its sets (pivots); sets that no pivot
-links are then compared, in blocks, with every set of the class that the triangle inequality of the Jaccard distance
+``block`` sets are compared pair by pair.  A larger class is compared with its first set, then what is not linked with more and more sets that are (pivots); sets
+that no pivot links are then compared, in blocks, with every set of the class that the triangle inequality of the Jaccard distance
 leaves open.  Components of the confirmed links are the result.
 
 Defined results: null and empty texts have an empty set, no links and their own id; a null id takes part but never names a
@@ -38,7 +38,7 @@ from sextant.llm.graph import components
 from sextant.llm.jaccard import _columns, _Hashes, _local_roots, links_of, shingles
 from sextant.llm.words import by_rows
 
-K, LISTED, NEXT, DEPTH = 40, 16, 2, 3
+K, LISTED, NEXT, DEPTH = 32, 12, 2, 3
 #: Estimates: a set of NEAR leaves a long list with its first set, one of OPEN becomes a candidate of it.
 NEAR, OPEN = 0.7, 0.25
 
@@ -226,7 +226,12 @@ def candidates(sets: DataFrame, threshold: float, limit: int, hot: int) -> DataF
     links = out[0]
     for one in out[1:]:
         links = links.unionByName(one)
-    return links
+    return links.select(short_name("a").alias("a"), short_name("b").alias("b"))
+
+
+def short_name(column: str):
+    """8 bytes of a set's digest; two sets of one short name share a candidate class, which is then compared exactly."""
+    return F.xxhash64(column)
 
 
 def whole_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -273,38 +278,50 @@ def small_classes(whole: DataFrame, threshold: float) -> DataFrame:
     return by_rows(ordered, run, "a binary, b binary", chunk=64)
 
 
-def beside_pivots(asked: DataFrame, pivots: DataFrame, chunk: int = 512) -> DataFrame:
-    """set, root, pivot, shared, together: every asked set (with size) against its class's pivot (root, set, tokens).  A class is dealt
-    in chunks that each get a copy of the pivot."""
+def beside_pivots(asked: DataFrame, pivots: DataFrame, threshold: float, chunk: int = 512) -> DataFrame:
+    """set, root, pivot, shared, together: every asked set (with size) beside the first pivot (root, set, tokens) of its class that links it,
+    else beside the last.  A class is dealt in chunks that each get a copy of its pivots."""
     chunks = F.ceil(F.col("size") / chunk)
     rows = asked.select("root", F.pmod(F.xxhash64("set"), chunks).alias("chunk"), F.lit(1).alias("side"), "set", "tokens")
     copies = pivots.select("root", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("side"), "set", "tokens")
     ordered = rows.unionByName(copies).repartition("root", "chunk").sortWithinPartitions("root", "chunk", "side")
 
     def run(own: Iterator[tuple]) -> Iterator[tuple]:
-        for root, _, side, name, raw in own:
+        of, held = None, []
+        for root, part, side, name, raw in own:
+            if (root, part) != of:
+                of, held = (root, part), []
             tokens = np.frombuffer(raw, np.uint64)
             if not side:
-                of, pivot, first = root, name, tokens
-            elif root == of:
-                shared = _overlap(first, tokens)
-                yield name, root, pivot, shared, len(first) + len(tokens) - shared
+                held.append((name, tokens))
+                continue
+            best = None
+            for pivot, other in held:
+                if min(len(other), len(tokens)) < threshold * max(len(other), len(tokens)) - 1e-6 and len(held) > 1:
+                    continue
+                shared = _overlap(other, tokens)
+                best = name, root, pivot, shared, len(other) + len(tokens) - shared
+                if shared >= threshold * best[4] - 1e-6:
+                    break
+            yield best or (name, root, None, 0, 1)
 
     return by_rows(ordered, run, "set binary, root binary, pivot binary, shared long, together long", chunk=64)
 
 
-def large_classes(whole: DataFrame, threshold: float, block: int, rounds: int = 3, stretch: int = 4096) -> list[DataFrame]:
-    """a, b: confirmed links that join all the links' components of each class."""
+def large_classes(whole: DataFrame, threshold: float, block: int, rounds: tuple[int, ...] = (8, 32), stretch: int = 4096) -> list[DataFrame]:
+    """a, b: confirmed links that join all the links' components of each class.  ``rounds``: how many linked sets are pivots next."""
     far = 1 - threshold
     linked = F.col("shared") >= threshold * F.col("together") - 1e-6
-    first = materialise(beside_pivots(whole, whole.where("set = root")).withColumn("apart", 1 - F.col("shared") / F.col("together")), "beside")
+    first = materialise(beside_pivots(whole, whole.where("set = root"), threshold).withColumn("apart", 1 - F.col("shared") / F.col("together")), "beside")
     edges = [first.where(linked & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b"))]
     open_sets = first.where(~linked).select("set")
     joined = first.where(linked).select("set", "root")
-    for k in range(1, rounds):
-        next_pivot = joined.groupBy("root").agg(F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set")).alias("least")).select(F.col("least.set").alias("set"))
-        got = materialise(beside_pivots(whole.join(open_sets, "set", "left_semi"), whole.join(next_pivot, "set", "left_semi")), "beside")
+    for k in rounds:
+        some = joined.withColumn("part", F.pmod(F.xxhash64("set"), F.lit(64))).groupBy("root", "part").agg(F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set")).alias("m"))  # 64 a class
+        chosen = some.groupBy("root").agg(F.slice(F.array_sort(F.collect_list("m")), 1, k).alias("m")).select(F.explode("m.set").alias("set"))
+        got = materialise(beside_pivots(whole.join(open_sets, "set", "left_semi"), whole.join(chosen, "set", "left_semi"), threshold), "beside")
         edges.append(got.where(linked).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
+        joined = joined.unionByName(got.where(linked).select("set", "root"))
         open_sets = got.where(~linked).select("set")
     left = materialise(whole.join(first.select("set", "apart"), "set").join(open_sets, "set", "left_semi"), "open")
     if left.isEmpty():
@@ -353,13 +370,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rows = materialise(signatures(docs, id_col, text_col, width), "signatures")
     at = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("at")
     sets = materialise(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("id"), at, F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
-    classes = materialise(components(candidates(sets, threshold, limit, hot)).select(F.col("node").alias("set"), "root"), "classes")
-    sized = classes.join(classes.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    members = sets.select("set", "at").join(sized, "set")
+    found = components(candidates(sets, threshold, limit, hot))
+    classes = materialise(sets.select("set", "at", short_name("set").alias("node")).join(found, "node").drop("node"), "classes")
+    sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("set").alias("first"))
+    members = classes.join(sizes, "root").drop("root").withColumnRenamed("first", "root")
     whole = materialise(whole_sets(docs, members, id_col, text_col, width), "whole")
     links = small_classes(whole.where(F.col("size") <= block), threshold)
     if not (large := whole.where(F.col("size") > block)).isEmpty():
-        for more in large_classes(large, threshold, block):
+        for more in large_classes(large, threshold, 4 * block):
             links = links.unionByName(more)
     final = sets.select("set", "id").join(components(links).select(F.col("node").alias("set"), "root"), "set", "left")
     least = final.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
