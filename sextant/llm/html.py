@@ -73,6 +73,11 @@ class Block:
     inside: bool  # in an article
 
 
+def self_closed(tag: str, attributes: str) -> bool:
+    """A slash before ``>`` closes only elements of other vocabularies; elsewhere, and at the end of an unquoted value, it says nothing."""
+    return tag in ("svg", "math") and attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\f\r\"'")
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in order; comments and declarations go."""
     at, n, quoted = 0, len(page), True
@@ -109,7 +114,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at, attributes = end + 1, page[m.end() : end]
         name = m[2].lower()
         yield ("close" if m[1] else "open"), name, attributes
-        if not m[1] and name in DROPPED and not attributes.endswith("/"):
+        if not m[1] and name in DROPPED and not self_closed(name, attributes):
             low = page.lower() if low is None else low
             if len(low) != n:  # a letter whose lower case is longer: positions would differ
                 low = page.translate(_ASCII_LOWER)
@@ -198,7 +203,7 @@ def blocks(page: str) -> list[Block]:
             elif tag in ("article", "main", "section", "div", "ul", "ol", "table", "form", "aside", "nav", "footer", "header", "blockquote"):
                 while len(stack) > 1 and stack[-1][0] == "p":
                     stack.pop()
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or self_closed(tag, attributes):
             if tag == "br":
                 words.append(" ")
             continue

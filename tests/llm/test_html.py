@@ -113,3 +113,10 @@ def test_a_table_of_pages(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, r.url, r.text) for r in got.collect()) == [(0, 11, ""), (1, 10, LONG), (1, 10, LONG), (3, 12, ""), (4, 13, "\n".join([LONG] * 5000))]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_a_slash_closes_no_element_of_html():
+    page = '<article><script src=/a/>alert(1)</script><p>First of the words.<div class="x"/><p>Second of the words.</div><svg width=3 /><p>Third of the words.<svg viewBox=a/><p>not text</p></svg></article>'
+    read = "".join(x for kind, x, _ in html.tokens(page) if kind == "text")
+    assert "alert" not in read and "not text" not in read and all(w in read for w in ("First", "Second", "Third"))
+    assert html.self_closed("svg", " /") and html.self_closed("math", "/") and not html.self_closed("svg", " href=/a/") and not html.self_closed("style", "/")
