@@ -213,23 +213,26 @@ def d32(spark, p):
 
 @register(
     "d33_long_short_book",
-    f"""{B}, c AS (SELECT id, date_trunc('month', d)::DATE AS m, arg_max(close, d) AS close FROM bars GROUP BY ALL), r AS (SELECT id, m, close / lag(close) OVER w - 1 AS past, lead(close) OVER w / close - 1 AS next FROM c WINDOW w AS (PARTITION BY id ORDER BY m)),
-    q AS (SELECT *, ntile(5) OVER (PARTITION BY m ORDER BY past, id) AS q FROM r WHERE past IS NOT NULL), h AS (SELECT *, CASE WHEN q = 5 THEN 1 WHEN q = 1 THEN -1 ELSE 0 END AS side FROM q),
-    t AS (SELECT h.*, coalesce(b.side, 0) AS before FROM h LEFT JOIN h b ON b.id = h.id AND b.m = h.m - INTERVAL 1 MONTH)
-    SELECT m, count(*) FILTER (side <> 0) AS names, round(avg(next) FILTER (side = 1) - avg(next) FILTER (side = -1), 6) AS gross, count(*) FILTER (side <> 0 AND side <> before) AS entered, round(avg(next) FILTER (side = 1) - avg(next) FILTER (side = -1) - {COST} * count(*) FILTER (side <> 0 AND side <> before) / nullif(count(*) FILTER (side <> 0), 0), 6) AS net FROM t GROUP BY 1""",
+    f"""{B}, c AS (SELECT id, date_trunc('month', d)::DATE AS m, arg_max(close, d) AS close, sum(turnover) AS turnover, avg(high / low) AS span FROM bars GROUP BY ALL),
+    r AS (SELECT id, m, close / lag(close) OVER w - 1 AS past, turnover / lag(turnover) OVER w AS turn, -span AS calm, lead(close) OVER w / close - 1 AS next FROM c WINDOW w AS (PARTITION BY id ORDER BY m)), u AS (SELECT * FROM (UNPIVOT r ON past, turn, calm INTO NAME signal VALUE v)),
+    q AS (SELECT *, ntile(5) OVER (PARTITION BY signal, m ORDER BY round(v, 9), id) AS q FROM u), h AS (SELECT *, CASE WHEN q = 5 THEN 1 WHEN q = 1 THEN -1 ELSE 0 END AS side FROM q),
+    t AS (SELECT h.*, coalesce(b.side, 0) AS before FROM h LEFT JOIN h b ON b.signal = h.signal AND b.id = h.id AND b.m = h.m - INTERVAL 1 MONTH)
+    SELECT signal, m, count(*) FILTER (side <> 0) AS names, round(avg(next) FILTER (side = 1) - avg(next) FILTER (side = -1), 6) AS gross, count(*) FILTER (side <> 0 AND side <> before) AS entered, round(avg(next) FILTER (side = 1) - avg(next) FILTER (side = -1) - {COST} * count(*) FILTER (side <> 0 AND side <> before) / nullif(count(*) FILTER (side <> 0), 0), 6) AS net FROM t GROUP BY ALL""",
 )
 def d33(spark, p):
-    """Monthly quintile book; a leg's cost is charged on the names that were not in it a month before."""
-    w = Window.partitionBy("id").orderBy("m")
-    c = bars(deals(spark, p)).groupBy("id", F.trunc("d", "month").alias("m")).agg(F.max_by("close", "d").alias("close"))
-    r = c.select("id", "m", (F.col("close") / F.lag("close").over(w) - 1).alias("past"), (F.lead("close").over(w) / F.col("close") - 1).alias("next")).where("past IS NOT NULL")
-    q = r.withColumn("q", F.ntile(5).over(Window.partitionBy("m").orderBy("past", "id")))
+    """Monthly quintile books of three signals (past return, growth of turnover, calm); a leg's cost is charged on the names that were not in
+    it a month before."""
+    w, own = Window.partitionBy("id").orderBy("m"), Window.partitionBy("signal", "id").orderBy("m")
+    c = bars(deals(spark, p)).groupBy("id", F.trunc("d", "month").alias("m")).agg(F.max_by("close", "d").alias("close"), F.sum("turnover").alias("turnover"), F.avg(F.col("high") / F.col("low")).alias("span"))
+    r = c.select("id", "m", (F.col("close") / F.lag("close").over(w) - 1).alias("past"), (F.col("turnover") / F.lag("turnover").over(w)).alias("turn"), (-F.col("span")).alias("calm"), (F.lead("close").over(w) / F.col("close") - 1).alias("next"))
+    u = r.unpivot(["id", "m", "next"], ["past", "turn", "calm"], "signal", "v").where("v IS NOT NULL")
+    q = u.withColumn("q", F.ntile(5).over(Window.partitionBy("signal", "m").orderBy(F.round("v", 9), "id")))
     h = q.withColumn("side", F.when(F.col("q") == 5, 1).when(F.col("q") == 1, -1).otherwise(0))
-    adjacent = F.lag("m").over(w) == F.add_months("m", -1)
-    t = h.withColumn("before", F.when(adjacent, F.lag("side").over(w)).otherwise(0))
+    adjacent = F.lag("m").over(own) == F.add_months("m", -1)
+    t = h.withColumn("before", F.when(adjacent, F.lag("side").over(own)).otherwise(0))
     leg = lambda s: F.avg(F.when(F.col("side") == s, F.col("next")))
-    out = t.groupBy("m").agg(F.count_if(F.col("side") != 0).alias("names"), (leg(1) - leg(-1)).alias("raw"), F.count_if((F.col("side") != 0) & (F.col("side") != F.coalesce("before", F.lit(0)))).alias("entered"))
-    return out.select("m", "names", r6(F.col("raw")).alias("gross"), "entered", r6(F.col("raw") - COST * F.col("entered") / F.nullif(F.col("names"), F.lit(0))).alias("net"))
+    out = t.groupBy("signal", "m").agg(F.count_if(F.col("side") != 0).alias("names"), (leg(1) - leg(-1)).alias("raw"), F.count_if((F.col("side") != 0) & (F.col("side") != F.coalesce("before", F.lit(0)))).alias("entered"))
+    return out.select("signal", "m", "names", r6(F.col("raw")).alias("gross"), "entered", r6(F.col("raw") - COST * F.col("entered") / F.nullif(F.col("names"), F.lit(0))).alias("net"))
 
 
 #: Sample rates (valid_from, valid_to, component, kind, rate): of turnover, per 10 million, or percent of the fees named before it.

@@ -114,23 +114,31 @@ def x02(spark, p):
     return spark.sql("SELECT n_name, count(*) AS n FROM {c} JOIN {n} ON n_nationkey = c_nationkey GROUP BY 1", c=table(spark, p, "customer"), n=table(spark, p, "nation"))
 
 
-@register("x03_grouped_map")
+DRAWN = 200
+
+
+@register(
+    "x03_grouped_map",
+    f"""{D}, mo AS (SELECT brand, x, row_number() OVER (PARTITION BY brand ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY brand) AS n FROM (SELECT brand, date_trunc('month', d) AS m, avg(price) AS x FROM deals GROUP BY ALL)),
+    k AS (SELECT brand, draw, CAST('0x' || substr(md5(brand || '|' || draw || '|' || i), 1, 8) AS BIGINT) % n AS i FROM mo, (SELECT unnest(range(0, {DRAWN})) AS draw)), me AS (SELECT brand, draw, avg(x) AS mean FROM k JOIN mo USING (brand, i) GROUP BY ALL)
+    SELECT brand, any_value(n) AS n, round(quantile_cont(me.mean, 0.025), 6) AS lo, round(any_value(own.mean), 6) AS mean, round(quantile_cont(me.mean, 0.975), 6) AS hi FROM me JOIN (SELECT brand, any_value(n) AS n, avg(x) AS mean FROM mo GROUP BY 1) own USING (brand) GROUP BY 1""",
+)
 def x03(spark, p):
-    """Percentile interval of a bootstrapped mean per name; a group is the name's monthly sums, never its deals."""
+    """Percentile interval of a bootstrapped mean per name, drawn by hashes; a group is the name's monthly means, never its deals."""
     monthly = deals(spark, p).groupBy("brand", F.trunc("d", "month").alias("m")).agg(F.avg("price").alias("x"))
 
     def interval(frame: pd.DataFrame) -> pd.DataFrame:
-        import zlib
+        import hashlib
 
         import numpy as np
 
-        x = frame.sort_values("m")["x"].to_numpy()
-        rng = np.random.default_rng(zlib.crc32(frame["brand"].iloc[0].encode()))
-        means = x[rng.integers(0, len(x), (500, len(x)))].mean(1)
-        lo, hi = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"brand": frame["brand"].iloc[:1], "n": [len(x)], "lo": [lo], "mean": [x.mean()], "hi": [hi]})
+        x, brand = frame.sort_values("m")["x"].to_numpy(), frame["brand"].iloc[0]
+        drawn = [[int(hashlib.md5(f"{brand}|{b}|{i}".encode()).hexdigest()[:8], 16) % len(x) for i in range(len(x))] for b in range(DRAWN)]
+        lo, hi = np.quantile(x[np.array(drawn)].mean(1), [0.025, 0.975])
+        return pd.DataFrame({"brand": [brand], "n": [len(x)], "lo": [lo], "mean": [x.mean()], "hi": [hi]})
 
-    return monthly.groupBy("brand").applyInPandas(interval, "brand string, n long, lo double, mean double, hi double")
+    got = monthly.groupBy("brand").applyInPandas(interval, "brand string, n long, lo double, mean double, hi double")
+    return got.select("brand", "n", *(r6(F.col(c)).alias(c) for c in ("lo", "mean", "hi")))
 
 
 @register("x04_table_function", "SELECT event_id, key, value FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) t, LATERAL (SELECT CAST(json_extract_string(props, '$.' || key) AS VARCHAR) AS value)")

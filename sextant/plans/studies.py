@@ -112,22 +112,25 @@ def d37(spark, p):
     return a.groupBy("id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.greatest(2 * (F.exp("alpha") - 1) / (1 + F.exp("alpha")), F.lit(0.0)))).alias("spread"))
 
 
+LAGS = range(1, 7)
+
+
 @register(
     "d39_minimum_detectable_effect",
     f"""{B}, {FWD_SQL}, e AS (SELECT DISTINCT brand AS id, d, kind FROM deals WHERE side = 'BUY' AND qty >= 40), c AS (SELECT kind, date_trunc('month', d)::DATE AS m, avg(fwd) AS x FROM e JOIN f USING (id, d) WHERE fwd IS NOT NULL GROUP BY ALL),
-    l AS (SELECT kind, x, lag(x, 1) OVER w AS x1, lag(x, 2) OVER w AS x2, lag(x, 3) OVER w AS x3 FROM c WINDOW w AS (PARTITION BY kind ORDER BY m)),
-    s AS (SELECT kind, count(*) AS n, stddev_samp(x) AS sd, {' + '.join(f'{2 * (1 - k / 4)} * coalesce({correlation_sql("x", f"x{k}")}, 0)' for k in (1, 2, 3))} AS serial FROM l GROUP BY 1)
+    l AS (SELECT kind, x, {', '.join(f'lag(x, {k}) OVER w AS x{k}' for k in LAGS)} FROM c WINDOW w AS (PARTITION BY kind ORDER BY m)),
+    s AS (SELECT kind, count(*) AS n, stddev_samp(x) AS sd, {' + '.join(f'{2 * (1 - k / (len(LAGS) + 1))!r}::DOUBLE * coalesce({correlation_sql("x", f"x{k}")}, 0)' for k in LAGS)} AS serial FROM l GROUP BY 1)
     SELECT kind, n, round(2.8 * sd / sqrt(n), 6) AS mde, round(2.8 * sd / sqrt(n) * sqrt(greatest(1 + serial, 0)), 6) AS mde_serial FROM s""",
 )
 def d39(spark, p):
-    """2.8 standard errors of the monthly cohorts' mean; the serial form adds Bartlett's terms of three lags."""
+    """2.8 standard errors of the monthly cohorts' mean; the serial form adds Bartlett's terms of LAGS."""
     x = deals(spark, p)
     f = R.forward_return(bars(x), 5, 20).where("fwd IS NOT NULL").select("id", "d", "fwd")
     e = x.where("side = 'BUY' AND qty >= 40").select(F.col("brand").alias("id"), "d", "kind").distinct().join(f, ["id", "d"])
     c = e.groupBy("kind", F.trunc("d", "month").alias("m")).agg(F.avg("fwd").alias("x"))
     month = Window.partitionBy("kind").orderBy("m")
-    lagged = c.withColumns({f"x{k}": F.lag("x", k).over(month) for k in (1, 2, 3)})
-    serial = sum((2 * (1 - k / 4) * F.coalesce(correlation("x", f"x{k}"), F.lit(0.0)) for k in (1, 2, 3)), F.lit(0.0))
+    lagged = c.withColumns({f"x{k}": F.lag("x", k).over(month) for k in LAGS})
+    serial = sum((2 * (1 - k / (len(LAGS) + 1)) * F.coalesce(correlation("x", f"x{k}"), F.lit(0.0)) for k in LAGS), F.lit(0.0))
     s = lagged.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), serial.alias("serial"))
     mde = 2.8 * F.col("sd") / F.sqrt("n")
     return s.select("kind", "n", r6(mde).alias("mde"), r6(mde * F.sqrt(F.greatest(1 + F.col("serial"), F.lit(0.0)))).alias("mde_serial"))
