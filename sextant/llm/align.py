@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -43,7 +44,7 @@ WIDE = 4096
 #: Places between units: white space as Python sees it holds all that the library does.
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 #: n_a, n_b, n_groups, n_links, groups as text, pairs (a number for each link), different pairs of wide groups and how often.
-Unit = tuple[int, int, int, int, bytes, bytes, list[np.ndarray]]
+Unit = tuple[int, int, int, int, bytes, bytes, tuple[np.ndarray, ...]]
 
 _BY_FILES: dict[tuple[str, str], Aligner] = {}
 
@@ -79,6 +80,7 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode("utf-8", "surrogatepass"))
         if max(len(self.a_bytes), len(self.b_bytes)) > IDS:
             raise ValueError(f"ids of {IDS} and more")
+        self.text = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.separable = not any(" " in p.lstrip(b" ").decode("utf-8", "replace") for p in self.b_bytes)
         self.units: dict[str, Unit | None] = {}
 
@@ -93,20 +95,21 @@ class Aligner:
         a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
             return None
-        a_at = {end: i for i, end in enumerate(accumulate(map(len, a_parts)), 1)}
-        b_at = {end: i for i, end in enumerate(accumulate(map(len, b_parts)), 1)}
+        a_at = dict(zip(accumulate(map(len, a_parts)), range(1, len(a) + 1), strict=True))
+        b_at = dict(zip(accumulate(map(len, b_parts)), range(1, len(b) + 1), strict=True))
         a_from = b_from = links = 0
-        groups, pairs, wide = [], [], []
+        groups, pairs, wide, text = [], [], [], self.text
         common = sorted(a_at.keys() & b_at.keys())
         for end in common:
             a_to, b_to = a_at[end], b_at[end]
             if a_to - a_from == 1 == b_to - b_from:
-                groups.append(f"{a[a_from]}|{b[b_from]}")
-                pairs.append(a[a_from] * IDS + b[b_from])
+                x, y = a[a_from], b[b_from]
+                groups.append(text[x] + "|" + text[y])
+                pairs.append(x * IDS + y)
                 links += 1
             else:
                 own_a, own_b = a[a_from:a_to], b[b_from:b_to]
-                groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
+                groups.append(f"{','.join([text[x] for x in own_a])}|{','.join([text[y] for y in own_b])}")
                 size = len(own_a) * len(own_b)
                 links += size
                 if size <= WIDE:
@@ -115,7 +118,7 @@ class Aligner:
                     (x, n), (y, m) = (np.unique(ids, return_counts=True) for ids in (own_a, own_b))
                     wide.append(np.stack([np.add.outer(x * IDS, y).ravel(), np.multiply.outer(n, m).ravel()]))
             a_from, b_from = a_to, b_to
-        return len(a), len(b), len(common), links, ";".join(groups).encode(), np.array(pairs, "<u4").tobytes(), wide
+        return len(a), len(b), len(common), links, ";".join(groups).encode(), array("I", pairs).tobytes(), tuple(wide)
 
     def cut(self, text: str) -> list[str]:
         """A space and the text, in units; all of it where a piece could span two units."""
@@ -133,10 +136,10 @@ class Aligner:
             fresh = list(set(chain.from_iterable(texts)))
         for at in range(0, len(fresh), 4096):
             own = fresh[at : at + 4096]
-            a = self.a.encode_batch_fast([f" {u}" for u in own], add_special_tokens=False)
-            b = self.b.encode(own, num_threads=1)
-            for u, x, y in zip(own, a, b, strict=True):
-                self.units[u] = self.align(f" {u}".encode("utf-8", "surrogatepass"), x.ids, y)
+            spaced = [" " + u for u in own]
+            a, b = self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(own, num_threads=1)
+            for u, raw, x, y in zip(own, spaced, a, b, strict=True):
+                self.units[u] = self.align(raw.encode("utf-8", "surrogatepass"), x.ids, y)
 
     def __call__(self, texts: list[str | None]) -> list[list[Unit] | None]:
         """The units of each text; None for a text without tokens."""
