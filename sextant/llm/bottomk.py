@@ -8,10 +8,10 @@ other's, so one of them would have to hold LISTED such values, all rarer than ev
 chance of 1e-4 if all that differs were rare and known elsewhere; what differs is mostly rare and known nowhere).  Lists of at most ``limit`` sets generate all overlaps in numpy, and a pair becomes a candidate if the estimate from the
 union of the two sketches could be that of a pair at the threshold.
 
-A longer list is walked once beside its first set: sets about as similar to it as near copies leave the list as its
-candidates, sets that could be linked to such a set become its candidates and stay, and what stays is split by its NEXT
-retained values, at most DEPTH times (a pair shares most of its lists, so it has many ways to meet).  Lists of over ``hot`` rows are dealt in chunks, each with a first set of its own,
-which stays in the list.  What is still long at the last depth becomes a candidate of the list's least set.  So no list is cut,
+A longer list is walked once beside at most LEADERS of its sets, each the first that was near none before: sets about as similar to
+a leader as near copies leave the list as its candidates, sets that could be linked to such a set become its candidates too, and
+what is near no leader stays, as leaders do, to be split by its NEXT retained values, at most DEPTH times (a pair shares most of
+its lists, so it has many ways to meet).  Lists of over ``hot`` rows are dealt in chunks, each with leaders of its own.  What is still long at the last depth becomes a candidate of the list's least set.  So no list is cut,
 no pair of a long list is emitted, and a common word pair is the last by which a set is listed.
 
 Candidates form classes, and inside a class links are confirmed on whole sets, recomputed from the texts.  Classes of at most
@@ -39,8 +39,8 @@ from sextant.llm.jaccard import _columns, _Hashes, _local_roots, links_of, shing
 from sextant.llm.words import by_rows
 
 K, LISTED, NEXT, DEPTH = 32, 12, 2, 3
-#: Estimates: a set of NEAR leaves a long list with its first set, one of OPEN becomes a candidate of it.
-NEAR, OPEN = 0.7, 0.25
+#: Estimates: a set of NEAR leaves a long list with a leader, one of OPEN becomes a candidate of it.
+NEAR, OPEN, LEADERS = 0.7, 0.25, 16
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -154,23 +154,31 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
             if shared >= threshold * union - 4.5 * (threshold * (1 - threshold) * union) ** 0.5:
                 yield b[2], a[2], *[None] * 6
 
-    def long(first: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        near = beside_first((first[4], first[3]), [r[4] for r in rows], np.array([r[3] for r in rows])).tolist()
-        for row, similar in zip(rows, near, strict=True):
-            if row[2] == first[2]:
-                yield stays(row)
-                continue
-            if similar >= OPEN:
-                yield row[2], first[2], *[None] * 6
-            if similar < NEAR:
-                yield stays(row)
+    def long(leaders: list[tuple], rows: list[tuple]) -> Iterator[tuple]:
+        raws, sizes, near = [r[4] for r in rows], np.array([r[3] for r in rows]), np.zeros(len(rows), bool)
+        at, leads = 0, np.zeros(len(rows), bool)
+        while True:
+            if at == len(leaders):
+                free = np.flatnonzero(~near & ~leads)
+                if at == LEADERS or not len(free):
+                    break
+                leads[free[0]] = True
+                leaders.append(rows[free[0]])
+            leader = leaders[at]
+            similar = beside_first((leader[4], leader[3]), raws, sizes)
+            for i in np.flatnonzero(similar >= OPEN).tolist():
+                if rows[i][2] != leader[2]:
+                    yield rows[i][2], leader[2], *[None] * 6
+            near |= similar >= NEAR
+            at += 1
+        yield from (stays(rows[i]) for i in np.flatnonzero(~near | leads).tolist())
 
     def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own, held, over, first = None, [], False, None
+        own, held, over, leaders = None, [], False, []
 
         def close() -> Iterator[tuple]:
             if over and held:
-                yield from long(first, held)
+                yield from long(leaders, held)
             elif len(held) == 2:
                 yield from two(*held)
             elif len(held) > 2:
@@ -179,11 +187,11 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
         for row in rows:
             if row[:2] != own:
                 yield from close()
-                own, held, over, first = row[:2], [], row[1] is not None, row
+                own, held, over, leaders = row[:2], [], row[1] is not None, []
             held.append(row)
             if len(held) > (1024 if over else limit):
                 over = True
-                yield from long(first, held)
+                yield from long(leaders, held)
                 held = []
         yield from close()
 
