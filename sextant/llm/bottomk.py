@@ -157,6 +157,7 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
     def long(leaders: list[tuple], rows: list[tuple]) -> Iterator[tuple]:
         raws, sizes, near = [r[4] for r in rows], np.array([r[3] for r in rows]), np.zeros(len(rows), bool)
         at, leads = 0, np.zeros(len(rows), bool)
+        first, met = np.full(len(rows), -1), []  # a row's first leader; leaders that a row joins
         while True:
             if at == len(leaders):
                 free = np.flatnonzero(~near & ~leads)
@@ -166,11 +167,18 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
                 leaders.append(rows[free[0]])
             leader = leaders[at]
             similar = beside_first((leader[4], leader[3]), raws, sizes)
-            for i in np.flatnonzero(similar >= OPEN).tolist():
-                if rows[i][2] != leader[2]:
-                    yield rows[i][2], leader[2], *[None] * 6
+            open_to = np.flatnonzero(similar >= OPEN)
+            met.extend((int(k), at) for k in np.unique(first[open_to]) if k >= 0)
+            first[open_to[first[open_to] < 0]] = at
             near |= similar >= NEAR
             at += 1
+        for i in np.flatnonzero(first >= 0).tolist():  # one link a row, and the links among leaders that rows make
+            if rows[i][2] != leaders[first[i]][2]:
+                yield rows[i][2], leaders[first[i]][2], *[None] * 6
+        if met:
+            for i, r in enumerate(_local_roots(len(leaders), *np.array(met).T)):
+                if i != r:
+                    yield leaders[i][2], leaders[r][2], *[None] * 6
         yield from (stays(rows[i]) for i in np.flatnonzero(~near | leads).tolist())
 
     def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
