@@ -12,8 +12,9 @@ A word of a class also has its smoothed share of the class.
 
 Training is noise-contrastive: at either level the token's own score is told from those of symbols drawn from the unigram.
 First every text counts: which symbol stood one, two or three before which is counted over all training texts, and all
-parameters are trained on these counts, each position alone as the context.  Then whole contexts are trained on a bounded
-sample (``warm`` texts of least hash, a documented parameter), in one task.
+parameters are trained on these counts, each position alone as the context.  Then whole contexts are trained on all training
+texts: every task goes over all its texts from these parameters, and what the tasks reach is averaged, weighted by tokens.  Texts
+become arrays of symbols once, which both passes read.
 
 Counts of words beyond the ``head`` most frequent (a bound on what is broadcast) never reach a task whole: those words
 leave the texts' tasks as rows and meet their counts in a join.
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.core.shared import materialise
-from sextant.llm.words import by_rows, least_hashed
+from sextant.llm.words import by_rows
 
 #: Stands for the end; no word holds a newline.
 END = b"\n"
@@ -86,6 +87,11 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.symbols) + self.classes
 
+    @property
+    def kind(self) -> str:
+        """Of a stored symbol."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
     def symbol(self, word: bytes) -> int:
         return self.symbols.get(word, -1) if word in self.symbols else len(self.symbols) + class_of(word, self.classes)
 
@@ -174,22 +180,23 @@ class LogBilinear:
         return {name: flat[end - math.prod(shape) : end].reshape(shape) for (name, shape), end in zip(self.shapes.items(), ends, strict=True)}
 
     def context(self, h: np.ndarray) -> np.ndarray:
-        return sum(self.r[h[:, k]] * self.c[k] for k in range(CONTEXT))
+        return sum(self.r.take(h[:, k], 0) * self.c[k] for k in range(CONTEXT))
 
     def log_probs(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Normalised log probability of each symbol w after the symbols h (a row each, the last one first)."""
-        v, place = self.context(h), self.place[w]
+        place = self.place[w]
+        order = _order(place, len(self.b))
+        place, v = place[order], self.context(h[order])
         group = place // self.width
-        s = v @ self.qg.T + self.bg
-        out = s[np.arange(len(w)), group] - _log_sum(s)
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
-        for g in range(self.groups):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                leaf = slice(g * self.width, (g + 1) * self.width)
-                s = v[rows] @ self.q[leaf].T + np.where(self.missing[g], np.float32(-1e9), self.b[leaf])
-                out[rows] += s[np.arange(len(rows)), place[rows] - g * self.width] - _log_sum(s)
+        s = self.qg @ v.T + self.bg[:, None]
+        got = s[group, np.arange(len(w))] - _log_sum(s)
+        cuts = np.searchsorted(group, np.arange(self.groups + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows, leaf = slice(cuts[g], cuts[g + 1]), slice(g * self.width, (g + 1) * self.width)
+            s = self.q[leaf] @ v[rows].T + np.where(self.missing[g], np.float32(-1e9), self.b[leaf])[:, None]
+            got[rows] += s[place[rows] - g * self.width, np.arange(s.shape[1])] - _log_sum(s)
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def table(self, h: np.ndarray) -> np.ndarray:
@@ -201,20 +208,20 @@ class LogBilinear:
         given; ``losses`` takes the loss of each part, if it is wanted."""
         n, grad = len(w), np.zeros_like(self.flat)
         part = self.views(grad)
-        v, place = self.context(h), self.place[w]
-        group = place // self.width
+        place = self.place[w]
+        order = _order(place, len(self.b))
+        place, h = place[order], h[order]
+        v, group = self.context(h), place // self.width
         back = np.zeros_like(v)
-        _contrast(v, group, noise_group, self.qg, self.bg, self.p_group, part["qg"], part["bg"], back, losses)
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
-        for g in np.flatnonzero(np.diff(cuts)):
-            rows, leaf = order[cuts[g] : cuts[g + 1]], slice(g * self.width, (g + 1) * self.width)
-            own = np.zeros((len(rows), DIMS), np.float32)
-            _contrast(v[rows], place[rows] - g * self.width, noise_leaf[g], self.q[leaf], self.b[leaf], self.p_leaf[g], part["q"][leaf], part["b"][leaf], own, losses)
-            back[rows] += own
+        every = [(0, n)]
+        _contrast(v, group, every, noise_group[None], self.qg, self.bg, self.p_group, part["qg"], part["bg"], back, losses)
+        cuts = np.searchsorted(group, np.arange(self.groups + 1))
+        noise = noise_leaf + np.arange(self.groups)[:, None] * self.width
+        _contrast(v, place, list(itertools.pairwise(cuts.tolist())), noise, self.q, self.b, self.p_leaf.ravel(), part["q"], part["b"], back, losses)
         for k in range(CONTEXT):
-            part["c"][k] += (back * self.r[h[:, k]]).sum(0)
-            _add_rows(part["r"], h[:, k], back * self.c[k])
+            part["c"][k] += np.einsum("ij,ij->j", back, self.r.take(h[:, k], 0))
+            at = _order(h[:, k], len(self.r))
+            _add_sorted(part["r"], h[at, k], back.take(at, 0) * self.c[k])
         return grad / np.float32(n)
 
     def draw(self, rng: np.random.Generator, groups: int = 10, leaves: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -225,16 +232,20 @@ class LogBilinear:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(1)
-    return top + np.log(np.exp(s - top[:, None]).sum(1))
+    """Of every column; ``s`` is used up."""
+    top = s.max(0)
+    s -= top
+    return top + np.log(np.exp(s, out=s).sum(0))
+
+
+def _order(at: np.ndarray, size: int) -> np.ndarray:
+    return np.argsort(at.astype(np.int16) if size < 1 << 15 else at, kind="stable")
 
 
-def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """to[at] += rows, where ``at`` repeats."""
-    order = np.argsort(at.astype(np.int16) if len(to) < 1 << 15 else at, kind="stable")
-    own = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    to[own[starts]] += np.add.reduceat(rows[order], starts, 0)
+def _add_sorted(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, where ``at`` ascends and repeats."""
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    to[at[starts]] += np.add.reduceat(rows, starts, 0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -245,19 +256,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _contrast(v: np.ndarray, w: np.ndarray, noise: np.ndarray, q: np.ndarray, b: np.ndarray, p: np.ndarray, dq: np.ndarray, db: np.ndarray, back: np.ndarray, losses: list[float] | None) -> None:
-    """Adds one level's gradients: data against ``noise`` draws from p, -log sigma(s_w - log(k p_w)) - sum log sigma(-(...))."""
-    shift = np.log(len(noise) * np.maximum(p, 1e-12)).astype(np.float32)
-    s = np.einsum("ij,ij->i", v, q[w]) + (b - shift)[w]
-    z = v @ q[noise].T + (b[noise] - shift[noise])
+def _contrast(v: np.ndarray, w: np.ndarray, parts: list[tuple[int, int]], noise: np.ndarray, q: np.ndarray, b: np.ndarray, p: np.ndarray, dq: np.ndarray, db: np.ndarray, back: np.ndarray, losses: list[float] | None) -> None:
+    """Adds one level's gradients: data (w ascends) against draws from p, -log sigma(s_w - log(k p_w)) - sum log sigma(-(...)).
+    The rows from parts[i][0] to parts[i][1] have the draws noise[i]."""
+    bias = b - np.log(noise.shape[1] * np.maximum(p, 1e-12)).astype(np.float32)
+    own, drawn, free = q.take(w, 0), q[noise], bias[noise]
+    s = np.einsum("ij,ij->i", v, own) + bias[w]
+    z = np.empty((len(w), noise.shape[1]), np.float32)
+    for i, (lo, hi) in enumerate(parts):
+        if hi > lo:
+            np.matmul(v[lo:hi], drawn[i].T, out=z[lo:hi])
+            z[lo:hi] += free[i]
     if losses is not None:
         losses.append(float(np.logaddexp(0, -s).sum() + np.logaddexp(0, z).sum()))
     miss, hit = _sigmoid(-s), _sigmoid(z)
-    back += hit @ q[noise] - miss[:, None] * q[w]
-    _add_rows(dq, w, -miss[:, None] * v)
-    np.add.at(dq, noise, hit.T @ v)
+    back -= miss[:, None] * own
+    pull, weight = np.zeros_like(drawn), np.zeros_like(free)
+    for i, (lo, hi) in enumerate(parts):
+        if hi > lo:
+            back[lo:hi] += hit[lo:hi] @ drawn[i]
+            pull[i], weight[i] = hit[lo:hi].T @ v[lo:hi], hit[lo:hi].sum(0)
+    _add_sorted(dq, w, -miss[:, None] * v)
+    np.add.at(dq, noise, pull)
     db -= np.bincount(w, miss, len(b)).astype(np.float32)
-    np.add.at(db, noise, hit.sum(0))
+    np.add.at(db, noise, weight)
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -272,14 +294,27 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return h
 
 
-def batches(rows: Iterator[tuple], symbol: _Symbols, size: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def symbols_of(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFrame:
+    """ids: the symbols of each text, ``known.kind`` numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        own = shared.value
+        symbol = _Symbols(own).__getitem__
+        for (text,) in rows:
+            words = tokens(text)
+            yield (np.fromiter(map(symbol, words), own.kind, len(words)).tobytes(),)
+
+    return by_rows(docs.select(text_col), run, "ids binary", out=256)
+
+
+def batches(rows: Iterator[tuple], kind: str, size: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(contexts, symbols) of about ``size`` tokens, of whole texts or slices of long ones."""
     held: list[np.ndarray] = []
     n = 0
-    for (text,) in rows:
-        words = tokens(text)
-        held.append(np.fromiter(map(symbol.__getitem__, words), np.int64, len(words)))
-        n += len(words)
+    for (raw,) in rows:
+        held.append(np.frombuffer(raw, kind))
+        n += len(held[-1])
         if n >= size:
             yield from _sliced(held, size)
             held, n = [], 0
@@ -288,7 +323,7 @@ def batches(rows: Iterator[tuple], symbol: _Symbols, size: int = BATCH) -> Itera
 
 
 def _sliced(held: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids = np.concatenate(held)
+    ids = np.concatenate(held).astype(np.int64)
     lengths = np.array([len(x) for x in held])
     h = contexts(ids, np.cumsum(lengths) - lengths)
     parts = max(1, len(ids) // size)  # even slices of ``size`` to twice as many tokens
@@ -296,36 +331,46 @@ def _sliced(held: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.
         yield h[lo:hi], ids[lo:hi]
 
 
-def learn(rows: Iterator[tuple], own: Vocabulary, start: np.ndarray, rate: float = 0.02, steps: int = 200, seed: int = 5) -> tuple[int, np.ndarray]:
-    """Tokens in a bounded sample of texts and the parameters after contrastive steps (Adagrad) with whole contexts; the sample
-    is gone over until some ``steps`` batches are done, 20 times at most."""
+def learn(rows: Iterator[tuple], own: Vocabulary, start: np.ndarray, rate: float = 0.02, steps: int = 200, seed: tuple[int, ...] = (5,)) -> tuple[int, np.ndarray]:
+    """Tokens in the texts (their symbols) and the parameters after contrastive steps (Adagrad) with whole contexts over all of
+    them; texts of fewer than ``steps`` batches are gone over again until some ``steps`` are done, 20 times at most."""
     model, rng = bilinear(own, start), np.random.default_rng(seed)
     squares = np.full_like(model.flat, 1e-8)
-    kept = list(batches(rows, _Symbols(own)))
-    for _ in range(min(20, -(-steps // max(1, len(kept))))):
-        for h, w in kept:
-            g = model.gradients(h, w, *model.draw(rng))
-            squares += g * g
-            model.flat -= rate * g / np.sqrt(squares)
-    return sum(len(w) for _, w in kept), model.flat
-
-
-def transitions(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFrame:
-    """cell ((position * size + symbol that far before) * size + symbol), n over all texts; each task adds its own in one array
-    of CONTEXT * symbols**2."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def step(h: np.ndarray, w: np.ndarray) -> None:
+        g = model.gradients(h, w, *model.draw(rng))
+        squares[:] += g * g
+        model.flat -= rate * g / np.sqrt(squares)
+
+    few: list[tuple[np.ndarray, np.ndarray]] | None = []  # all batches, as long as they may be gone over again
+    done = n = 0
+    for h, w in batches(rows, own.kind):
+        step(h, w)
+        done, n = done + 1, n + len(w)
+        if few is not None:
+            few.append((h.astype(own.kind), w.astype(own.kind)))
+            if done >= steps:
+                few = None
+    for _ in range(min(20, -(-steps // done)) - 1 if few else 0):
+        for h, w in few:
+            step(h.astype(np.int64), w.astype(np.int64))
+    return n, model.flat
+
+
+def transitions(coded: DataFrame, known: Vocabulary) -> DataFrame:
+    """cell ((position * size + symbol that far before) * size + symbol), n over all texts (ids); each task adds its own in one
+    array of CONTEXT * symbols**2."""
+    m, kind = known.size, known.kind
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = shared.value
-        m = own.size
         total = np.zeros(CONTEXT * m * m, np.int32)
-        for h, w in batches(rows, _Symbols(own), 1 << 18):
+        for h, w in batches(rows, kind, 1 << 18):
             for k in range(CONTEXT):
                 total[k * m * m : (k + 1) * m * m] += np.bincount(h[:, k] * m + w, minlength=m * m)
         at = np.flatnonzero(total)
         return zip(at.tolist(), total[at].tolist(), strict=True)
 
-    return by_rows(docs.select(text_col), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return by_rows(coded.select("ids"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def fit_counts(model: LogBilinear, counts: np.ndarray, noise: int = 10, steps: int = 80, rate: float = 0.05) -> None:
@@ -363,25 +408,41 @@ def fit_counts(model: LogBilinear, counts: np.ndarray, noise: int = 10, steps: i
         model.flat -= rate * (1 - 0.9 * t / steps) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-10)
 
 
-def parameters(docs: DataFrame, known: Vocabulary, text_col: str, warm: int) -> np.ndarray:
-    """First from the transition counts of all texts, then with whole contexts on a bounded sample, in one task."""
+#: Parameters that travel in one row.
+PIECE = 1024
+
+
+def parameters(docs: DataFrame, known: Vocabulary, text_col: str) -> tuple[int, np.ndarray]:
+    """First from the transition counts of all texts, then with whole contexts on all of them: tokens gone over, parameters."""
     m, model = known.size, LogBilinear(known.often)
-    cells = transitions(docs, known, text_col).toArrow()  # at most CONTEXT * symbols**2 rows
+    coded = materialise(symbols_of(docs, known, text_col), "symbols")
+    cells = transitions(coded, known).toArrow()  # at most CONTEXT * symbols**2 rows
     table = np.zeros(CONTEXT * m * m, np.float32)
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     fit_counts(model, table.reshape(CONTEXT, m, m))
     model.c *= np.array([[0.5], [0.4], [0.3]], np.float32)  # the positions speak together from here on
     start = docs.sparkSession.sparkContext.broadcast((known, model.flat.tobytes()))
-    sample = least_hashed(docs.select(text_col), [text_col], warm).repartition(1)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        from pyspark import TaskContext
+
         own, flat = start.value
-        n, flat = learn(rows, own, np.frombuffer(flat, np.float32))
+        task = TaskContext.get().partitionId()
+        n, flat = learn(rows, own, np.frombuffer(flat, np.float32), seed=(5, task))
         if n:
-            yield (flat.tobytes(),)
+            yield from ((at // PIECE, task, n, flat[at : at + PIECE].tobytes()) for at in range(0, len(flat), PIECE))
 
-    got = by_rows(sample, run, "flat binary").first()
-    return model.flat if got is None else np.frombuffer(bytes(got.flat), np.float32)
+    def add(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for piece, own in itertools.groupby(rows, lambda r: r[0]):
+            tokens_, total = 0, 0.0
+            for _, _, n, raw in own:
+                tokens_ += n
+                total = total + n * np.frombuffer(raw, np.float32).astype(np.float64)
+            yield piece, tokens_, (total / tokens_).astype(np.float32).tobytes()
+
+    reached = by_rows(coded, run, "piece int, task int, n long, flat binary").repartition("piece").sortWithinPartitions("piece", "task")
+    got = sorted(by_rows(reached, add, "piece int, n long, flat binary").collect(), key=lambda r: r.piece)
+    return (got[0].n, np.frombuffer(b"".join(bytes(r.flat) for r in got), np.float32)) if got else (0, model.flat)
 
 
 @dataclass
@@ -389,6 +450,7 @@ class Model:
     vocabulary: Vocabulary
     counts: DataFrame  # word, class, n
     flat: np.ndarray  # parameters of LogBilinear
+    learnt: int = 0  # tokens whose whole contexts were trained
 
     def bilinear(self) -> LogBilinear:
         return bilinear(self.vocabulary, self.flat)
@@ -400,10 +462,11 @@ def bilinear(known: Vocabulary, flat: np.ndarray) -> LogBilinear:
     return model
 
 
-def train(docs: DataFrame, text_col: str = "text", head: int = 100_000, share: float = 1.5e-4, classes: int = 256, warm: int = 1_500) -> Model:
+def train(docs: DataFrame, text_col: str = "text", head: int = 100_000, share: float = 1.5e-4, classes: int = 256) -> Model:
     counts = materialise(count_words(docs, classes, text_col), "words")
     known = vocabulary(counts, head, share, classes)
-    return Model(known, counts, parameters(docs, known, text_col, warm))
+    learnt, flat = parameters(docs, known, text_col)
+    return Model(known, counts, flat, learnt)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,7 +479,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         from pyspark import TaskContext
 
         own, flat = shared.value
-        net, place = bilinear(own, flat), _Places(own.head)
+        net, place, symbol = bilinear(own, flat), _Places(own.head), _Symbols(own)
         fixed, row = len(own.symbols), TaskContext.get().partitionId() << 36
         symbol_of = np.array([*map(own.symbol, own.head), 0])  # the last entry stands for the words that are not in the head
         log_of = np.log10(np.array([*own.head.values(), 0.0]) + 1)
@@ -430,16 +493,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             unknown = np.flatnonzero(every < 0)
             ids, logs = symbol_of[every], log_of[every]
             text_of = np.searchsorted(firsts, unknown, "right") - 1
-            tails: list[Counter] = [Counter() for _ in held]
-            for i, t in zip(unknown.tolist(), text_of.tolist(), strict=True):
-                word = held[t][1][i - int(firsts[t])]
-                ids[i] = own.symbol(word)
-                tails[t][word] += 1
+            missed = np.bincount(text_of, minlength=len(held))
+            rest = [held[t][1][i] for i, t in zip((unknown - firsts[text_of]).tolist(), text_of.tolist(), strict=True)]
+            ids[unknown] = np.fromiter(map(symbol.__getitem__, rest), np.int64, len(rest))
+            tails = [Counter(rest[hi - k : hi]) for k, hi in zip(missed.tolist(), np.cumsum(missed).tolist(), strict=True)]
             h = contexts(ids, firsts)
             value = np.concatenate([net.log_probs(h[lo : lo + BATCH], ids[lo : lo + BATCH]) for lo in range(0, len(ids), BATCH)]) / math.log(10)
             rare = ids >= fixed
             value += np.where(rare, logs - share[np.maximum(ids - fixed, 0)], 0.0)
-            missed = np.bincount(text_of, minlength=len(held))
             for (key, words), tail, k, base, total in zip(held, tails, missed.tolist(), np.add.reduceat(logs, firsts).tolist(), np.add.reduceat(value, firsts).tolist(), strict=True):
                 n = len(words)
                 yield row, key, None, n, n - k, base - n * per_token, total

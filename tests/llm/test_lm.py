@@ -42,6 +42,22 @@ def test_tables_without_rows(spark):
     assert lm.score(docs.limit(0), lm.train(docs, classes=4)).count() == 0
 
 
+def test_whole_contexts_are_learnt_from_every_text(spark):
+    """More texts than the sample of 1,500 that was learnt from before, in tasks of their own."""
+    docs = spark.range(1_700).select(F.col("id").alias("doc_id"), F.format_string("a%d b c%d a%d", F.col("id"), F.col("id") % 7, F.col("id") % 50).alias("text")).repartition(5)
+    model = lm.train(docs, share=0.02, classes=4)
+    assert model.learnt == model.vocabulary.n == 5 * 1_700 and np.isfinite(model.flat).all()
+    score, base = lm.score(docs, model).agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > base
+
+
+def test_texts_of_few_batches_are_gone_over_again_and_others_once():
+    known = lm.Vocabulary({}, {lm.END: 0, b"a": 1, b"b": 2}, 2, 60, 3, np.ones(2), np.array([20.0, 20, 20, 0, 0]))
+    rows, start = [(np.array([1, 2, 0], known.kind).tobytes(),)] * 20, lm.LogBilinear(known.often).flat
+    once, twice = (lm.learn(iter(rows), known, start, steps=k) for k in (1, 2))
+    assert once[0] == twice[0] == 60 and not np.array_equal(once[1], twice[1])
+
+
 @pytest.mark.parametrize("m", [1, 2, 7, 30])
 def test_log_probs_are_normalised(m):
     rng = np.random.default_rng(m)
