@@ -10,9 +10,11 @@ union of the two sketches could be that of a pair at the threshold.
 
 A longer list is walked once beside at most LEADERS of its sets, each the first that was near none before: sets about as similar to
 a leader as near copies leave the list as its candidates, sets that could be linked to such a set become its candidates too, and
-what is near no leader stays, as leaders do, to be split by its NEXT retained values, at most DEPTH times (a pair shares most of
-its lists, so it has many ways to meet).  Lists of over ``hot`` rows are dealt in chunks, each with leaders of its own.  What is still long at the last depth becomes a candidate of the list's least set.  So no list is cut,
-no pair of a long list is emitted, and a common word pair is the last by which a set is listed.
+what is near no leader stays, as leaders do.  What stays of a list of at most ``hot`` rows is compared in the task like a short list, so
+it makes no rows of its own.  Lists of over ``hot`` rows are dealt in chunks, each with leaders of its own; what stays of a chunk is split
+by its NEXT retained values, at most DEPTH times (a pair shares most of its lists, so it has many ways to meet).  What is still in chunks
+at the last depth becomes a candidate of the list's least set.  So no list is cut, no pair of a long list is emitted, and a common word
+pair is the last by which a set is listed.
 
 Candidates form classes, and inside a class links are confirmed on whole sets, recomputed from the texts.  Classes of at most
 ``block`` sets are compared pair by pair.  A larger class is compared with its first set, then what is not linked with more and more sets that are (pivots); sets
@@ -41,6 +43,8 @@ from sextant.llm.words import by_rows
 K, LISTED, NEXT, DEPTH = 32, 12, 2, 3
 #: Estimates: a set of NEAR leaves a long list with a leader, one of OPEN becomes a candidate of it.
 NEAR, OPEN, LEADERS = 0.7, 0.25, 16
+#: Values and rows that are compared at once.
+COLUMNS, TILE = 4096, 256
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -95,11 +99,14 @@ def estimates(sketches: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray
     _, column, times = np.unique(every, return_inverse=True, return_counts=True)
     keep = times[column] > 1
     held, column = np.unique(column[keep], return_inverse=True)
-    one = np.zeros((m, len(held)), np.float32)
-    one[row[keep], column] = 1
-    shared = one @ one.T
+    row, shared = row[keep], np.zeros((m, m), np.float32)
+    for lo in range(0, len(held), COLUMNS):
+        part = (column >= lo) & (column < lo + COLUMNS)
+        one = np.zeros((m, min(COLUMNS, len(held) - lo)), np.float32)
+        one[row[part], column[part] - lo] = 1
+        shared += one @ one.T
     ends = np.where(sizes > lengths, np.array([s[-1] for s in sketches], np.int64), np.int64(2) ** 32)
-    upto = np.stack([np.searchsorted(s, np.minimum(e, ends), side="right") for s, e in zip(sketches, ends, strict=True)])
+    upto = np.stack([np.searchsorted(s, np.minimum(e, ends), side="right").astype(np.int32) for s, e in zip(sketches, ends, strict=True)])
     return shared, upto + upto.T - shared
 
 
@@ -137,8 +144,13 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
     def short(rows: list[tuple]) -> Iterator[tuple]:
         sizes = np.array([r[3] for r in rows])
         shared, union = estimates([_sketch(r[4]) for r in rows], sizes)
-        fits = np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
-        a, b = np.nonzero(np.triu(fits & could_be(shared, union, threshold), 1))
+        found = []
+        for lo in range(0, len(rows), TILE):
+            own = sizes[lo : lo + TILE, None]
+            fits = np.minimum(own, sizes) >= threshold * np.maximum(own, sizes) - 1e-6
+            a, b = np.nonzero(np.triu(fits & could_be(shared[lo : lo + TILE], union[lo : lo + TILE], threshold), lo + 1))
+            found.append((a + lo, b))
+        a, b = map(np.concatenate, zip(*found, strict=True))
         for i, r in enumerate(_local_roots(len(rows), a, b) if len(a) else ()):
             if i != r:
                 yield rows[i][2], rows[r][2], *[None] * 6
@@ -154,7 +166,7 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
             if shared >= threshold * union - 4.5 * (threshold * (1 - threshold) * union) ** 0.5:
                 yield b[2], a[2], *[None] * 6
 
-    def long(leaders: list[tuple], rows: list[tuple]) -> Iterator[tuple]:
+    def long(leaders: list[tuple], rows: list[tuple], rest: list[tuple]) -> Iterator[tuple]:
         raws, sizes, near = [r[4] for r in rows], np.array([r[3] for r in rows]), np.zeros(len(rows), bool)
         at, leads = 0, np.zeros(len(rows), bool)
         first, met = np.full(len(rows), -1), []  # a row's first leader; leaders that a row joins
@@ -179,14 +191,21 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
             for i, r in enumerate(_local_roots(len(leaders), *np.array(met).T)):
                 if i != r:
                     yield leaders[i][2], leaders[r][2], *[None] * 6
-        yield from (stays(rows[i]) for i in np.flatnonzero(~near | leads).tolist())
+        left = [rows[i] for i in np.flatnonzero(~near | leads).tolist()]
+        if rows[0][1] is None:
+            rest.extend(left)
+        else:
+            yield from map(stays, left)
 
     def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own, held, over, leaders = None, [], False, []
+        own, held, over, leaders, rest = None, [], False, [], []
 
         def close() -> Iterator[tuple]:
-            if over and held:
-                yield from long(leaders, held)
+            if over:
+                if held:
+                    yield from long(leaders, held, rest)
+                if len(rest) > 1:  # of a whole list of at most ``hot`` rows
+                    yield from short(rest)
             elif len(held) == 2:
                 yield from two(*held)
             elif len(held) > 2:
@@ -195,11 +214,11 @@ def walk_lists(lists: DataFrame, limit: int, threshold: float) -> DataFrame:
         for row in rows:
             if row[:2] != own:
                 yield from close()
-                own, held, over, leaders = row[:2], [], row[1] is not None, []
+                own, held, over, leaders, rest = row[:2], [], row[1] is not None, [], []
             held.append(row)
             if len(held) > (1024 if over else limit):
                 over = True
-                yield from long(leaders, held)
+                yield from long(leaders, held, rest)
                 held = []
         yield from close()
 

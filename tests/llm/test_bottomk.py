@@ -95,6 +95,28 @@ def test_a_large_class_with_members_beyond_the_pivot(spark):
     assert result(spark, rows) == sorted(map(repr, brute(rows)))
 
 
+def test_a_long_list_that_is_no_chunk_makes_no_rows(spark):
+    """600 unlike sets with one value in common and a pair at the threshold: before, all of them went on in lists of their next values."""
+    rng = np.random.default_rng(5)
+    sketches = [np.concatenate([[7], rng.integers(10, 2**32, 31)]).astype("<u4") for _ in range(600)]
+    sketches[411][1:] = np.concatenate([sketches[20][1:30], sketches[411][30:]])
+    rows = [(7, None, i.to_bytes(16, "big"), 32, s.tobytes(), 32, 0) for i, s in enumerate(sketches)]
+    lists = lambda chunk: spark.createDataFrame([(k, chunk, *r) for k, _, *r in rows], "key long, chunk long, set binary, n long, sketch binary, known int, at int")
+    got = bottomk.walk_lists(lists(None), 128, 0.8).collect()
+    assert all(r.a is not None for r in got)
+    assert {int.from_bytes(x, "big") for r in got for x in (r.a, r.b)} == {20, 411}
+    assert sum(r.a is None for r in bottomk.walk_lists(lists(1), 128, 0.8).collect()) == 600  # a chunk's sets meet others in theirs
+
+
+def test_estimates_are_the_same_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, 40)).astype(np.uint32)[: bottomk.K] for _ in range(30)]
+    sizes = np.array([len(s) + 5 for s in sets])
+    whole = bottomk.estimates(sets, sizes)
+    monkeypatch.setattr(bottomk, "COLUMNS", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, bottomk.estimates(sets, sizes), strict=True))
+
+
 def test_empty_table(spark):
     assert bottomk.grouped(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
