@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent words of the corpus are ranged into shards; executors merge each shard's words once and compile them into a
+Texts are cut at white space, and what stands between (a chunk) is cut into words once a batch.  Frequent words of the corpus are ranged into shards; executors merge each shard's words once and compile them into a
 minimal acyclic automaton: words share prefixes and suffixes.  Each state knows how many words end behind it, so summing the
 counts passed over on a walk numbers the words densely, and the number addresses the word's ids (the transducer's output) in
 one flat array.  The tables are 32-bit arrays, sent to the executors, mapped into memory there, and walked for all new words
@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import heapq
+import itertools
 import json
 import mmap
 import operator
@@ -39,6 +40,8 @@ from sextant.core.shared import materialise
 from sextant.llm.words import by_rows
 
 _FIRST, _SECOND = operator.itemgetter(0), operator.itemgetter(1)
+#: str.split() cuts at these too, though they are no white space to Unicode.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -69,22 +72,31 @@ class WordBpe:
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def words(self, text: str) -> list[str]:
-        """Normalised words of a stretch of text without special tokens."""
+    def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # letters are lowered one by one, so there is no final form
                 text = text.replace("Σ", "σ")
-        return _PIECES.findall(text.lower())
+        return text.lower()
+
+    def words(self, text: str) -> list[str]:
+        """Normalised words of a stretch of text without special tokens."""
+        return _PIECES.findall(self.normal(text))
+
+    def chunks(self, text: str) -> list[str] | None:
+        """Normalised stretches between white space, whose words are the text's; None if special tokens or separators may be in it."""
+        if self.special and "<" in text and self.cut.search(text) or any(c in text for c in _SEPARATORS):
+            return None
+        return self.normal(text).split()
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the leftmost pair of lowest rank is merged until none is left."""
-        parts: list[str | None] = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+        parts: list[str | None] = list(word) if word.isascii() and word.isalnum() else [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.end
         if len(parts) > 40:
             return [self.ids[p] for p in self._merge_long(parts)]
         rank, never = self.rank.get, len(self.rank)
-        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        ranks = list(map(rank, zip(parts, parts[1:]), itertools.repeat(never)))
         while ranks and (best := min(ranks)) < never:
             at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
@@ -267,13 +279,32 @@ def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         bpe = WordBpe(path)
-        held: Counter = Counter()
+        held: Counter = Counter()  # of chunks
+        other: Counter = Counter()  # of words and special tokens
+
+        def out() -> Iterator[tuple]:
+            words: Counter = Counter()
+            for chunk, n in held.items():
+                if chunk.isalpha():
+                    words[chunk] += n
+                else:
+                    for word in _PIECES.findall(chunk):
+                        words[word] += n
+            for word, n in other.items():
+                if not isinstance(word, int):
+                    words[word] += n
+            held.clear()
+            other.clear()
+            return iter(list(words.items()))
+
         for (text,) in rows:
-            held.update(bpe.pieces(text or ""))
-            if len(held) > 300_000:
-                yield from [(w, n) for w, n in held.items() if not isinstance(w, int)]
-                held.clear()
-        yield from [(w, n) for w, n in held.items() if not isinstance(w, int)]
+            if (own := bpe.chunks(text or "")) is None:
+                other.update(bpe.pieces(text))
+            else:
+                held.update(own)
+            if len(held) + len(other) > 300_000:
+                yield from out()
+        yield from out()
 
     return by_rows(docs.select(text_col), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -332,13 +363,19 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of ids, ids joined by spaces, decoded text."""
-        split = [self.bpe.pieces(t or "") for t in texts]
-        self.needed = set().union(*split)
+        split = [c if (c := self.bpe.chunks(t or "")) is not None else self.bpe.pieces(t) for t in texts]
+        met = set().union(*split)
+        cut = {c: _PIECES.findall(c) for c in met if not isinstance(c, int) and not c.isalpha()}  # letters alone are one word
+        self.needed = met.difference(cut).union(*cut.values())
         if len(self.needed) > self.remembered:  # texts of more different words than are ever remembered
             self.young, self.old = {}, {}
             self.remembered = 2 * len(self.needed)
         self.learn(self.needed - self.young.keys())
-        get = self.young.__getitem__
+        known = self.young
+        here = {c: known[c] for c in met if c not in cut}
+        for c, own in cut.items():
+            here[c] = known[own[0]] if len(own) == 1 else (" ".join([known[w][0] for w in own]), " ".join([known[w][1] for w in own]))
+        get = here.__getitem__
         for pieces in split:
             got = list(map(get, pieces))
             ids = " ".join(map(_FIRST, got))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import regex
 
 from sextant.llm import bpe
 from sextant.llm.queries import tokenizer_file
@@ -39,6 +40,30 @@ def test_shards_of_any_size_give_the_library_ids(spark, library):
     assert bpe.encode(none, path, bpe.lexicon(none, path)).count() == 0
 
 
+def test_words_are_cut_once_a_chunk(library, monkeypatch):
+    """Chunks between white space, whatever stands in them, give the library's ids, and a chunk met again isn't cut again."""
+    path, cut = tokenizer_file("word_bpe_49k.json"), []
+    encoder = bpe.Encoder(path, [], remembered=500)
+
+    class Counted:
+        @staticmethod
+        def findall(text, own=bpe._PIECES):
+            cut.append(text)
+            return own.findall(text)
+
+    monkeypatch.setattr(bpe, "_PIECES", Counted)
+    rng = random.Random(3)
+    texts = ["don't they'll x2y\u00b2 na\u0308ive \u1e9e\u0130x don't"] * 3 + ["".join(rng.choice(ALPHABET) for _ in range(40)) for _ in range(400)] + ["a\x1fb c\x1d d", "a < b <c> <|endoftext|>don't", "\u2000\u3000\x85x\u180ey\u200bz"]
+    assert list(encoder.encode(texts[:3])) == [wanted(library, t) for t in texts[:3]]
+    assert len(cut) == len(set(cut)) == 4  # alphabetic chunks aren't cut at all
+    assert list(encoder.encode(texts)) == [wanted(library, t) for t in texts]
+
+
+def test_split_and_pieces_know_the_same_white_space():
+    differ = {c for c in map(chr, range(0x110000)) if c.isspace() != bool(regex.match(r"\p{White_Space}", c))}
+    assert differ == set("\x1c\x1d\x1e\x1f") and all(regex.match(r"\p{L}", c) for c in map(chr, range(0x110000)) if c.isalpha())
+
+
 def test_least_count_takes_no_more_than_the_size(spark):
     counts = spark.createDataFrame([("a", 9000), ("b", 8200), ("c", 5), ("d", 5), ("e", 1)], "word string, n long")
     for size, want in ((5, 1), (4, 2), (3, 6), (2, 6), (1, 16384), (0, 16384)):
