@@ -19,11 +19,14 @@ columns beside id and text are ignored, whatever their names; a block whose chec
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ BLOCK = 1 << 18
 LANES = 512
 #: Blocks that are coded together.
 TOGETHER = 8
+#: Characters of the texts that are cut together.
+CHARS = 1 << 22
 IDS = 1 << 16
 SURE, LEVELS = 8, 4
 CELLS = SURE * SURE * 2 * LEVELS
@@ -198,7 +203,8 @@ class _Reader:
         self.range = np.full(len(firsts), WINDOW, np.uint64)
 
     def place(self, unit: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return np.minimum(off // unit, np.uint64(IDS - 1)).astype(np.uint32)
+        # doubles hold both exactly, and a quotient below 2**17 of a divisor below 2**32 is never rounded up to a whole number
+        return np.minimum(off.astype(np.float64) / unit.astype(np.float64), IDS - 1).astype(np.uint32)
 
     def take(self, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         off, size = self.off - start * unit, size * unit
@@ -329,8 +335,9 @@ class Tokens:
     """Ids of texts by the tokenizers library.
 
     No pre-token of the byte-level files spans a single space, or holds a single newline and more, between two other
-    characters, so what such spaces and newlines separate is encoded once and remembered; texts with other runs of white
-    space go to the library whole.
+    characters, so what such spaces and newlines separate (a part) is encoded once and remembered; texts with other runs of
+    white space go to the library whole.  Arrow cuts a batch of texts and numbers its different parts, numpy puts the ids
+    together.  When ``remembered`` parts are known, the half of them that was met most often stays.
     """
 
     def __init__(self, path: str, remembered: int = 400_000):
@@ -346,51 +353,99 @@ class Tokens:
         for before, letter in ((" ", "\u0120"), ("\n", "\u010a")):
             self.opens[before] = np.zeros(max(names.values(), default=0) + 1, bool)
             self.opens[before][[i for t, i in names.items() if t.startswith(letter)]] = True
-        self.forget()
+        self.place: dict[str, int] = {}  # parts, those that open a text behind a space, by their places in the arrays
+        self.flat = np.zeros(0, "<u4")
+        self.begin, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.bound = np.zeros(0, bool)  # the part's white space may belong to a pre-token
 
     def forget(self) -> None:
-        self.first: dict[str, bytes] = {}  # texts' first parts
-        self.later: dict[str, bytes] = {}  # others: behind a space, or with the newline they begin with
-        self.bound: set[str] = set()  # parts whose white space may belong to a pre-token
-
-    def learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        """``before`` stands before every part: a space, a newline (the parts' own), or nothing."""
-        own = before == "\n"
-        bound = {p for p in parts if not (q := p[own:]) or q[0].isspace() or q[-1].isspace()}
-        self.bound |= bound
-        known.update(dict.fromkeys(bound, b""))
-        fresh = list(parts - bound)
-        if not fresh:
-            return
-        if before:  # all at once: the first token of every part opens with what stands before it
-            (got,) = self.library.encode_batch_fast(["".join(fresh) if own else before + before.join(fresh)], add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
+        stay = np.sort(np.argsort(-self.met, kind="stable")[: self.remembered // 2])
+        parts = list(self.place)
+        self.place = {parts[i]: at for at, i in enumerate(stay.tolist())}
+        self.flat = self.flat[_spread(self.begin[stay], self.size[stay])]
+        self.size, self.bound, self.met = self.size[stay], self.bound[stay], self.met[stay] >> 1
+        self.begin = np.cumsum(self.size) - self.size
+
+    def encoded(self, parts: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after another, and how many each has.  ``before`` stands before every part: a space, a newline
+        (the parts' own), or nothing."""
+        lead = " " if before == " " else ""
+        if before:  # many at once: the first token of every part opens with what stands before it
+            joined = [lead + lead.join(parts[i : i + 128]) for i in range(0, len(parts), 128)]
+            ids = np.concatenate([np.array(got.ids, "<u4") for got in self.library.encode_batch_fast(joined, add_special_tokens=False)])
             starts = np.flatnonzero(self.opens[before][ids])
-            if len(starts) == len(fresh) and starts[0] == 0:
-                raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                known.update((p, raw[i:j]) for p, i, j in zip(fresh, at, at[1:], strict=False))
-                return
-        for part, got in zip(fresh, self.library.encode_batch_fast([part if own else before + part for part in fresh], add_special_tokens=False), strict=True):
-            known[part] = np.array(got.ids, "<u4").tobytes()
+            if len(starts) == len(parts) and starts[0] == 0:
+                return ids, np.diff(starts, append=len(ids))
+        own = [np.array(got.ids, "<u4") for got in self.library.encode_batch_fast([lead + p for p in parts], add_special_tokens=False)]
+        return np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
+
+    def learn(self, keys: list[str]) -> None:
+        """Takes in new parts; first those whose white space binds them, then those behind a space, lines, and first parts."""
+        kinds: tuple[list[str], ...] = ([], [], [], [])
+        for key in keys:
+            bare = key[1:] if key[:1] in (" ", "\n") else key
+            bound = not bare or bare[0].isspace() or bare[-1].isspace()
+            kinds[0 if bound else 3 if key[0] == " " else 2 if key[0] == "\n" else 1].append(key)
+        for kind, own in enumerate(kinds):
+            if own:
+                ids, sizes = (np.zeros(0, "<u4"), np.zeros(len(own), np.int64)) if not kind else self.encoded([k[1:] for k in own] if kind == 3 else own, ("", " ", "\n", "")[kind])
+                self.place.update(zip(own, range(len(self.place), len(self.place) + len(own)), strict=True))
+                self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+                self.flat = np.concatenate([self.flat, ids])
+                self.size = np.concatenate([self.size, sizes])
+                self.bound = np.concatenate([self.bound, np.full(len(own), not kind)])
+                self.met = np.concatenate([self.met, np.zeros(len(own), np.int64)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        every = set().union(*(parts[1:] for parts in cut))
-        if len(self.later) + len(every) > self.remembered:
+        if not texts:
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        starts = np.cumsum(sizes := pc.list_value_length(cut).to_numpy()) - sizes
+        part = coded.indices.to_numpy().copy()
+        part[starts] = np.arange(len(keys), len(keys) + len(texts))
+        keys += [" " + keys[i] for i in coded.indices.to_numpy()[starts].tolist()]
+        times = np.bincount(part, minlength=len(keys))
+
+        def look() -> np.ndarray:
+            return np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+
+        at = look()
+        fresh = np.flatnonzero((at < 0) & (times > 0))
+        if len(self.place) + len(fresh) > self.remembered < self.remembered // 2 + len(self.place):
             self.forget()
-        fresh = every - self.later.keys()
-        lines = {p for p in fresh if p.startswith("\n")}
-        self.learn(self.later, fresh - lines, " ")
-        self.learn(self.later, lines, "\n")
-        self.learn(self.first, {parts[0] for parts in cut} - self.first.keys(), "")
-        return [self.joined(text, parts) for text, parts in zip(texts, cut, strict=True)]
+            at = look()
+            fresh = np.flatnonzero((at < 0) & (times > 0))
+        if len(fresh):
+            new = [keys[i] for i in fresh.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            at[fresh] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        self.met[at[times > 0]] += times[times > 0]  # keys differ, and so do their places
+        at = at[part]
+        size = self.size[at]
+        ids = self.flat[_spread(self.begin[at], size)]
+        ends = np.cumsum(size)[starts + sizes - 1]
+        bound = np.logical_or.reduceat(self.bound[at], starts)
+        whole = {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(bound).tolist()}
+        return [whole[i] if i in whole else own for i, own in enumerate(np.split(ids, ends[:-1]))]
 
-    def joined(self, text: str, parts: list[str]) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if not self.bound.isdisjoint(parts):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:])), "<u4")
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches that begin there and are so long, one stretch after another."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_kept: dict[str, Tokens] = {}
+
+
+def _tokens(path: str) -> Tokens:
+    """One a worker process; the next task finds it with its parts."""
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = Tokens(path)
+    return _kept[path]
 
 
 def write(docs: DataFrame, tokenizer_path: str, to: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
@@ -401,7 +456,7 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, id_col: str = "doc_id",
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         from pyspark import TaskContext
 
-        part, tokens = TaskContext.get().partitionId(), Tokens(tokenizer_path)
+        part, tokens = TaskContext.get().partitionId(), _tokens(tokenizer_path)
         blocks: list[list] = []
         open_ids: list[np.ndarray] = []
         listed: list[tuple] = []
@@ -421,12 +476,13 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, id_col: str = "doc_id",
             open_ids, listed, size = [], [], 0
 
         def texts() -> Iterator[tuple]:
-            held = []
+            held, chars = [], 0
             for key, text, _ in rows:
                 held.append((key, text or ""))
-                if len(held) == 32:
+                chars += len(held[-1][1])
+                if chars >= CHARS or len(held) == 4096:
                     yield from zip([k for k, _ in held], tokens([t for _, t in held]), strict=True)
-                    held = []
+                    held, chars = [], 0
             yield from zip([k for k, _ in held], tokens([t for _, t in held]), strict=True)
 
         for key, ids in texts():

@@ -69,3 +69,27 @@ def test_a_block_with_another_checksum_raises(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "good")).withColumn("crc", F.col("crc") + 1).write.parquet(str(tmp_path / "bad"))
     with pytest.raises(Exception, match="checksum differs"):
         coder.read(spark, str(tmp_path / "bad")).collect()
+
+
+def test_parts_met_often_outlast_a_full_memory():
+    """What many batches hold goes to the library once, however many other parts come by."""
+    tokens, sent = coder.Tokens(tokenizer_file("byte_bpe_50k.json"), remembered=60), []
+
+    class Library:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return self.own.encode_batch_fast(texts, **how)
+
+    plain, tokens.library = tokens.library, Library(tokens.library)
+    for i in range(40):
+        texts = [f"so often met here w{i}a w{i}b\nline w{i}c often" for _ in range(3)] + ["", f"  two{i}", f"w{i}a"]
+        got = [ids.tolist() for ids in tokens(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert " ".join(sent).split().count("often") == " ".join(sent).split().count("line") == 1
+    assert len(tokens.place) <= 60
