@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Texts are cut at white space, and what stands between (a chunk) is cut into words once a batch.  Frequent words of the corpus are ranged into shards; executors merge each shard's words once and compile them into a
+Texts are cut at white space, and what stands between (a chunk) is cut into words once and remembered.  Frequent words of the corpus are ranged into shards; executors merge each shard's words once and compile them into a
 minimal acyclic automaton: words share prefixes and suffixes.  Each state knows how many words end behind it, so summing the
 counts passed over on a walk numbers the words densely, and the number addresses the word's ids (the transducer's output) in
 one flat array.  The tables are 32-bit arrays, sent to the executors, mapped into memory there, and walked for all new words
-of a batch at once.  Words that are in none are merged exactly, by merge rank.
+of a batch at once.  Words that are in none are merged exactly, by merge rank, all of one length together.
 
 The model file is one of the public JSON vocabularies with word ends; its path is a parameter.
 
@@ -22,7 +22,6 @@ import heapq
 import itertools
 import json
 import mmap
-import operator
 import os
 import struct
 import tempfile
@@ -32,16 +31,21 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.core.shared import materialise
-from sextant.llm.words import by_rows
+from sextant.llm.words import Memory, by_rows, numbered, spread
 
-_FIRST, _SECOND = operator.itemgetter(0), operator.itemgetter(1)
 #: str.split() cuts at these too, though they are no white space to Unicode.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Opens what stands for a special token; no chunk or word has white space.
+MARK = "\n"
+#: Characters of the texts that are cut together.
+CHARS = 1 << 22
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -71,6 +75,13 @@ class WordBpe:
         self.letters = byte_letters()
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.size = max(self.names, default=0) + 1
+        self.byte_ids = np.array([[self.ids.get(c + e, self.size) for c in self.letters] for e in ("", self.end)], np.int64)
+        known = sorted((self.ids[a] * self.size + self.ids[b], r, self.ids[a + b]) for (a, b), r in self.rank.items())
+        self.pair_keys = np.array([k for k, _, _ in known] + [np.iinfo(np.int64).max], np.int64)
+        self.pair_ranks = np.array([r for _, r, _ in known] + [len(pairs)], np.int32)
+        self.merged = np.zeros(len(pairs) + 1, np.int64)
+        self.merged[self.pair_ranks[:-1]] = [i for _, _, i in known]
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -83,11 +94,12 @@ class WordBpe:
         """Normalised words of a stretch of text without special tokens."""
         return _PIECES.findall(self.normal(text))
 
-    def chunks(self, text: str) -> list[str] | None:
-        """Normalised stretches between white space, whose words are the text's; None if special tokens or separators may be in it."""
+    def spaced(self, text: str) -> str:
+        """Normalised chunks, whose words are the text's, with one space between them.  A text that may hold special tokens or
+        separators is cut into words, and a special token is its id behind a MARK."""
         if self.special and "<" in text and self.cut.search(text) or any(c in text for c in _SEPARATORS):
-            return None
-        return self.normal(text).split()
+            return " ".join([f"{MARK}{p}" if isinstance(p, int) else p for p in self.pieces(text)])
+        return " ".join(self.normal(text).split())
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the leftmost pair of lowest rank is merged until none is left."""
@@ -107,6 +119,55 @@ class WordBpe:
                 ranks[at] = rank((parts[at], parts[at + 1]), never)
         return [self.ids[p] for p in parts]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of ids, the number of merges where there is none."""
+        key = left * self.size + right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.pair_ranks[-1])
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has.  Words of one length in bytes are the rows of a matrix
+        and take each merge together; long ones, and those of bytes that the file doesn't name, go one by one."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        sizes, found = np.zeros(len(raw), np.int64), []
+        for n in np.unique(length).tolist():
+            rows = np.flatnonzero(length == n)
+            if n:
+                parts = np.frombuffer(b"".join([raw[i] for i in rows.tolist()]), np.uint8).reshape(-1, n)
+                parts = np.concatenate([self.byte_ids[0][parts[:, :-1]], self.byte_ids[1][parts[:, -1:]]], 1)
+                alone = np.full(len(rows), n > 40) | (parts == self.size).any(1)
+                for i in rows[alone].tolist():
+                    own = np.array(self.merge(words[i]), np.int64)
+                    found.append((np.array([i]), own[None]))
+                rows, parts = rows[~alone], parts[~alone]
+                ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+                while len(rows):
+                    done, every = np.ones(len(rows), bool), np.arange(len(rows))
+                    if ranks.shape[1]:
+                        best = ranks.argmin(1)  # the leftmost of the lowest
+                        least = ranks[every, best]
+                        done = least == self.pair_ranks[-1]
+                    if done.any():
+                        found.append((rows[done], parts[done]))
+                        if done.all():
+                            break
+                        go = ~done
+                        rows, parts, ranks, best, least = rows[go], parts[go], ranks[go], best[go], least[go]
+                        every = np.arange(len(rows))
+                    here = np.arange(ranks.shape[1]) <= best[:, None]
+                    parts = np.where(here, parts[:, :-1], parts[:, 1:])
+                    parts[every, best] = self.merged[least]
+                    ranks = np.where(here[:, :-1], ranks[:, :-1], ranks[:, 1:])
+                    for k, at in ((np.flatnonzero(best > 0), best - 1), (np.flatnonzero(best < ranks.shape[1]), best)):
+                        ranks[k, at[k]] = self._ranks(parts[k, at[k]], parts[k, at[k] + 1])
+        for rows, parts in found:
+            sizes[rows] = parts.shape[1]
+        begin, flat = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.int64)
+        for rows, parts in found:
+            flat[begin[rows][:, None] + np.arange(parts.shape[1])] = parts
+        return flat, sizes
+
     def _merge_long(self, parts: list) -> list[str]:
         n, rank = len(parts), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -259,51 +320,57 @@ class Mapped:
                 self.shards.append(Lexicon(whole, at))
                 at += len(blob)
 
-    def find(self, words: list[str]) -> Iterator[tuple[str, list[int] | None]]:
-        """Each word with its ids, None where no automaton holds it."""
-        own: list[list[tuple[bytes, str]]] = [[] for _ in self.shards]
-        for word in words:
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words some automaton holds (their positions), their ids one after another, and how many each has."""
+        own: list[list[tuple[bytes, int]]] = [[] for _ in self.shards]
+        for i, word in enumerate(words):
             raw = word.encode("utf-8", "surrogatepass")
-            at = bisect.bisect_right(self.lows, raw) - 1
-            if at < 0:
-                yield word, None
-            else:
-                own[at].append((raw, word))
+            if (at := bisect.bisect_right(self.lows, raw) - 1) >= 0:
+                own[at].append((raw, i))
+        at, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for shard, part in zip(self.shards, own, strict=True):
-            for (_, word), number in zip(part, shard.find([raw for raw, _ in part]).tolist(), strict=True):
-                yield word, shard.ids(number) if number >= 0 else None
+            number = shard.find([raw for raw, _ in part])
+            held = number[number >= 0]
+            begin, size = shard.offsets[held].astype(np.int64), np.diff(shard.offsets).astype(np.int64)[held]
+            at.append(np.array([i for _, i in part], np.int64)[number >= 0])
+            ids.append(shard.flat[spread(begin, size)])
+            sizes.append(size)
+        return np.concatenate(at), np.concatenate(ids), np.concatenate(sizes)
 
 
 def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """word, n over all texts; tasks add up their own words before the shuffle, in tables of bounded size."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        bpe = WordBpe(path)
-        held: Counter = Counter()  # of chunks
-        other: Counter = Counter()  # of words and special tokens
+        bpe, held = WordBpe(path), Counter()
 
         def out() -> Iterator[tuple]:
             words: Counter = Counter()
             for chunk, n in held.items():
                 if chunk.isalpha():
                     words[chunk] += n
-                else:
+                elif not chunk.startswith(MARK):
                     for word in _PIECES.findall(chunk):
                         words[word] += n
-            for word, n in other.items():
-                if not isinstance(word, int):
-                    words[word] += n
             held.clear()
-            other.clear()
             return iter(list(words.items()))
 
+        def count(texts: list[str]) -> None:
+            chunks, number, _ = numbered(texts)
+            for chunk, n in zip(chunks, np.bincount(number, minlength=len(chunks)).tolist(), strict=True):
+                held[chunk] += n
+
+        texts, chars = [], 0
         for (text,) in rows:
-            if (own := bpe.chunks(text or "")) is None:
-                other.update(bpe.pieces(text))
-            else:
-                held.update(own)
-            if len(held) + len(other) > 300_000:
-                yield from out()
+            texts.append(bpe.spaced(text or ""))
+            chars += len(texts[-1])
+            if chars >= CHARS:
+                count(texts)
+                texts, chars = [], 0
+                if len(held) > 300_000:
+                    yield from out()
+        if texts:
+            count(texts)
         yield from out()
 
     return by_rows(docs.select(text_col), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -340,46 +407,46 @@ def lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = 200_
 
 
 class Encoder:
-    """Encodes texts through the lexicon.  What words encode to is remembered in two generations of bounded size: when the
-    young one is full it becomes the old one, and words met again come back from there."""
-
-    def __init__(self, path: str, shards: Shards, remembered: int = 250_000):
-        self.bpe, self.lexicon, self.remembered = WordBpe(path), Mapped(shards), remembered
-        self.young: dict[str | int, tuple[str, str]] = {}  # ids as text, tokens as text
-        self.old: dict[str | int, tuple[str, str]] = {}
-
-    def learn(self, words: set[str | int]) -> None:
-        again = words & self.old.keys()
-        if len(self.young) + len(words) > self.remembered:
-            self.old, self.young = self.young | {w: self.old[w] for w in again}, {}
-            return self.learn(words | self.needed)
-        self.young.update((w, self.old[w]) for w in again)
-        words -= again
+    """Encodes texts through the lexicon.  Arrow cuts a batch of texts and numbers its different chunks; what chunks and words
+    encode to is remembered, of up to ``remembered`` ones, and ids and tokens of the texts are put together by numpy and Arrow."""
+
+    def __init__(self, path: str, shards: Shards, remembered: int = 400_000):
+        self.bpe, self.lexicon, self.memory = WordBpe(path), Mapped(shards), Memory(remembered)
         names = self.bpe.names
-        self.young.update((w, (str(w), names[w])) for w in words if isinstance(w, int))
-        for word, ids in self.lexicon.find([w for w in words if not isinstance(w, int)]):
-            got = ids if ids is not None else self.bpe.merge(word)
-            self.young[word] = " ".join(map(str, got)), " ".join([names[i] for i in got])
+        self.decimals = pa.array(list(map(str, range(self.bpe.size))), pa.large_string())
+        self.tokens = pa.array([names.get(i, "") for i in range(self.bpe.size)], pa.large_string())
+
+    def learn(self, chunks: list[str]) -> None:
+        cut = {c: _PIECES.findall(c) for c in chunks if not c.startswith(MARK) and not c.isalpha()}  # letters alone are one word
+        special = [c for c in chunks if c.startswith(MARK)]
+        self.memory.add(special, np.array([int(c[1:]) for c in special], np.int64), np.ones(len(special), np.int64))
+        words = dict.fromkeys(c for c in chunks if c not in cut and not c.startswith(MARK))
+        words.update(dict.fromkeys(w for own in cut.values() for w in own))
+        new = [w for w in words if w not in self.memory.place]
+        at, ids, sizes = self.lexicon.find(new)
+        self.memory.add([new[i] for i in at.tolist()], ids, sizes)
+        rest = np.ones(len(new), bool)
+        rest[at] = False
+        new = [new[i] for i in np.flatnonzero(rest).tolist()]
+        self.memory.add(new, *self.bpe.merge_all(new))
+        more = [c for c in cut if c not in self.memory.place]  # what is one word is known by now
+        at = self.memory.places([w for c in more for w in cut[c]])
+        ends = np.concatenate([[0], np.cumsum(self.memory.size[at])])
+        upto = np.concatenate([[0], np.cumsum(np.fromiter((len(cut[c]) for c in more), np.int64, len(more)))])
+        self.memory.add(more, self.memory.ids(at), np.diff(ends[upto]))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of ids, ids joined by spaces, decoded text."""
-        split = [c if (c := self.bpe.chunks(t or "")) is not None else self.bpe.pieces(t) for t in texts]
-        met = set().union(*split)
-        cut = {c: _PIECES.findall(c) for c in met if not isinstance(c, int) and not c.isalpha()}  # letters alone are one word
-        self.needed = met.difference(cut).union(*cut.values())
-        if len(self.needed) > self.remembered:  # texts of more different words than are ever remembered
-            self.young, self.old = {}, {}
-            self.remembered = 2 * len(self.needed)
-        self.learn(self.needed - self.young.keys())
-        known = self.young
-        here = {c: known[c] for c in met if c not in cut}
-        for c, own in cut.items():
-            here[c] = known[own[0]] if len(own) == 1 else (" ".join([known[w][0] for w in own]), " ".join([known[w][1] for w in own]))
-        get = here.__getitem__
-        for pieces in split:
-            got = list(map(get, pieces))
-            ids = " ".join(map(_FIRST, got))
-            yield ids.count(" ") + 1 if got else 0, ids, " ".join(map(_SECOND, got))
+        if not texts:
+            return
+        chunks, number, sizes = numbered([self.bpe.spaced(t or "") for t in texts])
+        at = self.memory.meet(chunks, np.bincount(number, minlength=len(chunks)), self.learn)[number]
+        ends = np.concatenate([[0], np.cumsum(self.memory.size[at])])
+        ends = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        ids, bounds = pa.array(self.memory.ids(at)), pa.array(ends, pa.int32())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(bounds, kind.take(ids)), pa.scalar(" ", pa.large_string())) for kind in (self.decimals, self.tokens)]
+        for n, own, text in zip(np.diff(ends).tolist(), *joined, strict=True):
+            yield n, own.as_py(), text.as_py()
 
 
 _kept: dict[tuple[str, bytes], Encoder] = {}
@@ -394,7 +461,7 @@ def _encoder(path: str, shards: Shards) -> Encoder:
     return _kept[key]
 
 
-def encode(docs: DataFrame, path: str, shards: Shards, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, group: int = 48) -> DataFrame:
+def encode(docs: DataFrame, path: str, shards: Shards, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """id, n_tokens, and ids (decimal, joined by spaces) with the decoded text, or with ``digest`` their SHA-256."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(shards)
@@ -407,12 +474,13 @@ def encode(docs: DataFrame, path: str, shards: Shards, id_col: str = "doc_id", t
             for (key, _), (n, ids, text) in zip(held, encoder.encode([t for _, t in held]), strict=True):
                 yield (key, n, sha(ids), sha(text)) if digest else (key, n, ids, text)
 
-        held = []
+        held, chars = [], 0
         for row in rows:
             held.append(row)
-            if len(held) == group:
+            chars += len(row[1] or "")
+            if chars >= CHARS or len(held) == 4096:
                 yield from out(held)
-                held = []
+                held, chars = [], 0
         yield from out(held)
 
     names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")

@@ -19,19 +19,16 @@ columns beside id and text are ignored, whatever their names; a block whose chec
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.core.shared import new_path
-from sextant.llm.words import by_rows
+from sextant.llm.words import Memory, by_rows, numbered
 
 BLOCK = 1 << 18
 LANES = 512
@@ -347,24 +344,12 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.remembered = remembered
         names = self.library.get_vocab()
         self.opens = {}  # before a part: which ids open with it, by the letters that stand for a space and a newline
         for before, letter in ((" ", "\u0120"), ("\n", "\u010a")):
             self.opens[before] = np.zeros(max(names.values(), default=0) + 1, bool)
             self.opens[before][[i for t, i in names.items() if t.startswith(letter)]] = True
-        self.place: dict[str, int] = {}  # parts, those that open a text behind a space, by their places in the arrays
-        self.flat = np.zeros(0, "<u4")
-        self.begin, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
-        self.bound = np.zeros(0, bool)  # the part's white space may belong to a pre-token
-
-    def forget(self) -> None:
-        stay = np.sort(np.argsort(-self.met, kind="stable")[: self.remembered // 2])
-        parts = list(self.place)
-        self.place = {parts[i]: at for at, i in enumerate(stay.tolist())}
-        self.flat = self.flat[_spread(self.begin[stay], self.size[stay])]
-        self.size, self.bound, self.met = self.size[stay], self.bound[stay], self.met[stay] >> 1
-        self.begin = np.cumsum(self.size) - self.size
+        self.memory = Memory(remembered)  # parts, those that open a text behind a space; no ids: white space may bind the part
 
     def encoded(self, parts: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts, one after another, and how many each has.  ``before`` stands before every part: a space, a newline
@@ -389,54 +374,27 @@ class Tokens:
         for kind, own in enumerate(kinds):
             if own:
                 ids, sizes = (np.zeros(0, "<u4"), np.zeros(len(own), np.int64)) if not kind else self.encoded([k[1:] for k in own] if kind == 3 else own, ("", " ", "\n", "")[kind])
-                self.place.update(zip(own, range(len(self.place), len(self.place) + len(own)), strict=True))
-                self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-                self.flat = np.concatenate([self.flat, ids])
-                self.size = np.concatenate([self.size, sizes])
-                self.bound = np.concatenate([self.bound, np.full(len(own), not kind)])
-                self.met = np.concatenate([self.met, np.zeros(len(own), np.int64)])
+                self.memory.add(own, ids, sizes)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
-        coded = cut.flatten().dictionary_encode()
-        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        starts = np.cumsum(sizes := pc.list_value_length(cut).to_numpy()) - sizes
-        part = coded.indices.to_numpy().copy()
-        part[starts] = np.arange(len(keys), len(keys) + len(texts))
-        keys += [" " + keys[i] for i in coded.indices.to_numpy()[starts].tolist()]
-        times = np.bincount(part, minlength=len(keys))
-
-        def look() -> np.ndarray:
-            return np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-
-        at = look()
-        fresh = np.flatnonzero((at < 0) & (times > 0))
-        if len(self.place) + len(fresh) > self.remembered < self.remembered // 2 + len(self.place):
-            self.forget()
-            at = look()
-            fresh = np.flatnonzero((at < 0) & (times > 0))
-        if len(fresh):
-            new = [keys[i] for i in fresh.tolist()]
-            self.learn(list(dict.fromkeys(new)))
-            at[fresh] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
-        self.met[at[times > 0]] += times[times > 0]  # keys differ, and so do their places
-        at = at[part]
-        size = self.size[at]
-        ids = self.flat[_spread(self.begin[at], size)]
+        keys, part, sizes = numbered([t.replace("\n", " \n") for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        opening = dict.fromkeys(" " + keys[i] for i in part[starts].tolist())
+        at_opening = {key: len(keys) + i for i, key in enumerate(opening)}
+        part = part.copy()
+        part[starts] = [at_opening[" " + keys[i]] for i in part[starts].tolist()]
+        keys += opening
+        at = self.memory.meet(keys, np.bincount(part, minlength=len(keys)), self.learn)[part]
+        size = self.memory.size[at]
+        ids = self.memory.ids(at)
         ends = np.cumsum(size)[starts + sizes - 1]
-        bound = np.logical_or.reduceat(self.bound[at], starts)
+        bound = np.logical_or.reduceat(size == 0, starts)
         whole = {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(bound).tolist()}
         return [whole[i] if i in whole else own for i, own in enumerate(np.split(ids, ends[:-1]))]
 
 
-def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places of stretches that begin there and are so long, one stretch after another."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 _kept: dict[str, Tokens] = {}
 
 

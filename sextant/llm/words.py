@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +83,63 @@ def least_hashed(df: DataFrame, by: list[str], n: int) -> DataFrame:
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What single spaces separate in the texts: the different parts, the number of each in order, and how many a text has."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = cut.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), pc.list_value_length(cut).to_numpy().astype(np.int64)
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches that begin there and are so long, one stretch after another."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Memory:
+    """The ids of words, in flat arrays.  When more than ``most`` words are known, the half that was met most often stays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.place: dict[str, int] = {}
+        self.flat = np.zeros(0, "<u4")
+        self.begin, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New words, their ids one after another, and how many each has."""
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, ids.astype("<u4")])
+        self.size = np.concatenate([self.size, sizes])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
+
+    def forget(self) -> None:
+        stay = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
+        words = list(self.place)
+        self.place = {words[i]: at for at, i in enumerate(stay.tolist())}
+        self.flat = self.flat[spread(self.begin[stay], self.size[stay])]
+        self.size, self.met = self.size[stay], self.met[stay] >> 1
+        self.begin = np.cumsum(self.size) - self.size
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def meet(self, words: list[str], times: np.ndarray, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """The places of different words that were met so often (not at all: -1 if unknown); ``learn`` adds those not known."""
+        at = self.places(words)
+        fresh = np.flatnonzero((at < 0) & (times > 0))
+        if len(self.place) + len(fresh) > self.most < self.most // 2 + len(self.place):
+            self.forget()
+            at = self.places(words)
+            fresh = np.flatnonzero((at < 0) & (times > 0))
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            learn(new)
+            at[fresh] = self.places(new)
+        self.met[at[times > 0]] += times[times > 0]  # words differ, and so do their places
+        return at
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.flat[spread(self.begin[at], self.size[at])]

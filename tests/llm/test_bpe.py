@@ -78,3 +78,24 @@ def test_an_automaton_shares_suffixes_and_numbers_words():
     assert one.find([b"walk", b"", b"talkings", b"zzz"]).tolist() == [-1] * 4
     assert [one.ids(i) for i in range(6)] == [[i, i + 1] for i in range(6)]
     assert len(one.finals) < sum(map(len, words)) // 2
+
+
+def test_words_of_one_length_are_merged_together(library, monkeypatch):
+    """No word of up to 40 bytes is merged by itself, and all have the ids of one merge after another."""
+    path, rng, alone = tokenizer_file("word_bpe_49k.json"), random.Random(5), []
+    encoder, merge = bpe.Encoder(path, [], remembered=300), bpe.WordBpe.merge
+    words = ["".join(rng.choice("thenationsé'12ß́") for _ in range(rng.randint(1, 14))).lower() for _ in range(3000)] + ["aaaaaaa", "é", "x" * 40, "x" * 41, "the"]
+    ids, sizes = encoder.bpe.merge_all(words)
+    want = [encoder.bpe.merge(w) for w in words]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for own in want for i in own]
+    assert [a.tolist() for a in encoder.bpe.merge_all([])] == [[], []]
+
+    def counted(self, word):
+        alone.append(word)
+        return merge(self, word)
+
+    monkeypatch.setattr(bpe.WordBpe, "merge", counted)
+    for at in range(0, len(words), 250):  # the memory is full again and again
+        texts = [" ".join(words[at : at + 250]), "<|endoftext|>".join(words[at : at + 9]), "<|ENDOFTEXT|> 49406 the"]
+        assert list(encoder.encode(texts)) == [wanted(library, t) for t in texts]
+    assert set(alone) <= {"x" * 41}

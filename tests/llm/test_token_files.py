@@ -92,4 +92,4 @@ def test_parts_met_often_outlast_a_full_memory():
         got = [ids.tolist() for ids in tokens(texts)]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert " ".join(sent).split().count("often") == " ".join(sent).split().count("line") == 1
-    assert len(tokens.place) <= 60
+    assert len(tokens.memory.place) <= 60
