@@ -93,3 +93,33 @@ def test_parts_met_often_outlast_a_full_memory():
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert " ".join(sent).split().count("often") == " ".join(sent).split().count("line") == 1
     assert len(tokens.memory.place) <= 60
+
+
+def test_a_word_goes_to_the_library_once_whatever_signs_end_it():
+    tokens, sent = coder.Tokens(tokenizer_file("byte_bpe_50k.json")), []
+
+    class Library:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return self.own.encode_batch_fast(texts, **how)
+
+    plain, tokens.library = tokens.library, Library(tokens.library)
+    texts = ["so zweifelnd, zweifelnd. zweifelnd!!", "x zweifelnd### zweifelnd\nline zweifelnd;", "y zweifelnd, zweifelnd?!"]
+    assert [ids.tolist() for ids in tokens(texts[:2]) + tokens(texts[2:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(" ".join(sent).count(w) for w in (" zweifelnd", "\nzweifelnd")) == 1
+
+
+def test_words_and_signs_in_any_mix_equal_the_library():
+    rng = np.random.default_rng(4)
+    pieces = ["word", "Straße", "éa", "don't", "it's,", "'s", "'", ",", ".", "!!", "###", "<|endoftext|>", "<|", "_", "12", "x2", "東京", "é", "×", "÷", "ɏ", "ɐ", " ", " ", "\r", "\t", "\x1c", " ", " ", " ", "\n", "\n\n", "  "]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 30))) for _ in range(3000)]
+    tokens = coder.Tokens(tokenizer_file("byte_bpe_50k.json"), remembered=500)
+    for at in range(0, len(texts), 300):
+        got = [ids.tolist() for ids in tokens(texts[at : at + 300])]
+        assert got == [tokens.library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 300]]
