@@ -6,7 +6,9 @@ intersected, and the sorted common ends slice both id lists; every A token of a
 Neither tokenizer merges over a place where a space follows another character than white space: the byte-level file's
 pre-tokens begin there, and no piece of the other file has a space behind another character (``_separable`` looks).  So both
 tokenizers' tokens end at every such place, and a text is aligned unit by unit between them; a unit is aligned once
-and remembered, up to a bound, by every worker process.
+and remembered, up to a bound, by every worker process.  New units are joined for the tokenizers and aligned by numpy, many at
+once.  Where no token of either file holds a letter and a sign behind it (``signs_apart``), a word and the signs that end it
+are aligned apart and put together.
 
 A pair of ids counts the documents that hold it linked.  Texts are aligned once; each row's pairs are stored, packed, beside
 its digest.  Counts of pairs are summed by Spark; the most frequent ones, at most ``common``, are broadcast, and
@@ -39,10 +41,18 @@ from sextant.llm.words import by_rows
 IDS = 1 << 16
 #: Units that a worker process remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 500_000, 64
+#: Units whose alignment is one step of numpy.
+TOGETHER = 4096
 #: A group of more links than this is folded to its different pairs.
 WIDE = 4096
 #: Places between units: white space as Python sees it holds all that the library does.
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
+#: A space behind other white space.
+_BEHIND = re.compile(r"[^\S ] ")
+#: ASCII signs that may end a word of Latin letters (apostrophes bind letters); a letter and a sign in one token.
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_WORD, _MIXED = re.compile(f"[{_LATIN}]+"), re.compile(f"[{_LATIN}][{re.escape(_SIGNS)}]")
 #: n_a, n_b, n_groups, n_links, groups as text, pairs (a number for each link), different pairs of wide groups and how often.
 Unit = tuple[int, int, int, int, bytes, bytes, tuple[np.ndarray, ...]]
 
@@ -81,8 +91,16 @@ class Aligner:
         if max(len(self.a_bytes), len(self.b_bytes)) > IDS:
             raise ValueError(f"ids of {IDS} and more")
         self.text = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.sizes = [np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
+        self.ended = [f"{i}{sign}".encode() for sign in ",|;" for i in self.text]  # an id and what follows it in a digest's text
+        self.ended_sizes = np.array([len(t) for t in self.ended], np.int64)
+        special = {i for i, token in self.a.get_added_tokens_decoder().items() if token.special}  # no text becomes these
+        of_text = [t for i, t in enumerate(self.a_bytes) if i not in special] + [t for i, t in enumerate(self.b_bytes) if not (self.b.is_control(i) or self.b.is_unknown(i))]
+        self.signs_apart = not any(_MIXED.search(t.decode("utf-8", "replace")) for t in of_text)
         self.separable = not any(" " in p.lstrip(b" ").decode("utf-8", "replace") for p in self.b_bytes)
         self.units: dict[str, Unit | None] = {}
+        self.again: set[str] = set()  # units met in another batch than the one that brought them
+        self.tails: dict[str, Unit | None] = {}
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> Aligner:
@@ -125,21 +143,105 @@ class Aligner:
         if not self.separable:
             return [text]
         parts = text.split(" ")
-        if "" not in parts and not any(p[-1].isspace() for p in parts):
+        if "" not in parts and not text[-1].isspace() and not _BEHIND.search(text):
             return parts
         return [u[1:] if u[0] == " " else u for u in _CUT.split(f" {text}")]
 
     def learn(self, texts: list[list[str]]) -> None:
-        fresh = list(set(chain.from_iterable(texts)) - self.units.keys())
+        """Takes in new units; when too many are known, those met again stay."""
+        wanted = set(chain.from_iterable(texts))
+        fresh = wanted - self.units.keys()
+        self.again |= wanted - fresh
         if len(self.units) + len(fresh) > REMEMBERED:
-            self.units.clear()
-            fresh = list(set(chain.from_iterable(texts)))
-        for at in range(0, len(fresh), 4096):
-            own = fresh[at : at + 4096]
+            stay = self.again & self.units.keys()
+            self.units = {u: self.units[u] for u in stay} if len(stay) <= REMEMBERED // 2 else {}
+            self.again = set()
+            fresh = wanted - self.units.keys()
+        whole, ended = list(fresh), []
+        if self.signs_apart:
+            whole = []
+            for u in fresh:
+                word = u.rstrip(_SIGNS)
+                if word and len(word) < len(u) and _WORD.fullmatch(word):
+                    ended.append((u, word, u[len(word) :]))
+                else:
+                    whole.append(u)
+            whole += {word for _, word, _ in ended} - fresh - self.units.keys()
+        alone = []
+        joined = []
+        for u in whole:
+            (alone if not u or u[0].isspace() or u[-1].isspace() or len(u) > LONGEST else joined).append(u)
+        for at in range(0, len(joined), TOGETHER):
+            alone += self.align_joined(joined[at : at + TOGETHER])
+        for at in range(0, len(alone), 4096):
+            own = alone[at : at + 4096]
             spaced = [" " + u for u in own]
             a, b = self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(own, num_threads=1)
             for u, raw, x, y in zip(own, spaced, a, b, strict=True):
                 self.units[u] = self.align(raw.encode("utf-8", "surrogatepass"), x.ids, y)
+        for u, word, signs in ended:
+            x, y = self.units[word], self.tail(signs)
+            self.units[u] = None if x is None or y is None else (x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + b";" + y[4], x[5] + y[5], x[6] + y[6])
+
+    def tail(self, signs: str) -> Unit | None:
+        """Signs behind a letter, where both tokenizers' tokens end."""
+        if signs not in self.tails:
+            if len(self.tails) >= 4096:
+                self.tails.clear()
+            ids = [self.a.encode_batch_fast([f" a{signs}"], add_special_tokens=False)[0].ids, self.b.encode(f"a{signs}")]
+            for own, spelt in zip(ids, (self.a_bytes, self.b_bytes), strict=True):
+                head = 0
+                while own and head < 2:  # the space and the letter
+                    head += len(spelt[own.pop(0)])
+            self.tails[signs] = self.align(signs.encode(), *ids)
+        return self.tails[signs]
+
+    def align_joined(self, units: list[str]) -> list[str]:
+        """Aligns units that no white space opens or ends as one text, whose tokens end where they do; gives back those that it left out."""
+        parts = [units[at : at + 128] for at in range(0, len(units), 128)]
+        texts = [" ".join(own) for own in parts]
+        ids_a = [got.ids for got in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1)
+        left, kept, all_a, all_b = [], [], [], []
+        for own, text, x, y in zip(parts, texts, ids_a, ids_b, strict=True):
+            raw = f" {text}".encode("utf-8", "surrogatepass")
+            if b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y]):
+                kept += own
+                all_a += x
+                all_b += y
+            else:
+                left += own
+        if not kept:
+            return left
+        a, b = np.array(all_a, np.int64), np.array(all_b, np.int64)
+        size_a, size_b = self.sizes[0][a], self.sizes[1][b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in kept])
+        beside = np.searchsorted(end_b, end_a)  # both end at the same byte, so every place is within
+        common = end_b[beside] == end_a
+        last_a, last_b = np.flatnonzero(common), beside[common]
+        group = np.searchsorted(end_a[last_a], ends)  # the last group of each unit
+        from_a, from_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
+        n_a, n_b = last_a + 1 - from_a, last_b + 1 - from_b
+        links = n_a * n_b
+        if (end_a[last_a[group]] != ends).any() or not size_a.all() or not size_b.all() or links.max() > WIDE:
+            return left + kept
+        of = np.repeat(np.arange(len(links)), links)
+        within = np.arange(len(of)) - (np.cumsum(links) - links)[of]
+        pairs = (a[from_a[of] + within // n_b[of]] * IDS + b[from_b[of] + within % n_b[of]]).astype("<u4").tobytes()
+        follows, tokens = np.zeros(len(a), np.int64), np.empty(len(a) + len(b), np.int64)
+        follows[last_a] = len(self.text)
+        tokens[np.arange(len(a)) + np.repeat(from_b, n_a)] = a + follows
+        follows = np.zeros(len(b), np.int64)
+        follows[last_b] = 2 * len(self.text)
+        tokens[np.arange(len(b)) + np.repeat(last_a + 1, n_b)] = b + follows
+        text = b"".join([self.ended[i] for i in tokens.tolist()])
+        counts = [last_a[group] + 1, last_b[group] + 1, group + 1, np.cumsum(links)[group]]
+        to = np.cumsum(self.ended_sizes[tokens])[counts[0] + counts[1] - 1].tolist()
+        till = (4 * counts[3]).tolist()
+        told = zip(*(np.diff(c, prepend=0).tolist() for c in counts), strict=True)
+        self.units.update({u: (*n, text[s : e - 1], pairs[p:q], ()) for u, n, s, e, p, q in zip(kept, told, [0, *to[:-1]], to, [0, *till[:-1]], till, strict=True)})
+        return left
 
     def __call__(self, texts: list[str | None]) -> list[list[Unit] | None]:
         """The units of each text; None for a text without tokens."""

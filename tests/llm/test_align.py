@@ -111,3 +111,57 @@ def test_wide_groups_and_packing(monkeypatch):
     got = align.unpack(*align.pack(p, t))
     assert got[0].tolist() == p.tolist() and got[1].tolist() == t.tolist()
     assert align.unpack(*align.pack(p[:0], t[:0]))[0].tolist() == []
+
+
+class Counted:
+    """A tokenizer that notes what it is sent."""
+
+    def __init__(self, own, name, sent):
+        self.own, self.name, self.sent = own, name, sent
+
+    def __getattr__(self, name):
+        if name != self.name:
+            return getattr(self.own, name)
+
+        def call(texts, **how):
+            self.sent += [texts] if isinstance(texts, str) else texts
+            return getattr(self.own, name)(texts, **how)
+
+        return call
+
+
+def flat(units):
+    links = Counter(x for u in units for x in np.frombuffer(u[5], "<u4").tolist())
+    for pairs, times in (w for u in units for w in u[6]):
+        links.update(dict(zip(pairs.tolist(), times.tolist(), strict=True)))
+    return b";".join(u[4] for u in units).decode(), links, tuple(sum(u[i] for u in units) for i in range(4))
+
+
+def told(groups):
+    text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    links = Counter(x * align.IDS + y for a, b in groups for x in a for y in b)
+    return text, links, (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(links.values()))
+
+
+def test_words_are_aligned_once_and_those_met_again_stay(libraries, monkeypatch):
+    monkeypatch.setattr(align, "REMEMBERED", 60)
+    aligner, sent_a, sent_b = align.Aligner(*FILES), [], []
+    aligner.a, aligner.b = Counted(aligner.a, "encode_batch_fast", sent_a), Counted(aligner.b, "encode", sent_b)
+    for i in range(40):
+        texts = [f"zweifelnd, zweifelnd. x{i} zweifelnd!! y{i}", f"z{i} zweifelnd### w{i} zweifelnd; often", f"v{i} often"]
+        for text, units in zip(texts, aligner(texts), strict=True):
+            assert flat(units) == told(whole(libraries, text))
+    for sent in (sent_a, sent_b):
+        assert " ".join(sent).count("zweifelnd") == " ".join(sent).count("often") == 1
+    assert len(aligner.units) <= 60
+
+
+def test_words_and_signs_in_any_mix_equal_whole_texts(libraries):
+    rng = random.Random(6)
+    pieces = ["word", "Straße", "éa", "don't", "it's,", "'", ",", ".", "!!", "###", "<|endoftext|>", "<|", "</s>", "a<s>", "_", "12", "x2", "東京", "e\u0301", "×", "ɏ", "ɐ", "ﬁ", "½", "\r", "\t", "\u2028", " ", " ", " ", " ", "\n", "  ", "y" * 70]
+    own = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(2500)]
+    aligner = align.Aligner(*FILES)
+    for at in range(0, len(own), 500):
+        for text, units in zip(own[at : at + 500], aligner(own[at : at + 500]), strict=True):
+            groups = whole(libraries, text)
+            assert (flat(units) if units else None) == (told(groups) if groups else None), text
