@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sextant.core.shared import new_path
 from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
@@ -68,6 +69,12 @@ def f03(spark, p):
     return table(spark, p, "part").select("p_type").distinct().select("p_type", F.array_join(F.transform(F.split("p_type", " "), word), " ").alias("shown"))
 
 
+@F.udf(returnType=StringType(), useArrow=True)
+def shown_number(x: float | None) -> str | None:
+    """Thousands commas and two digits, exact to the last digit; ``format_number`` has 17 digits at most and other words for NaN and infinity."""
+    return None if x is None else format(x, ",.2f")
+
+
 def parsed(text: Column) -> Column:
     """A number with thousands commas, negative in parentheses, the first one in the text; NULL if there is none."""
     digits = F.regexp_extract(F.regexp_replace(text, ",", ""), r"(\d+(?:\.\d+)?)", 1)
@@ -84,9 +91,9 @@ _SHOWN = "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN 'Rs
     SELECT c_custkey, shown, CASE WHEN regexp_matches(shown, '^\\s*\\(|-\\d') THEN -x ELSE x END AS value FROM v""",
 )
 def f13(spark, p):
-    """Balances are written as a report shows them, then read back."""
-    money, k = F.format_number(F.abs("c_acctbal"), 2), F.col("c_custkey") % 5
-    plain = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("("), money, F.lit(")"))).otherwise(money)
+    """Balances are written as a report shows them (every digit of large ones, the sign of a negative zero), then read back."""
+    money, k = shown_number(F.abs("c_acctbal")), F.col("c_custkey") % 5
+    plain = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("("), money, F.lit(")"))).otherwise(shown_number(F.col("c_acctbal")))
     shown = F.when(k == 0, None).when(k == 1, "n/a").when(k == 2, F.concat(F.lit("Rs "), money, F.lit(" cr"))).otherwise(plain)
     return table(spark, p, "customer").select("c_custkey", shown.alias("shown")).withColumn("value", parsed(F.col("shown")))
 
