@@ -227,7 +227,8 @@ def w03(spark, p):
 
 @register("w11_newest_per_key", f"{D} SELECT participant, security, d, qty, deal_key, deal_line FROM deals QUALIFY row_number() OVER (PARTITION BY participant ORDER BY d DESC, deal_key DESC, deal_line DESC) = 1")
 def w11(spark, p):
-    return R.top(deals(spark, p).select("participant", "security", "d", "qty", "deal_key", "deal_line"), ["participant"], [F.desc("d"), F.desc("deal_key"), F.desc("deal_line")])
+    """Deals can share participant, day and key; the SQL takes any of these, here it is the one of least security and quantity in every run."""
+    return R.top(deals(spark, p).select("participant", "security", "d", "qty", "deal_key", "deal_line"), ["participant"], [F.desc("d"), F.desc("deal_key"), F.desc("deal_line"), F.asc("security"), F.asc("qty")])
 
 
 @register(
