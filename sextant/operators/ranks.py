@@ -49,6 +49,28 @@ def tile(number: str, total: str, n: int) -> Column:
     return F.when(F.col(number) <= inside, F.floor((F.col(number) - 1) / (size + 1)) + 1).otherwise(late).cast("int")
 
 
+def quantiles(df: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """One row with a column per quantile of ``at``, interpolated between the two values around it; nulls have no place, NaN is the greatest.
+
+    Different values are counted and dealt by ranges; only the ranges that hold a wanted place are run through, so no task holds all values
+    and a frequent value is one row.
+    """
+    spark = df.sparkSession
+    counts = df.select(F.col(value).alias("_x")).where("_x IS NOT NULL").groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = materialise(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_x").withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    upto, every = F.sum("_size").over(Window.orderBy("_part")), F.sum("_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row a range
+    wanted = F.array(*(F.struct(F.lit(c).alias("to"), F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for c, q in at.items() for i in (0, 1)))
+    parts = sizes.select("_part", "_size", (upto - F.col("_size")).alias("_before"), every.alias("_all")).select("*", F.explode(wanted).alias("w")).select("_part", "_size", "_before", ((F.col("_all") - 1) * F.col("w.q")).alias("_at"), "w.to", "w.i", "_all")
+    places = parts.withColumn("_place", F.least(F.floor("_at") + F.col("i"), F.col("_all") - 1)).where("_place >= _before AND _place < _before + _size")
+    own = Window.partitionBy("to", "i").orderBy("_x")
+    found = ranged.join(F.broadcast(places), "_part").withColumn("_upto", F.col("_before") + F.sum("_n").over(own)).where("_place < _upto AND _place >= _upto - _n")
+    value_of = lambda c, i: F.max(F.when((F.col("to") == c) & (F.col("i") == i), F.col("_x")))
+    share = lambda c: F.max(F.when(F.col("to") == c, F.col("_at") - F.floor("_at")))
+    # equal ends are the quantile themselves: infinities have no difference
+    return found.agg(*(F.when((share(c) == 0) | (value_of(c, 0) == value_of(c, 1)), value_of(c, 0)).otherwise(value_of(c, 0) + (value_of(c, 1) - value_of(c, 0)) * share(c)).alias(c) for c in at))
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, to: str = "rank") -> DataFrame:
     """Adds the rank of ``value`` with ties averaged, within ``by``; equal values may lie in several ranges."""
     by = by or []
