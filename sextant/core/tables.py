@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.core.shared import materialise, release
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,24 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_deals(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``columns`` of ``deals``, written once and in two steps: the rows lie on disk in one step's shuffle at a time, not in both, and plans that
+    read deals again do not join them again."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    x = line.join(part, line.l_partkey == part.p_partkey).select(
+        F.col("l_suppkey").alias("security"), F.col("p_brand").alias("brand"), F.when(F.col("l_linestatus") == "F", "BUY").otherwise("SELL").alias("side"), F.col("l_returnflag").alias("kind"), F.to_date("l_shipdate").alias("d"),
+        F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("value"), F.col("l_orderkey").alias("deal_key"), F.col("l_linenumber").alias("deal_line"),
+    )
+    needed = [c for c in x.columns if c in columns or c == "deal_key" or c in ("qty", "value") and "price" in columns]
+    named = materialise(x.select(*needed), "named")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("deal_key"), F.col("o_custkey").alias("participant"))
+    full = named.join(orders, "deal_key")
+    out = materialise((full.withColumn("price", F.col("value") / F.col("qty")) if "price" in columns else full).select(*columns), "deals")
+    release(named)
+    return out
+
+
 def bars(deal_rows: DataFrame, key: str = "brand") -> DataFrame:
     """Daily bars: open and close are the prices of the first and last deal in a total order of the rows."""
     order = F.struct("deal_key", "deal_line", "price", "qty")

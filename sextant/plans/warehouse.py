@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
+from sextant.core.shared import materialise, release
+from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table, written_deals
 from sextant.functions.numbers import half_up, half_up_sql, r6
 from sextant.operators import ranks
 from sextant.operators import rows as R
@@ -346,11 +347,29 @@ def d12(spark, p):
     FROM deals x JOIN day USING (security, d) JOIN rt USING (participant, brand, d) JOIN flags USING (deal_key, deal_line) JOIN copies USING (deal_key, deal_line)""",
 )
 def d13(spark, p):
-    """Every deal stays, with its flags and the first reason not to use it; the row count is that of the deals."""
-    x = deals(spark, p)
-    day = x.groupBy("security", "d").agg(F.percentile("price", 0.5).alias("mid"), F.count(F.lit(1)).alias("prints"))
-    rt = x.groupBy("participant", "brand", "d").agg((F.bool_or(F.col("side") == "BUY") & F.bool_or(F.col("side") == "SELL")).alias("same_day"))
-    copies = x.groupBy("deal_key", "deal_line").agg(F.count(F.lit(1)).alias("copies"))
-    full = x.join(day, ["security", "d"]).join(rt, ["participant", "brand", "d"]).join(promoter_flags(x), ["deal_key", "deal_line"]).join(copies, ["deal_key", "deal_line"])
-    reason = R.ladder([("REPEATED_KEY", F.col("copies") > 1), ("TOO_SMALL", F.col("qty") < 2), ("PRICE_OUTLIER", (F.col("prints") >= 2) & (F.abs(F.col("price") / F.col("mid") - 1) > 0.9)), ("INTERNAL", F.col("internal_transfer"))])
+    """Every deal stays, with its flags and the first reason not to use it; the row count is that of the deals.
+
+    Deals are dealt out by participant, by security and by key, one after the other: each step's groups are windows within its parts, it is written,
+    and what it read goes, so disk holds two written steps and one shuffle at most.
+    """
+    x = written_deals(spark, p, "participant", "security", "brand", "side", "d", "qty", "price", "deal_key", "deal_line")
+    buys, sells = F.bool_or(F.col("side") == "BUY"), F.bool_or(F.col("side") == "SELL")
+    rt = Window.partitionBy("participant", "brand", "d")
+    one = materialise(x.repartition("participant").withColumn("same_day", buys.over(rt) & sells.over(rt)), "same-day")
+    release(x)
+    day, spans = Window.partitionBy("security", "d"), Window.partitionBy("security", "participant")
+    known = F.col("security").isNotNull() & F.col("participant").isNotNull()
+    from_ = F.min(F.when(F.col("qty") >= 48, F.col("d"))).over(spans)
+    f = one.repartition("security").withColumns({"_from": from_, "mid": F.percentile("price", 0.5).over(day), "prints": F.count(F.lit(1)).over(day)})
+    f = f.withColumn("promoter_related", F.coalesce(known & (F.col("d") >= F.col("_from")) & (F.col("d") < F.date_add("_from", 720)), F.lit(False)))
+    ends = {f"{n}_{s}": g(F.when(F.col("promoter_related") & (F.col("side") == s), F.col("participant"))).over(day) for s in ("BUY", "SELL") for n, g in (("lo", F.min), ("hi", F.max))}
+    opposite = lambda n: F.when(F.col("side") == "BUY", F.col(f"{n}_SELL")).otherwise(F.col(f"{n}_BUY"))
+    met = F.col("promoter_related") & F.coalesce((opposite("lo") != F.col("participant")) | (opposite("hi") != F.col("participant")), F.lit(False))
+    outlier = F.coalesce((F.col("prints") >= 2) & (F.abs(F.col("price") / F.col("mid") - 1) > 0.9), F.lit(False))
+    whole = known & F.col("brand").isNotNull() & F.col("d").isNotNull()  # a deal without a key of a group has no flags of it, as in a join
+    two = materialise(f.withColumns(ends).select("deal_key", "deal_line", "qty", "same_day", "promoter_related", met.alias("internal_transfer"), outlier.alias("outlier"), whole.alias("whole")), "flagged")
+    release(one)
+    key = Window.partitionBy("deal_key", "deal_line")
+    full = two.repartition("deal_key").withColumns({"copies": F.count(F.lit(1)).over(key), **{c: F.bool_or(c).over(key) for c in ("promoter_related", "internal_transfer")}}).where("whole AND deal_key IS NOT NULL AND deal_line IS NOT NULL")
+    reason = R.ladder([("REPEATED_KEY", F.col("copies") > 1), ("TOO_SMALL", F.col("qty") < 2), ("PRICE_OUTLIER", F.col("outlier")), ("INTERNAL", F.col("internal_transfer"))])
     return full.select("deal_key", "deal_line", "qty", "same_day", "promoter_related", "internal_transfer", reason.alias("reason"))
