@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars, bars_sql, calendar, deals, table
+from sextant.core.tables import CALENDAR_SQL, DEALS_SQL, bars_sql, calendar, deals, table, written_deals
 from sextant.functions.numbers import half_up, half_up_sql, r6
 from sextant.operators import ranks
 from sextant.operators import rows as R
@@ -27,35 +27,40 @@ exits AS (SELECT listing, d, CASE WHEN out_d IS NULL THEN 'CENSORED' WHEN last_d
 priced AS (SELECT listing, d, reason, CASE reason WHEN 'HORIZON' THEN own_close / open - 1 WHEN 'MOVED' THEN moved_close / open - 1 WHEN 'STOPPED' THEN -1 END AS ret, CASE WHEN reason = 'STOPPED' THEN last_close / open END AS last_ratio FROM exits)"""
 
 
+EXIT_COLUMNS = ("security", "brand", "side", "d", "qty", "price", "deal_key", "deal_line")
+
+
 def exits(x: DataFrame) -> DataFrame:
     """listing, d, reason, ret, last_ratio of every entry: its own close at the exit session, else the security's close under
-    any symbol, else nothing (STOPPED, worth a share of the last close), or no outcome yet (CENSORED)."""
+    any symbol, else nothing (STOPPED, worth a share of the last close), or no outcome yet (CENSORED).
+
+    ``x`` is written, and dealt out by security once: listings, days and windows of sessions all lie within a security.
+    """
     cal = calendar(x).select("d", "i")
     order = F.struct("deal_key", "deal_line", "price", "qty")
-    named = x.withColumn("listing", F.concat_ws("/", F.col("security").cast("string"), "brand"))
-    own = named.groupBy("listing", "security", "d").agg(F.min_by("price", order).alias("open"), F.max_by("price", order).alias("close"))
-    every = bars(x, "security").select(F.col("id").alias("security"), F.col("d").alias("bd"), F.col("close").alias("moved_close"))
-    ends = own.groupBy("listing").agg(F.max("d").alias("last_d"), F.max_by("close", "d").alias("last_close"))
     n = cal.agg(F.max("i").alias("n"))  # one row
     alive = F.broadcast(cal.crossJoin(F.broadcast(n)).where(F.col("i") == F.col("n") - ALIVE).agg(F.max("d").alias("alive")))  # one row
-    entered = own.join(x.where("side = 'BUY' AND qty = 50").select("security", "d").distinct(), ["security", "d"], "left_semi")
     later = cal.select((F.col("i") - H).alias("i"), F.col("d").alias("out_d"))
-    t = entered.join(cal, "d").join(later, "i", "left").select("listing", "security", "d", "open", "out_d")
-    t = T.asof_join(t, own.select("listing", F.col("d").alias("od"), F.col("close").alias("own_close")), ["listing"], "out_d", "od")
-    t = T.asof_join(t, every, ["security"], "out_d", "bd").join(ends, "listing").join(every.groupBy("security").agg(F.max("bd").alias("security_last")), "security").crossJoin(alive)
-    since = lambda c, day: F.when(F.col(day) > F.col("d"), F.col(c))
-    own_close, moved = since("own_close", "od"), since("moved_close", "bd")
+    sessions = F.broadcast(cal.join(later, "i", "left"))  # dates only
+    own = x.where("security IS NOT NULL AND d IS NOT NULL").repartition("security").groupBy("security", "brand", "d").agg(
+        F.min_by("price", order).alias("open"), F.max_by("price", order).alias("close"), F.max(order).alias("_last"), F.bool_or((F.col("side") == "BUY") & (F.col("qty") == 50)).alias("_entry"),
+    ).join(sessions, "d")
+    day, whole, listing = Window.partitionBy("security", "i"), Window.partitionBy("security"), Window.partitionBy("security", "brand")
+    ahead = lambda w: w.orderBy("i").rangeBetween(1, H)
+    t = own.withColumns({"_day_close": F.max_by("close", "_last").over(day), "_entered": F.bool_or("_entry").over(day)})
+    t = t.withColumns({"own_close": F.last("close").over(ahead(listing)), "moved_close": F.last("_day_close").over(ahead(whole)), "last_d": F.max("d").over(listing), "last_close": F.max_by("close", "d").over(listing), "security_last": F.max("d").over(whole)})
+    t = t.where("_entered AND brand IS NOT NULL").crossJoin(alive)
     reason = R.ladder([
-        ("CENSORED", F.col("out_d").isNull()), ("HORIZON", (F.col("last_d") >= F.col("out_d")) & own_close.isNotNull()), ("MOVED", (F.col("security_last") >= F.col("out_d")) & moved.isNotNull()), ("CENSORED", F.col("last_d") >= F.col("alive")),
+        ("CENSORED", F.col("out_d").isNull()), ("HORIZON", (F.col("last_d") >= F.col("out_d")) & F.col("own_close").isNotNull()), ("MOVED", (F.col("security_last") >= F.col("out_d")) & F.col("moved_close").isNotNull()), ("CENSORED", F.col("last_d") >= F.col("alive")),
     ]).otherwise("STOPPED")
-    r = t.withColumn("reason", reason)
-    ret = F.when(F.col("reason") == "HORIZON", own_close / F.col("open") - 1).when(F.col("reason") == "MOVED", moved / F.col("open") - 1).when(F.col("reason") == "STOPPED", F.lit(-1.0))
+    r = t.withColumn("reason", reason).withColumn("listing", F.concat_ws("/", F.col("security").cast("string"), "brand"))
+    ret = F.when(F.col("reason") == "HORIZON", F.col("own_close") / F.col("open") - 1).when(F.col("reason") == "MOVED", F.col("moved_close") / F.col("open") - 1).when(F.col("reason") == "STOPPED", F.lit(-1.0))
     return r.select("listing", "d", "reason", ret.alias("ret"), F.when(F.col("reason") == "STOPPED", F.col("last_close") / F.col("open")).alias("last_ratio"))
 
 
 @register("d18_exit_pricing", f"{_LISTED_SQL} SELECT listing, d, reason, round(ret, 6) AS ret, round(last_ratio, 6) AS last_ratio FROM priced")
 def d18(spark, p):
-    return exits(deals(spark, p)).select("listing", "d", "reason", r6(F.col("ret")).alias("ret"), r6(F.col("last_ratio")).alias("last_ratio"))
+    return exits(written_deals(spark, p, *EXIT_COLUMNS)).select("listing", "d", "reason", r6(F.col("ret")).alias("ret"), r6(F.col("last_ratio")).alias("last_ratio"))
 
 
 FACTORS = (0.0, 0.25, 0.5, 1.0)
