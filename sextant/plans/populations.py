@@ -73,7 +73,7 @@ FACTORS = (0.0, 0.25, 0.5, 1.0)
 )
 def d19(spark, p):
     """Mean outcome by liquidity tier if a stopped name is worth a share of its last close; tiers are cut from numbers over ranges of listings."""
-    x = deals(spark, p)
+    x = written_deals(spark, p, *EXIT_COLUMNS)
     q = x.groupBy(F.concat_ws("/", F.col("security").cast("string"), "brand").alias("listing")).agg(F.sum("qty").alias("q"))
     tier = ranks.numbered(q, [F.desc("q"), F.col("listing")], to="k", total="n").select("listing", ranks.tile("k", "n", 3).cast("long").alias("tier"))
     e = exits(x).where("reason <> 'CENSORED'").join(tier, "listing").withColumn("factor", F.explode(F.array(*(F.lit(f) for f in FACTORS))))
